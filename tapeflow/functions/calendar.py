@@ -15,7 +15,7 @@ has 29 or 30; the leap years are those with year % 33 in
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeflow.functions.columns import as_col, idiv
@@ -51,19 +51,68 @@ def jalali_to_date(jy, jm, jd) -> Column:
     return F.date_from_unix_date(jalali_epoch_day(jy, jm, jd).cast("int"))
 
 
+def _jalali_steps(d, p: str) -> list[tuple[str, Column]]:
+    """C3 as a chain of small named steps (each refers to the previous ones
+    by ``p`` + name).
+
+    ``D`` counts days from the start of the 33-year cycle era; ``s`` is the
+    day inside the 4-year group, ``yo`` the year inside it (0–3) and
+    ``sy`` the day of the Jalali year (0-based).
+    """
+    def c(name: str) -> Column:
+        return F.col(p + name)
+    return [
+        ("D", F.unix_date(as_col(d)).cast("long") + (719528 + 355667)),
+        ("r", F.pmod(c("D"), F.lit(12053))),
+        ("s", F.pmod(c("r"), F.lit(1461))),
+        ("yo", idiv(F.greatest(c("s") - 1, F.lit(0)), 365)),
+        ("y", idiv(c("D"), 12053) * 33 + idiv(c("r"), 1461) * 4 + c("yo") - 1595),
+        ("sy", c("s") - c("yo") * 365 - F.least(c("yo"), F.lit(1))),
+        ("late", (c("sy") - 186)),
+    ]
+
+
+def _jalali_fields(p: str) -> dict[str, Column]:
+    late, sy = F.col(p + "late"), F.col(p + "sy")
+    return {
+        "j_year": F.col(p + "y").cast("int"),
+        "j_month": F.when(late < 0, idiv(sy, 31) + 1).otherwise(idiv(late, 30) + 7).cast("int"),
+        "j_day": F.when(late < 0, F.pmod(sy, F.lit(31)) + 1)
+                  .otherwise(F.pmod(late, F.lit(30)) + 1).cast("int"),
+    }
+
+
+def with_jalali_fields(df: DataFrame, date_col: str = "date", prefix: str = "") -> DataFrame:
+    """C3 in DataFrame form: add ``j_year, j_month, j_day`` (with ``prefix``).
+
+    Each intermediate is its own projected column, so it is computed once
+    per row and the generated code stays small enough to be JIT-compiled.
+    """
+    tmp = f"_c3_{prefix}"
+    steps = _jalali_steps(date_col, tmp)
+    out = df
+    for name, expr in steps:
+        out = out.withColumn(tmp + name, expr)
+    known = F.col(date_col).isNotNull()
+    out = out.withColumns({prefix + k: F.when(known, v)
+                           for k, v in _jalali_fields(tmp).items()})
+    return out.drop(*[tmp + n for n, _ in steps])
+
+
 def date_to_jalali(d) -> Column:
-    """Gregorian DATE → struct(j_year, j_month, j_day)."""
-    day = F.unix_date(as_col(d)).cast("long") + 719528 + 355667
-    k = idiv(day, 12053)
+    """Gregorian DATE → struct(j_year, j_month, j_day) as one Column.
+
+    Prefer ``with_jalali_fields`` on large inputs (no repeated sub-trees).
+    """
+    day = F.unix_date(as_col(d)).cast("long") + (719528 + 355667)
     r = F.pmod(day, F.lit(12053))
-    q = idiv(r, 1461)
     s = F.pmod(r, F.lit(1461))
-    over = s > 365
-    y = F.lit(-1595) + k * 33 + q * 4 + F.when(over, idiv(s - 1, 365)).otherwise(0)
-    s = F.when(over, F.pmod(s - 1, F.lit(365))).otherwise(s)
-    early = s < 186
-    month = F.when(early, idiv(s, 31) + 1).otherwise(idiv(s - 186, 30) + 7)
-    dom = F.when(early, F.pmod(s, F.lit(31)) + 1).otherwise(F.pmod(s - 186, F.lit(30)) + 1)
+    yo = idiv(F.greatest(s - 1, F.lit(0)), 365)
+    y = idiv(day, 12053) * 33 + idiv(r, 1461) * 4 + yo - 1595
+    sy = s - yo * 365 - F.least(yo, F.lit(1))
+    late = sy - 186
+    month = F.when(late < 0, idiv(sy, 31) + 1).otherwise(idiv(late, 30) + 7)
+    dom = F.when(late < 0, F.pmod(sy, F.lit(31)) + 1).otherwise(F.pmod(late, F.lit(30)) + 1)
     return F.when(as_col(d).isNotNull(), F.struct(
         y.cast("int").alias("j_year"),
         month.cast("int").alias("j_month"),
@@ -118,6 +167,32 @@ def jalali_to_minute(text) -> Column:
     return d.cast("timestamp_ntz") + _time_of_day(p, with_seconds=False)
 
 
+def with_jalali_parsed(df: DataFrame, text: str, out: str, kind: str = "date") -> DataFrame:
+    """Parse Jalali text once per row into ``out`` (DataFrame form of C1/C2/C6).
+
+    ``kind``: ``"date"`` (C1 on ``yyyy-MM-dd``), ``"timestamp"`` (C6, keeps
+    seconds) or ``"minute"`` (C2, drops seconds).  The text is split once
+    into integer columns, then converted — the Column forms above repeat
+    the split inside every branch of the validity test.
+    """
+    parts = "_jp_" + out
+    names = [f"_j{i}_{out}" for i in range(6)]
+    ep = f"_je_{out}"
+    step = df.withColumn(parts, _parts(text))
+    step = step.withColumns({n: _part(F.col(parts), i) for i, n in enumerate(names)})
+    step = step.withColumn(ep, jalali_epoch_day(*[F.col(n) for n in names[:3]]).cast("int"))
+    d = F.date_from_unix_date(F.col(ep))
+    if kind == "date":
+        value = d
+    else:
+        h, mi, sec = (F.coalesce(F.col(n), F.lit(0)) for n in names[3:])
+        if kind == "minute":
+            sec = F.lit(0)
+        value = d.cast("timestamp_ntz") + F.make_dt_interval(
+            F.lit(0), h, mi, sec.cast("decimal(8,6)"))
+    return step.withColumn(out, value).drop(parts, ep, *names)
+
+
 def session_date(ts) -> Column:
     """Timestamp → session date."""
     return F.to_date(as_col(ts))

@@ -2,8 +2,9 @@
 
 Every function returns a Column over the normalised snapshot columns
 (``vol_buy_r``, ``no_buy_r``, ``final`` …), so the optimizer can share
-sub-expressions and keep them inside codegen.  Divisions follow
-``x / NULLIF(y, 0)``: a zero divisor gives NULL, never an error.
+sub-expressions and keep them inside codegen.  The fixed formulas are
+written as SQL expression text (parsed once on the JVM side).  Divisions
+follow ``x / NULLIF(y, 0)``: a zero divisor gives NULL, never an error.
 """
 
 from __future__ import annotations
@@ -13,40 +14,48 @@ from pyspark.sql import functions as F
 
 from tapeflow.functions.columns import as_col, safe_div
 
-# Fixed value: money and per-capita figures are reported in units of 10^7
+# Money and per-capita figures are reported in units of 10^7
 # (rial → million toman); transaction values in units of 10^10.
 MONEY_UNIT = 10_000_000
 VALUE_UNIT = 10_000_000_000
 
+# M1–M6 as SQL text over the snapshot columns.
+BUY_POWER_SQL = "(vol_buy_r / nullif(no_buy_r, 0)) / nullif(vol_sell_r / nullif(no_sell_r, 0), 0)"
+BUY_PER_CAPITA_SQL = f"((vol_buy_r * final) / nullif(no_buy_r, 0)) / {MONEY_UNIT}"
+SELL_PER_CAPITA_SQL = f"((vol_sell_r * final) / nullif(no_sell_r, 0)) / {MONEY_UNIT}"
+ENTERED_MONEY_SQL = f"((vol_sell_i - vol_buy_i) * final) / {MONEY_UNIT}"
+BUY_RATIO_SQL = "vol_buy_r / nullif(volume, 0)"
+SELL_RATIO_SQL = "vol_sell_r / nullif(volume, 0)"
+
 
 def buy_power() -> Column:
     """M1: (retail buy volume per buyer) / (retail sell volume per seller)."""
-    return safe_div(safe_div("vol_buy_r", "no_buy_r"), safe_div("vol_sell_r", "no_sell_r"))
+    return F.expr(BUY_POWER_SQL)
 
 
 def buy_per_capita() -> Column:
     """M2: money bought per retail buyer."""
-    return safe_div(F.col("vol_buy_r") * F.col("final"), "no_buy_r") / MONEY_UNIT
+    return F.expr(BUY_PER_CAPITA_SQL)
 
 
 def sell_per_capita() -> Column:
     """M3: money sold per retail seller."""
-    return safe_div(F.col("vol_sell_r") * F.col("final"), "no_sell_r") / MONEY_UNIT
+    return F.expr(SELL_PER_CAPITA_SQL)
 
 
 def entered_money() -> Column:
     """M4: institutional net sale = retail net purchase, in money units."""
-    return (F.col("vol_sell_i") - F.col("vol_buy_i")) * F.col("final") / MONEY_UNIT
+    return F.expr(ENTERED_MONEY_SQL)
 
 
 def buy_ratio() -> Column:
     """M5: retail share of the buy volume."""
-    return safe_div("vol_buy_r", "volume")
+    return F.expr(BUY_RATIO_SQL)
 
 
 def sell_ratio() -> Column:
     """M6: retail share of the sell volume."""
-    return safe_div("vol_sell_r", "volume")
+    return F.expr(SELL_RATIO_SQL)
 
 
 # --- M13 narrowing casts (what a typed INSERT does to a double) -------------
@@ -79,7 +88,7 @@ def price_earnings(last="last", eps="eps") -> Column:
 
 
 def transaction_value(volume="volume", close="close") -> Column:
-    """Volume × close / 10^10 (close taken as FLOAT4 first)."""
+    """Volume × close / 10^10 (close taken as FLOAT4 first)."""
     return as_col(volume).cast("double") * as_col(close).cast("float").cast("double") / VALUE_UNIT
 
 

@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeflow.functions.calendar import date_to_jalali
+from tapeflow.functions.calendar import with_jalali_fields
 from tapeflow.functions.columns import as_col
 from tapeflow.operators.windows import latest_per_key
 
@@ -95,9 +95,7 @@ def candle_geometry(candles: DataFrame, open_: str = "open", high: str = "high",
 
 def with_jalali(df: DataFrame, date_col: str = "date") -> DataFrame:
     """Add ``j_year, j_month, j_day`` for Jalali axis labels."""
-    j = date_to_jalali(date_col)
-    return df.select("*", j["j_year"].alias("j_year"), j["j_month"].alias("j_month"),
-                     j["j_day"].alias("j_day"))
+    return with_jalali_fields(df, date_col)
 
 
 def calendar_gaps(candles: DataFrame, keys: Sequence[str] = ("ticker",),

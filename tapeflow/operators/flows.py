@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeflow.functions import metrics as M
-from tapeflow.operators.joins import checked_broadcast
+from tapeflow.operators.joins import drop_keys, keep_keys
 from tapeflow.operators.windows import trailing_volume_stats, with_average_volume
 
 
@@ -112,20 +112,22 @@ def index_flow(snapshot: DataFrame, universe: str = "market",
     """
     df = snapshot
     if exclude is not None:
-        df = df.join(checked_broadcast(exclude.select("ticker").distinct()), "ticker", "left_anti")
+        df = drop_keys(df, exclude)
     if only is not None:
-        df = df.join(checked_broadcast(only.select("ticker").distinct()), "ticker", "left_semi")
+        df = keep_keys(df, only)
     return _index_aggregate(df.withColumn("universe", F.lit(universe)), ["universe", "download"])
 
 
 def index_flows(snapshot: DataFrame, block_list: DataFrame, basket: DataFrame) -> DataFrame:
     """A1 and A2 in one pass: each row is tagged with the universes it
     belongs to ("market" unless blocked; also "large" if in the basket and
-    not blocked), then one aggregation keyed by (universe, capture)."""
+    not blocked), then one aggregation keyed by (universe, capture).  The
+    flag table has one row per listed ticker; it is broadcast by size
+    (planner estimate or AQE's runtime measurement), never by a blind hint."""
     flags = (block_list.select("ticker").distinct().withColumn("_blocked", F.lit(True))
              .join(basket.select("ticker").distinct().withColumn("_large", F.lit(True)),
                    "ticker", "full"))
-    tagged = snapshot.join(checked_broadcast(flags), "ticker", "left")
+    tagged = snapshot.join(flags, "ticker", "left")
     universes = F.filter(
         F.array(F.when(F.col("_blocked").isNull(), F.lit("market")),
                 F.when(F.col("_blocked").isNull() & F.col("_large").isNotNull(), F.lit("large"))),

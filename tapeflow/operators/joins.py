@@ -1,40 +1,47 @@
-"""Joins against small key lists (ticker lists, screen survivors)."""
+"""Joins against key lists (ticker lists, screen survivors).
+
+No unconditional ``broadcast()`` hint: a list is broadcast only when its
+size is known to be small.
+
+* A list given as Python values (``ticker_frame``) has an exact size, so a
+  short one is hinted for broadcast (``MAX_BROADCAST_ROWS``).
+* A list derived from data (e.g. tickers read from a big table) carries no
+  hint.  The planner broadcasts it if its size estimate is under
+  ``spark.sql.autoBroadcastJoinThreshold``; otherwise both sides are
+  shuffled on the key, and AQE still switches to a broadcast at run time
+  when the measured shuffle output of the list turns out small.  No extra
+  counting job runs over the source.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A list is broadcast only after its row count is checked against this bound
-# (a one-column string table of this many rows is a few MB).
+# A literal list of at most this many tickers is hinted for broadcast
+# (a one-column string table of this size is a few MB).
 MAX_BROADCAST_ROWS = 200_000
 
 
-def checked_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when ``small`` has at most ``max_rows`` rows.
-
-    Above the bound the plain DataFrame is returned: the planner then
-    shuffles both sides on the key (or AQE switches to a broadcast at run
-    time if the shuffled side turns out small).
-    """
-    n = small.limit(max_rows + 1).count()
-    return F.broadcast(small) if n <= max_rows else small
+def ticker_frame(spark: SparkSession, tickers: Iterable[str]) -> DataFrame:
+    """A one-column ``ticker`` table from Python values; broadcast-hinted
+    when it is short (its size is known exactly)."""
+    rows = [(t,) for t in dict.fromkeys(tickers)]
+    df = spark.createDataFrame(rows, "ticker string")
+    return F.broadcast(df) if len(rows) <= MAX_BROADCAST_ROWS else df
 
 
-def keep_keys(df: DataFrame, keys_df: DataFrame, on: Sequence[str] | str = "ticker",
-              max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def keep_keys(df: DataFrame, keys_df: DataFrame, on: Sequence[str] | str = "ticker") -> DataFrame:
     """Rows whose key is in ``keys_df`` (semi-join)."""
-    return df.join(checked_broadcast(keys_df.select(*_as_list(on)).distinct(), max_rows),
-                   on, "left_semi")
+    return df.join(keys_df.select(*_as_list(on)), on, "left_semi")
 
 
-def drop_keys(df: DataFrame, keys_df: DataFrame, on: Sequence[str] | str = "ticker",
-              max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Rows whose key is not in ``keys_df`` (anti-join)."""
-    return df.join(checked_broadcast(keys_df.select(*_as_list(on)).distinct(), max_rows),
-                   on, "left_anti")
+def drop_keys(df: DataFrame, keys_df: DataFrame, on: Sequence[str] | str = "ticker") -> DataFrame:
+    """Rows whose key is not in ``keys_df`` (anti-join, NULL-safe on the
+    stored side: a NULL key is never "in" the list)."""
+    return df.join(keys_df.select(*_as_list(on)), on, "left_anti")
 
 
 def _as_list(on) -> list[str]:

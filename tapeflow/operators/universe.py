@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeflow.functions import metrics as M
-from tapeflow.operators.joins import drop_keys, keep_keys
+from tapeflow.operators.joins import drop_keys, keep_keys, ticker_frame
 
 # ---------------------------------------------------------------------------
 # The labels and lists the reference filters on, verbatim.
@@ -43,8 +43,14 @@ SESSION_END = "14:00:00"
 # ---------------------------------------------------------------------------
 
 
-def ticker_frame(spark: SparkSession, tickers: Iterable[str]) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in tickers], "ticker string")
+def block_list(spark: SparkSession, tickers: Iterable[str] = MARKET_BLOCK_LIST) -> DataFrame:
+    """F5 list as a table (default: the reference's fixed list)."""
+    return ticker_frame(spark, tickers)
+
+
+def large_cap_basket(spark: SparkSession, tickers: Iterable[str] = LARGE_CAP_BASKET) -> DataFrame:
+    """F6 list as a table (default: the reference's fixed basket)."""
+    return ticker_frame(spark, tickers)
 
 
 def _exclude(df: DataFrame, pred: Column) -> DataFrame:
@@ -72,12 +78,12 @@ def has_opened(df: DataFrame) -> DataFrame:
 
 
 def exclude_tickers(df: DataFrame, tickers: DataFrame) -> DataFrame:
-    """drop listed tickers (size-checked broadcast anti-join)."""
+    """drop listed tickers (anti-join; broadcast when the list is small)."""
     return drop_keys(df, tickers, "ticker")
 
 
 def only_tickers(df: DataFrame, tickers: DataFrame) -> DataFrame:
-    """keep listed tickers (size-checked broadcast semi-join)."""
+    """keep listed tickers (semi-join; broadcast when the list is small)."""
     return keep_keys(df, tickers, "ticker")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeflow.functions import metrics as M
-from tapeflow.functions.calendar import jalali_text, parse_jalali_date
+from tapeflow.functions.calendar import jalali_text, with_jalali_parsed
 from tapeflow.operators import universe as U
 from tapeflow.operators.candles import indicator_candles
 from tapeflow.operators.flows import daily_series, index_flow, index_flows, to_intraday_flow
@@ -30,30 +30,55 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 # --- shared inputs -----------------------------------------------------------
+# DataFrames are immutable plans, so an input built once per (session,
+# folder) is reused by every query instead of being rebuilt call by call.
+_INPUTS: dict[tuple, DataFrame] = {}
 
+
+def _memo(build: Callable[[SparkSession, str], DataFrame]):
+    def get(spark: SparkSession, d: str) -> DataFrame:
+        key = (build.__name__, id(spark._jsparkSession), d)
+        if key not in _INPUTS:
+            _INPUTS[key] = build(spark, d)
+        return _INPUTS[key]
+    get.__name__ = build.__name__
+    return get
+
+
+@_memo
 def _snap(spark, d):
     return FX.snapshots(spark, d)
 
 
+@_memo
 def _daily(spark, d):
     """Daily history: last capture of each (ticker, day) → M7 + W2."""
     return daily_series(_snap(spark, d))
 
 
+@_memo
 def _intraday(spark, d):
     return to_intraday_flow(_snap(spark, d))
 
 
+@_memo
 def _long_daily(spark, d):
     """F-2 with its 42-session average volume."""
     return with_average_volume(FX.long_daily(spark, d))
 
 
+@_memo
+def _current(spark, d):
+    return FX.current_snapshot(spark, d)
+
+
+@_memo
 def _hourly_universe(spark, d):
     """I3 input: hourly cross-sections after the ingest filters."""
     return U.in_session(U.tradable(FX.hourly_snapshots(spark, d)))
 
 
+@_memo
 def _index(spark, d):
     block, basket = FX.ticker_lists(spark, d)
     return index_flows(_hourly_universe(spark, d), block, basket)
@@ -166,8 +191,9 @@ def _screen(name: str) -> Query:
     spec = SPECS[name]
 
     def q(spark, d):
-        return screen(FX.current_snapshot(spark, d), spec,
-                      daily=_daily(spark, d), intraday=_intraday(spark, d))
+        daily = _daily(spark, d) if spec.confirm == "persistence" else None
+        intraday = _intraday(spark, d) if spec.confirm == "divergence" else None
+        return screen(_current(spark, d), spec, daily=daily, intraday=intraday)
     return q
 
 
@@ -222,16 +248,15 @@ def q_calendar_gaps(spark, d):
 
 def q_jalali_from_date(spark, d):
     o = FX.order_dates_jalali(spark, d)
-    return o.select("o_orderkey", "o_orderdate", F.col("j.j_year").alias("j_year"),
-                    F.col("j.j_month").alias("j_month"), F.col("j.j_day").alias("j_day"),
-                    jalali_text("j").alias("j_text"))
+    return o.select("o_orderkey", "o_orderdate", "j_year", "j_month", "j_day",
+                    jalali_text(F.struct("j_year", "j_month", "j_day")).alias("j_text"))
 
 
 def q_date_from_jalali(spark, d):
-    o = FX.order_dates_jalali(spark, d).select("o_orderkey", "o_orderdate",
-                                               jalali_text("j").alias("j_text"))
-    back = o.select("o_orderkey", "j_text", parse_jalali_date("j_text").alias("g_date"),
-                    "o_orderdate")
+    o = FX.order_dates_jalali(spark, d).select(
+        "o_orderkey", "o_orderdate",
+        jalali_text(F.struct("j_year", "j_month", "j_day")).alias("j_text"))
+    back = with_jalali_parsed(o, "j_text", "g_date")
     return back.select("o_orderkey", "j_text", "g_date",
                        (F.col("g_date") == F.col("o_orderdate")).alias("round_trip"))
 

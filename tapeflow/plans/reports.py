@@ -1,6 +1,6 @@
 """Report frames (R1–R9): the data behind each chart, for all requested
 tickers at once (no drawing).  Pass ``tickers`` to restrict to a watchlist
-(F7, size-checked broadcast semi-join)."""
+(F7, a semi-join; broadcast when the list is small)."""
 
 from __future__ import annotations
 

@@ -17,6 +17,9 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # No Python call-site capture on every Column call (one JVM round trip
+    # each); plans are built much faster, error messages lose the line.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

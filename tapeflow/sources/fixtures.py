@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeflow.functions.columns import idiv, safe_div
-from tapeflow.functions.calendar import date_to_jalali
+from tapeflow.functions.columns import idiv
+from tapeflow.functions.calendar import with_jalali_fields
 from tapeflow.operators.windows import latest_per_key
 
 # Fixed values of the adapter: Persian labels the filters act on.
@@ -27,48 +27,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def snapshot_from_events(events: DataFrame) -> DataFrame:
     """F-1: one snapshot row per event (unique ``ts`` → deterministic order)."""
-    e = F.col("event_id")
-    base = events.select(
-        "event_id", "ts", "user_id", "event_type",
-        F.round(F.col("value") * 100).cast("long").alias("v"))
-    v = F.col("v")
-    close = (F.pmod(v, F.lit(400)) + 1000).cast("double")
-    final = (F.pmod(v * 3, F.lit(400)) + 1000).cast("double")
-    opn = F.when(F.pmod(e, F.lit(50)) == 0, F.lit(0.0)).otherwise(
-        (F.pmod(v * 7, F.lit(400)) + 1000).cast("double"))
-    stage = base.select(
-        F.concat(F.lit("S"), F.col("user_id").cast("string")).alias("ticker"),
-        F.when(F.col("event_type") == "error", F.lit(BLOCK_TRADE))
-         .otherwise(F.lit(NORMAL_TRADE)).alias("trade_type"),
-        F.when(F.pmod(e, F.lit(10)) == 0, F.lit(ETF_MARKET))
-         .when(F.pmod(e, F.lit(10)) == 1, F.lit(BASE_MARKET))
-         .when(F.pmod(e, F.lit(10)) == 2, F.lit(None).cast("string"))
-         .otherwise(F.lit("main")).alias("market"),
-        F.date_format("ts", "HH:mm:ss").alias("time"),
-        F.col("ts").cast("timestamp_ntz").alias("download"),
-        opn.alias("open"), close.alias("close"), final.alias("final"),
-        F.when(F.pmod(e, F.lit(2)) == 0, close).otherwise(F.lit(1400.0)).alias("day_ul"),
-        F.lit(900.0).alias("day_ll"),
-        (F.lit(100000) + F.pmod(e * 7919, F.lit(4000000))).cast("double").alias("vol_buy_r"),
-        (F.lit(100000) + F.pmod(e * 104729, F.lit(4000000))).cast("double").alias("vol_sell_r"),
-        F.pmod(e * 15485863, F.lit(500000)).cast("double").alias("vol_buy_i"),
-        F.pmod(e * 32452843, F.lit(500000)).cast("double").alias("vol_sell_i"),
-        F.pmod(e * 31, F.lit(17)).cast("double").alias("no_buy_r"),
-        F.pmod(e * 37, F.lit(19)).cast("double").alias("no_sell_r"),
-        ((F.pmod(e, F.lit(7)) - 1) * 100).cast("int").alias("eps"),
+    stage = events.selectExpr(
+        "event_id AS e", "ts", "user_id", "event_type",
+        "CAST(round(value * 100) AS BIGINT) AS v",
+    ).selectExpr(
+        "concat('S', CAST(user_id AS STRING)) AS ticker",
+        f"CASE WHEN event_type = 'error' THEN '{BLOCK_TRADE}' ELSE '{NORMAL_TRADE}' END AS trade_type",
+        f"CASE pmod(e, 10) WHEN 0 THEN '{ETF_MARKET}' WHEN 1 THEN '{BASE_MARKET}' "
+        "WHEN 2 THEN CAST(NULL AS STRING) ELSE 'main' END AS market",
+        "date_format(ts, 'HH:mm:ss') AS time",
+        "CAST(ts AS TIMESTAMP_NTZ) AS download",
+        "CASE WHEN pmod(e, 50) = 0 THEN 0D ELSE CAST(1000 + pmod(v * 7, 400) AS DOUBLE) END AS open",
+        "CAST(1000 + pmod(v, 400) AS DOUBLE) AS close",
+        "CAST(1000 + pmod(v * 3, 400) AS DOUBLE) AS final",
+        "CASE WHEN pmod(e, 2) = 0 THEN CAST(1000 + pmod(v, 400) AS DOUBLE) ELSE 1400D END AS day_ul",
+        "900D AS day_ll",
+        "CAST(100000 + pmod(e * 7919, 4000000) AS DOUBLE) AS vol_buy_r",
+        "CAST(100000 + pmod(e * 104729, 4000000) AS DOUBLE) AS vol_sell_r",
+        "CAST(pmod(e * 15485863, 500000) AS DOUBLE) AS vol_buy_i",
+        "CAST(pmod(e * 32452843, 500000) AS DOUBLE) AS vol_sell_i",
+        "CAST(pmod(e * 31, 17) AS DOUBLE) AS no_buy_r",
+        "CAST(pmod(e * 37, 19) AS DOUBLE) AS no_sell_r",
+        "CAST((pmod(e, 7) - 1) * 100 AS INT) AS eps",
     )
-    o, c, f = F.col("open"), F.col("close"), F.col("final")
-    return stage.select(
-        "ticker", "trade_type", "market", "time", "download",
-        "open",
-        (F.greatest(o, c, f) + 5).alias("high"),
-        (F.least(F.when(o == 0, c).otherwise(o), c, f) - 5).alias("low"),
+    return stage.selectExpr(
+        "ticker", "trade_type", "market", "time", "download", "open",
+        "greatest(open, close, final) + 5 AS high",
+        "least(CASE WHEN open = 0 THEN close ELSE open END, close, final) - 5 AS low",
         "close", "final", "day_ul", "day_ll",
-        safe_div((c - o) * 100.0, o).cast("float").alias("close_percent"),
-        safe_div((f - o) * 100.0, o).cast("float").alias("final_percent"),
-        (F.col("vol_buy_r") + F.col("vol_buy_i")).cast("long").alias("volume"),
-        "vol_buy_r", "vol_sell_r", "vol_buy_i", "vol_sell_i",
-        "no_buy_r", "no_sell_r", "eps",
+        "CAST((close - open) * 100D / nullif(open, 0) AS FLOAT) AS close_percent",
+        "CAST((final - open) * 100D / nullif(open, 0) AS FLOAT) AS final_percent",
+        "CAST(vol_buy_r + vol_buy_i AS BIGINT) AS volume",
+        "vol_buy_r", "vol_sell_r", "vol_buy_i", "vol_sell_i", "no_buy_r", "no_sell_r", "eps",
     )
 
 
@@ -130,4 +120,4 @@ def order_dates_jalali(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-4 input: every order with its date as Jalali text."""
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", F.to_date("o_orderdate").alias("o_orderdate"))
-    return o.withColumn("j", date_to_jalali("o_orderdate"))
+    return with_jalali_fields(o, "o_orderdate")

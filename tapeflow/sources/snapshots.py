@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeflow import schemas
-from tapeflow.functions.calendar import normalise_time, parse_download
+from tapeflow.functions.calendar import normalise_time, with_jalali_parsed
 from tapeflow.functions.metrics import clean_ticker
 
 
@@ -43,6 +43,10 @@ def typed_snapshot(raw: DataFrame) -> DataFrame:
     impossible Jalali date gives NULL) or as a Gregorian timestamp.
     ``time`` is left-padded to ``HH:mm:ss`` (C7).
     """
+    jalali_download = ("download" in raw.columns
+                       and raw.schema["download"].dataType.simpleString() == "string")
+    if jalali_download:
+        raw = with_jalali_parsed(raw, "download", "download", kind="timestamp")
     cols = []
     for f in schemas.SNAPSHOT.fields:
         if f.name not in raw.columns:
@@ -50,9 +54,7 @@ def typed_snapshot(raw: DataFrame) -> DataFrame:
             continue
         c = F.col(f.name)
         src_type = raw.schema[f.name].dataType.simpleString()
-        if f.name == "download" and src_type == "string":
-            c = parse_download(c)
-        elif f.name == "time" and src_type == "string":
+        if f.name == "time" and src_type == "string":
             c = normalise_time(c)
         elif f.name == "ticker":
             c = c.cast("string")
