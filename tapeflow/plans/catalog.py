@@ -18,7 +18,8 @@ from tapeflow.operators import universe as U
 from tapeflow.operators.candles import indicator_candles
 from tapeflow.operators.flows import daily_series, index_flow, index_flows, to_intraday_flow
 from tapeflow.operators.screens import divergence_history, persistence, screen
-from tapeflow.operators.windows import latest_sessions, with_average_volume
+from tapeflow.operators.windows import latest_sessions, sessions, with_average_volume
+from tapeflow.plans import jobs as J
 from tapeflow.plans import reports as R
 from tapeflow.plans.screens import SPECS
 from tapeflow.schemas import DAILY_KEYS, INTRADAY_FLOW_V1
@@ -165,8 +166,26 @@ def q_large_flow(spark, d):
     return index_flow(_hourly_universe(spark, d), "large", exclude=block, only=basket)
 
 
+def q_daily_load(spark, d):
+    """I1 replayed over every capture: the daily table the job builds."""
+    return J.daily_load(_snap(spark, d))
+
+
+def q_intraday_load(spark, d):
+    return J.intraday_load(_snap(spark, d))
+
+
+def q_market_load(spark, d):
+    block, basket = FX.ticker_lists(spark, d)
+    return J.market_load(FX.hourly_snapshots(spark, d), block, basket)
+
+
 # --- candles, windows, persistence ----------------------------------------------
 
+def q_sessions(spark, d):
+    return sessions(_intraday(spark, d))
+
+
 def _candles(value: str) -> Query:
     def q(spark, d):
         return indicator_candles(_intraday(spark, d), value)
@@ -309,6 +328,30 @@ def q_stream_candles(spark, d):
     return out.filter(F.col("open").isNotNull())
 
 
+def _hourly(snapshot: DataFrame) -> DataFrame:
+    """F-3 shaping of a capture batch: latest row per (ticker, hour)."""
+    from tapeflow.operators.windows import latest_per_key
+    snap = snapshot.withColumn("hour", F.date_trunc("hour", "download").cast("timestamp_ntz"))
+    last = latest_per_key(snap, ["ticker", "hour"], "download", 1)
+    return last.withColumn("download", F.col("hour")).drop("hour")
+
+
+def q_stream_market_flow(spark, d):
+    block, basket = FX.ticker_lists(spark, d)
+    stream = FX.snapshot_from_events(_event_stream(spark, d))
+    return ST.run_to_table(spark, stream, "stream_market_flow",
+                           foreach=ST.market_flow_batch(block, basket, prepare=_hourly))
+
+
+def q_stream_screen(spark, d):
+    """Q3 on a capture stream, confirmed against the static daily table."""
+    spec = SPECS["smart_money_off_limit"]
+    stream = FX.snapshot_from_events(_event_stream(spark, d))
+    out = ST.run_to_table(spark, stream, "stream_screen",
+                          foreach=ST.screen_batch(spec, daily=_daily(spark, d)))
+    return out.drop("batch_id")
+
+
 QUERIES: dict[str, Query] = {
     "buy_power": q_buy_power,
     "per_capita": q_per_capita,
@@ -350,4 +393,10 @@ QUERIES: dict[str, Query] = {
     "schema_evolution": q_schema_evolution,
     "stream_candles": q_stream_candles,
     "stream_dedup": q_stream_dedup,
+    "daily_load": q_daily_load,
+    "intraday_load": q_intraday_load,
+    "market_load": q_market_load,
+    "sessions": q_sessions,
+    "stream_market_flow": q_stream_market_flow,
+    "stream_screen": q_stream_screen,
 }

@@ -394,3 +394,14 @@ ORACLE["calendar_gaps"] = with_(LONG, """span AS (SELECT ticker, min(date) AS lo
         "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate",
         "SELECT ticker AS o_orderkey, date AS o_orderdate")) + """
 SELECT o_orderkey AS ticker, o_orderdate AS date, j_year, j_month, j_day FROM jal"""
+
+FSNAP = f"fsnap AS (SELECT * FROM snap WHERE {F1} AND {F3} AND NOT coalesce(open = 0, false))"
+ORACLE["daily_load"] = with_(SNAP, FSNAP, daily_cte("dl", "fsnap")) + "\nSELECT * FROM dl"
+ORACLE["intraday_load"] = (with_(SNAP, f"isnap AS (SELECT * FROM snap WHERE {F1} AND {F3})",
+                                 INTRADAY.replace("FROM snap)", "FROM isnap)"))
+                           + "\nSELECT * FROM intraday")
+ORACLE["market_load"] = with_(SNAP, HOURLY, INDEX) + "\nSELECT * FROM idx"
+ORACLE["sessions"] = with_(SNAP, INTRADAY) + \
+    '\nSELECT DISTINCT ticker, CAST("timestamp" AS DATE) AS date FROM intraday'
+ORACLE["stream_market_flow"] = ORACLE["market_load"]
+ORACLE["stream_screen"] = ORACLE["smart_money_off_limit"]

@@ -46,10 +46,30 @@ def streaming_candles(intraday: DataFrame, value: str, delay: str = "1 day") ->
                     "high", "low", "open", "close")
 
 
-def market_flow_batch(block_list: DataFrame, basket: DataFrame) -> Callable[[DataFrame, int], DataFrame]:
-    """The batch A1/A2 applied to each micro-batch of whole captures."""
+def market_flow_batch(block_list: DataFrame, basket: DataFrame,
+                      prepare: Callable[[DataFrame], DataFrame] | None = None
+                      ) -> Callable[[DataFrame, int], DataFrame]:
+    """The batch A1/A2 applied to each micro-batch of whole captures
+    (``prepare`` shapes the raw batch into cross-sections first)."""
     def run(snapshot: DataFrame, _epoch: int) -> DataFrame:
-        return index_flows(in_session(tradable(snapshot)), block_list, basket)
+        snap = prepare(snapshot) if prepare is not None else snapshot
+        return index_flows(in_session(tradable(snap)), block_list, basket)
+    return run
+
+
+def screen_batch(spec, daily: DataFrame | None = None, intraday: DataFrame | None = None
+                 ) -> Callable[[DataFrame, int], DataFrame]:
+    """T4: run a screen on each micro-batch of captures against static
+    history (stream–static join on ``ticker``); the batch's latest capture
+    per ticker is its current snapshot; survivors are ranked (O1) inside
+    the batch."""
+    from tapeflow.operators.screens import screen
+    from tapeflow.operators.windows import latest_per_key
+
+    def run(batch: DataFrame, epoch: int) -> DataFrame:
+        current = latest_per_key(batch, ["ticker"], "download", 1)
+        out = screen(current, spec, daily=daily, intraday=intraday)
+        return out.withColumn("batch_id", F.lit(epoch).cast("long"))
     return run
 
 
