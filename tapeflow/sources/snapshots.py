@@ -32,7 +32,8 @@ def normalise_snapshot(df: DataFrame, index_name: str | None = None) -> DataFram
     """
     names = [normalise_name(c) for c in df.columns]
     if index_name is not None:
-        names = ["ticker" if c == index_name else n for c, n in zip(df.columns, names)]
+        key = normalise_name(index_name)
+        names = ["ticker" if n == key else n for n in names]
     return df.toDF(*names)
 
 
