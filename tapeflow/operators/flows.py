@@ -121,13 +121,12 @@ def index_flow(snapshot: DataFrame, universe: str = "market",
 def index_flows(snapshot: DataFrame, block_list: DataFrame, basket: DataFrame) -> DataFrame:
     """A1 and A2 in one pass: each row is tagged with the universes it
     belongs to ("market" unless blocked; also "large" if in the basket and
-    not blocked), then one aggregation keyed by (universe, capture).  The
-    flag table has one row per listed ticker; it is broadcast by size
-    (planner estimate or AQE's runtime measurement), never by a blind hint."""
-    flags = (block_list.select("ticker").distinct().withColumn("_blocked", F.lit(True))
-             .join(basket.select("ticker").distinct().withColumn("_large", F.lit(True)),
-                   "ticker", "full"))
-    tagged = snapshot.join(flags, "ticker", "left")
+    not blocked), then one aggregation keyed by (universe, capture).  Each
+    list has one row per ticker; it is broadcast by size (planner estimate
+    or AQE's runtime measurement), never by a blind hint."""
+    blocked = block_list.select("ticker").distinct().withColumn("_blocked", F.lit(True))
+    large = basket.select("ticker").distinct().withColumn("_large", F.lit(True))
+    tagged = snapshot.join(blocked, "ticker", "left").join(large, "ticker", "left")
     universes = F.filter(
         F.array(F.when(F.col("_blocked").isNull(), F.lit("market")),
                 F.when(F.col("_blocked").isNull() & F.col("_large").isNotNull(), F.lit("large"))),

@@ -38,8 +38,8 @@ _INPUTS: dict[tuple, DataFrame] = {}
 
 def _memo(build: Callable[[SparkSession, str], DataFrame]):
     def get(spark: SparkSession, d: str) -> DataFrame:
-        key = (build.__name__, id(spark._jsparkSession), d)
-        if key not in _INPUTS:
+        key = (build.__name__, spark, d)
+        if key not in _INPUTS or spark.sparkContext._jsc is None:
             _INPUTS[key] = build(spark, d)
         return _INPUTS[key]
     get.__name__ = build.__name__

@@ -57,40 +57,63 @@ def dedupe_batch(new: DataFrame, keys: Sequence[str], order_col: str) -> DataFra
     return latest_per_key(new, list(keys), order_col, 1)
 
 
+def touched_partitions(new: DataFrame, existing: DataFrame,
+                       partition_by: Sequence[str]) -> DataFrame:
+    """The stored rows that share a partition with the batch.
+
+    The batch's distinct partition values are few (a batch spans a handful
+    of days or years), so they are fetched and applied as a literal filter:
+    the scan then lists and reads only those partition folders (static
+    partition pruning) instead of the whole table.
+    """
+    if not partition_by:
+        return existing
+    values = new.select(*partition_by).distinct().collect()
+    if not values:
+        return existing.limit(0)
+    cond = None
+    for row in values:
+        term = None
+        for c in partition_by:
+            eq = F.col(c).eqNullSafe(F.lit(row[c]))
+            term = eq if term is None else term & eq
+        cond = term if cond is None else cond | term
+    return existing.filter(cond)
+
+
 def write_unique(spark: SparkSession, new: DataFrame, path: str, keys: Sequence[str],
                  on_conflict: str = "error", partition_by: Sequence[str] = ()) -> DataFrame:
     """Append ``new`` to the parquet table at ``path`` under the key rule.
 
-    ``error``/``skip`` only ever append files.  ``replace`` rewrites the
-    touched partitions (dynamic partition overwrite) from a checkpointed
-    result, never from a lineage that still reads them.
+    Only the partitions the batch touches are read.  ``error``/``skip``
+    only ever append files; the conflict test scans the stored keys and
+    probes the (small) batch.  ``replace`` rewrites the touched partitions
+    (dynamic partition overwrite) from a checkpointed result, never from a
+    lineage that still reads them.
     """
+    if on_conflict not in CONFLICT_MODES:
+        raise ValueError(f"on_conflict must be one of {CONFLICT_MODES}")
     keys = list(keys)
+    partition_by = list(partition_by)
     try:
         existing = spark.read.parquet(path)
     except Exception:  # noqa: BLE001 - first write creates the table
         existing = None
-    writer_opts = {"partitionOverwriteMode": "dynamic"}
     if existing is None:
         new.write.mode("append").partitionBy(*partition_by).parquet(path)
         return spark.read.parquet(path)
+    scope = touched_partitions(new, existing, partition_by)
+    stored_keys = scope.select(*keys)
     if on_conflict == "error":
-        if not new.join(existing.select(*keys), keys, "left_semi").isEmpty():
+        if not stored_keys.join(new.select(*keys), keys, "left_semi").isEmpty():
             raise DuplicateKeyError(f"keys {keys} already stored at {path}")
         new.write.mode("append").partitionBy(*partition_by).parquet(path)
     elif on_conflict == "skip":
-        (new.join(existing.select(*keys), keys, "left_anti")
+        (new.join(stored_keys, keys, "left_anti")
             .write.mode("append").partitionBy(*partition_by).parquet(path))
-    elif on_conflict == "replace":
+    else:
         checkpoint_root(spark)
-        if partition_by:
-            touched = new.select(*partition_by).distinct()
-            scope = existing.join(touched, list(partition_by), "left_semi")
-        else:
-            scope = existing
         result = append_unique(new, scope, keys, "replace").checkpoint(eager=True)
-        (result.write.mode("overwrite").options(**writer_opts)
+        (result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                .partitionBy(*partition_by).parquet(path))
-    else:
-        raise ValueError(f"on_conflict must be one of {CONFLICT_MODES}")
     return spark.read.parquet(path)

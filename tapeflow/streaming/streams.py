@@ -20,6 +20,7 @@ from tapeflow.operators.universe import in_session, tradable
 from tapeflow.session import scratch_path
 
 EVENT_TIME = "event_time"
+EPOCH_COL = "micro_batch"
 
 
 def with_event_time(df: DataFrame, ts: str = "timestamp") -> DataFrame:
@@ -88,7 +89,9 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str,
         q = writer.outputMode(output_mode).format("parquet").option("path", out).start()
     else:
         def sink(batch: DataFrame, epoch: int) -> None:
-            foreach(batch, epoch).write.mode("append").parquet(out)
+            # One folder per micro-batch, overwritten on a retry of the same
+            # epoch: a re-run batch replaces its output instead of adding to it.
+            foreach(batch, epoch).write.mode("overwrite").parquet(f"{out}/{EPOCH_COL}={epoch}")
         q = writer.outputMode(output_mode).foreachBatch(sink).start()
     q.awaitTermination(timeout_s)
     if q.isActive:
@@ -96,7 +99,8 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str,
         raise TimeoutError(f"streaming query {name} did not finish in {timeout_s}s")
     if q.exception() is not None:
         raise q.exception()
-    return spark.read.parquet(out)
+    result = spark.read.parquet(out)
+    return result.drop(EPOCH_COL) if foreach is not None else result
 
 
 def read_capture_stream(spark: SparkSession, path: str, schema: T.StructType,
