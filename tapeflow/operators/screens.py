@@ -28,7 +28,7 @@ class ScreenSpec:
     min_sell: float
     max_sell: float | None = None
     locked_by: str = "low"          # F10: "low" or "open" must be < day_ul
-    at_limit: bool = False          # F9: close = day_ul (True) or != (False)
+    at_limit: bool | None = False   # F9: close = day_ul (True), != (False), no test (None)
     drop_base: bool = False         # F2: also drop the base market
     confirm: str | None = None      # None, "persistence" or "divergence"
     sessions: int = 5               # persistence window (latest n sessions)
@@ -86,7 +86,8 @@ def snapshot_stage(snapshot: DataFrame, spec: ScreenSpec) -> DataFrame:
     df = U.tradable(snapshot, drop_base=spec.drop_base)
     df = U.flow_filter(df, spec.min_pow, spec.min_buy, spec.min_sell, spec.max_sell)
     df = U.not_locked(df, spec.locked_by)
-    df = U.limit_state(df, spec.at_limit)
+    if spec.at_limit is not None:
+        df = U.limit_state(df, spec.at_limit)
     return df.select(
         M.clean_ticker("ticker").alias("ticker"),
         M.buy_power().alias("buy_power"),

@@ -87,13 +87,6 @@ def only_tickers(df: DataFrame, tickers: DataFrame) -> DataFrame:
     return keep_keys(df, tickers, "ticker")
 
 
-def with_flow_metrics(df: DataFrame) -> DataFrame:
-    """Raw (unrounded) M1–M3 next to the snapshot columns."""
-    return df.select("*", M.buy_power().alias("buy_power"),
-                     M.buy_per_capita().alias("buy_per_capita"),
-                     M.sell_per_capita().alias("sell_per_capita"))
-
-
 def flow_filter(df: DataFrame, min_pow: float, min_buy: float, min_sell: float,
                 max_sell: float | None = None) -> DataFrame:
     """F8: buy power ≥ ``min_pow``, buy per capita > ``min_buy``,

@@ -51,12 +51,6 @@ def append_unique(new: DataFrame, existing: DataFrame, keys: Sequence[str],
     return union_evolved(existing.join(new.select(*keys), keys, "left_anti"), new)
 
 
-def dedupe_batch(new: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
-    """Keep one row per key inside a batch (the latest by ``order_col``)."""
-    from tapeflow.operators.windows import latest_per_key
-    return latest_per_key(new, list(keys), order_col, 1)
-
-
 def touched_partitions(new: DataFrame, existing: DataFrame,
                        partition_by: Sequence[str]) -> DataFrame:
     """The stored rows that share a partition with the batch.
