@@ -22,6 +22,30 @@ from tapeflow.operators.windows import latest_per_key
 CANDLE_FIELDS = ("high", "low", "open", "close")
 
 
+def _session(flow: DataFrame, ts: str) -> Column:
+    """The session date of a row: the stored ``date`` partition column when
+    the table has one (so joins on it can prune partitions), else the date
+    of the capture time."""
+    return F.col("date") if "date" in flow.columns else F.to_date(ts)
+
+
+def latest_days(flow: DataFrame, n: int, keys: Sequence[str] = ("ticker",),
+                ts: str = "timestamp") -> DataFrame:
+    """Rows of each key's latest ``n`` session dates (dates counted over all
+    rows, also days whose values are all NULL).
+
+    The dates are picked first from the small distinct (key, date) set
+    (partial aggregation, then a ``WindowGroupLimit`` top-n); the rows are
+    then semi-joined on (key…, date).  An aggregation after it touches only
+    those days, and on a table partitioned by ``date`` the join can prune
+    the other partitions at run time.
+    """
+    dated = flow.withColumn("_day", _session(flow, ts))
+    days = dated.select(*keys, "_day").distinct()
+    keep = latest_per_key(days, list(keys), "_day", n)
+    return dated.join(keep, [*keys, "_day"], "left_semi").drop("_day")
+
+
 def _candle_aggs(value: Column, ts: Column, prefix: str) -> list[Column]:
     ts_nn = F.when(value.isNotNull(), ts)
     return [F.max(value).alias(f"{prefix}high"), F.min(value).alias(f"{prefix}low"),
@@ -35,7 +59,7 @@ def candles_multi(flow: DataFrame, values: Mapping[str, str | Column],
     indicator.  Days with no non-null value keep NULL open/close here."""
     t = F.col(ts)
     aggs = [a for name, v in values.items() for a in _candle_aggs(as_col(v), t, f"{name}_")]
-    return flow.groupBy(*keys, F.to_date(t).alias("date")).agg(*aggs)
+    return flow.groupBy(*keys, _session(flow, ts).alias("date")).agg(*aggs)
 
 
 def indicator_candles(flow: DataFrame, value: str, keys: Sequence[str] = ("ticker",),
@@ -44,11 +68,11 @@ def indicator_candles(flow: DataFrame, value: str, keys: Sequence[str] = ("ticke
     value are dropped.  ``latest`` keeps the latest n dates per key counted
     over *all* days (a day with only NULLs uses up a slot), as the
     reference's three separately limited sets intersect to."""
+    if latest is not None:
+        flow = latest_days(flow, latest, keys, ts)
     t = F.col(ts)
-    c = flow.groupBy(*keys, F.to_date(t).alias("date")).agg(
+    c = flow.groupBy(*keys, _session(flow, ts).alias("date")).agg(
         *_candle_aggs(F.col(value), t, ""))
-    if latest is not None:
-        c = latest_per_key(c, list(keys), "date", latest)
     return c.filter(F.col("open").isNotNull())
 
 
@@ -57,9 +81,9 @@ def stacked_candles(flow: DataFrame, values: Sequence[str], keys: Sequence[str]
     """Candles of several indicators from one aggregation, in long form:
     ``(key…, indicator, date, high, low, open, close)``, values as double
     (indicators of different types share the columns)."""
-    wide = candles_multi(flow, {v: v for v in values}, keys, ts)
     if latest is not None:
-        wide = latest_per_key(wide, list(keys), "date", latest)
+        flow = latest_days(flow, latest, keys, ts)
+    wide = candles_multi(flow, {v: v for v in values}, keys, ts)
     per = F.array(*[F.struct(F.lit(v).alias("indicator"),
                              *[F.col(f"{v}_{f}").cast("double").alias(f) for f in CANDLE_FIELDS])
                     for v in values])

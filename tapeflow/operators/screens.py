@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tapeflow.functions import metrics as M
 from tapeflow.operators import universe as U
 from tapeflow.operators.candles import candles_multi
-from tapeflow.operators.windows import latest_sessions
+from tapeflow.operators.windows import last_session, latest_sessions
 
 
 @dataclass(frozen=True)
@@ -76,9 +76,9 @@ def divergence_history(intraday: DataFrame) -> DataFrame:
 
 def latest_divergence(intraday: DataFrame) -> DataFrame:
     """D1 on each ticker's latest session (latest date over *all* its rows;
-    a latest day without values fails)."""
-    c = latest_sessions(flow_candles(intraday), 1)
-    return c.filter(divergence_predicate())
+    a latest day without values fails).  Only the rows of that day are
+    aggregated (J4 first, then the candles)."""
+    return flow_candles(last_session(intraday)).filter(divergence_predicate())
 
 
 def snapshot_stage(snapshot: DataFrame, spec: ScreenSpec) -> DataFrame:

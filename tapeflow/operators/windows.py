@@ -68,7 +68,8 @@ def last_session(flow: DataFrame, keys: Sequence[str] = ("ticker",),
     then matched on ``(key…, date)``, so the shuffle spreads a hot key over
     its dates instead of sending it to one task.
     """
-    dated = flow.withColumn("_d", F.to_date(ts))
+    day = F.col("date") if "date" in flow.columns else F.to_date(ts)
+    dated = flow.withColumn("_d", day)
     latest = dated.groupBy(*keys).agg(F.max("_d").alias("_d"))
     return dated.join(latest, [*keys, "_d"], "left_semi").drop("_d")
 
