@@ -26,6 +26,7 @@ from tapeflow.operators.universe import (
 from tapeflow.operators.windows import latest_per_key, with_average_volume
 from tapeflow.schemas import DAILY_KEYS, INDEX_KEYS, INTRADAY_KEYS
 from tapeflow.sources.sinks import write_unique
+from tapeflow.sources.snapshots import quarantine
 from tapeflow.operators.flows import DAILY_ORDER
 
 
@@ -60,10 +61,16 @@ def run_ingest(spark: SparkSession, snapshot: DataFrame, root: str, on_conflict:
                block_list: DataFrame | None = None, basket: DataFrame | None = None,
                daily: bool = True) -> dict[str, DataFrame]:
     """Run I1 (when ``daily``), I2 and I3 for a batch of captures and append
-    them to the tables under ``root``.  Returns the tables as read back."""
+    them to the tables under ``root``.  Captures without a usable key (NULL
+    ticker or capture time, e.g. an impossible Jalali date) go to
+    ``quarantine/`` instead.  Returns the tables as read back."""
     block_list = block_list if block_list is not None else default_block_list(spark)
     basket = basket if basket is not None else large_cap_basket(spark)
     out: dict[str, DataFrame] = {}
+    snapshot, rejected = quarantine(snapshot)
+    qpath = os.path.join(root, "quarantine")
+    rejected.write.mode("append").parquet(qpath)
+    out["quarantine"] = spark.read.parquet(qpath)
     if daily:
         path = os.path.join(root, "daily")
         history = _existing(spark, path)

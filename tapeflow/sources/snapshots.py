@@ -59,7 +59,10 @@ def typed_snapshot(raw: DataFrame) -> DataFrame:
             c = normalise_time(c)
         elif f.name == "ticker":
             c = c.cast("string")
-        cols.append(c.cast(f.dataType).alias(f.name))
+        # Text from landed files: an unparsable value becomes NULL instead of
+        # failing the whole job (ANSI casts raise).
+        c = c.try_cast(f.dataType) if src_type == "string" else c.cast(f.dataType)
+        cols.append(c.alias(f.name))
     return raw.select(*cols)
 
 

@@ -22,19 +22,28 @@ def test_read_landed_csv_with_jalali_download(spark):
              " فولاد,عادی,بورس,9:5:3,1402-01-01 09:05:07,100,110,90,105,104,110,90,"
              "5,4,1000,600,500,400,500,3,5,10",
              "خودرو,عادی,بورس,10:00:00,1400-12-30 10:00:00,100,110,90,105,104,110,90,"
+             "5,4,1000,600,500,400,500,3,5,10",
+             "شستا,عادی,بورس,10:00:00,1402-01-05 10:00:00,n/a,110,90,105,104,110,90,"
              "5,4,1000,600,500,400,500,3,5,10"]
     spark.sparkContext.parallelize(lines, 1).saveAsTextFile(path)
     snap = read_snapshots(spark, path, fmt="csv", index_name="symbol", header=True)
     assert snap.schema == SNAPSHOT
     ok, bad = quarantine(snap)
-    good = ok.withColumn("ticker", M.clean_ticker("ticker")).first()
+    good = ok.withColumn("ticker", M.clean_ticker("ticker")).filter("ticker = 'فولاد'").first()
     assert good.ticker == "فولاد" and good.time == "09:05:03"
     assert good.download == dt.datetime(2023, 3, 21, 9, 5, 7)
     assert bad.count() == 1          # 1400-12-30 does not exist
+    junk = ok.filter("ticker = 'شستا'").first()
+    assert junk.open is None and junk.high == 110.0   # unparsable text → NULL, not a failure
 
     out = scratch_path(spark, "snap-store")
     write_snapshot(ok, out)
-    assert spark.read.parquet(out).count() == 1
+    assert spark.read.parquet(out).count() == 2
+
+    from tapeflow.plans.jobs import run_ingest
+    tables = run_ingest(spark, snap, scratch_path(spark, "ingest-csv"))
+    assert tables["quarantine"].count() == 1
+    assert tables["intraday"].count() == 2
 
 
 def test_read_flow_fills_missing_columns(spark):
