@@ -322,6 +322,15 @@ def q_stream_dedup(spark, d):
     return ST.run_to_table(spark, stream, "stream_dedup").drop(ST.EVENT_TIME)
 
 
+def q_stream_candles_live(spark, d):
+    """T2 in update mode: the running day is emitted too, so after all input
+    the live table holds every day's candle."""
+    flow = to_intraday_flow(FX.snapshot_from_events(_event_stream(spark, d)))
+    out = ST.run_updates_to_table(spark, ST.streaming_candles(flow, "i_buy_pow"),
+                                  "stream_candles_live", ["ticker", "date"])
+    return out.filter(F.col("open").isNotNull())
+
+
 def q_stream_candles(spark, d):
     flow = to_intraday_flow(FX.snapshot_from_events(_event_stream(spark, d)))
     out = ST.run_to_table(spark, ST.streaming_candles(flow, "i_buy_pow"), "stream_candles")
@@ -399,4 +408,5 @@ QUERIES: dict[str, Query] = {
     "sessions": q_sessions,
     "stream_market_flow": q_stream_market_flow,
     "stream_screen": q_stream_screen,
+    "stream_candles_live": q_stream_candles_live,
 }

@@ -405,3 +405,4 @@ ORACLE["sessions"] = with_(SNAP, INTRADAY) + \
     '\nSELECT DISTINCT ticker, CAST("timestamp" AS DATE) AS date FROM intraday'
 ORACLE["stream_market_flow"] = ORACLE["market_load"]
 ORACLE["stream_screen"] = ORACLE["smart_money_off_limit"]
+ORACLE["stream_candles_live"] = ORACLE["candles_buy_power"]

@@ -77,7 +77,7 @@ def screen_batch(spec, daily: DataFrame | None = None, intraday: DataFrame | Non
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str,
                  output_mode: str = "append",
                  foreach: Callable[[DataFrame, int], DataFrame] | None = None,
-                 timeout_s: int = 600) -> DataFrame:
+                 timeout_s: int = 600, keep_epoch: bool = False) -> DataFrame:
     """Run a streaming query over all available input (``availableNow``)
     into a parquet table under the shared checkpoint folder; return the
     table as a batch DataFrame.  Progress is checkpointed, so a restarted
@@ -100,7 +100,20 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str,
     if q.exception() is not None:
         raise q.exception()
     result = spark.read.parquet(out)
-    return result.drop(EPOCH_COL) if foreach is not None else result
+    return result.drop(EPOCH_COL) if foreach is not None and not keep_epoch else result
+
+
+def run_updates_to_table(spark: SparkSession, stream: DataFrame, name: str,
+                         keys: list[str], timeout_s: int = 600) -> DataFrame:
+    """Run an update-mode aggregation (T2 "running day"): every micro-batch
+    writes the rows it changed into its own folder; the live table is the
+    latest version of each key (a per-key top-1, partial before the
+    shuffle)."""
+    from tapeflow.operators.windows import latest_per_key
+    out = run_to_table(spark, stream, name, output_mode="update",
+                       foreach=lambda batch, _epoch: batch, timeout_s=timeout_s,
+                       keep_epoch=True)
+    return latest_per_key(out, keys, EPOCH_COL, 1).drop(EPOCH_COL)
 
 
 def read_capture_stream(spark: SparkSession, path: str, schema: T.StructType,
