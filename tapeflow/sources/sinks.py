@@ -89,6 +89,9 @@ def write_unique(spark: SparkSession, new: DataFrame, path: str, keys: Sequence[
         raise ValueError(f"on_conflict must be one of {CONFLICT_MODES}")
     keys = list(keys)
     partition_by = list(partition_by)
+    # Cluster each output file by key (a task-local sort, no shuffle): row
+    # group min/max statistics then prune ticker filters on read.
+    new = new.sortWithinPartitions(*partition_by, *keys)
     try:
         existing = spark.read.parquet(path)
     except Exception:  # noqa: BLE001 - first write creates the table

@@ -95,9 +95,13 @@ def with_clean_ticker(df: DataFrame) -> DataFrame:
 
 
 def read_flow(spark: SparkSession, path: str, kind: str = "daily") -> DataFrame:
-    """Read a stored history table with its fixed schema."""
+    """Read a stored history table with its fixed (latest) schema.
+
+    The schema is given to the reader, so files written before an additive
+    evolution (S6) read the new columns as NULL without merging the footers
+    of every file.  Partition columns (``date``, ``j_year``) are kept, so
+    filters on them prune folders.
+    """
     schema = {"daily": schemas.DAILY_FLOW, "intraday": schemas.INTRADAY_FLOW,
               "index": schemas.INDEX_FLOW}[kind]
-    df = spark.read.option("mergeSchema", "true").parquet(path)
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None))
-                       .cast(f.dataType).alias(f.name) for f in schema.fields])
+    return spark.read.schema(schema).parquet(path)
