@@ -20,6 +20,12 @@ DEFAULT_CONF = {
     # No Python call-site capture on every Column call (one JVM round trip
     # each); plans are built much faster, error messages lose the line.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Streaming state (de-duplication keys, open candle windows) in RocksDB:
+    # off the JVM heap, spilled to local disk, checkpointed incrementally as
+    # changelogs — the in-heap default does not hold state at scale.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 
