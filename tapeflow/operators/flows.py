@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tapeflow.functions import metrics as M
 from tapeflow.operators.joins import drop_keys, keep_keys
-from tapeflow.operators.windows import trailing_volume_stats, with_average_volume
+from tapeflow.operators.windows import (
+    latest_per_key, trailing_volume_stats, with_average_volume)
 
 
 def daily_rows(snapshot: DataFrame) -> DataFrame:
@@ -63,7 +64,6 @@ def to_daily_flow(snapshot: DataFrame, history: DataFrame | None = None, n: int
 def daily_series(snapshots: DataFrame, n: int = 42) -> DataFrame:
     """Daily table built in one pass from many captures: the last capture of
     each (ticker, date) → M7, with W2 over the rebuilt series."""
-    from tapeflow.operators.windows import latest_per_key
     snap = snapshots.withColumn("_d", F.to_date("download"))
     last = latest_per_key(snap, ["ticker", "_d"], "download", 1).drop("_d")
     return with_average_volume(daily_rows(last), n).select(*DAILY_ORDER)

@@ -337,19 +337,12 @@ def q_stream_candles(spark, d):
     return out.filter(F.col("open").isNotNull())
 
 
-def _hourly(snapshot: DataFrame) -> DataFrame:
-    """F-3 shaping of a capture batch: latest row per (ticker, hour)."""
-    from tapeflow.operators.windows import latest_per_key
-    snap = snapshot.withColumn("hour", F.date_trunc("hour", "download").cast("timestamp_ntz"))
-    last = latest_per_key(snap, ["ticker", "hour"], "download", 1)
-    return last.withColumn("download", F.col("hour")).drop("hour")
-
-
 def q_stream_market_flow(spark, d):
     block, basket = FX.ticker_lists(spark, d)
     stream = FX.snapshot_from_events(_event_stream(spark, d))
     return ST.run_to_table(spark, stream, "stream_market_flow",
-                           foreach=ST.market_flow_batch(block, basket, prepare=_hourly))
+                           foreach=ST.market_flow_batch(block, basket,
+                                                        prepare=FX.hourly_cross_sections))
 
 
 def q_stream_screen(spark, d):

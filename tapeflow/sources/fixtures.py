@@ -72,15 +72,19 @@ def current_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_per_key(snapshots(spark, sf_dir), ["ticker"], "download", 1)
 
 
-def hourly_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-3: cross-sections per hour — latest row per (ticker, hour), with
-    ``download`` set to the hour."""
-    snap = snapshots(spark, sf_dir).withColumn(
-        "hour", F.date_trunc("hour", "download").cast("timestamp_ntz"))
+def hourly_cross_sections(snapshot: DataFrame) -> DataFrame:
+    """F-3 shaping: latest row per (ticker, hour), with ``download`` set to
+    the hour (one whole-market cross-section per hour)."""
+    snap = snapshot.withColumn("hour", F.date_trunc("hour", "download").cast("timestamp_ntz"))
     last = latest_per_key(snap, ["ticker", "hour"], "download", 1)
     return last.withColumn("download", F.col("hour")).drop("hour")
 
 
+def hourly_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-3 over all captures."""
+    return hourly_cross_sections(snapshots(spark, sf_dir))
+
+
 def ticker_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """F-3 lists: block list (user_id % 5 = 0) and large-cap basket (% 5 = 1)."""
     users = table(spark, sf_dir, "events").select("user_id").distinct()
