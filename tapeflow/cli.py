@@ -21,6 +21,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tapeflow.functions.calendar import with_jalali_fields
 from tapeflow.operators.joins import ticker_frame
 from tapeflow.operators.screens import screen
 from tapeflow.operators.windows import latest_per_key
@@ -47,7 +48,10 @@ def _tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 
 def _write(frames: dict[str, DataFrame], out: str) -> None:
+    """Write report frames; dated frames get Jalali labels for the chart axis."""
     for name, df in frames.items():
+        if "date" in df.columns and "j_year" not in df.columns:
+            df = with_jalali_fields(df, "date")
         df.write.mode("overwrite").parquet(os.path.join(out, name))
         print(f"wrote {name} → {os.path.join(out, name)}")
 

@@ -24,5 +24,7 @@ def test_cli_end_to_end(spark):
     assert main(["report", "market", "--root", root, "--out", f"{out}/market"]) == 0
     assert main(["report", "candidates", "--captures", captures, "--root", root,
                  "--out", f"{out}/cand"]) == 0
+    assert {"j_year", "j_month", "j_day"} <= set(
+        spark.read.parquet(f"{out}/stock/price_candles").columns)
     for sub in ("stock/buy_power_candles", "market/candles", "cand/price_candles"):
         assert os.path.isdir(os.path.join(out, sub).replace("file:", ""))
