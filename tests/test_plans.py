@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from tapeflow.plans import catalog as CAT
 from tapeflow.sources import fixtures as FX
 from tests.conftest import SF_SMALL
+from tapeflow.plans.explain import plan_text
 
 STREAMING = {"stream_candles", "stream_dedup"}
 
 
 def plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    return plan_text(df)
 
 
 @pytest.mark.parametrize("name", sorted(set(CAT.QUERIES) - STREAMING))

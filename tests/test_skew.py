@@ -7,6 +7,7 @@ import pandas as pd
 
 from tapeflow.operators.candles import indicator_candles
 from tapeflow.operators.windows import last_session
+from tapeflow.plans.explain import plan_text
 
 
 def hot_flow(spark):
@@ -43,7 +44,7 @@ def as_set(df):
 
 def plan(df):
     df.collect()
-    return df._jdf.queryExecution().executedPlan().toString()
+    return plan_text(df)
 
 
 def test_hot_key_candles_exact_and_pre_reduced(spark):
