@@ -65,6 +65,13 @@ def touched_partitions(new: DataFrame, existing: DataFrame,
     values = new.select(*partition_by).distinct().collect()
     if not values:
         return existing.limit(0)
+    if len(partition_by) == 1:
+        col = partition_by[0]
+        present = [r[col] for r in values if r[col] is not None]
+        cond = F.col(col).isin(present)
+        if len(present) < len(values):
+            cond = cond | F.col(col).isNull()
+        return existing.filter(cond)
     cond = None
     for row in values:
         term = None
