@@ -36,6 +36,12 @@ class ScreenSpec:
     strict_hits: bool = False       # hits > min_hits instead of ≥
     unlocked_history: bool = False  # A5: history rows also need low < up_level
 
+    def __post_init__(self):
+        if self.locked_by not in ("low", "open"):
+            raise ValueError(f"locked_by must be 'low' or 'open', not {self.locked_by!r}")
+        if self.confirm not in (None, "persistence", "divergence"):
+            raise ValueError(f"unknown confirmation {self.confirm!r}")
+
 
 def persistence_predicate(unlocked: bool = False) -> Column:
     pred = ((F.col("i_buy_pow") >= 1) & (F.col("i_buy_per_capita") > 15)
@@ -97,7 +103,15 @@ def snapshot_stage(snapshot: DataFrame, spec: ScreenSpec) -> DataFrame:
 
 def screen(snapshot: DataFrame, spec: ScreenSpec, daily: DataFrame | None = None,
            intraday: DataFrame | None = None, ordered: bool = True) -> DataFrame:
-    """Run one screen on the current snapshot (one row per ticker)."""
+    """Run one screen on the current snapshot (one row per ticker).
+
+    A persistence screen needs the ``daily`` table, a divergence screen the
+    ``intraday`` table.
+    """
+    if spec.confirm == "persistence" and daily is None:
+        raise ValueError(f"screen {spec.name} confirms on the daily table: pass daily=")
+    if spec.confirm == "divergence" and intraday is None:
+        raise ValueError(f"screen {spec.name} confirms on the intraday table: pass intraday=")
     first = snapshot_stage(snapshot, spec)
     out = first
     if spec.confirm == "persistence":

@@ -87,3 +87,11 @@ def test_persistence_counts_only_latest_five(spark):
     assert got == {"A": 5, "S": 2}
     assert {r["ticker"]: r["hits"] for r in rows(persistence(df, 5, unlocked=True))} == \
         {"A": 5, "S": 2}
+
+
+def test_spec_and_input_validation(spark):
+    import pytest
+    with pytest.raises(ValueError):
+        ScreenSpec("bad", 1, 1, 1, locked_by="close")
+    with pytest.raises(ValueError):
+        screen(FX.current_snapshot(spark, SF_SMALL), SPECS["smart_money_at_limit"])
