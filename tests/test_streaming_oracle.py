@@ -41,6 +41,7 @@ def _land(spark, df):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() == 29
+    assert E.entry(spark).schema == df.schema          # stable schema across calls
     assert set(E.queries()) == set(E.oracle_sql())
 
 
