@@ -154,8 +154,7 @@ idx AS ({index_select('market', MARKET_WHERE)}
   UNION ALL {index_select('large', LARGE_WHERE)})"""
 
 
-def candle_sql(src: str, value: str, keys: str = "ticker", prefix: str = "",
-               ts: str = '"timestamp"') -> str:
+def candle_sql(value: str, prefix: str = "", ts: str = '"timestamp"') -> str:
     """A3 select list for one indicator (first/last non-null by time)."""
     return f"""max({value}) AS {prefix}high, min({value}) AS {prefix}low,
          arg_min({value}, {ts}) FILTER (WHERE {value} IS NOT NULL) AS {prefix}open,
@@ -164,7 +163,7 @@ def candle_sql(src: str, value: str, keys: str = "ticker", prefix: str = "",
 
 def candles_cte(name: str, src: str, value: str, keys: str = "ticker",
                 latest: int | None = None) -> str:
-    body = f"""SELECT {keys}, CAST("timestamp" AS DATE) AS date, {candle_sql(src, value)}
+    body = f"""SELECT {keys}, CAST("timestamp" AS DATE) AS date, {candle_sql(value)}
                FROM {src} GROUP BY ALL"""
     if latest is not None:
         body = f"""SELECT * FROM ({body})
@@ -199,8 +198,8 @@ def persistence_cte(unlocked: bool) -> str:
 
 FLOW_CANDLES = f"""
 fc AS (SELECT ticker, CAST("timestamp" AS DATE) AS date,
-         {candle_sql('intraday', 'i_buy_per_capita', prefix='b_')},
-         {candle_sql('intraday', 'i_sell_per_capita', prefix='s_')}
+         {candle_sql('i_buy_per_capita', prefix='b_')},
+         {candle_sql('i_sell_per_capita', prefix='s_')}
        FROM intraday GROUP BY ALL)"""
 D1 = """b_close > 1.3*b_open AND s_open > 1.2*s_close
         AND b_close - b_open > 2*(b_high - b_close) AND s_open - s_close > 2*(s_close - s_low)"""
@@ -223,8 +222,8 @@ def screen_sql(stage_cte: str, confirm: str | None = None, unlocked: bool = Fals
 
 UNI_COLS = "ticker, download, trade_type, market, time, open"
 
-def stacked(keys: str, src: str, values: list[str], latest: int) -> str:
-    aggs = ",\n".join(candle_sql(src, v, prefix=f"{v}_") for v in values)
+def stacked(keys: str, src: str, values: list[str], latest: int) -> tuple[str, str]:
+    aggs = ",\n".join(candle_sql(v, prefix=f"{v}_") for v in values)
     w = f"""w AS (SELECT * FROM (SELECT {keys}, CAST("timestamp" AS DATE) AS date, {aggs}
                   FROM {src} GROUP BY ALL)
              QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY date DESC) <= {latest})"""
