@@ -46,7 +46,7 @@ def latest_days(flow: DataFrame, n: int, keys: Sequence[str] = ("ticker",),
     return dated.join(keep, [*keys, "_day"], "left_semi").drop("_day")
 
 
-def _candle_aggs(value: Column, ts: Column, prefix: str) -> list[Column]:
+def candle_aggs(value: Column, ts: Column, prefix: str) -> list[Column]:
     ts_nn = F.when(value.isNotNull(), ts)
     return [F.max(value).alias(f"{prefix}high"), F.min(value).alias(f"{prefix}low"),
             F.min_by(value, ts_nn).alias(f"{prefix}open"),
@@ -58,7 +58,7 @@ def candles_multi(flow: DataFrame, values: Mapping[str, str | Column],
     """A3 for several indicators in one pass; columns ``<name>_high`` … per
     indicator.  Days with no non-null value keep NULL open/close here."""
     t = F.col(ts)
-    aggs = [a for name, v in values.items() for a in _candle_aggs(as_col(v), t, f"{name}_")]
+    aggs = [a for name, v in values.items() for a in candle_aggs(as_col(v), t, f"{name}_")]
     return flow.groupBy(*keys, _session(flow, ts).alias("date")).agg(*aggs)
 
 
@@ -72,7 +72,7 @@ def indicator_candles(flow: DataFrame, value: str, keys: Sequence[str] = ("ticke
         flow = latest_days(flow, latest, keys, ts)
     t = F.col(ts)
     c = flow.groupBy(*keys, _session(flow, ts).alias("date")).agg(
-        *_candle_aggs(F.col(value), t, ""))
+        *candle_aggs(F.col(value), t, ""))
     return c.filter(F.col("open").isNotNull())
 
 

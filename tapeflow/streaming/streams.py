@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeflow.operators.candles import _candle_aggs
+from tapeflow.operators.candles import candle_aggs
 from tapeflow.operators.flows import index_flows, to_intraday_flow
 from tapeflow.operators.screens import screen
 from tapeflow.operators.universe import in_session, tradable
@@ -44,7 +44,7 @@ def streaming_candles(intraday: DataFrame, value: str, delay: str = "1 day") ->
     """
     df = with_event_time(intraday).withWatermark(EVENT_TIME, delay)
     g = df.groupBy("ticker", F.window(EVENT_TIME, "1 day").alias("w")).agg(
-        *_candle_aggs(F.col(value), F.col(EVENT_TIME), ""))
+        *candle_aggs(F.col(value), F.col(EVENT_TIME), ""))
     return g.select("ticker", F.to_date(F.col("w.start")).alias("date"),
                     "high", "low", "open", "close")
 
