@@ -126,3 +126,74 @@ def screen(snapshot: DataFrame, spec: ScreenSpec, daily: DataFrame | None = None
     if ordered:
         out = out.orderBy(F.col("buy_power").asc(), F.col("ticker").asc())
     return out
+
+
+def _stage_predicate(spec: ScreenSpec) -> Column:
+    """The first-stage test of one spec as a Column (DELETE-style universe,
+    WHERE-style thresholds): TRUE only where the row passes."""
+    markets = U.DROP_MARKETS + ((U.BASE_MARKET,) if spec.drop_base else ())
+    excluded = F.coalesce(F.col("trade_type").isin(*U.DROP_TRADE_TYPES)
+                          | F.col("market").isin(*markets), F.lit(False))
+    pred = (~excluded & (M.buy_power() >= spec.min_pow) & (M.buy_per_capita() > spec.min_buy)
+            & (M.sell_per_capita() > spec.min_sell) & (F.col(spec.locked_by) < F.col("day_ul")))
+    if spec.max_sell is not None:
+        pred = pred & (M.sell_per_capita() < spec.max_sell)
+    if spec.at_limit is not None:
+        pred = pred & ((F.col("close") == F.col("day_ul")) if spec.at_limit
+                       else (F.col("close") != F.col("day_ul")))
+    return F.coalesce(pred, F.lit(False))
+
+
+def run_screens(snapshot: DataFrame, specs, daily: DataFrame | None = None,
+                intraday: DataFrame | None = None) -> DataFrame:
+    """Several screens in one pass over the current snapshot.
+
+    Each row is tagged with the screens whose first stage it passes; the
+    history evidence is computed once for all of them (both persistence
+    counts in one aggregation, the latest-session divergence once) and
+    joined on ``ticker``.  Output: ``screen, ticker, buy_power,
+    buy_per_capita, sell_per_capita, hits`` (``hits`` for persistence
+    screens, else NULL), ordered by screen, buy power and ticker.
+    """
+    specs = list(specs)
+    tags = F.filter(F.array(*[F.when(_stage_predicate(s), F.lit(s.name)) for s in specs]),
+                    lambda x: x.isNotNull())
+    stage = snapshot.select(
+        M.clean_ticker("ticker").alias("ticker"), M.buy_power().alias("buy_power"),
+        M.buy_per_capita().alias("buy_per_capita"), M.sell_per_capita().alias("sell_per_capita"),
+        F.explode(tags).alias("screen"))
+    out = stage
+    persist = [s for s in specs if s.confirm == "persistence"]
+    if persist:
+        if daily is None:
+            raise ValueError("persistence screens need daily=")
+        hist = daily.join(stage.select("ticker").distinct(), "ticker", "left_semi")
+        for n in sorted({s.sessions for s in persist}):
+            last = latest_sessions(hist, n)
+            counts = last.groupBy("ticker").agg(
+                F.count(F.when(persistence_predicate(False), F.col("date"))).alias(f"_h4_{n}"),
+                F.count(F.when(persistence_predicate(True), F.col("date"))).alias(f"_h5_{n}"))
+            out = out.join(counts, "ticker", "left")
+    if any(s.confirm == "divergence" for s in specs):
+        if intraday is None:
+            raise ValueError("divergence screens need intraday=")
+        hist = intraday.join(stage.select("ticker").distinct(), "ticker", "left_semi")
+        div = latest_divergence(hist).select("ticker", F.lit(True).alias("_div"))
+        out = out.join(div, "ticker", "left")
+    keep, hits = None, F.lit(None).cast("long")
+    for s in specs:
+        is_s = F.col("screen") == s.name
+        if s.confirm == "persistence":
+            h = F.coalesce(F.col(f"_h{5 if s.unlocked_history else 4}_{s.sessions}"), F.lit(0))
+            ok = h > s.min_hits if s.strict_hits else h >= s.min_hits
+            hits = F.when(is_s, h).otherwise(hits)
+        elif s.confirm == "divergence":
+            ok = F.coalesce(F.col("_div"), F.lit(False))
+        else:
+            ok = F.lit(True)
+        term = is_s & ok
+        keep = term if keep is None else keep | term
+    return (out.filter(keep)
+               .select("screen", "ticker", "buy_power", "buy_per_capita", "sell_per_capita",
+                       hits.alias("hits"))
+               .orderBy("screen", "buy_power", "ticker"))

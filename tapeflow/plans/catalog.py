@@ -17,7 +17,7 @@ from tapeflow.functions.calendar import jalali_text, with_jalali_parsed
 from tapeflow.operators import universe as U
 from tapeflow.operators.candles import indicator_candles
 from tapeflow.operators.flows import daily_series, index_flow, index_flows, to_intraday_flow
-from tapeflow.operators.screens import divergence_history, persistence, screen
+from tapeflow.operators.screens import divergence_history, persistence, run_screens, screen
 from tapeflow.operators.windows import latest_sessions, sessions, with_average_volume
 from tapeflow.plans import jobs as J
 from tapeflow.plans import reports as R
@@ -216,6 +216,12 @@ def _screen(name: str) -> Query:
     return q
 
 
+def q_all_screens(spark, d):
+    """Q1–Q7 in one pass over the current snapshot."""
+    return run_screens(_current(spark, d), SPECS.values(), daily=_daily(spark, d),
+                       intraday=_intraday(spark, d))
+
+
 def q_divergence_history(spark, d):
     return divergence_history(_intraday(spark, d))
 
@@ -402,4 +408,5 @@ QUERIES: dict[str, Query] = {
     "stream_market_flow": q_stream_market_flow,
     "stream_screen": q_stream_screen,
     "stream_candles_live": q_stream_candles_live,
+    "all_screens": q_all_screens,
 }

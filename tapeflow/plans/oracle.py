@@ -405,3 +405,13 @@ ORACLE["sessions"] = with_(SNAP, INTRADAY) + \
 ORACLE["stream_market_flow"] = ORACLE["market_load"]
 ORACLE["stream_screen"] = ORACLE["smart_money_off_limit"]
 ORACLE["stream_candles_live"] = ORACLE["candles_buy_power"]
+
+# All seven screens in one result: each screen's own SQL, tagged and unioned.
+_PERSIST = ("smart_money_off_limit", "smart_money_at_limit", "candle_candidates")
+ORACLE["all_screens"] = "\nUNION ALL\n".join(
+    f"""SELECT '{name}' AS screen, ticker, buy_power, buy_per_capita, sell_per_capita,
+       {'hits' if name in _PERSIST else 'CAST(NULL AS BIGINT)'} AS hits
+FROM ({ORACLE[name]})"""
+    for name in ("volatile_limit_up", "smart_money_short", "smart_money_off_limit",
+                 "smart_money_at_limit", "divergence_at_limit", "divergence_off_limit",
+                 "candle_candidates"))

@@ -95,3 +95,19 @@ def test_spec_and_input_validation(spark):
         ScreenSpec("bad", 1, 1, 1, locked_by="close")
     with pytest.raises(ValueError):
         screen(FX.current_snapshot(spark, SF_SMALL), SPECS["smart_money_at_limit"])
+
+
+def test_run_screens_equals_separate_screens(spark):
+    from tapeflow.operators.screens import run_screens
+    d = "/root/testdata/sf0.01"
+    snap, daily, intraday = (FX.current_snapshot(spark, d), CAT.QUERIES["daily_flow"](spark, d),
+                             CAT.QUERIES["intraday_flow"](spark, d))
+    specs = list(SPECS.values()) + [dataclasses.replace(SPECS["smart_money_off_limit"],
+                                                        name="q3_three_sessions", sessions=3)]
+    together = run_screens(snap, specs, daily=daily, intraday=intraday)
+    got = {}
+    for r in together.collect():
+        got.setdefault(r.screen, []).append(r.ticker)
+    for spec in specs:
+        alone = [r.ticker for r in screen(snap, spec, daily=daily, intraday=intraday).collect()]
+        assert got.get(spec.name, []) == alone, spec.name
