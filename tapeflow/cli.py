@@ -3,8 +3,8 @@
   python -m tapeflow ingest  --captures PATH --root ROOT [--format csv] [--index-name symbol]
                              [--on-conflict error|skip|replace] [--no-daily]
       daily + intraday + market-series load (I1–I3)
-  python -m tapeflow screen  NAME --captures PATH --root ROOT --out PATH [--show N]
-      one of the seven screens (Q1–Q7) on the latest capture per ticker
+  python -m tapeflow screen  NAME|all --captures PATH --root ROOT --out PATH [--show N]
+      one of the seven screens (Q1–Q7), or all in one pass, on the latest capture per ticker
   python -m tapeflow report stock      --root ROOT --out DIR [--tickers A,B]   (R1–R5, R9)
   python -m tapeflow report market     --root ROOT --out DIR                   (R6, R7)
   python -m tapeflow report candidates --captures PATH --root ROOT --out DIR   (Q7 → R8, R2, M16)
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tapeflow.functions.calendar import with_jalali_fields
 from tapeflow.operators.joins import ticker_frame
-from tapeflow.operators.screens import screen
+from tapeflow.operators.screens import run_screens, screen
 from tapeflow.operators.windows import latest_per_key
 from tapeflow.plans import jobs, reports
 from tapeflow.plans.screens import CANDLE_CANDIDATES, SPECS
@@ -63,10 +63,13 @@ def cmd_ingest(spark, a):
 
 
 def cmd_screen(spark, a):
-    spec = SPECS[a.name]
     current = latest_per_key(_captures(spark, a), ["ticker"], "download", 1)
     t = _tables(spark, a.root)
-    result = screen(current, spec, daily=t.get("daily"), intraday=t.get("intraday"))
+    if a.name == "all":
+        result = run_screens(current, SPECS.values(), daily=t.get("daily"),
+                             intraday=t.get("intraday"))
+    else:
+        result = screen(current, SPECS[a.name], daily=t.get("daily"), intraday=t.get("intraday"))
     result.write.mode("overwrite").parquet(a.out)
     print(f"wrote {a.name} → {a.out}")
     if a.show:
@@ -117,7 +120,8 @@ def parser() -> argparse.ArgumentParser:
     i.set_defaults(run=cmd_ingest)
 
     s = sub.add_parser("screen")
-    s.add_argument("name", choices=sorted(SPECS))
+    s.add_argument("name", choices=sorted(SPECS) + ["all"],
+                   help="one screen, or all seven in one pass")
     captures(s)
     s.add_argument("--root", required=True)
     s.add_argument("--out", required=True)

@@ -156,6 +156,8 @@ def run_screens(snapshot: DataFrame, specs, daily: DataFrame | None = None,
     screens, else NULL), ordered by screen, buy power and ticker.
     """
     specs = list(specs)
+    if not specs:
+        raise ValueError("run_screens needs at least one ScreenSpec")
     tags = F.filter(F.array(*[F.when(_stage_predicate(s), F.lit(s.name)) for s in specs]),
                     lambda x: x.isNotNull())
     stage = snapshot.select(

@@ -17,6 +17,11 @@ def test_cli_end_to_end(spark):
     assert main(["screen", "smart_money_short", "--captures", captures, "--root", root,
                  "--out", f"{out}/q2", "--show", "3"]) == 0
     assert spark.read.parquet(f"{out}/q2").count() == 4      # FIXTURES §5, sf0.001
+    assert main(["screen", "all", "--captures", captures, "--root", root,
+                 "--out", f"{out}/all"]) == 0
+    per_screen = {r.screen: r["count"] for r in
+                  spark.read.parquet(f"{out}/all").groupBy("screen").count().collect()}
+    assert per_screen.get("smart_money_short") == 4 and per_screen.get("volatile_limit_up") == 1
     assert main(["report", "stock", "--root", root, "--out", f"{out}/stock",
                  "--tickers", "S1,S2"]) == 0
     vals = spark.read.parquet(f"{out}/stock/valuation")
