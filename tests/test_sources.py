@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from tapeflow.functions import metrics as M
 from tapeflow.session import scratch_path
 from tapeflow.sources.snapshots import (
@@ -54,3 +56,21 @@ def test_read_flow_fills_missing_columns(spark):
     df = read_flow(spark, path, "intraday")
     r = df.first()
     assert r.last_price == 5 and r.volume is None and "last_percent" in df.columns
+
+
+def test_write_snapshot_replace_and_history(spark):
+    from tapeflow.sources import fixtures as FX
+    snap = FX.snapshots(spark, "/root/testdata/sf0.001")
+    day = snap.select(F.to_date("download").alias("d")).agg(F.min("d")).first()[0]
+    first = snap.filter(F.to_date("download") == F.lit(day))
+    rest = snap.filter(F.to_date("download") > F.lit(day))
+    replace_path = scratch_path(spark, "snap-replace")
+    write_snapshot(first, replace_path, keep_history=False)
+    write_snapshot(rest, replace_path, keep_history=False)        # replaces (S3)
+    assert spark.read.parquet(replace_path).count() == rest.count()
+    hist_path = scratch_path(spark, "snap-history")
+    write_snapshot(first, hist_path)
+    write_snapshot(rest, hist_path)                                # appends by capture date
+    stored = spark.read.parquet(hist_path)
+    assert stored.count() == snap.count()
+    assert stored.filter(F.col("capture_date") == F.lit(day)).count() == first.count()
