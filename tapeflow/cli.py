@@ -28,13 +28,14 @@ from tapeflow.operators.windows import latest_per_key
 from tapeflow.plans import jobs, reports
 from tapeflow.plans.screens import CANDLE_CANDIDATES, SPECS
 from tapeflow.session import get_spark
-from tapeflow.sources.snapshots import quarantine, read_flow, read_snapshots
+from tapeflow.sources.snapshots import latest_capture, quarantine, read_flow, read_snapshots
 
 
 def _captures(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     opts = {"header": "true"} if a.format == "csv" else {}
-    snap = read_snapshots(spark, a.captures, fmt=a.format, index_name=a.index_name, **opts)
-    return quarantine(snap)[0]
+    snap = quarantine(read_snapshots(spark, a.captures, fmt=a.format,
+                                     index_name=a.index_name, **opts))[0]
+    return latest_capture(snap) if getattr(a, "latest_only", False) else snap
 
 
 def _tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -126,6 +127,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--root", required=True)
     s.add_argument("--out", required=True)
     s.add_argument("--show", type=int, default=0)
+    s.add_argument("--latest-only", action="store_true",
+                   help="screen only the newest capture instead of the latest row per ticker")
     s.set_defaults(run=cmd_screen)
 
     r = sub.add_parser("report")

@@ -105,3 +105,14 @@ def read_flow(spark: SparkSession, path: str, kind: str = "daily") -> DataFrame:
     schema = {"daily": schemas.DAILY_FLOW, "intraday": schemas.INTRADAY_FLOW,
               "index": schemas.INDEX_FLOW}[kind]
     return spark.read.schema(schema).parquet(path)
+
+
+def latest_capture(captures: DataFrame) -> DataFrame:
+    """The newest whole-market capture: rows whose ``download`` equals the
+    latest one.  When the landed table is partitioned by ``capture_date``
+    (``write_snapshot``), that partition is selected first by a scalar
+    subquery, so only its folder is read."""
+    df = captures
+    if "capture_date" in df.columns:
+        df = df.filter(F.col("capture_date") == df.select(F.max("capture_date")).scalar())
+    return df.filter(F.col("download") == df.select(F.max("download")).scalar())

@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tapeflow.functions import metrics as M
+from tapeflow.plans.explain import plan_text
 from tapeflow.session import scratch_path
 from tapeflow.sources.snapshots import (
     normalise_name, quarantine, read_flow, read_snapshots, write_snapshot)
@@ -74,3 +75,16 @@ def test_write_snapshot_replace_and_history(spark):
     stored = spark.read.parquet(hist_path)
     assert stored.count() == snap.count()
     assert stored.filter(F.col("capture_date") == F.lit(day)).count() == first.count()
+
+
+def test_latest_capture_prunes_to_newest(spark):
+    from tapeflow.sources.snapshots import latest_capture
+    from tapeflow.sources import fixtures as FX
+    snap = FX.snapshots(spark, "/root/testdata/sf0.001")
+    path = scratch_path(spark, "snap-latest")
+    write_snapshot(snap, path)
+    stored = spark.read.parquet(path)
+    newest = latest_capture(stored)
+    top = snap.agg(F.max("download")).first()[0]
+    assert [r.download for r in newest.collect()] == [top]
+    assert "PartitionFilters: [isnotnull(capture_date" in plan_text(newest)
