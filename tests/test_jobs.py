@@ -32,3 +32,31 @@ def test_incremental_ingest_equals_batch(spark):
         J.run_ingest(spark, again, root, block_list=block, basket=basket)
     J.run_ingest(spark, again, root, "skip", block_list=block, basket=basket)
     assert spark.read.parquet(f"{root}/daily").count() == batch.count()
+
+
+def test_ingest_replace_rewrites_only_the_batch_keys(spark):
+    snap = FX.snapshots(spark, SF_SMALL)
+    days = sorted(r.d for r in snap.select(F.to_date("download").alias("d")).distinct()
+                  .orderBy("d").limit(3).collect())
+    root = scratch_path(spark, "ingest-replace")
+    block, basket = FX.ticker_lists(spark, SF_SMALL)
+    for d in days:
+        J.run_ingest(spark, snap.filter(F.to_date("download") == F.lit(d)), root,
+                     block_list=block, basket=basket)
+    # the old table version is materialised: a replace removes its files
+    before = spark.read.parquet(f"{root}/intraday").drop("date").checkpoint(eager=True)
+    n_before = before.count()
+    # re-ingest the middle day with doubled retail buy volume
+    changed = snap.filter(F.to_date("download") == F.lit(days[1])) \
+        .withColumn("vol_buy_r", F.col("vol_buy_r") * 2)
+    J.run_ingest(spark, changed, root, "replace", block_list=block, basket=basket)
+    after = spark.read.parquet(f"{root}/intraday").drop("date")
+    assert after.count() == n_before
+    mid = F.to_date("timestamp") == F.lit(days[1])
+    untouched = before.filter(~mid)
+    assert untouched.exceptAll(after.filter(~mid)).isEmpty()
+    cols = after.columns
+    want = {tuple(r) for r in J.intraday_load(changed).select(cols).collect()}
+    got = {tuple(r) for r in after.filter(mid).select(cols).collect()}
+    old = {tuple(r) for r in before.filter(mid).select(cols).collect()}
+    assert got == want and got != old                             # replaced, values changed
