@@ -19,9 +19,12 @@ than ``capacity`` are cut.  Other input columns are not looked at.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +35,7 @@ from tapeflow.llm.common import stored
 CAPACITY = 2048
 END_ID = 0
 OPEN_BINS = 256
-LOOK_AHEAD = 4096
+LOOK_AHEAD = 2048
 TOKENIZER = "word_bpe_49k.json"
 BINS_PER_REPACK_TASK = 50_000
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, "
@@ -93,38 +96,86 @@ class BestFit:
 _CHUNKS: dict[str, "ChunkIds"] = {}  # per Python worker: tokenizer path → ids of chunks
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable bytes stand for
+    themselves, the others take the code points from 256 on, in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+# Up to U+017F no character composes with another, so NFC changes nothing, and
+# lower case goes character by character.
+_LETTERS = "".join(chr(c) for c in range(0xA1, 0x180) if unicodedata.category(chr(c))[0] == "L")
+_NUMBERS = "".join(chr(c) for c in range(0xA1, 0x180) if unicodedata.category(chr(c))[0] == "N")
+_BEYOND = re.compile("[^\x00-\u017f]")
+_SIMPLE = re.compile("[!-~\u00a1-\u017f]+")
+_PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9{_NUMBERS}]"
+                   f"|[^a-z{_LETTERS}0-9{_NUMBERS}\n]+")
+_SPACED = {b: c for b, c in _byte_letters().items() if b not in b" \n"}
+
+
 class ChunkIds(dict):
     """White-space-free chunk (UTF-8) → its ids as little-endian uint32 bytes.
 
     This tokenizer drops white space and its pattern never crosses it, so a
     text's ids are its chunks' ids in a row.  Chunks repeat far more often
-    than texts; at most ``limit`` are remembered.
+    than texts; at most ``limit`` are remembered.  New chunks of Latin letters
+    are cut by the tokenizer's own pattern and go to its BPE model many at a
+    time, to be told apart by the mark that ends each part's last token.
+    Anything else goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, limit: int = 1_000_000):
+        from tokenizers import Tokenizer, pre_tokenizers
         super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-
-    def ids(self, text: str | None) -> bytes:
-        chunks = text.encode("utf-8").split() if text else []
-        try:
-            return b"".join(map(self.__getitem__, chunks))
-        except KeyError:
-            return self._learn(chunks)
-
-    def _learn(self, chunks: list[bytes]) -> bytes:
-        new = list({c for c in chunks if c not in self})
+        self.parts = Tokenizer(self.tokenizer.model)
+        self.parts.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    @staticmethod
+    def chunks(text: str | None) -> list[bytes]:
+        if not text:
+            return []
+        # Lower case first makes more chunks equal; a text that may hold a
+        # special token (in exactly its case) or decomposed letters stays.
+        if "<|" not in text and not _BEYOND.search(text):
+            text = text.lower()
+        return text.encode("utf-8").split()
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        cut = [self.chunks(t) for t in texts]
+        seen = set().union(*cut)
+        new = [c for c in seen if c not in self]
         if len(self) + len(new) > self.limit:
             self.clear()
-            new = list(set(chunks))
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
-            found = self.tokenizer.encode_batch([c.decode("utf-8") for c in part],
-                                                add_special_tokens=False)
-            for c, e in zip(part, found, strict=True):
-                self[c] = b"".join(x.to_bytes(4, "little") for x in e.ids)
-        return b"".join(map(self.__getitem__, chunks))
+            new = list(seen)
+        for i in range(0, len(new), 20_000):
+            self._learn(new[i:i + 20_000])
+        return [b"".join(map(self.__getitem__, c)) for c in cut]
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        texts = [c.decode("utf-8") for c in chunks]
+        simple = [bool(_SIMPLE.fullmatch(t)) and "<|" not in t for t in texts]
+        odd = [t for t, s in zip(texts, simple, strict=True) if not s]
+        for t, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False),
+                        strict=True):
+            self[t.encode("utf-8")] = np.array(e.ids, "<u4").tobytes()
+        plain = [t for t, s in zip(texts, simple, strict=True) if s]
+        if not plain:
+            return
+        lines = _PART.sub(r"\g<0> ", "\n".join(plain).lower())
+        counts = [line.count(" ") for line in lines.split("\n")]
+        letters = lines.encode("utf-8").decode("latin-1").translate(_SPACED)
+        ids = np.array(self.parts.encode(letters, add_special_tokens=False).ids, "<u4")
+        last = np.flatnonzero(self.ends[ids])[np.cumsum(counts) - 1] + 1
+        raw, at = ids.tobytes(), 0
+        for t, to in zip(plain, (4 * last).tolist(), strict=True):
+            self[t.encode("utf-8")] = raw[at:to]
+            at = to
 
 
 def chunk_ids(name: str) -> ChunkIds:
@@ -136,8 +187,8 @@ def chunk_ids(name: str) -> ChunkIds:
 
 def _pieces(doc_ids, texts, cache: ChunkIds, capacity: int):
     end = END_ID.to_bytes(4, "little")
-    for doc, text in zip(doc_ids, texts, strict=True):
-        ids = cache.ids(text) + end
+    for doc, ids in zip(doc_ids, cache.ids(texts), strict=True):
+        ids += end
         for k, at in enumerate(range(0, len(ids), 4 * capacity)):
             cut = ids[at:at + 4 * capacity]
             yield doc, k, at // 4, len(cut) // 4, zlib.crc32(cut)
