@@ -18,9 +18,11 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order_col: str, n: int =
     latest ``n`` distinct values) filtered by a literal bound is planned as
     ``WindowGroupLimit``: a partial limit runs before the shuffle, so each
     map task ships at most ``n`` rows (``n`` values) per key — a hot key
-    does not reach one reducer whole.
+    does not reach one reducer whole.  Rows with an equal ``order_col`` are
+    chosen by a hash of the whole row, the same ones in every run.
     """
-    w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc())
+    ties = [] if by_value else [F.xxhash64(*(F.col(c) for c in df.columns))]
+    w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc(), *ties)
     rank = F.dense_rank() if by_value else F.row_number()
     return (df.withColumn("_rn", rank.over(w))
               .filter(F.col("_rn") <= n)
@@ -49,15 +51,31 @@ def with_average_volume(daily: DataFrame, n: int = 42, keys: Sequence[str] = ("t
     return daily.withColumn(out, F.when(c > 0, idiv(s * 2 + c, c * 2)))
 
 
-def trailing_volume_stats(history: DataFrame, n: int = 42, keys: Sequence[str] = ("ticker",),
-                          volume: str = "volume", date_col: str = "date") -> DataFrame:
-    """Incremental W2: per key, the exact average of the latest ``n`` stored
-    sessions — what a new session's ``average_volume`` is."""
-    last = latest_per_key(history.select(*keys, date_col, volume), list(keys), date_col, n)
-    g = last.groupBy(*keys).agg(F.sum(F.col(volume).cast("long")).alias("_s"),
-                                F.count(volume).alias("_c"))
-    return g.select(*keys, F.when(F.col("_c") > 0, idiv(F.col("_s") * 2 + F.col("_c"),
-                                                        F.col("_c") * 2)).alias("average_volume"))
+def appended_average_volume(batch: DataFrame, history: DataFrame, n: int = 42,
+                            volume: str = "volume", out: str = "average_volume"
+                            ) -> tuple[DataFrame, DataFrame]:
+    """W2 for a batch of daily rows that is added to a stored table.
+
+    ``history`` holds no key of the batch.  Per ticker of the batch it gives
+    the latest ``n`` sessions before the batch's first date and all later
+    ones; the one-pass window then runs over them and the batch together, so
+    a batch may span many days or come out of order.  Returns the batch with
+    its averages, and the keys of stored sessions whose trailing window now
+    holds a batch row, with their new averages.
+    """
+    first = batch.groupBy("ticker").agg(F.min("date").alias("_first"))
+    near = history.select("ticker", "date", volume).join(first, "ticker")
+    before = latest_per_key(near.filter(F.col("date") < F.col("_first")), ["ticker"], "date", n)
+    stored = (before.unionByName(near.filter(F.col("date") >= F.col("_first")))
+              .select("ticker", "date", volume, F.lit(0).alias("_new")))
+    both = stored.unionByName(batch.select("ticker", "date", volume, F.lit(1).alias("_new")))
+    w = Window.partitionBy("ticker").orderBy("date").rowsBetween(-n, -1)
+    done = with_average_volume(both, n, volume=volume, out=out) \
+        .withColumn("_touched", F.max("_new").over(w))
+    averages = done.filter(F.col("_new") == 1).select("ticker", "date", out)
+    refreshed = done.filter((F.col("_new") == 0) & (F.col("_touched") == 1)) \
+        .select("ticker", "date", out)
+    return batch.drop(out).join(averages, ["ticker", "date"]), refreshed
 
 
 def last_session(flow: DataFrame, keys: Sequence[str] = ("ticker",),
@@ -75,5 +93,7 @@ def last_session(flow: DataFrame, keys: Sequence[str] = ("ticker",),
 
 
 def sessions(flow: DataFrame, keys: Sequence[str] = ("ticker",), ts: str = "timestamp") -> DataFrame:
-    """Distinct session dates per key."""
-    return flow.select(*keys, F.to_date(ts).alias("date")).distinct()
+    """Distinct session dates per key (the stored ``date`` partition
+    column where the table has one, so only that column is read)."""
+    day = F.col("date") if "date" in flow.columns else F.to_date(ts)
+    return flow.select(*keys, day.alias("date")).distinct()

@@ -5,7 +5,7 @@ or three SQL statements each.  Here a job is one plan over all tickers
 (and any number of captures): filter → project → keyed append.
 
 Storage layout (parquet under one root):
-  daily/     partitioned by ``j_year`` (Jalali year of the session)
+  daily/     partitioned by ``j_year``, ``j_month`` (Jalali month of the session)
   intraday/  partitioned by ``date``
   index/     partitioned by ``date``
 Key rules follow ``sinks.write_unique`` (error / skip / replace); a
@@ -15,19 +15,21 @@ replace rewrites only the partitions the batch touches.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeflow.functions.calendar import with_jalali_fields
-from tapeflow.operators.flows import daily_rows, index_flows, to_daily_flow, to_intraday_flow
+from tapeflow.functions.metrics import clean_ticker
+from tapeflow.operators.flows import DAILY_ORDER, daily_rows, index_flows, to_intraday_flow
 from tapeflow.operators.universe import (
     block_list as default_block_list, has_opened, in_session, large_cap_basket, tradable)
-from tapeflow.operators.windows import latest_per_key, with_average_volume
+from tapeflow.operators.windows import (
+    appended_average_volume, latest_per_key, with_average_volume)
 from tapeflow.schemas import DAILY_KEYS, INDEX_KEYS, INTRADAY_KEYS
-from tapeflow.sources.sinks import write_unique
+from tapeflow.sources.sinks import prepare_unique, read_stored
 from tapeflow.sources.snapshots import quarantine
-from tapeflow.operators.flows import DAILY_ORDER
 
 
 def ingest_universe(snapshot: DataFrame) -> DataFrame:
@@ -37,19 +39,32 @@ def ingest_universe(snapshot: DataFrame) -> DataFrame:
 
 def daily_load(snapshot: DataFrame, history: DataFrame | None = None, n: int = 42) -> DataFrame:
     """I1 rows: filtered captures (F1, F3, F4) → last capture of each
-    (ticker, day) → M7.  With ``history`` the average volume is taken from
-    the stored table (incremental W2); without it the batch is treated as
-    the whole history and W2 runs over it."""
-    snap = has_opened(ingest_universe(snapshot)).withColumn("_d", F.to_date("download"))
-    last = latest_per_key(snap, ["ticker", "_d"], "download", 1).drop("_d")
-    if history is not None:
-        return to_daily_flow(last, history, n)
-    return with_average_volume(daily_rows(last), n).select(*DAILY_ORDER)
+    (ticker, day) → M7 and W2.  With ``history`` (the stored daily table) the
+    trailing averages also see the stored sessions; batch rows stand for
+    stored ones of the same key."""
+    return _daily_load(snapshot, history, n)[0]
+
+
+def _daily_load(snapshot: DataFrame, history: DataFrame | None, n: int = 42,
+                stored_wins: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """The batch's daily rows, and stored keys whose average the batch changes."""
+    snap = has_opened(ingest_universe(snapshot)).withColumn("ticker", clean_ticker("ticker")) \
+        .withColumn("_d", F.to_date("download"))
+    rows = daily_rows(latest_per_key(snap, ["ticker", "_d"], "download", 1).drop("_d"))
+    if history is None:
+        return with_average_volume(rows, n).select(*DAILY_ORDER), None
+    keys = history.select(*DAILY_KEYS)
+    if stored_wins:
+        rows = rows.join(keys, DAILY_KEYS, "left_anti")
+    others = history.join(rows.select(*DAILY_KEYS), DAILY_KEYS, "left_anti")
+    out, refreshed = appended_average_volume(rows, others, n)
+    return out.select(*DAILY_ORDER), refreshed
 
 
 def intraday_load(snapshot: DataFrame) -> DataFrame:
-    """I2 rows: filtered captures → M8, one row per (ticker, capture)."""
-    return to_intraday_flow(ingest_universe(snapshot)).dropDuplicates(INTRADAY_KEYS)
+    """I2 rows: filtered captures → M8; repeated keys are left to the sink's
+    conflict rule."""
+    return to_intraday_flow(ingest_universe(snapshot))
 
 
 def market_load(snapshot: DataFrame, block_list: DataFrame, basket: DataFrame) -> DataFrame:
@@ -57,38 +72,50 @@ def market_load(snapshot: DataFrame, block_list: DataFrame, basket: DataFrame) -
     return index_flows(ingest_universe(snapshot), block_list, basket)
 
 
+def with_session_month(daily: DataFrame) -> DataFrame:
+    """The daily table's partition columns: Jalali year and month."""
+    return with_jalali_fields(daily, "date", prefix="_").drop("_j_day") \
+        .withColumnRenamed("_j_year", "j_year").withColumnRenamed("_j_month", "j_month")
+
+
+DAILY_PARTITIONS = ["j_year", "j_month"]
+
+
 def run_ingest(spark: SparkSession, snapshot: DataFrame, root: str, on_conflict: str = "error",
                block_list: DataFrame | None = None, basket: DataFrame | None = None,
-               daily: bool = True) -> dict[str, DataFrame]:
+               daily: bool = True, run_id: str | None = None) -> dict[str, DataFrame]:
     """Run I1 (when ``daily``), I2 and I3 for a batch of captures and append
-    them to the tables under ``root``.  Captures without a usable key (NULL
-    ticker or capture time, e.g. an impossible Jalali date) go to
-    ``quarantine/`` instead.  Returns the tables as read back."""
+    them to the tables under ``root``.
+
+    All tables are staged and checked before the first one is written, so a
+    conflict leaves every table as it was.  Captures without a usable key go
+    to ``quarantine/run=<run_id>`` (overwritten if the run is repeated).  With
+    ``replace``, stored sessions whose trailing average the batch changes are
+    refreshed too.  Returns the tables as read back."""
     block_list = block_list if block_list is not None else default_block_list(spark)
     basket = basket if basket is not None else large_cap_basket(spark)
-    out: dict[str, DataFrame] = {}
     snapshot, rejected = quarantine(snapshot)
-    qpath = os.path.join(root, "quarantine")
-    rejected.write.mode("append").parquet(qpath)
-    out["quarantine"] = spark.read.parquet(qpath)
+    commits = {}
     if daily:
         path = os.path.join(root, "daily")
-        history = _existing(spark, path)
-        rows = daily_load(snapshot, history)
-        rows = with_jalali_fields(rows, "date", prefix="_").drop("_j_month", "_j_day") \
-            .withColumnRenamed("_j_year", "j_year")
-        out["daily"] = write_unique(spark, rows, path, DAILY_KEYS, on_conflict, ["j_year"])
+        stored = read_stored(spark, path)
+        history = None if stored is None else stored.select(*DAILY_ORDER)
+        rows, refreshed = _daily_load(snapshot, history, stored_wins=on_conflict == "skip")
+        if refreshed is not None and on_conflict == "replace":
+            old = history.drop("average_volume").join(refreshed, DAILY_KEYS)
+            rows = rows.unionByName(old.select(*DAILY_ORDER))
+        if on_conflict == "error":
+            rows = rows.select(*DAILY_ORDER)
+        commits["daily"] = prepare_unique(spark, with_session_month(rows), path, DAILY_KEYS,
+                                          on_conflict, DAILY_PARTITIONS)
     intraday = intraday_load(snapshot).withColumn("date", F.to_date("timestamp"))
-    out["intraday"] = write_unique(spark, intraday, os.path.join(root, "intraday"),
-                                   INTRADAY_KEYS, on_conflict, ["date"])
+    commits["intraday"] = prepare_unique(spark, intraday, os.path.join(root, "intraday"),
+                                         INTRADAY_KEYS, on_conflict, ["date"])
     index = market_load(snapshot, block_list, basket).withColumn("date", F.to_date("timestamp"))
-    out["index"] = write_unique(spark, index, os.path.join(root, "index"),
-                                INDEX_KEYS, on_conflict, ["date"])
+    commits["index"] = prepare_unique(spark, index, os.path.join(root, "index"),
+                                      INDEX_KEYS, on_conflict, ["date"])
+    out = {name: commit() for name, commit in commits.items()}
+    qpath = os.path.join(root, "quarantine")
+    rejected.write.mode("overwrite").parquet(os.path.join(qpath, f"run={run_id or uuid.uuid4().hex}"))
+    out["quarantine"] = spark.read.schema(rejected.schema).parquet(qpath)
     return out
-
-
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no table yet
-        return None

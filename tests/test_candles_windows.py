@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tapeflow.operators.candles import (
     calendar_gaps, candle_geometry, candles_multi, indicator_candles, stacked_candles)
 from tapeflow.operators.windows import (
-    last_session, latest_sessions, trailing_volume_stats, with_average_volume)
+    appended_average_volume, last_session, latest_sessions, with_average_volume)
 from tests.conftest import rows
 
 T = dt.datetime
@@ -75,8 +75,25 @@ def test_average_volume_window_is_42(spark):
     got = rows(with_average_volume(daily(spark, vols)), ["date"])
     # row 50 (value 51): mean of the 42 values 9..50 = 29.5 → 30
     assert got[50]["average_volume"] == 30
-    inc = trailing_volume_stats(daily(spark, vols[:50]))
-    assert inc.first()["average_volume"] == 30
+
+
+def test_average_volume_of_an_appended_batch_equals_one_pass(spark):
+    """A batch of several days, also one in the middle of the stored days."""
+    whole = daily(spark, list(range(1, 80))).unionByName(daily(spark, [7, 9, 4], "B"))
+    one_pass = {(r["ticker"], r["date"]): r["average_volume"]
+                for r in rows(with_average_volume(whole, 5))}
+    day = F.datediff("date", F.lit(dt.date(2024, 1, 1)))
+    for in_batch in (day >= 70, day.between(30, 33), day % 9 == 4, day == 0):
+        batch, refreshed = appended_average_volume(whole.filter(in_batch),
+                                                   whole.filter(~in_batch), 5)
+        got = rows(batch.select("ticker", "date", "average_volume")) + rows(refreshed)
+        assert all(one_pass[r["ticker"], r["date"]] == r["average_volume"] for r in got)
+        assert batch.count() == whole.filter(in_batch).count()
+        # what is not refreshed keeps the average it had without the batch
+        before = {(r["ticker"], r["date"]): r["average_volume"]
+                  for r in rows(with_average_volume(whole.filter(~in_batch), 5))}
+        changed = {k for k, v in before.items() if one_pass[k] != v}
+        assert changed <= {(r["ticker"], r["date"]) for r in rows(refreshed)}
 
 
 def test_latest_sessions_and_short_history(spark):

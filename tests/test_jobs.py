@@ -20,7 +20,7 @@ def test_incremental_ingest_equals_batch(spark):
                      block_list=block, basket=basket)
     part = snap.filter(F.to_date("download") <= F.lit(days[-1]))
     batch = J.daily_load(part)
-    stored = spark.read.parquet(f"{root}/daily").drop("j_year").select(batch.columns)
+    stored = spark.read.parquet(f"{root}/daily").select(batch.columns)
     assert stored.count() == batch.count() > 0
     assert stored.exceptAll(batch).isEmpty() and batch.exceptAll(stored).isEmpty()
     intraday = spark.read.parquet(f"{root}/intraday").drop("date")
@@ -60,3 +60,55 @@ def test_ingest_replace_rewrites_only_the_batch_keys(spark):
     got = {tuple(r) for r in after.filter(mid).select(cols).collect()}
     old = {tuple(r) for r in before.filter(mid).select(cols).collect()}
     assert got == want and got != old                             # replaced, values changed
+
+
+def _root(spark, name):
+    return scratch_path(spark, name)
+
+
+def _daily(spark, root):
+    return spark.read.parquet(f"{root}/daily").drop("j_year", "j_month")
+
+
+def test_ingest_of_several_days_and_out_of_order_replace_equals_one_pass(spark):
+    snap = FX.snapshots(spark, SF_SMALL)
+    day = F.to_date("download")
+    days = sorted(r.d for r in snap.select(day.alias("d")).distinct().orderBy("d").limit(8).collect())
+    root, lists = _root(spark, "ingest-many"), FX.ticker_lists(spark, SF_SMALL)
+    part = snap.filter(day <= F.lit(days[-1]))
+    first = part.filter(day.isin(days[0], days[1], days[3]))
+    J.run_ingest(spark, first, root, block_list=lists[0], basket=lists[1])
+    J.run_ingest(spark, part.filter(day.isin(days[4:])), root, block_list=lists[0],
+                 basket=lists[1])
+    J.run_ingest(spark, part.filter(day == F.lit(days[2])), root, "replace",
+                 block_list=lists[0], basket=lists[1])   # a late day in the middle
+    batch = J.daily_load(part)
+    stored = _daily(spark, root).select(batch.columns)
+    assert stored.count() == batch.count()
+    assert stored.exceptAll(batch).isEmpty() and batch.exceptAll(stored).isEmpty()
+
+
+def test_conflict_in_the_last_table_leaves_all_untouched(spark):
+    snap = FX.snapshots(spark, SF_SMALL)
+    day = F.to_date("download")
+    days = sorted(r.d for r in snap.select(day.alias("d")).distinct().orderBy("d").limit(2).collect())
+    root, lists = _root(spark, "ingest-atomic"), FX.ticker_lists(spark, SF_SMALL)
+    J.run_ingest(spark, snap.filter(day == F.lit(days[0])), root, block_list=lists[0],
+                 basket=lists[1], run_id="one")
+    second = snap.filter(day == F.lit(days[1]))
+    # only the index table already knows the second day
+    J.market_load(second, *lists).withColumn("date", F.to_date("timestamp")) \
+        .write.mode("append").partitionBy("date").parquet(f"{root}/index")
+    before = {k: spark.read.parquet(f"{root}/{k}").count()
+              for k in ("daily", "intraday", "index", "quarantine")}
+    with pytest.raises(DuplicateKeyError):
+        J.run_ingest(spark, second, root, block_list=lists[0], basket=lists[1], run_id="two")
+    assert before == {k: spark.read.parquet(f"{root}/{k}").count() for k in before}
+
+
+def test_trimmed_tickers_are_one_key(spark):
+    snap = FX.snapshots(spark, SF_SMALL)
+    spaced = snap.withColumn("ticker", F.when(F.minute("download") % 2 == 0, F.concat(
+        F.col("ticker"), F.lit(" "))).otherwise(F.col("ticker")))
+    want, got = J.daily_load(snap), J.daily_load(spaced)
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()

@@ -4,7 +4,8 @@ import os
 import pytest
 
 from tapeflow.session import scratch_path
-from tapeflow.sources.sinks import DuplicateKeyError, append_unique, union_evolved, write_unique
+from tapeflow.sources.sinks import (
+    DuplicateKeyError, append_unique, read_stored, union_evolved, write_unique)
 from tests.conftest import rows
 
 
@@ -49,3 +50,38 @@ def test_write_unique_on_parquet(spark):
     got = {(r["date"], r["v"]) for r in rows(out)}
     assert got == {(D1, 1), (D2, 22), (D3, 3)}
     assert os.path.isdir(path.replace("file:", ""))
+
+
+def test_a_key_that_repeats_in_the_batch(spark):
+    path, keys = scratch_path(spark, "sink-repeat"), ["ticker", "date"]
+    twice = tbl(spark, [("A", D1, 1), ("A", D1, 2), ("B", D1, 3)])
+    with pytest.raises(DuplicateKeyError):
+        write_unique(spark, twice, path, keys)
+    assert read_stored(spark, path) is None
+    out = [rows(write_unique(spark, tbl(spark, data), scratch_path(spark, "s"), keys, "skip"),
+                ["ticker"])
+           for data in ([("A", D1, 1), ("A", D1, 2)], [("A", D1, 2), ("A", D1, 1)])]
+    assert out[0] == out[1] and len(out[0]) == 1
+
+
+def test_a_table_that_cannot_be_read_is_no_empty_table(spark, tmp_path):
+    path = str(tmp_path / "table")
+    write_unique(spark, tbl(spark, [("A", D1, 1)]), path, ["ticker", "date"])
+    for f in os.listdir(path):
+        if f.endswith(".parquet"):
+            with open(os.path.join(path, f), "wb") as out:
+                out.write(b"not a parquet file")
+    with pytest.raises(Exception) as e:
+        write_unique(spark, tbl(spark, [("A", D1, 1)]), path, ["ticker", "date"])
+    assert not isinstance(e.value, DuplicateKeyError)
+
+
+def test_a_replay_writes_few_files_per_partition(spark, tmp_path):
+    path = str(tmp_path / "replay")
+    data = [(f"T{i % 50}", dt.date(2024, 1, 1 + i // 50), i) for i in range(1000)]
+    write_unique(spark, tbl(spark, data).repartition(16), path, ["ticker", "date"],
+                 partition_by=["date"])
+    for d in os.listdir(path):
+        if d.startswith("date="):
+            files = [f for f in os.listdir(os.path.join(path, d)) if f.endswith(".parquet")]
+            assert len(files) == 1
