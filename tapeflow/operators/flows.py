@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeflow.functions import metrics as M
 from tapeflow.operators.joins import drop_keys, keep_keys
-from tapeflow.operators.windows import (
-    latest_per_key, trailing_volume_stats, with_average_volume)
+from tapeflow.operators.windows import latest_per_key, with_average_volume
 
 
 def daily_rows(snapshot: DataFrame) -> DataFrame:
@@ -46,25 +45,11 @@ DAILY_ORDER = ["ticker", "date", "i_buy_pow", "i_buy_per_capita", "i_sell_per_ca
                "open", "high", "low", "up_level", "dawn_level"]
 
 
-def to_daily_flow(snapshot: DataFrame, history: DataFrame | None = None, n: int = 42) -> DataFrame:
-    """M7: one daily row per snapshot row.
-
-    With ``history`` (the stored daily table) ``average_volume`` is the
-    exact mean of each ticker's latest ``n`` *stored* sessions (W2,
-    incremental form); without it the column is NULL (first session).
-    """
-    rows = daily_rows(snapshot)
-    if history is None:
-        rows = rows.withColumn("average_volume", F.lit(None).cast("long"))
-    else:
-        rows = rows.join(trailing_volume_stats(history, n), "ticker", "left")
-    return rows.select(*DAILY_ORDER)
-
-
 def daily_series(snapshots: DataFrame, n: int = 42) -> DataFrame:
     """Daily table built in one pass from many captures: the last capture of
     each (ticker, date) → M7, with W2 over the rebuilt series."""
-    snap = snapshots.withColumn("_d", F.to_date("download"))
+    snap = snapshots.withColumn("ticker", M.clean_ticker("ticker")) \
+        .withColumn("_d", F.to_date("download"))
     last = latest_per_key(snap, ["ticker", "_d"], "download", 1).drop("_d")
     return with_average_volume(daily_rows(last), n).select(*DAILY_ORDER)
 
@@ -86,6 +71,34 @@ def to_intraday_flow(snapshot: DataFrame) -> DataFrame:
     )
 
 
+# Sums and counts that the market series are made of; adding them up over any
+# split of a capture's rows gives the whole capture.
+INDEX_PARTS = ("_buy", "_buy_n", "_sell", "_sell_n", "_money")
+
+
+def _index_parts(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(
+        F.sum(M.buy_per_capita()).alias("_buy"), F.count(M.buy_per_capita()).alias("_buy_n"),
+        F.sum(M.sell_per_capita()).alias("_sell"), F.count(M.sell_per_capita()).alias("_sell_n"),
+        F.sum(M.entered_money()).alias("_money"))
+
+
+def finish_index(parts: DataFrame, keys: tuple[str, ...] = ("universe", "download")) -> DataFrame:
+    """A1 rows from partial sums: ratio of averages (not average of ratios),
+    rounded after."""
+    g = parts.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in INDEX_PARTS))
+    buy = F.col("_buy") / F.nullif(F.col("_buy_n"), F.lit(0))
+    sell = F.col("_sell") / F.nullif(F.col("_sell_n"), F.lit(0))
+    return g.select(
+        *[F.col(k) for k in keys if k != "download"],
+        F.col("download").alias("timestamp"),
+        M.to_float(buy / F.nullif(sell, F.lit(0))).alias("i_buy_pow"),
+        M.to_int(buy).alias("i_buy_per_capita"),
+        M.to_int(sell).alias("i_sell_per_capita"),
+        M.to_int("_money").alias("i_entered_money"),
+    )
+
+
 def _index_aggregate(df: DataFrame, keys: list[str]) -> DataFrame:
     """A1 body: ratio of averages (not average of ratios), rounded after."""
     buy = F.avg(M.buy_per_capita())
@@ -118,12 +131,11 @@ def index_flow(snapshot: DataFrame, universe: str = "market",
     return _index_aggregate(df.withColumn("universe", F.lit(universe)), ["universe", "download"])
 
 
-def index_flows(snapshot: DataFrame, block_list: DataFrame, basket: DataFrame) -> DataFrame:
-    """A1 and A2 in one pass: each row is tagged with the universes it
-    belongs to ("market" unless blocked; also "large" if in the basket and
-    not blocked), then one aggregation keyed by (universe, capture).  Each
-    list has one row per ticker; it is broadcast by size (planner estimate
-    or AQE's runtime measurement), never by a blind hint."""
+def with_universes(snapshot: DataFrame, block_list: DataFrame, basket: DataFrame) -> DataFrame:
+    """Each row once for each universe it belongs to: "market" unless blocked;
+    also "large" if in the basket and not blocked.  Each list has one row per
+    ticker; it is broadcast by size (planner estimate or AQE's runtime
+    measurement), never by a blind hint."""
     blocked = block_list.select("ticker").distinct().withColumn("_blocked", F.lit(True))
     large = basket.select("ticker").distinct().withColumn("_large", F.lit(True))
     tagged = snapshot.join(blocked, "ticker", "left").join(large, "ticker", "left")
@@ -131,5 +143,14 @@ def index_flows(snapshot: DataFrame, block_list: DataFrame, basket: DataFrame) -
         F.array(F.when(F.col("_blocked").isNull(), F.lit("market")),
                 F.when(F.col("_blocked").isNull() & F.col("_large").isNotNull(), F.lit("large"))),
         lambda u: u.isNotNull())
-    exploded = tagged.withColumn("universe", F.explode(universes)).drop("_blocked", "_large")
-    return _index_aggregate(exploded, ["universe", "download"])
+    return tagged.withColumn("universe", F.explode(universes)).drop("_blocked", "_large")
+
+
+def index_flows(snapshot: DataFrame, block_list: DataFrame, basket: DataFrame) -> DataFrame:
+    """A1 and A2 in one pass: one aggregation keyed by (universe, capture)."""
+    return _index_aggregate(with_universes(snapshot, block_list, basket), ["universe", "download"])
+
+
+def index_parts(snapshot: DataFrame, block_list: DataFrame, basket: DataFrame) -> DataFrame:
+    """Partial sums of A1 and A2 for a part of the captures' rows."""
+    return _index_parts(with_universes(snapshot, block_list, basket), ["universe", "download"])

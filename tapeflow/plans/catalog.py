@@ -24,6 +24,7 @@ from tapeflow.plans import reports as R
 from tapeflow.plans.screens import SPECS
 from tapeflow.schemas import DAILY_KEYS, INTRADAY_FLOW_V1
 from tapeflow.sources import fixtures as FX
+from tapeflow.session import scratch_path
 from tapeflow.sources.sinks import append_unique, union_evolved
 from tapeflow.streaming import streams as ST
 
@@ -317,47 +318,58 @@ def q_schema_evolution(spark, d):
 
 # --- streaming ---------------------------------------------------------------------------
 
+STREAM_FILES = 3
+
+
 def _event_stream(spark, d):
+    """All events landed as several files in no order of time, one file for
+    each micro-batch."""
     events = FX.table(spark, d, "events")
-    return (spark.readStream.schema(events.schema).option("basePath", d)
-            .parquet(f"{d}/events*.parquet"))
+    landed = scratch_path(spark, "landed-events")
+    events.repartition(STREAM_FILES, F.xxhash64("event_id")).write.parquet(landed)
+    return FX.snapshot_from_events(ST.read_capture_stream(spark, landed, events.schema, 1))
+
+
+def _streamed(spark, d, name, sink_of):
+    """Run ``sink_of(output path)`` over the event stream; the output path."""
+    out = scratch_path(spark, name)
+    ST.run_stream(_event_stream(spark, d), sink_of(out), f"{out}-checkpoint")
+    return out
 
 
 def q_stream_dedup(spark, d):
-    stream = ST.stream_intraday(FX.snapshot_from_events(_event_stream(spark, d)))
-    return ST.run_to_table(spark, stream, "stream_dedup").drop(ST.EVENT_TIME)
+    return ST.stored_intraday(spark, _streamed(
+        spark, d, "stream_dedup", lambda out: ST.intraday_sink(spark, out)))
 
 
 def q_stream_candles_live(spark, d):
-    """T2 in update mode: the running day is emitted too, so after all input
-    the live table holds every day's candle."""
-    flow = to_intraday_flow(FX.snapshot_from_events(_event_stream(spark, d)))
-    out = ST.run_updates_to_table(spark, ST.streaming_candles(flow, "i_buy_pow"),
-                                  "stream_candles_live", ["ticker", "date"])
-    return out.filter(F.col("open").isNotNull())
+    """T2 as a live table: one row per (ticker, day), rewritten as captures come."""
+    return ST.stored_candles(spark, _streamed(
+        spark, d, "stream_candles_live", lambda out: ST.candle_sink(spark, out, "i_buy_pow")))
 
 
 def q_stream_candles(spark, d):
-    flow = to_intraday_flow(FX.snapshot_from_events(_event_stream(spark, d)))
-    out = ST.run_to_table(spark, ST.streaming_candles(flow, "i_buy_pow"), "stream_candles")
-    return out.filter(F.col("open").isNotNull())
+    """T2 as an append-only log of partial candles, merged on reading."""
+    return ST.logged_candles(spark, _streamed(
+        spark, d, "stream_candles", lambda out: ST.candle_log_sink(out, "i_buy_pow")))
 
 
 def q_stream_market_flow(spark, d):
     block, basket = FX.ticker_lists(spark, d)
-    stream = FX.snapshot_from_events(_event_stream(spark, d))
-    return ST.run_to_table(spark, stream, "stream_market_flow",
-                           foreach=ST.market_flow_batch(block, basket,
-                                                        prepare=FX.hourly_cross_sections))
+    return ST.stored_market(spark, _streamed(
+        spark, d, "stream_market_flow",
+        lambda out: ST.market_sink(out, block, basket, prepare=FX.hourly_cross_sections)))
 
 
 def q_stream_screen(spark, d):
-    """Q3 on a capture stream, confirmed against the static daily table."""
+    """Q3 on a capture stream, confirmed against the static daily table; the
+    tickers that pass by their latest capture, ranked."""
     spec = SPECS["smart_money_off_limit"]
-    stream = FX.snapshot_from_events(_event_stream(spark, d))
-    out = ST.run_to_table(spark, stream, "stream_screen",
-                          foreach=ST.screen_batch(spec, daily=_daily(spark, d)))
-    return out.drop("batch_id")
+    verdicts = ST.stored_verdicts(spark, _streamed(
+        spark, d, "stream_screen",
+        lambda out: ST.screen_sink(spark, out, spec, daily=_daily(spark, d))))
+    return (verdicts.filter("passes").drop("passes", "download")
+            .orderBy("buy_power", "ticker"))
 
 
 QUERIES: dict[str, Query] = {

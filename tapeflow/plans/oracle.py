@@ -130,9 +130,7 @@ longd AS (SELECT * EXCLUDE (_s, _c),
 
 # F-3: hourly cross-sections after the ingest filters; ticker lists.
 HOURLY = f"""
-hsnap AS (SELECT * REPLACE (date_trunc('hour', download) AS download) FROM snap
-          QUALIFY row_number() OVER (PARTITION BY ticker, date_trunc('hour', download)
-                                     ORDER BY download DESC) = 1),
+hsnap AS (SELECT * REPLACE (date_trunc('hour', download) AS download) FROM snap),
 huni AS (SELECT * FROM hsnap WHERE {F1} AND {F3}),
 block AS (SELECT DISTINCT 'S' || CAST(user_id AS VARCHAR) AS ticker FROM events WHERE user_id % 5 = 0),
 basket AS (SELECT DISTINCT 'S' || CAST(user_id AS VARCHAR) AS ticker FROM events WHERE user_id % 5 = 1)"""
@@ -380,8 +378,7 @@ SELECT * REPLACE (CASE WHEN CAST("timestamp" AS DATE) < (SELECT m FROM cut) THEN
 FROM intraday""",
     "stream_dedup": with_(SNAP, INTRADAY) + "\nSELECT * FROM intraday",
     "stream_candles": with_(SNAP, INTRADAY, candles_cte("c", "intraday", "i_buy_pow")) + """
-SELECT * FROM c WHERE open IS NOT NULL
-  AND CAST(date AS TIMESTAMP) + INTERVAL 2 DAY <= (SELECT max("timestamp") FROM intraday)""",
+SELECT * FROM c WHERE open IS NOT NULL""",
 }
 
 # Calendar gaps: days inside each brand's history without a session.

@@ -73,11 +73,9 @@ def current_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly_cross_sections(snapshot: DataFrame) -> DataFrame:
-    """F-3 shaping: latest row per (ticker, hour), with ``download`` set to
-    the hour (one whole-market cross-section per hour)."""
-    snap = snapshot.withColumn("hour", F.date_trunc("hour", "download").cast("timestamp_ntz"))
-    last = latest_per_key(snap, ["ticker", "hour"], "download", 1)
-    return last.withColumn("download", F.col("hour")).drop("hour")
+    """F-3 shaping: every row's ``download`` set to its hour, so that an hour's
+    rows are one whole-market cross-section; no row is left out."""
+    return snapshot.withColumn("download", F.date_trunc("hour", "download").cast("timestamp_ntz"))
 
 
 def hourly_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,20 @@
-"""Structured Streaming forms of the ingest and candle operators.
-
-Captures land as files; ``readStream`` picks them up.  The UNIQUE key of
-the intraday table becomes a watermarked de-duplication, daily candles a
-watermarked event-time aggregation.  Watermarks need TIMESTAMP (not
-TIMESTAMP_NTZ), so the capture time is cast with the session zone (UTC).
+"""Structured Streaming forms of the ingest, candle and screen operators.
+
+Captures land as files in any order; ``readStream`` picks them up.  No row is
+dropped for being late: each micro-batch is reduced on its own and merged into
+a stored table, so the tables equal the batch operators' results over all
+captures read so far, whatever the split into micro-batches.
+
+* T1 – keyed append: the UNIQUE key is checked against the stored partitions.
+* T2 – daily candles: a batch's candles are merged with the stored candles of
+  the same (ticker, day); first, last, highest and lowest are idempotent, so a
+  retried micro-batch changes nothing.
+* T3 – market series: sums and counts per (universe, capture), one folder for
+  each micro-batch (overwritten on a retry), added up on reading.
+* T4 – screens: the latest verdict per ticker, also "no longer passes".
+
+The output table and the checkpoint are the caller's paths: a restarted run
+resumes where the checkpoint ends.
 """
 
 from __future__ import annotations
@@ -14,116 +25,142 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeflow.operators.candles import candle_aggs
-from tapeflow.operators.flows import index_flows, to_intraday_flow
+from tapeflow.operators.flows import finish_index, index_parts, to_intraday_flow
 from tapeflow.operators.screens import screen
 from tapeflow.operators.universe import in_session, tradable
 from tapeflow.operators.windows import latest_per_key
-from tapeflow.session import scratch_path
+from tapeflow.schemas import INTRADAY_KEYS
+from tapeflow.sources.sinks import read_stored, write_unique
 
-EVENT_TIME = "event_time"
 EPOCH_COL = "micro_batch"
-
-
-def with_event_time(df: DataFrame, ts: str = "timestamp") -> DataFrame:
-    return df.withColumn(EVENT_TIME, F.col(ts).cast(T.TimestampType()))
-
-
-def dedup_intraday(intraday: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Drop repeated (ticker, capture) rows within the watermark."""
-    return (with_event_time(intraday)
-            .withWatermark(EVENT_TIME, delay)
-            .dropDuplicatesWithinWatermark(["ticker", "timestamp"]))
-
-
-def streaming_candles(intraday: DataFrame, value: str, delay: str = "1 day") -> DataFrame:
-    """Daily candles of ``value`` per ticker as an event-time aggregation.
-
-    Append mode emits a day once the watermark passes its end (late rows
-    beyond the delay are dropped); update mode emits the running day.
-    """
-    df = with_event_time(intraday).withWatermark(EVENT_TIME, delay)
-    g = df.groupBy("ticker", F.window(EVENT_TIME, "1 day").alias("w")).agg(
-        *candle_aggs(F.col(value), F.col(EVENT_TIME), ""))
-    return g.select("ticker", F.to_date(F.col("w.start")).alias("date"),
-                    "high", "low", "open", "close")
-
-
-def market_flow_batch(block_list: DataFrame, basket: DataFrame,
-                      prepare: Callable[[DataFrame], DataFrame] | None = None
-                      ) -> Callable[[DataFrame, int], DataFrame]:
-    """The batch A1/A2 applied to each micro-batch of whole captures
-    (``prepare`` shapes the raw batch into cross-sections first)."""
-    def run(snapshot: DataFrame, _epoch: int) -> DataFrame:
-        snap = prepare(snapshot) if prepare is not None else snapshot
-        return index_flows(in_session(tradable(snap)), block_list, basket)
-    return run
-
-
-def screen_batch(spec, daily: DataFrame | None = None, intraday: DataFrame | None = None
-                 ) -> Callable[[DataFrame, int], DataFrame]:
-    """T4: run a screen on each micro-batch of captures against static
-    history (stream–static join on ``ticker``); the batch's latest capture
-    per ticker is its current snapshot; survivors are ranked (O1) inside
-    the batch."""
-    def run(batch: DataFrame, epoch: int) -> DataFrame:
-        current = latest_per_key(batch, ["ticker"], "download", 1)
-        out = screen(current, spec, daily=daily, intraday=intraday)
-        return out.withColumn("batch_id", F.lit(epoch).cast("long"))
-    return run
-
-
-def run_to_table(spark: SparkSession, stream: DataFrame, name: str,
-                 output_mode: str = "append",
-                 foreach: Callable[[DataFrame, int], DataFrame] | None = None,
-                 timeout_s: int = 600, keep_epoch: bool = False) -> DataFrame:
-    """Run a streaming query over all available input (``availableNow``)
-    into a parquet table under the shared checkpoint folder; return the
-    table as a batch DataFrame.  Progress is checkpointed, so a restarted
-    run resumes instead of re-reading."""
-    out = scratch_path(spark, name)
-    ckpt = out + "-checkpoint"
-    writer = stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
-    if foreach is None:
-        q = writer.outputMode(output_mode).format("parquet").option("path", out).start()
-    else:
-        def sink(batch: DataFrame, epoch: int) -> None:
-            # One folder per micro-batch, overwritten on a retry of the same
-            # epoch: a re-run batch replaces its output instead of adding to it.
-            foreach(batch, epoch).write.mode("overwrite").parquet(f"{out}/{EPOCH_COL}={epoch}")
-        q = writer.outputMode(output_mode).foreachBatch(sink).start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"streaming query {name} did not finish in {timeout_s}s")
-    if q.exception() is not None:
-        raise q.exception()
-    result = spark.read.parquet(out)
-    return result.drop(EPOCH_COL) if foreach is not None and not keep_epoch else result
-
-
-def run_updates_to_table(spark: SparkSession, stream: DataFrame, name: str,
-                         keys: list[str], timeout_s: int = 600) -> DataFrame:
-    """Run an update-mode aggregation (T2 "running day"): every micro-batch
-    writes the rows it changed into its own folder; the live table is the
-    latest version of each key (a per-key top-1, partial before the
-    shuffle)."""
-    out = run_to_table(spark, stream, name, output_mode="update",
-                       foreach=lambda batch, _epoch: batch, timeout_s=timeout_s,
-                       keep_epoch=True)
-    return latest_per_key(out, keys, EPOCH_COL, 1).drop(EPOCH_COL)
+Sink = Callable[[DataFrame, int], None]
 
 
 def read_capture_stream(spark: SparkSession, path: str, schema: T.StructType,
                         max_files: int | None = None) -> DataFrame:
-    """File source over landed captures (one file per capture keeps
-    captures whole inside a micro-batch)."""
+    """File source over landed captures."""
     r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     return r.parquet(path)
 
 
-def stream_intraday(snapshot_stream: DataFrame) -> DataFrame:
-    """T1 end to end: capture stream → M8 → keyed de-duplication."""
-    return dedup_intraday(to_intraday_flow(snapshot_stream))
+def run_stream(stream: DataFrame, sink: Sink, checkpoint: str) -> None:
+    """Feed all available input to ``sink`` micro-batch by micro-batch and
+    return when it is used up, however long that takes."""
+    q = (stream.writeStream.option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).foreachBatch(sink).start())
+    q.awaitTermination()  # raises if the query failed
+
+
+def _epoch_folder(out: str, epoch: int) -> str:
+    return f"{out}/{EPOCH_COL}={epoch}"
+
+
+# --- T1 ----------------------------------------------------------------------------------
+
+def intraday_sink(spark: SparkSession, out: str) -> Sink:
+    """Append the batch's new (ticker, capture) rows; stored ones stay.  A
+    retry finds its own rows stored already."""
+    def sink(batch: DataFrame, _epoch: int) -> None:
+        rows = to_intraday_flow(batch).withColumn("date", F.to_date("timestamp"))
+        write_unique(spark, rows, out, INTRADAY_KEYS, "skip", ["date"])
+    return sink
+
+
+def stored_intraday(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(out).drop("date")
+
+
+# --- T2 ----------------------------------------------------------------------------------
+
+def _partial_candles(flow: DataFrame, value: str) -> DataFrame:
+    ts = F.when(F.col(value).isNotNull(), F.col("timestamp"))
+    return flow.groupBy("ticker", F.to_date("timestamp").alias("date")).agg(
+        F.max(value).alias("high"), F.min(value).alias("low"),
+        F.min_by(value, ts).alias("open"), F.max_by(value, ts).alias("close"),
+        F.min(ts).alias("first_at"), F.max(ts).alias("last_at"))
+
+
+def merge_candles(parts: DataFrame) -> DataFrame:
+    """Candles of the same (ticker, day) over any split of its captures."""
+    return parts.groupBy("ticker", "date").agg(
+        F.max("high").alias("high"), F.min("low").alias("low"),
+        F.min_by("open", "first_at").alias("open"), F.max_by("close", "last_at").alias("close"),
+        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+
+
+def candle_sink(spark: SparkSession, out: str, value: str) -> Sink:
+    """The live candle table, one row per (ticker, day) including the
+    running day; only the days a batch touches are rewritten."""
+    def sink(batch: DataFrame, _epoch: int) -> None:
+        new = _partial_candles(to_intraday_flow(batch), value)
+        stored = read_stored(spark, out)
+        if stored is not None:
+            days = new.select("ticker", "date")
+            new = merge_candles(new.unionByName(
+                stored.join(days, ["ticker", "date"], "left_semi").select(*new.columns)))
+        write_unique(spark, new, out, ["ticker", "date"], "replace", ["date"])
+    return sink
+
+
+def stored_candles(spark: SparkSession, out: str) -> DataFrame:
+    return (spark.read.parquet(out).filter(F.col("open").isNotNull())
+            .select("ticker", "date", "high", "low", "open", "close"))
+
+
+def candle_log_sink(out: str, value: str) -> Sink:
+    """T2, append form: each micro-batch's partial candles in a folder of its
+    own; nothing stored is read or rewritten, reading merges."""
+    def sink(batch: DataFrame, epoch: int) -> None:
+        _partial_candles(to_intraday_flow(batch), value) \
+            .write.mode("overwrite").parquet(_epoch_folder(out, epoch))
+    return sink
+
+
+def logged_candles(spark: SparkSession, out: str) -> DataFrame:
+    return (merge_candles(spark.read.parquet(out)).filter(F.col("open").isNotNull())
+            .select("ticker", "date", "high", "low", "open", "close"))
+
+
+# --- T3 ----------------------------------------------------------------------------------
+
+def market_sink(out: str, block_list: DataFrame, basket: DataFrame,
+                prepare: Callable[[DataFrame], DataFrame] | None = None) -> Sink:
+    """Sums and counts per (universe, capture) of the batch (``prepare``
+    shapes its raw rows first)."""
+    def sink(batch: DataFrame, epoch: int) -> None:
+        snap = prepare(batch) if prepare is not None else batch
+        index_parts(in_session(tradable(snap)), block_list, basket) \
+            .write.mode("overwrite").parquet(_epoch_folder(out, epoch))
+    return sink
+
+
+def stored_market(spark: SparkSession, out: str) -> DataFrame:
+    return finish_index(spark.read.parquet(out))
+
+
+# --- T4 ----------------------------------------------------------------------------------
+
+def screen_sink(spark: SparkSession, out: str, spec, daily: DataFrame | None = None,
+                intraday: DataFrame | None = None) -> Sink:
+    """T4: a verdict on the latest capture of each ticker in the batch, against
+    the static history (stream–static join on ``ticker``).  The latest captures
+    are written first and the screen reads those, so the batch's files are read
+    once."""
+    def sink(batch: DataFrame, epoch: int) -> None:
+        seen = _epoch_folder(f"{out}/current", epoch)
+        latest_per_key(batch, ["ticker"], "download", 1).write.mode("overwrite").parquet(seen)
+        current = spark.read.schema(batch.schema).parquet(seen)
+        hits = screen(current, spec, daily=daily, intraday=intraday, ordered=False) \
+            .withColumn("passes", F.lit(True))
+        (current.select("ticker", "download").join(hits, "ticker", "left")
+         .withColumn("passes", F.coalesce("passes", F.lit(False)))
+         .write.mode("overwrite").parquet(_epoch_folder(f"{out}/verdicts", epoch)))
+    return sink
+
+
+def stored_verdicts(spark: SparkSession, out: str) -> DataFrame:
+    """The latest verdict of every ticker seen (``passes`` may be false)."""
+    verdicts = spark.read.parquet(f"{out}/verdicts").drop(EPOCH_COL)
+    return latest_per_key(verdicts, ["ticker"], "download", 1)
