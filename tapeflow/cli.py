@@ -28,6 +28,7 @@ from tapeflow.operators.windows import latest_per_key
 from tapeflow.plans import jobs, reports
 from tapeflow.plans.screens import CANDLE_CANDIDATES, SPECS
 from tapeflow.session import get_spark
+from tapeflow.sources.sinks import read_stored
 from tapeflow.sources.snapshots import latest_capture, quarantine, read_flow, read_snapshots
 
 
@@ -35,16 +36,23 @@ def _captures(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     opts = {"header": "true"} if a.format == "csv" else {}
     snap = quarantine(read_snapshots(spark, a.captures, fmt=a.format,
                                      index_name=a.index_name, **opts))[0]
-    return latest_capture(snap) if getattr(a, "latest_only", False) else snap
+    return snap
+
+
+def _current(spark: SparkSession, a) -> DataFrame:
+    """The snapshot a screen sees: the newest capture, as the reference's
+    replaced table; with ``--all-captures`` the latest row of every ticker
+    ever landed."""
+    snap = _captures(spark, a)
+    return latest_per_key(snap if a.all_captures else latest_capture(snap), ["ticker"], "download", 1)
 
 
 def _tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     out = {}
     for kind in ("daily", "intraday", "index"):
-        try:
-            out[kind] = read_flow(spark, os.path.join(root, kind), kind)
-        except Exception:  # noqa: BLE001 - table not built yet
-            continue
+        path = os.path.join(root, kind)
+        if read_stored(spark, path) is not None:
+            out[kind] = read_flow(spark, path, kind)
     return out
 
 
@@ -64,7 +72,7 @@ def cmd_ingest(spark, a):
 
 
 def cmd_screen(spark, a):
-    current = latest_per_key(_captures(spark, a), ["ticker"], "download", 1)
+    current = _current(spark, a)
     t = _tables(spark, a.root)
     if a.name == "all":
         result = run_screens(current, SPECS.values(), daily=t.get("daily"),
@@ -95,7 +103,7 @@ def cmd_report(spark, a):
         frames = {"candles": reports.market_candles(t["index"]),
                   "last_session": reports.market_last_session(t["index"])}
     else:
-        current = latest_per_key(_captures(spark, a), ["ticker"], "download", 1)
+        current = _current(spark, a)
         survivors = screen(current, CANDLE_CANDIDATES, daily=t["daily"], ordered=False)
         picked = survivors.select("ticker")
         frames = {"buy_power_candles": reports.screened_candles(survivors, t["intraday"], t["daily"]),
@@ -127,8 +135,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--root", required=True)
     s.add_argument("--out", required=True)
     s.add_argument("--show", type=int, default=0)
-    s.add_argument("--latest-only", action="store_true",
-                   help="screen only the newest capture instead of the latest row per ticker")
+    s.add_argument("--all-captures", action="store_true",
+                   help="screen the latest row of every ticker ever landed, not the newest capture")
     s.set_defaults(run=cmd_screen)
 
     r = sub.add_parser("report")
@@ -136,6 +144,8 @@ def parser() -> argparse.ArgumentParser:
     captures(r, required=False)
     r.add_argument("--root", required=True)
     r.add_argument("--out", required=True)
+    r.add_argument("--all-captures", action="store_true",
+                   help="candidates from the latest row of every ticker ever landed")
     r.add_argument("--tickers", default=None, help="comma-separated watchlist (stock report)")
     r.set_defaults(run=cmd_report)
     return p

@@ -63,6 +63,8 @@ def typed_snapshot(raw: DataFrame) -> DataFrame:
         # failing the whole job (ANSI casts raise).
         c = c.try_cast(f.dataType) if src_type == "string" else c.cast(f.dataType)
         cols.append(c.alias(f.name))
+    if "capture_date" in raw.columns:  # the landed table's partition column
+        cols.append(F.col("capture_date"))
     return raw.select(*cols)
 
 
