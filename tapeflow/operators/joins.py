@@ -1,16 +1,9 @@
 """Joins against key lists (ticker lists, screen survivors).
 
-No unconditional ``broadcast()`` hint: a list is broadcast only when its
-size is known to be small.
-
-* A list given as Python values (``ticker_frame``) has an exact size, so a
-  short one is hinted for broadcast (``MAX_BROADCAST_ROWS``).
-* A list derived from data (e.g. tickers read from a big table) carries no
-  hint.  The planner broadcasts it if its size estimate is under
-  ``spark.sql.autoBroadcastJoinThreshold``; otherwise both sides are
-  shuffled on the key, and AQE still switches to a broadcast at run time
-  when the measured shuffle output of the list turns out small.  No extra
-  counting job runs over the source.
+No list is hinted for broadcast.  A list given as Python values becomes a
+literal relation on the JVM side, so the planner knows its size in bytes; one
+derived from data is judged by the planner's estimate, and AQE still switches
+to a broadcast at run time when its measured shuffle output is small.
 """
 
 from __future__ import annotations
@@ -20,17 +13,13 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A literal list of at most this many tickers is hinted for broadcast
-# (a one-column string table of this size is a few MB).
-MAX_BROADCAST_ROWS = 200_000
-
 
 def ticker_frame(spark: SparkSession, tickers: Iterable[str]) -> DataFrame:
-    """A one-column ``ticker`` table from Python values; broadcast-hinted
-    when it is short (its size is known exactly)."""
-    rows = [(t,) for t in dict.fromkeys(tickers)]
-    df = spark.createDataFrame(rows, "ticker string")
-    return F.broadcast(df) if len(rows) <= MAX_BROADCAST_ROWS else df
+    """A one-column ``ticker`` table from Python values, folded into the plan
+    as a literal relation."""
+    values = list(dict.fromkeys(tickers))
+    array = F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+    return spark.range(1).select(F.explode(array).alias("ticker"))
 
 
 def keep_keys(df: DataFrame, keys_df: DataFrame, on: Sequence[str] | str = "ticker") -> DataFrame:
