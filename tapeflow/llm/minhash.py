@@ -18,8 +18,10 @@ a list is compared with one member of nearly its size (a star), links are
 verified and components found.  What is left are pairs across components: in
 short lists by a self-join, in long ones by pairs of blocks of bounded size,
 each a task group that counts common sketch values and returns the few pairs
-which may still link.  So no pair is skipped, and none is listed that is
-linked already.
+which may still link.  Where most pairs may, the group compares full sets
+instead and returns a spanning forest of the links it finds (on 48 bits of
+each hash; the forest's links are verified like all others).  So no pair is
+skipped, and none is listed that is linked already.
 
 Texts are read once for the sketches and again to verify; full sets are made
 where a pair is verified and never stored.
@@ -52,6 +54,8 @@ PERCENT = 75            # Jaccard similarity, in hundredths
 SIGMAS = 4.0
 SHORT_LIST = 48         # longer lists are paired in blocks
 BLOCK = 1024
+DENSE = 4               # possible pairs per member from which full sets are compared
+COLUMNS = 4096          # width of a 0/1 matrix
 CACHED_SETS = 64        # full sets that a verifying task remembers
 _HASHES = WordHashes()  # per Python worker
 
@@ -139,48 +143,106 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values sets ``a`` and ``b`` have in common, pair by pair, as a
+    product of 0/1 matrices over the values that occur twice here."""
+    values, which = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    often = np.flatnonzero(np.bincount(which) > 1)
+    column = np.full(len(values), -1)
+    column[often] = np.arange(len(often))
+    use = column[which] >= 0
+    owner, at = owner[use], column[which][use]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for lo in range(0, len(often), COLUMNS):
+        here = (at >= lo) & (at < lo + COLUMNS)
+        m = np.zeros((len(sets), min(COLUMNS, len(often) - lo)), np.float32)
+        m[owner[here], at[here] - lo] = 1
+        out += m[a] @ m[b].T
+    return out
+
+
+def _open_pairs(pdf: pd.DataFrame, percent: int):
+    """Positions of the two sides of a block pair, and which pairs are still
+    to be judged: of different components, of fitting size and rank."""
+    side, size = pdf["side"].to_numpy(), pdf["size"].to_numpy(np.int64)
+    rank, part = pdf["rank"].to_numpy(), pdf["component"].to_numpy(np.int64)
+    same = bool(pdf["lo"].iat[0] == pdf["hi"].iat[0])
+    a = np.arange(len(pdf)) if same else np.flatnonzero(side == 0)
+    b = a if same else np.flatnonzero(side == 1)
+    ok = (part[a][:, None] != part[b][None, :]) \
+        & (rank[a][:, None] + rank[b][None, :] < RANKS) \
+        & (100 * np.minimum(size[a][:, None], size[b][None, :])
+           >= percent * np.maximum(size[a][:, None], size[b][None, :]))
+    return a, b, np.triu(ok, 1) if same else ok
+
+
 def _cross_block(percent: int):
-    """Pairs of one long list (a block, or two) that may link: of different
-    components, of fitting size and rank, with enough common sketch values."""
+    """Pairs of one long list (a block, or two) that may link by their sketches.
+    Where nearly all may, as in a large group of near copies, the members are
+    returned instead (without ``b``), for their full sets to be compared."""
     t = percent / 100
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        same = bool(pdf["lo"].iat[0] == pdf["hi"].iat[0])
-        side = pdf["side"].to_numpy()
+        node, size = pdf["node"].to_numpy(np.int64), pdf["size"].to_numpy(np.int64)
         sketches = [np.frombuffer(s, np.int64) for s in pdf["sketch"]]
+        a, b, ok = _open_pairs(pdf, percent)
+        x = y = np.empty(0, np.int64)
+        dense = False
+        if ok.any():
+            n = np.minimum(SKETCH, np.maximum(size[a][:, None], size[b][None, :]))
+            ok &= _common(sketches, a, b) >= np.floor(
+                (t - SIGMAS * np.sqrt(t * (1 - t) / n)) * n)
+            dense = ok.sum() > DENSE * (len(a) + len(b))
+            if dense:
+                x = np.union1d(node[a[ok.any(1)]], node[b[ok.any(0)]])
+            else:
+                i, j = np.nonzero(ok)
+                keep = [k for k in range(len(i)) if _possible(
+                    sketches[a[i[k]]], sketches[b[j[k]]], size[a[i[k]]], size[b[j[k]]], percent)]
+                x, y = node[a[i[keep]]], node[b[j[keep]]]
+                x, y = np.minimum(x, y), np.maximum(x, y)
+        other = pd.array([pd.NA] * len(x) if dense else y, dtype="Int64")
+        return pd.DataFrame({"value": np.full(len(x), pdf["value"].iat[0]), "a": x, "b": other})
+    return run
+
+
+def _packed_sets(batches):
+    """Full sets with 48 of each hash's 64 bits."""
+    for batch in batches:
+        sets = [shingle_set(t, _HASHES, WIDTH).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+                for t in batch["text"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.binary())],
+                                         names=["node", "full"])
+
+
+def _unpacked(full: bytes) -> np.ndarray:
+    six = np.frombuffer(full, np.uint8).reshape(-1, 6)
+    return np.hstack([np.zeros((len(six), 2), np.uint8), six]).view(np.int64).ravel()
+
+
+def _exact_block(percent: int):
+    """Links of a block pair on full sets, as a spanning forest of them."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         node, size = pdf["node"].to_numpy(np.int64), pdf["size"].to_numpy(np.int64)
-        rank, part = pdf["rank"].to_numpy(), pdf["component"].to_numpy(np.int64)
-        a = np.arange(len(pdf)) if same else np.flatnonzero(side == 0)
-        b = a if same else np.flatnonzero(side == 1)
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        ok = (part[a][:, None] != part[b][None, :]) \
-            & (rank[a][:, None] + rank[b][None, :] < RANKS) \
-            & (100 * np.minimum(size[a][:, None], size[b][None, :])
-               >= percent * np.maximum(size[a][:, None], size[b][None, :]))
-        if same:
-            ok = np.triu(ok, 1)
-        # Common values: only those that occur twice here can be common.
-        values, which = np.unique(np.concatenate(sketches), return_inverse=True)
-        owner = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
-        often = np.flatnonzero(np.bincount(which) > 1)
-        column = np.full(len(values), -1)
-        column[often] = np.arange(len(often))
-        use = column[which] >= 0
-        common = np.zeros(ok.shape, np.float32)
-        for lo in range(0, len(often), 4096):  # bounded width of the 0/1 matrix
-            c = column[which[use]] - lo
-            here = (c >= 0) & (c < 4096)
-            m = np.zeros((len(sketches), min(4096, len(often) - lo)), np.float32)
-            m[owner[use][here], c[here]] = 1
-            common += m[a] @ m[b].T
-        n = np.minimum(SKETCH, np.maximum(size[a][:, None], size[b][None, :]))
-        ok &= common >= np.floor((t - SIGMAS * np.sqrt(t * (1 - t) / n)) * n)
-        i, j = np.nonzero(ok)
-        keep = [k for k in range(len(i)) if _possible(
-            sketches[a[i[k]]], sketches[b[j[k]]], size[a[i[k]]], size[b[j[k]]], percent)]
-        x, y = node[a[i[keep]]], node[b[j[keep]]]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        a, b, ok = _open_pairs(pdf, percent)
+        edges: list[tuple[int, int]] = []
+        if ok.any():
+            common = _common([_unpacked(f) for f in pdf["full"]], a, b)
+            ok &= 100 * common >= percent * (size[a][:, None] + size[b][None, :] - common)
+            top = list(range(len(pdf)))
+
+            def root(k: int) -> int:
+                while top[k] != k:
+                    top[k] = top[top[k]]
+                    k = top[k]
+                return k
+            for i, j in zip(a[np.nonzero(ok)[0]].tolist(), b[np.nonzero(ok)[1]].tolist(),
+                            strict=True):
+                if root(i) != root(j):
+                    top[root(j)] = root(i)
+                    edges.append((min(node[i], node[j]), max(node[i], node[j])))
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
     return run
 
 
@@ -229,21 +291,35 @@ def _short_pairs(short: DataFrame, percent: int) -> DataFrame:
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
 
 
-def _long_pairs(long: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components within long lists, by blocks of bounded size."""
-    lists = long.groupBy("value").agg(
+def _dealt(members: DataFrame, payload: DataFrame, column: str) -> DataFrame:
+    """(value, lo, hi) groups of a list's members with their ``payload``:
+    every pair of blocks of about ``BLOCK`` members."""
+    blocks = members.groupBy("value").agg(
         F.min("component").alias("c0"), F.max("component").alias("c1"),
-        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    open_ = lists.filter(F.col("c0") != F.col("c1")).select("value", "blocks")
-    dealt = (long.join(open_, "value")
-             .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-             .join(rows.select("doc_id", "sketch"), F.col("node") == F.col("doc_id"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("value", "node", "size", "rank", "component", "sketch",
-                     F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
-                     F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")))
-    return dealt.groupBy("value", "lo", "hi").applyInPandas(
-        _cross_block(percent), "a long, b long").distinct()
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")) \
+        .filter(F.col("c0") != F.col("c1")).select("value", "blocks")
+    return (members.join(blocks, "value").join(payload, "node")
+            .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("value", "node", "size", "rank", "component", column,
+                    F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+                    F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+            .groupBy("value", "lo", "hi"))
+
+
+def _long_pairs(long: DataFrame, rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components within long lists that link or may link."""
+    sketches = rows.select(F.col("doc_id").alias("node"), "sketch")
+    found = stored(_dealt(long, sketches, "sketch").applyInPandas(
+        _cross_block(percent), "value long, a long, b long"), "long-pairs")
+    dense = found.filter(F.col("b").isNull()).select("value", F.col("a").alias("node")).distinct()
+    need = dense.select(F.col("node").alias("__llm_node")).distinct()
+    full = texts.join(need, F.col("doc_id") == F.col("__llm_node")) \
+        .select(F.col("doc_id").alias("node"), "text") \
+        .mapInArrow(_packed_sets, "node long, full binary")
+    forest = _dealt(long.join(dense, ["value", "node"], "left_semi"), full, "full") \
+        .applyInPandas(_exact_block(percent), "a long, b long")
+    return found.filter(F.col("b").isNotNull()).select("a", "b").unionByName(forest).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -273,7 +349,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     # Then every pair across components.
     short = _likely_pairs(_short_pairs(placed.filter(~is_long), percent), reps, percent)
-    long = _long_pairs(placed.filter(is_long), reps, percent)
+    long = _long_pairs(placed.filter(is_long), reps, texts, percent)
     rest = stored(short.unionByName(long).distinct(), "pairs")
     links = stored(_links(rest, texts, percent), "rest-links")
 
