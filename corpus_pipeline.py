@@ -38,7 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with its secrets replaced (and n_chars made to agree)."""
-    scan = secrets.scanned(docs, secrets.train(docs), docs.columns)
+    runs = secrets.with_runs(docs, docs.columns)
+    scan = secrets.scanned(runs, secrets.train(runs))
     clean = scan.withColumn("text", secrets.redacted(scan))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(

@@ -26,8 +26,8 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return secrets.report(secrets.scanned(docs, secrets.train(docs), ["doc_id"]))
+    runs = secrets.with_runs(table(spark, sf_dir, "documents"), ["doc_id"], text=False)
+    return secrets.report(secrets.scanned(runs, secrets.train(runs)))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

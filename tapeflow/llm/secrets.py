@@ -29,6 +29,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeflow.llm.common import stored
+
 # Fixed values of the base scan.
 ASSIGN = (r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?"
           r"([A-Za-z0-9+/_.=-]+)")
@@ -77,9 +79,12 @@ def base_spans(text: Column) -> dict[str, Column]:
     assignment's value is judged after the match, as a short one uses it up."""
     hexes = f"[0-9a-f]{{{HEX_LENGTH},}}"
     access = f"AKIA[A-Z0-9]{{{ACCESS_LENGTH - 4},}}"
-    assign = _spans(_cut(text, ASSIGN, text.rlike(ASSIGN), 4))
+    # A plain search for a character that every match has comes first.
+    sign = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
+    assign = _spans(_cut(text, ASSIGN, sign & text.rlike(ASSIGN), 4))
     return {"assign": F.filter(assign, lambda s: F.length(s["value"]) >= ASSIGN_VALUE),
-            "access": _spans(_cut(text, access, text.rlike(access))),
+            "access": _spans(_cut(text, access, F.contains(text, F.lit("AKIA"))
+                                  & text.rlike(access))),
             "hex": _spans(_cut(text, hexes, text.rlike(hexes)))}
 
 
@@ -95,15 +100,18 @@ def _worked_out(d: DataFrame, **columns: Column) -> DataFrame:
         *(c.alias(name) for name, c in columns.items())))))
 
 
-def with_runs(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns, base spans and the other runs of key characters."""
-    text = F.col("__llm_text")
+def with_runs(docs: DataFrame, keep: list[str], text: bool = True) -> DataFrame:
+    """``keep`` columns, the spans of each base kind and the other runs of key
+    characters, stored: training and scanning both start from here, so a text
+    is searched once.  The text itself is kept if asked for."""
+    t = F.col("__llm_text")
     d = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__llm_text"))
-    d = _worked_out(d, **{f"__llm_{k}": s for k, s in base_spans(text).items()},
-                    __llm_runs=_spans(_cut(text, RUN, text.rlike(RUN))))
+    d = _worked_out(d, **{f"__llm_{k}": s for k, s in base_spans(t).items()},
+                    __llm_runs=_spans(_cut(t, RUN, t.rlike(RUN))))
     d = _worked_out(d, __llm_base=F.concat("__llm_assign", "__llm_access", "__llm_hex"))
-    return _worked_out(d, __llm_free=F.filter(
-        "__llm_runs", lambda r: ~_near(r, F.col("__llm_base"))))
+    d = _worked_out(d, __llm_free=F.filter(
+        "__llm_runs", lambda r: ~_near(r, F.col("__llm_base")))).drop("__llm_runs")
+    return stored(d if text else d.drop("__llm_text"), "secret-runs")
 
 
 def _states(run: Column) -> Column:
@@ -122,9 +130,9 @@ def _moves(run: Column) -> Column:
                       lambda a, b: a * STATES + b)
 
 
-def train(docs: DataFrame) -> list[float]:
-    """Log ratio random : ordinary of every transition, from the whole corpus."""
-    d = with_runs(docs, ["doc_id"])
+def train(runs: DataFrame) -> list[float]:
+    """Log ratio random : ordinary of every transition, from the runs of the
+    whole corpus (``with_runs``, keeping doc_id)."""
     values = F.transform("__llm_base", lambda s: F.struct(F.lit(1).alias("random"),
                                                          s["value"].alias("run")))
     plain = F.transform(F.filter("__llm_free", lambda r: r["value"].rlike(ORDINARY)),
@@ -132,7 +140,7 @@ def train(docs: DataFrame) -> list[float]:
     digest = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), 256)
     made = F.array(*(F.struct(F.lit(1).alias("random"), x.alias("run")) for x in (
         digest, F.upper(digest), F.regexp_replace(F.base64(F.unhex(digest)), r"[\r\n]", ""))))
-    moves = (d.select(F.explode(F.concat(values, plain, made)).alias("s"))
+    moves = (runs.select(F.explode(F.concat(values, plain, made)).alias("s"))
              .select("s.random", F.explode(_moves(F.col("s.run"))).alias("move"))
              .groupBy("random", "move").agg(F.count(F.lit(1)).alias("n")))
     count = [[0] * (STATES * STATES) for _ in range(2)]
@@ -148,11 +156,10 @@ def train(docs: DataFrame) -> list[float]:
     return out
 
 
-def scanned(docs: DataFrame, model: list[float], keep: list[str],
-            least_ratio: float = LEAST_RATIO) -> DataFrame:
-    """``keep`` columns, the text and ``__llm_spans``: all spans by start, then
-    kind as listed, as array<struct<start, rank, end>> (rank: place in KINDS);
-    ``__llm_n`` has the number of each kind."""
+def scanned(runs: DataFrame, model: list[float], least_ratio: float = LEAST_RATIO) -> DataFrame:
+    """``runs`` (see ``with_runs``) and ``__llm_spans``: all spans by start,
+    then kind as listed, as array<struct<start, rank, end>> (rank: place in
+    KINDS); ``__llm_n`` has the number of each kind."""
     ratios = F.expr("array(" + ",".join(f"{x!r}D" for x in model) + ")")  # a folded literal
 
     def ratio(run: Column) -> Column:
@@ -164,7 +171,7 @@ def scanned(docs: DataFrame, model: list[float], keep: list[str],
         return F.transform(f"__llm_{KINDS[rank]}", lambda s: F.struct(
             s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end")))
 
-    d = _worked_out(with_runs(docs, keep), __llm_markov=F.filter(
+    d = _worked_out(runs, __llm_markov=F.filter(
         "__llm_free", lambda r: ratio(r["value"]) >= least_ratio))
     return _worked_out(
         d, __llm_spans=F.array_sort(F.concat(*map(placed, range(len(KINDS))))),
