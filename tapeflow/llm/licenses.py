@@ -52,7 +52,7 @@ DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GRAM, LONG_GRAM = 2, 4
 LEAST_SHARE = 0.6   # of a notice's 4-grams
 DRIFT = 2           # diagonals further apart are not one span
-GAP = 4             # words between the votes of one span, at most
+GAP = 8             # words from one vote of a span to the next, at most
 
 
 def template_table(spark: SparkSession) -> DataFrame:
