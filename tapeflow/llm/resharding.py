@@ -84,20 +84,25 @@ def min_cost_flow(supply: Sequence[int], capacity: Sequence[int],
     return flow
 
 
-def equal_capacities(total: int, fixed: Sequence[int]) -> list[int]:
-    """What each shard may still take so that all end level: water filled to
-    one height over the ``fixed`` loads; ``total`` is given out to the byte."""
-    order = sorted(range(len(fixed)), key=lambda j: fixed[j])
-    level, used = 0, total
-    for k, j in enumerate(order):
-        rest = total + sum(fixed[i] for i in order[:k + 1])
-        level, used = rest // (k + 1), k + 1
-        if k + 1 == len(order) or level <= fixed[order[k + 1]]:
+def water_level(total: int, loads: Sequence[int]) -> int:
+    """The height to which ``total`` more bytes fill shards of these loads."""
+    used, height = 0, 0
+    for k, load in enumerate(sorted(loads), 1):
+        if k > 1 and load >= height:
             break
-    out = [max(0, level - fixed[j]) for j in range(len(fixed))]
-    for j in order[:used]:
-        extra = min(1, total - sum(out)) if total > sum(out) else 0
-        out[j] += extra
+        used += load
+        height = (total + used) // k
+    return height
+
+
+def equal_capacities(total: int, loads: Sequence[int]) -> list[int]:
+    """What each shard may still take so that all end level; ``total`` is
+    given out to the byte."""
+    level = water_level(total, loads)
+    out = [max(0, level - x) for x in loads]
+    rest = total - sum(out)
+    for j in sorted(range(len(loads)), key=lambda j: loads[j])[:rest]:
+        out[j] += 1
     return out
 
 
@@ -136,12 +141,15 @@ def reshard_plan(keys: DataFrame, shards: int = NEW_SHARDS, old_shards: int = OL
     # Bounded: fewer than shards × LARGE_PARTS rows are above the limit.
     large = ranked.filter(F.col("size") > limit).select(
         "size", "old_shard", "__llm_rank").collect()
-    load = [0] * shards
+    load, rest = [0] * shards, total
     placed = []
     for r in sorted(large, key=lambda r: (-r[0], r[1], r[2])):
-        own = r[1] if r[1] < shards and (load[r[1]] + r[0]) * shards <= total else None
-        to = own if own is not None else min(range(shards), key=lambda j: (load[j], j))
+        # It stays if its own shard then still ends level with the others.
+        to = r[1]
+        if to >= shards or load[to] + r[0] > water_level(rest, load):
+            to = min(range(shards), key=lambda j: (load[j], j))
         load[to] += r[0]
+        rest -= r[0]
         placed.append({"o": r[1], "k": r[2], "j": to})
     small = [sizes.get(i, (0, 0))[0] for i in range(old_shards)]
     for r in large:
