@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tapeflow.llm import minhash, mixing, packing, quality, secrets
 from tapeflow.llm.common import ship_code, stored, table
 
-PARTITION_BYTES = 16 * 1024 * 1024
+FILE_BYTES = 32 * 1024 * 1024  # of text, in a file of the mixture
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,14 +51,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, in the order of the mixture: the files follow the
     schedule's slots, and so do the rows in each file."""
-    mixture = mixing.mixed(docs, keep=True)
-    slots, size = stored(mixture.select("__llm_slot", F.octet_length(F.coalesce(
-        F.col("text"), F.lit(""))).cast("long").alias("size")), "slots").agg(
-        F.coalesce(F.max("__llm_slot") + 1, F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    parts = max(1, min(int(slots), -(-int(size) // PARTITION_BYTES)))
-    each = -(-int(slots) // parts)
+    mixture, slots = mixing.mixed_rows(docs)
+    each = max(1, FILE_BYTES // mixing.BLOCK_BYTES)  # slots of one file
+    files = max(1, -(-slots // each))
     file = F.floor(F.col("__llm_slot") / each).cast("int")
-    return (mixture.repartitionById(parts, file)
+    return (mixture.repartitionById(files, file)
             .sortWithinPartitions("__llm_slot", "__llm_place").select(*docs.columns))
 
 

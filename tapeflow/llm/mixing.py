@@ -98,11 +98,22 @@ def schedule(blocks: Mapping, weights: Mapping, quantum: int) -> tuple[list[dict
 
 
 def mixed(docs: DataFrame, weights: Mapping | None = None, block_bytes: int = BLOCK_BYTES,
-          quantum: int = QUANTUM, source: str = "source", keep: bool = False) -> DataFrame:
-    """Order of the mixture: per row ``block`` (of its source), ``phase``,
-    ``slot`` (of the schedule) and ``place`` (inside the slot), with doc_id and
-    source, or with all input columns if ``keep`` (then the four are prefixed
-    ``__llm_``).  Sort by slot, place to read the mixture."""
+          quantum: int = QUANTUM, source: str = "source") -> DataFrame:
+    """Order of the mixture: per row its doc_id, source, size, ``block`` (of
+    its source), ``phase``, ``slot`` (of the schedule) and ``place`` (inside
+    the slot).  Sort by slot, place to read the mixture."""
+    return _mixed(docs, weights, block_bytes, quantum, source, False)[0]
+
+
+def mixed_rows(docs: DataFrame, weights: Mapping | None = None, block_bytes: int = BLOCK_BYTES,
+               quantum: int = QUANTUM, source: str = "source") -> tuple[DataFrame, int]:
+    """All columns of ``docs`` with ``__llm_slot`` and ``__llm_place``, and the
+    number of slots."""
+    return _mixed(docs, weights, block_bytes, quantum, source, True)
+
+
+def _mixed(docs: DataFrame, weights: Mapping | None, block_bytes: int, quantum: int, source: str,
+           keep: bool) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("-"))
     size = F.greatest(F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))),
@@ -143,8 +154,9 @@ def mixed(docs: DataFrame, weights: Mapping | None = None, block_bytes: int = BL
                        + F.floor(turn / F.col("__llm_quota")) * quantum)
            .withColumn("__llm_place", F.col("__llm_rank")))
     if keep:
-        return out.select(*docs.columns, "__llm_slot", "__llm_place")
+        return out.select(*docs.columns, "__llm_slot", "__llm_place"), sum(blocks.values())
     return out.select("doc_id", F.col(source).alias("source"),
                       F.col("__llm_size").alias("size"),
                       F.col("__llm_block").alias("block"), F.col("__llm_p").alias("phase"),
-                      F.col("__llm_slot").alias("slot"), F.col("__llm_place").alias("place"))
+                      F.col("__llm_slot").alias("slot"), F.col("__llm_place").alias("place")), \
+        sum(blocks.values())
