@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeflow.functions import metrics as M
@@ -87,18 +87,36 @@ def latest_divergence(intraday: DataFrame) -> DataFrame:
     return flow_candles(last_session(intraday)).filter(divergence_predicate())
 
 
-def snapshot_stage(snapshot: DataFrame, spec: ScreenSpec) -> DataFrame:
-    """First stage: universe, flow thresholds, lock and limit state."""
-    df = U.tradable(snapshot, drop_base=spec.drop_base)
-    df = U.flow_filter(df, spec.min_pow, spec.min_buy, spec.min_sell, spec.max_sell)
-    df = U.not_locked(df, spec.locked_by)
+def stage_predicate(spec: ScreenSpec) -> Column:
+    """The first-stage test of a screen (universe, flow thresholds, lock and
+    limit state): TRUE only where the row passes.  Exclusions keep NULLs,
+    thresholds drop them."""
+    pred = (~F.coalesce(U.outside_universe(drop_base=spec.drop_base), F.lit(False))
+            & U.strong_flow(spec.min_pow, spec.min_buy, spec.min_sell, spec.max_sell)
+            & U.traded_below_limit(spec.locked_by))
     if spec.at_limit is not None:
-        df = U.limit_state(df, spec.at_limit)
-    return df.select(
-        M.clean_ticker("ticker").alias("ticker"),
-        M.buy_power().alias("buy_power"),
-        M.buy_per_capita().alias("buy_per_capita"),
-        M.sell_per_capita().alias("sell_per_capita"))
+        pred = pred & U.closes_at_limit(spec.at_limit)
+    return F.coalesce(pred, F.lit(False))
+
+
+def _flow_columns() -> list[Column]:
+    return [M.clean_ticker("ticker").alias("ticker"), M.buy_power().alias("buy_power"),
+            M.buy_per_capita().alias("buy_per_capita"),
+            M.sell_per_capita().alias("sell_per_capita")]
+
+
+def snapshot_stage(snapshot: DataFrame, spec: ScreenSpec) -> DataFrame:
+    """First stage: the rows that pass, with their flow metrics."""
+    return snapshot.filter(stage_predicate(spec)).select(*_flow_columns())
+
+
+def ranked(survivors: DataFrame, *within: str) -> DataFrame:
+    """O1: rank by buy power (then ticker), in that order.  Survivors are at
+    most one row for each ticker (and screen)."""
+    order = [F.col("buy_power").asc(), F.col("ticker").asc()]
+    w = Window.partitionBy(*within).orderBy(*order)
+    return survivors.withColumn("rank", F.row_number().over(w).cast("long")) \
+        .orderBy(*within, *order)
 
 
 def screen(snapshot: DataFrame, spec: ScreenSpec, daily: DataFrame | None = None,
@@ -117,31 +135,14 @@ def screen(snapshot: DataFrame, spec: ScreenSpec, daily: DataFrame | None = None
     if spec.confirm == "persistence":
         hist = daily.join(first.select("ticker"), "ticker", "left_semi")
         hits = persistence(hist, spec.sessions, spec.unlocked_history)
-        out = first.join(hits, "ticker", "inner")
+        out = first.join(hits, "ticker", "left").withColumn(
+            "hits", F.coalesce("hits", F.lit(0).cast("long")))
         ok = F.col("hits") > spec.min_hits if spec.strict_hits else F.col("hits") >= spec.min_hits
         out = out.filter(ok)
     elif spec.confirm == "divergence":
         hist = intraday.join(first.select("ticker"), "ticker", "left_semi")
         out = out.join(latest_divergence(hist).select("ticker"), "ticker", "left_semi")
-    if ordered:
-        out = out.orderBy(F.col("buy_power").asc(), F.col("ticker").asc())
-    return out
-
-
-def _stage_predicate(spec: ScreenSpec) -> Column:
-    """The first-stage test of one spec as a Column (DELETE-style universe,
-    WHERE-style thresholds): TRUE only where the row passes."""
-    markets = U.DROP_MARKETS + ((U.BASE_MARKET,) if spec.drop_base else ())
-    excluded = F.coalesce(F.col("trade_type").isin(*U.DROP_TRADE_TYPES)
-                          | F.col("market").isin(*markets), F.lit(False))
-    pred = (~excluded & (M.buy_power() >= spec.min_pow) & (M.buy_per_capita() > spec.min_buy)
-            & (M.sell_per_capita() > spec.min_sell) & (F.col(spec.locked_by) < F.col("day_ul")))
-    if spec.max_sell is not None:
-        pred = pred & (M.sell_per_capita() < spec.max_sell)
-    if spec.at_limit is not None:
-        pred = pred & ((F.col("close") == F.col("day_ul")) if spec.at_limit
-                       else (F.col("close") != F.col("day_ul")))
-    return F.coalesce(pred, F.lit(False))
+    return ranked(out) if ordered else out
 
 
 def run_screens(snapshot: DataFrame, specs, daily: DataFrame | None = None,
@@ -153,17 +154,14 @@ def run_screens(snapshot: DataFrame, specs, daily: DataFrame | None = None,
     counts in one aggregation, the latest-session divergence once) and
     joined on ``ticker``.  Output: ``screen, ticker, buy_power,
     buy_per_capita, sell_per_capita, hits`` (``hits`` for persistence
-    screens, else NULL), ordered by screen, buy power and ticker.
+    screens, else NULL), ranked by buy power and ticker inside each screen.
     """
     specs = list(specs)
     if not specs:
         raise ValueError("run_screens needs at least one ScreenSpec")
-    tags = F.filter(F.array(*[F.when(_stage_predicate(s), F.lit(s.name)) for s in specs]),
+    tags = F.filter(F.array(*[F.when(stage_predicate(s), F.lit(s.name)) for s in specs]),
                     lambda x: x.isNotNull())
-    stage = snapshot.select(
-        M.clean_ticker("ticker").alias("ticker"), M.buy_power().alias("buy_power"),
-        M.buy_per_capita().alias("buy_per_capita"), M.sell_per_capita().alias("sell_per_capita"),
-        F.explode(tags).alias("screen"))
+    stage = snapshot.select(*_flow_columns(), F.explode(tags).alias("screen"))
     out = stage
     persist = [s for s in specs if s.confirm == "persistence"]
     if persist:
@@ -195,7 +193,5 @@ def run_screens(snapshot: DataFrame, specs, daily: DataFrame | None = None,
             ok = F.lit(True)
         term = is_s & ok
         keep = term if keep is None else keep | term
-    return (out.filter(keep)
-               .select("screen", "ticker", "buy_power", "buy_per_capita", "sell_per_capita",
-                       hits.alias("hits"))
-               .orderBy("screen", "buy_power", "ticker"))
+    return ranked(out.filter(keep).select("screen", "ticker", "buy_power", "buy_per_capita",
+                                          "sell_per_capita", hits.alias("hits")), "screen")

@@ -57,12 +57,17 @@ def _exclude(df: DataFrame, pred: Column) -> DataFrame:
     return df.filter(~F.coalesce(pred, F.lit(False)))
 
 
+def outside_universe(trade_types: Iterable[str] = DROP_TRADE_TYPES,
+                     markets: Iterable[str] = DROP_MARKETS, drop_base: bool = False) -> Column:
+    """F1 (and F2 with ``drop_base``): block/bulk trades, funds and rights."""
+    markets = tuple(markets) + ((BASE_MARKET,) if drop_base else ())
+    return F.col("trade_type").isin(*trade_types) | F.col("market").isin(*markets)
+
+
 def tradable(df: DataFrame, trade_types: Iterable[str] = DROP_TRADE_TYPES,
              markets: Iterable[str] = DROP_MARKETS, drop_base: bool = False) -> DataFrame:
-    """F1 (and F2 with ``drop_base``): drop block/bulk trades, funds and rights."""
-    markets = tuple(markets) + ((BASE_MARKET,) if drop_base else ())
-    pred = F.col("trade_type").isin(*trade_types) | F.col("market").isin(*markets)
-    return _exclude(df, pred)
+    """F1 (and F2 with ``drop_base``): drop what is outside the universe."""
+    return _exclude(df, outside_universe(trade_types, markets, drop_base))
 
 
 def in_session(df: DataFrame, start: str = SESSION_START, end: str = SESSION_END) -> DataFrame:
@@ -87,23 +92,22 @@ def only_tickers(df: DataFrame, tickers: DataFrame) -> DataFrame:
     return keep_keys(df, tickers, "ticker")
 
 
-def flow_filter(df: DataFrame, min_pow: float, min_buy: float, min_sell: float,
-                max_sell: float | None = None) -> DataFrame:
+def strong_flow(min_pow: float, min_buy: float, min_sell: float,
+                max_sell: float | None = None) -> Column:
     """F8: buy power ≥ ``min_pow``, buy per capita > ``min_buy``,
     ``min_sell`` < sell per capita (< ``max_sell``), on raw doubles."""
     pred = ((M.buy_power() >= min_pow) & (M.buy_per_capita() > min_buy)
             & (M.sell_per_capita() > min_sell))
     if max_sell is not None:
         pred = pred & (M.sell_per_capita() < max_sell)
-    return df.filter(pred)
+    return pred
 
 
-def limit_state(df: DataFrame, at_limit: bool) -> DataFrame:
+def closes_at_limit(at_limit: bool) -> Column:
     """closing at the upper price limit (or not)."""
-    return df.filter(F.col("close") == F.col("day_ul") if at_limit
-                     else F.col("close") != F.col("day_ul"))
+    return F.col("close") == F.col("day_ul") if at_limit else F.col("close") != F.col("day_ul")
 
 
-def not_locked(df: DataFrame, by: str = "low") -> DataFrame:
+def traded_below_limit(by: str = "low") -> Column:
     """traded below the upper limit at some point (``low`` or ``open``)."""
-    return df.filter(F.col(by) < F.col("day_ul"))
+    return F.col(by) < F.col("day_ul")

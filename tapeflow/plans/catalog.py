@@ -17,7 +17,7 @@ from tapeflow.functions.calendar import jalali_text, with_jalali_parsed
 from tapeflow.operators import universe as U
 from tapeflow.operators.candles import indicator_candles
 from tapeflow.operators.flows import daily_series, index_flow, index_flows, to_intraday_flow
-from tapeflow.operators.screens import divergence_history, persistence, run_screens, screen
+from tapeflow.operators.screens import divergence_history, persistence, ranked, run_screens, screen
 from tapeflow.operators.windows import latest_sessions, sessions, with_average_volume
 from tapeflow.plans import jobs as J
 from tapeflow.plans import reports as R
@@ -368,8 +368,7 @@ def q_stream_screen(spark, d):
     verdicts = ST.stored_verdicts(spark, _streamed(
         spark, d, "stream_screen",
         lambda out: ST.screen_sink(spark, out, spec, daily=_daily(spark, d))))
-    return (verdicts.filter("passes").drop("passes", "download")
-            .orderBy("buy_power", "ticker"))
+    return ranked(verdicts.filter("passes").drop("passes", "download"))
 
 
 QUERIES: dict[str, Query] = {

@@ -203,19 +203,21 @@ D1 = """b_close > 1.3*b_open AND s_open > 1.2*s_close
         AND b_close - b_open > 2*(b_high - b_close) AND s_open - s_close > 2*(s_close - s_low)"""
 
 
+RANK = "row_number() OVER (ORDER BY buy_power, ticker) AS rank"
+
+
 def screen_sql(stage_cte: str, confirm: str | None = None, unlocked: bool = False,
                hits_cond: str = "hits >= 3") -> str:
     if confirm is None:
-        return with_(SNAP, CUR, stage_cte) + "\nSELECT * FROM stage ORDER BY buy_power, ticker"
+        return with_(SNAP, CUR, stage_cte) + f"\nSELECT *, {RANK} FROM stage"
     if confirm == "persistence":
         return (with_(SNAP, CUR, DAILY, stage_cte, persistence_cte(unlocked))
-                + f"\nSELECT stage.*, hits FROM stage JOIN hits USING (ticker) WHERE {hits_cond}"
-                + " ORDER BY buy_power, ticker")
+                + f"\nSELECT stage.*, hits, {RANK} FROM stage JOIN hits USING (ticker)"
+                + f" WHERE {hits_cond}")
     latest = """lfc AS (SELECT * FROM fc QUALIFY row_number() OVER
                 (PARTITION BY ticker ORDER BY date DESC) = 1)"""
     return (with_(SNAP, CUR, INTRADAY, FLOW_CANDLES, latest, stage_cte)
-            + f"\nSELECT * FROM stage WHERE ticker IN (SELECT ticker FROM lfc WHERE {D1})"
-            + " ORDER BY buy_power, ticker")
+            + f"\nSELECT *, {RANK} FROM stage WHERE ticker IN (SELECT ticker FROM lfc WHERE {D1})")
 
 
 UNI_COLS = "ticker, download, trade_type, market, time, open"
@@ -407,7 +409,7 @@ ORACLE["stream_candles_live"] = ORACLE["candles_buy_power"]
 _PERSIST = ("smart_money_off_limit", "smart_money_at_limit", "candle_candidates")
 ORACLE["all_screens"] = "\nUNION ALL\n".join(
     f"""SELECT '{name}' AS screen, ticker, buy_power, buy_per_capita, sell_per_capita,
-       {'hits' if name in _PERSIST else 'CAST(NULL AS BIGINT)'} AS hits
+       {'hits' if name in _PERSIST else 'CAST(NULL AS BIGINT)'} AS hits, rank
 FROM ({ORACLE[name]})"""
     for name in ("volatile_limit_up", "smart_money_short", "smart_money_off_limit",
                  "smart_money_at_limit", "divergence_at_limit", "divergence_off_limit",

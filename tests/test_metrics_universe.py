@@ -83,5 +83,5 @@ def test_flow_filter_null_drops(spark):
     df = snap(spark, {"ticker": "ok", "vol_buy_r": 5e7, "no_buy_r": 1.0, "vol_sell_r": 1e6,
                       "no_sell_r": 1.0},
               {"ticker": "null", "vol_buy_r": 5e7, "no_buy_r": 0.0})
-    out = U.flow_filter(df, 1.5, 25, 0.05)
+    out = df.filter(U.strong_flow(1.5, 25, 0.05))
     assert [r.ticker for r in out.collect()] == ["ok"]
