@@ -92,7 +92,9 @@ def running_totals(df: DataFrame, group: str, order: str, ties: Sequence[str], w
             .drop("__llm_part", "__llm_group", "__llm_base_part", "__llm_n0", "__llm_w0"))
 
 
-def buckets_for(rows: int, rows_per_bucket: int = 20_000) -> int:
-    """Number of hash parts so that a group holding all rows still has about
-    ``rows_per_bucket`` rows per part."""
-    return max(1, -(-rows // rows_per_bucket))
+def buckets_for(spark: SparkSession, rows: int, rows_per_bucket: int = 20_000) -> int:
+    """Number of hash parts so that a group holding most rows has about
+    ``rows_per_bucket`` of them per part, and spreads evenly over all shuffle
+    partitions."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, 4 * tasks, -(-rows // rows_per_bucket))

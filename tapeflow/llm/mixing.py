@@ -134,7 +134,7 @@ def _mixed(docs: DataFrame, weights: Mapping | None, block_bytes: int, quantum:
     phases, periods = schedule(blocks, target, quantum)
     rows = sum(n for _, n in totals.values())
     ranked = running_totals(keyed, "__llm_source", "__llm_order", ["doc_id"], "__llm_size",
-                            buckets_for(rows))
+                            buckets_for(spark, rows))
     block = F.floor(F.col("__llm_before") / block_bytes)
     p = F.broadcast(literal_table(spark, phases, "s string, p int, lo long, hi long, "
                                                  "slot0 long, quota long")

@@ -130,7 +130,7 @@ def reshard_plan(keys: DataFrame, shards: int = NEW_SHARDS, old_shards: int = OL
         F.sum("size"), F.count(F.lit(1))).collect()}
     rows = sum(n for _, n in sizes.values())
     total = sum(b for b, _ in sizes.values())
-    buckets = buckets_for(rows)
+    buckets = buckets_for(spark, rows)
     limit = max(1, total // (shards * LARGE_PARTS))
     keyed = keys.withColumn("__llm_order", hash_order("doc_id", "text_crc32", "size"))
     ranked = running_totals(
