@@ -34,16 +34,14 @@ from tapeflow.sources.snapshots import latest_capture, quarantine, read_flow, re
 
 def _captures(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     opts = {"header": "true"} if a.format == "csv" else {}
-    snap = quarantine(read_snapshots(spark, a.captures, fmt=a.format,
-                                     index_name=a.index_name, **opts))[0]
-    return snap
+    return read_snapshots(spark, a.captures, fmt=a.format, index_name=a.index_name, **opts)
 
 
 def _current(spark: SparkSession, a) -> DataFrame:
     """The snapshot a screen sees: the newest capture, as the reference's
     replaced table; with ``--all-captures`` the latest row of every ticker
     ever landed."""
-    snap = _captures(spark, a)
+    snap = quarantine(_captures(spark, a))[0]
     return latest_per_key(snap if a.all_captures else latest_capture(snap), ["ticker"], "download", 1)
 
 

@@ -129,12 +129,26 @@ def jalali_text(j) -> Column:
         F.lpad(j["j_day"].cast("string"), 2, "0"))
 
 
-def _parts(text, pattern: str = r"[- :/T]+") -> Column:
-    return F.split(F.trim(as_col(text)), pattern)
+# A Jalali date with an optional time of day, fraction included; anything else
+# is no date.
+_DATE_TIME = (r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,2}"
+              r"(?:[ T]+\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d{1,6})?)?)?$")
 
 
-def _part(parts: Column, i: int) -> Column:
-    return F.try_element_at(parts, F.lit(i + 1)).try_cast("int")
+def _parts(text) -> Column:
+    t = F.trim(as_col(text))
+    return F.when(t.rlike(_DATE_TIME), F.split(t, r"[- :/T]+"))
+
+
+def _part(parts: Column, i: int, kind: str = "int") -> Column:
+    return F.try_element_at(parts, F.lit(i + 1)).try_cast(kind)
+
+
+def _time_interval(h: Column, mi: Column, s: Column) -> Column:
+    """A time of day as an interval; NULL unless 00:00:00 ≤ it < 24:00:00."""
+    h, mi, s = (F.coalesce(x, F.lit(0)) for x in (h, mi, s))
+    return F.when((h < 24) & (mi < 60) & (s < 60),
+                  F.make_dt_interval(F.lit(0), h, mi, s.cast("decimal(8,6)")))
 
 
 def parse_jalali_date(text) -> Column:
@@ -144,16 +158,16 @@ def parse_jalali_date(text) -> Column:
 
 
 def _time_of_day(p: Column, with_seconds: bool) -> Column:
-    h = F.coalesce(_part(p, 3), F.lit(0))
-    mi = F.coalesce(_part(p, 4), F.lit(0))
-    s = F.coalesce(_part(p, 5), F.lit(0)) if with_seconds else F.lit(0)
-    return F.make_dt_interval(F.lit(0), h, mi, s.cast("decimal(8,6)"))
+    t = _time_interval(_part(p, 3), _part(p, 4), _part(p, 5, "decimal(8,6)"))
+    return t if with_seconds else F.when(
+        t.isNotNull(), _time_interval(_part(p, 3), _part(p, 4), F.lit(0)))
 
 
 def parse_download(text) -> Column:
     """Jalali capture text ``yyyy-MM-dd HH:mm:ss`` → Gregorian TIMESTAMP_NTZ.
 
-    An impossible Jalali date (e.g. 1400-12-30) gives NULL, to be quarantined.
+    Fractions of a second are kept.  An impossible date (e.g. 1400-12-30) or
+    time (25:61:00) gives NULL, to be quarantined.
     """
     p = _parts(text)
     d = jalali_to_date(_part(p, 0), _part(p, 1), _part(p, 2))
@@ -179,17 +193,17 @@ def with_jalali_parsed(df: DataFrame, text: str, out: str, kind: str = "date") -
     names = [f"_j{i}_{out}" for i in range(6)]
     ep = f"_je_{out}"
     step = df.withColumn(parts, _parts(text))
-    step = step.withColumns({n: _part(F.col(parts), i) for i, n in enumerate(names)})
+    step = step.withColumns({n: _part(F.col(parts), i, "decimal(8,6)" if i == 5 else "int")
+                             for i, n in enumerate(names)})
     step = step.withColumn(ep, jalali_epoch_day(*[F.col(n) for n in names[:3]]).cast("int"))
     d = F.date_from_unix_date(F.col(ep))
     if kind == "date":
         value = d
     else:
-        h, mi, sec = (F.coalesce(F.col(n), F.lit(0)) for n in names[3:])
+        h, mi, sec = (F.col(n) for n in names[3:])
+        value = d.cast("timestamp_ntz") + _time_interval(h, mi, sec)
         if kind == "minute":
-            sec = F.lit(0)
-        value = d.cast("timestamp_ntz") + F.make_dt_interval(
-            F.lit(0), h, mi, sec.cast("decimal(8,6)"))
+            value = F.date_trunc("minute", value).cast("timestamp_ntz")
     return step.withColumn(out, value).drop(parts, ep, *names)
 
 
@@ -204,8 +218,10 @@ def to_minute(ts) -> Column:
 
 
 def normalise_time(text) -> Column:
-    """``H:m:s`` text → fixed-width ``HH:mm:ss`` (orders as a string)."""
-    p = F.split(F.trim(as_col(text)), ":")
-    pad = [F.lpad(F.coalesce(F.try_element_at(p, F.lit(i)), F.lit("0")), 2, "0")
-           for i in (1, 2, 3)]
-    return F.when(as_col(text).isNotNull(), F.concat_ws(":", *pad))
+    """``H:m:s`` text → fixed-width ``HH:mm:ss`` (orders as a string); text
+    that is no time of day gives NULL."""
+    t = F.trim(as_col(text))
+    p = F.split(t, ":")
+    parts = [F.coalesce(F.try_element_at(p, F.lit(i)), F.lit("0")) for i in (1, 2, 3)]
+    valid = t.rlike(r"^(?:[01]?\d|2[0-3])(?::[0-5]?\d){0,2}$")
+    return F.when(valid, F.concat_ws(":", *(F.lpad(x, 2, "0") for x in parts)))

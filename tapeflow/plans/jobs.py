@@ -28,6 +28,7 @@ from tapeflow.operators.universe import (
 from tapeflow.operators.windows import (
     appended_average_volume, latest_per_key, with_average_volume)
 from tapeflow.schemas import DAILY_KEYS, INDEX_KEYS, INTRADAY_KEYS
+from tapeflow.session import scratch_path
 from tapeflow.sources.sinks import prepare_unique, read_stored
 from tapeflow.sources.snapshots import quarantine
 
@@ -94,7 +95,10 @@ def run_ingest(spark: SparkSession, snapshot: DataFrame, root: str, on_conflict:
     refreshed too.  Returns the tables as read back."""
     block_list = block_list if block_list is not None else default_block_list(spark)
     basket = basket if basket is not None else large_cap_basket(spark)
-    snapshot, rejected = quarantine(snapshot)
+    # Read and typed once; all tables below start from the staged rows.
+    staged = scratch_path(spark, "staged-captures")
+    snapshot.write.parquet(staged)
+    snapshot, rejected = quarantine(spark.read.schema(snapshot.schema).parquet(staged))
     commits = {}
     if daily:
         path = os.path.join(root, "daily")

@@ -37,49 +37,65 @@ def normalise_snapshot(df: DataFrame, index_name: str | None = None) -> DataFram
     return df.toDF(*names)
 
 
+BAD_VALUES = "bad_values"
+
+
 def typed_snapshot(raw: DataFrame) -> DataFrame:
     """Cast a normalised raw snapshot to ``schemas.SNAPSHOT``.
 
-    ``download`` may arrive as Jalali text (converted with C6; an
-    impossible Jalali date gives NULL) or as a Gregorian timestamp.
-    ``time`` is left-padded to ``HH:mm:ss`` (C7).
+    ``download`` may arrive as Jalali text (converted with C6) or as a
+    Gregorian timestamp.  ``time`` is left-padded to ``HH:mm:ss`` (C7) and
+    tickers are trimmed.  Text that cannot be read as its column's type
+    becomes NULL and is listed as ``name=text`` in ``bad_values``, which sends
+    the row to quarantine.  A landed table's ``capture_date`` is kept.
     """
-    jalali_download = ("download" in raw.columns
-                       and raw.schema["download"].dataType.simpleString() == "string")
-    if jalali_download:
-        raw = with_jalali_parsed(raw, "download", "download", kind="timestamp")
-    cols = []
+    text = {f.name for f in raw.schema.fields if f.dataType.simpleString() == "string"}
+    source = raw.withColumns({f"_raw_{c}": F.col(c) for c in text & {"download"}})
+    if "download" in text:
+        source = with_jalali_parsed(source, "download", "download", kind="timestamp")
+    cols, bad = [], []
     for f in schemas.SNAPSHOT.fields:
         if f.name not in raw.columns:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
             continue
         c = F.col(f.name)
-        src_type = raw.schema[f.name].dataType.simpleString()
-        if f.name == "time" and src_type == "string":
+        if f.name == "time" and "time" in text:
             c = normalise_time(c)
         elif f.name == "ticker":
-            c = c.cast("string")
-        # Text from landed files: an unparsable value becomes NULL instead of
-        # failing the whole job (ANSI casts raise).
-        c = c.try_cast(f.dataType) if src_type == "string" else c.cast(f.dataType)
+            c = clean_ticker(c.cast("string"))
+        # ANSI casts raise; a value that cannot be read must not fail the job.
+        c = c.try_cast(f.dataType) if f.name in text and f.name != "download" \
+            else c.cast(f.dataType)
         cols.append(c.alias(f.name))
-    if "capture_date" in raw.columns:  # the landed table's partition column
+        if f.name in text and f.name != "ticker":
+            was = F.col(f"_raw_{f.name}" if f.name == "download" else f.name)
+            bad.append(F.when((F.trim(was) != "") & c.isNull(),
+                              F.concat(F.lit(f"{f.name}="), was)))
+    if "capture_date" in raw.columns:
         cols.append(F.col("capture_date"))
-    return raw.select(*cols)
+    found = F.filter(F.array(*bad), lambda x: x.isNotNull()) if bad \
+        else F.array().cast("array<string>")
+    return source.select(*cols, found.alias(BAD_VALUES))
 
 
 def read_snapshots(spark: SparkSession, path: str, fmt: str = "parquet",
-                   index_name: str | None = None, **options) -> DataFrame:
-    """Read landed snapshot captures (one or many files)."""
-    raw = spark.read.format(fmt).options(**options).load(path)
+                   index_name: str | None = None, schema=None, **options) -> DataFrame:
+    """Read landed snapshot captures (one or many files).  With ``schema``
+    (of the raw columns) nothing is inferred from the files."""
+    reader = spark.read.format(fmt).options(**options)
+    raw = (reader.schema(schema) if schema is not None else reader).load(path)
     return typed_snapshot(normalise_snapshot(raw, index_name))
 
 
 def quarantine(snapshot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split rows with a usable key from rows without one (NULL ticker or
-    capture time, e.g. an impossible Jalali date)."""
+    """Split rows with a usable key and readable values from the others (NULL
+    ticker or capture time, e.g. an impossible Jalali date, or text that is no
+    number); those keep the raw text in ``bad_values``."""
     ok = F.col("ticker").isNotNull() & F.col("download").isNotNull()
-    return snapshot.filter(ok), snapshot.filter(~ok)
+    if BAD_VALUES not in snapshot.columns:
+        return snapshot.filter(ok), snapshot.filter(~ok)
+    ok = ok & (F.size(BAD_VALUES) == 0)
+    return snapshot.filter(ok).drop(BAD_VALUES), snapshot.filter(~ok)
 
 
 def write_snapshot(df: DataFrame, path: str, keep_history: bool = True) -> None:
@@ -92,10 +108,6 @@ def write_snapshot(df: DataFrame, path: str, keep_history: bool = True) -> None:
         df.write.mode("overwrite").parquet(path)
 
 
-def with_clean_ticker(df: DataFrame) -> DataFrame:
-    return df.withColumn("ticker", clean_ticker("ticker"))
-
-
 def read_flow(spark: SparkSession, path: str, kind: str = "daily") -> DataFrame:
     """Read a stored history table with its fixed (latest) schema.
 

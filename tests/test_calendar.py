@@ -83,6 +83,29 @@ def test_normalise_time(spark):
         ["09:05:03", "14:00:00", None]
 
 
+@pytest.mark.parametrize("text", ["1402-01-01 25:61:00", "1402-01-01 1x:00:00", "1402-01-01 10",
+                                  "1402-01-01 10:00:60", "1402-01-01 100:00:00", "1402-01"])
+def test_impossible_times_are_null(spark, text):
+    df = spark.createDataFrame([(text,)], "t string")
+    r = df.select(C.parse_download("t").alias("ts"), C.jalali_to_minute("t").alias("m")).first()
+    assert r.ts is None and r.m is None
+    for kind in ("timestamp", "minute"):
+        assert C.with_jalali_parsed(df, "t", "ts", kind=kind).first().ts is None
+
+
+def test_fractions_of_a_second_are_kept(spark):
+    df = spark.createDataFrame([("1402-01-01 09:05:07.25",), ("1402-01-01 09:05",)], "t string")
+    want = [dt.datetime(2023, 3, 21, 9, 5, 7, 250000), dt.datetime(2023, 3, 21, 9, 5)]
+    assert [r.x for r in df.select(C.parse_download("t").alias("x")).collect()] == want
+    assert [r.x for r in C.with_jalali_parsed(df, "t", "x", kind="timestamp").collect()] == want
+
+
+def test_junk_is_no_time_of_day(spark):
+    df = spark.createDataFrame([("junk",), ("100:00:00",), ("24:00:00",), ("7",)], "t string")
+    assert [r.t for r in df.select(C.normalise_time("t").alias("t")).collect()] == \
+        [None, None, None, "07:00:00"]
+
+
 def test_jalali_text(spark):
     df = spark.createDataFrame([(dt.date(2024, 3, 20),)], "d date")
     r = df.select(C.jalali_text(C.date_to_jalali("d")).alias("t")).first()

@@ -30,23 +30,26 @@ def test_read_landed_csv_with_jalali_download(spark):
              "5,4,1000,600,500,400,500,3,5,10"]
     spark.sparkContext.parallelize(lines, 1).saveAsTextFile(path)
     snap = read_snapshots(spark, path, fmt="csv", index_name="symbol", header=True)
-    assert snap.schema == SNAPSHOT
+    assert snap.drop("bad_values").schema == SNAPSHOT
     ok, bad = quarantine(snap)
-    good = ok.withColumn("ticker", M.clean_ticker("ticker")).filter("ticker = 'فولاد'").first()
+    assert ok.schema == SNAPSHOT
+    good = ok.first()
     assert good.ticker == "فولاد" and good.time == "09:05:03"
     assert good.download == dt.datetime(2023, 3, 21, 9, 5, 7)
-    assert bad.count() == 1          # 1400-12-30 does not exist
-    junk = ok.filter("ticker = 'شستا'").first()
-    assert junk.open is None and junk.high == 110.0   # unparsable text → NULL, not a failure
+    # 1400-12-30 does not exist, and "n/a" is no number: both keep their text
+    assert sorted(x for r in bad.collect() for x in r.bad_values) == [
+        "download=1400-12-30 10:00:00", "open=n/a"]
+    junk = bad.filter("ticker = 'شستا'").first()
+    assert junk.open is None and junk.high == 110.0
 
     out = scratch_path(spark, "snap-store")
     write_snapshot(ok, out)
-    assert spark.read.parquet(out).count() == 2
+    assert spark.read.parquet(out).count() == 1
 
     from tapeflow.plans.jobs import run_ingest
     tables = run_ingest(spark, snap, scratch_path(spark, "ingest-csv"))
-    assert tables["quarantine"].count() == 1
-    assert tables["intraday"].count() == 2
+    assert tables["quarantine"].count() == 2
+    assert tables["intraday"].count() == 1
 
 
 def test_read_flow_fills_missing_columns(spark):
