@@ -45,7 +45,7 @@ ORDINARY = r"^(?:[A-Za-z]+|[0-9]+)(?:[+/_-]+(?:[A-Za-z]+|[0-9]+))*[+/_=-]*$"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 STATES = len(ALPHABET) + 1  # state 0: the start of a run
 SMOOTHING = 0.5
-LEAST_RATIO = 0.75          # nats for each character
+LEAST_RATIO = 0.3           # nats for each character
 PLACEHOLDER = "[SECRET]"
 
 
