@@ -27,7 +27,7 @@ from tapeflow.operators.screens import run_screens, screen
 from tapeflow.operators.windows import latest_per_key
 from tapeflow.plans import jobs, reports
 from tapeflow.plans.screens import CANDLE_CANDIDATES, SPECS
-from tapeflow.session import get_spark
+from tapeflow.session import get_spark, staged
 from tapeflow.sources.sinks import read_stored
 from tapeflow.sources.snapshots import latest_capture, quarantine, read_flow, read_snapshots
 
@@ -47,10 +47,11 @@ def _current(spark: SparkSession, a) -> DataFrame:
 
 def _tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     out = {}
-    for kind in ("daily", "intraday", "index"):
+    for kind in ("daily", "intraday", "index", "sessions"):
         path = os.path.join(root, kind)
         if read_stored(spark, path) is not None:
-            out[kind] = read_flow(spark, path, kind)
+            out[kind] = spark.read.parquet(path) if kind == "sessions" \
+                else read_flow(spark, path, kind)
     return out
 
 
@@ -76,7 +77,8 @@ def cmd_screen(spark, a):
         result = run_screens(current, SPECS.values(), daily=t.get("daily"),
                              intraday=t.get("intraday"))
     else:
-        result = screen(current, SPECS[a.name], daily=t.get("daily"), intraday=t.get("intraday"))
+        result = screen(current, SPECS[a.name], daily=t.get("daily"),
+                        intraday=t.get("intraday"), sessions=t.get("sessions"))
     result.write.mode("overwrite").parquet(a.out)
     print(f"wrote {a.name} → {a.out}")
     if a.show:
@@ -89,22 +91,30 @@ def cmd_report(spark, a):
     watch = ticker_frame(spark, a.tickers.split(",")) if a.tickers else None
     if a.kind == "stock":
         frames = {
-            "buy_power_candles": reports.stock_buy_power_candles(t["intraday"], t["daily"], watch),
+            "buy_power_candles": reports.stock_buy_power_candles(t["intraday"], t["daily"], watch,
+                                                                 t.get("sessions")),
             "price_candles": reports.stock_price_candles(t["daily"], watch),
-            "per_capita_candles": reports.stock_per_capita_candles(t["intraday"], t["daily"], watch),
-            "last_session": reports.stock_last_session(t["intraday"], watch),
+            "per_capita_candles": reports.stock_per_capita_candles(t["intraday"], t["daily"], watch,
+                                                                   t.get("sessions")),
+            "last_session": reports.stock_last_session(t["intraday"], watch, t.get("sessions")),
             "valuation": reports.stock_valuation(t["daily"], watch, display=True),
+            "buy_power_gaps": reports.candle_calendar_gaps(reports.stock_buy_power_candles(
+                t["intraday"], t["daily"], watch, t.get("sessions"))),
             "calendar_gaps": reports.price_calendar_gaps(
                 reports.stock_price_candles(t["daily"], watch)),
         }
     elif a.kind == "market":
         frames = {"candles": reports.market_candles(t["index"]),
+                  "calendar_gaps": reports.candle_calendar_gaps(
+                      reports.market_candles(t["index"]), ("universe",)),
                   "last_session": reports.market_last_session(t["index"])}
     else:
         current = _current(spark, a)
-        survivors = screen(current, CANDLE_CANDIDATES, daily=t["daily"], ordered=False)
+        survivors = staged(screen(current, CANDLE_CANDIDATES, daily=t["daily"], ordered=False),
+                           "survivors")
         picked = survivors.select("ticker")
-        frames = {"buy_power_candles": reports.screened_candles(survivors, t["intraday"], t["daily"]),
+        frames = {"buy_power_candles": reports.screened_candles(survivors, t["intraday"], t["daily"],
+                                                               t.get("sessions")),
                   "price_candles": reports.price_candle_geometry(t["daily"], picked)}
     _write(frames, a.out)
 

@@ -30,18 +30,20 @@ def _session(flow: DataFrame, ts: str) -> Column:
 
 
 def latest_days(flow: DataFrame, n: int, keys: Sequence[str] = ("ticker",),
-                ts: str = "timestamp") -> DataFrame:
+                ts: str = "timestamp", index: DataFrame | None = None) -> DataFrame:
     """Rows of each key's latest ``n`` session dates (dates counted over all
     rows, also days whose values are all NULL).
 
-    The dates are picked first from the small distinct (key, date) set
-    (partial aggregation, then a ``WindowGroupLimit`` top-n); the rows are
+    The dates are picked first from the small distinct (key, date) set: the
+    stored session table ``index`` (A6), or, without one, ``flow``'s own
+    (partial aggregation, then a ``WindowGroupLimit`` top-n).  The rows are
     then semi-joined on (key…, date).  An aggregation after it touches only
     those days, and on a table partitioned by ``date`` the join can prune
     the other partitions at run time.
     """
     dated = flow.withColumn("_day", _session(flow, ts))
-    days = dated.select(*keys, "_day").distinct()
+    days = dated.select(*keys, "_day").distinct() if index is None \
+        else index.select(*keys, F.col("date").alias("_day"))
     keep = latest_per_key(days, list(keys), "_day", n)
     return dated.join(keep, [*keys, "_day"], "left_semi").drop("_day")
 
@@ -63,13 +65,14 @@ def candles_multi(flow: DataFrame, values: Mapping[str, str | Column],
 
 
 def indicator_candles(flow: DataFrame, value: str, keys: Sequence[str] = ("ticker",),
-                      ts: str = "timestamp", latest: int | None = None) -> DataFrame:
+                      ts: str = "timestamp", latest: int | None = None,
+                      index: DataFrame | None = None) -> DataFrame:
     """A3 (+W3): daily candles of one indicator; days without any non-null
     value are dropped.  ``latest`` keeps the latest n dates per key counted
     over *all* days (a day with only NULLs uses up a slot), as the
     reference's three separately limited sets intersect to."""
     if latest is not None:
-        flow = latest_days(flow, latest, keys, ts)
+        flow = latest_days(flow, latest, keys, ts, index)
     t = F.col(ts)
     c = flow.groupBy(*keys, _session(flow, ts).alias("date")).agg(
         *candle_aggs(F.col(value), t, ""))
@@ -77,12 +80,13 @@ def indicator_candles(flow: DataFrame, value: str, keys: Sequence[str] = ("ticke
 
 
 def stacked_candles(flow: DataFrame, values: Sequence[str], keys: Sequence[str] = ("ticker",),
-                    ts: str = "timestamp", latest: int | None = None) -> DataFrame:
+                    ts: str = "timestamp", latest: int | None = None,
+                    index: DataFrame | None = None) -> DataFrame:
     """Candles of several indicators from one aggregation, in long form:
     ``(key…, indicator, date, high, low, open, close)``, values as double
     (indicators of different types share the columns)."""
     if latest is not None:
-        flow = latest_days(flow, latest, keys, ts)
+        flow = latest_days(flow, latest, keys, ts, index)
     wide = candles_multi(flow, {v: v for v in values}, keys, ts)
     per = F.array(*[F.struct(F.lit(v).alias("indicator"),
                              *[F.col(f"{v}_{f}").cast("double").alias(f) for f in CANDLE_FIELDS])

@@ -17,6 +17,7 @@ from tapeflow.functions import metrics as M
 from tapeflow.operators import universe as U
 from tapeflow.operators.candles import candles_multi
 from tapeflow.operators.windows import last_session, latest_sessions
+from tapeflow.session import staged
 
 
 @dataclass(frozen=True)
@@ -80,11 +81,11 @@ def divergence_history(intraday: DataFrame) -> DataFrame:
     return flow_candles(intraday).filter(divergence_predicate())
 
 
-def latest_divergence(intraday: DataFrame) -> DataFrame:
+def latest_divergence(intraday: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """D1 on each ticker's latest session (latest date over *all* its rows;
     a latest day without values fails).  Only the rows of that day are
     aggregated (J4 first, then the candles)."""
-    return flow_candles(last_session(intraday)).filter(divergence_predicate())
+    return flow_candles(last_session(intraday, index=sessions)).filter(divergence_predicate())
 
 
 def stage_predicate(spec: ScreenSpec) -> Column:
@@ -120,17 +121,22 @@ def ranked(survivors: DataFrame, *within: str) -> DataFrame:
 
 
 def screen(snapshot: DataFrame, spec: ScreenSpec, daily: DataFrame | None = None,
-           intraday: DataFrame | None = None, ordered: bool = True) -> DataFrame:
+           intraday: DataFrame | None = None, ordered: bool = True,
+           sessions: DataFrame | None = None) -> DataFrame:
     """Run one screen on the current snapshot (one row per ticker).
 
     A persistence screen needs the ``daily`` table, a divergence screen the
-    ``intraday`` table.
+    ``intraday`` table (and, to read only each ticker's last day of it, the
+    stored ``sessions``).  The first stage is staged: history is narrowed to
+    its survivors and joined with them, and the snapshot is read once.
     """
     if spec.confirm == "persistence" and daily is None:
         raise ValueError(f"screen {spec.name} confirms on the daily table: pass daily=")
     if spec.confirm == "divergence" and intraday is None:
         raise ValueError(f"screen {spec.name} confirms on the intraday table: pass intraday=")
     first = snapshot_stage(snapshot, spec)
+    if spec.confirm is not None:
+        first = staged(first, "screen-stage")
     out = first
     if spec.confirm == "persistence":
         hist = daily.join(first.select("ticker"), "ticker", "left_semi")
@@ -141,7 +147,9 @@ def screen(snapshot: DataFrame, spec: ScreenSpec, daily: DataFrame | None = None
         out = out.filter(ok)
     elif spec.confirm == "divergence":
         hist = intraday.join(first.select("ticker"), "ticker", "left_semi")
-        out = out.join(latest_divergence(hist).select("ticker"), "ticker", "left_semi")
+        days = None if sessions is None else \
+            sessions.join(first.select("ticker"), "ticker", "left_semi")
+        out = out.join(latest_divergence(hist, days).select("ticker"), "ticker", "left_semi")
     return ranked(out) if ordered else out
 
 
@@ -162,6 +170,7 @@ def run_screens(snapshot: DataFrame, specs, daily: DataFrame | None = None,
     tags = F.filter(F.array(*[F.when(stage_predicate(s), F.lit(s.name)) for s in specs]),
                     lambda x: x.isNotNull())
     stage = snapshot.select(*_flow_columns(), F.explode(tags).alias("screen"))
+    stage = staged(stage, "screens-stage")
     out = stage
     persist = [s for s in specs if s.confirm == "persistence"]
     if persist:

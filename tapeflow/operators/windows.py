@@ -79,16 +79,19 @@ def appended_average_volume(batch: DataFrame, history: DataFrame, n: int = 42,
 
 
 def last_session(flow: DataFrame, keys: Sequence[str] = ("ticker",),
-                 ts: str = "timestamp") -> DataFrame:
+                 ts: str = "timestamp", index: DataFrame | None = None) -> DataFrame:
     """Every row of each key's latest session date.
 
-    The per-key latest date is an aggregate (partial + final); the rows are
-    then matched on ``(key…, date)``, so the shuffle spreads a hot key over
-    its dates instead of sending it to one task.
+    The per-key latest date is an aggregate (partial + final) over ``index``,
+    the stored (key, date) table (A6), or, without one, over the key and date
+    columns of ``flow`` itself.  The rows are then matched on ``(key…, date)``,
+    so the shuffle spreads a hot key over its dates instead of sending it to
+    one task, and a table partitioned by date reads only those days.
     """
     day = F.col("date") if "date" in flow.columns else F.to_date(ts)
     dated = flow.withColumn("_d", day)
-    latest = dated.groupBy(*keys).agg(F.max("_d").alias("_d"))
+    days = dated if index is None else index.withColumn("_d", F.col("date"))
+    latest = days.groupBy(*keys).agg(F.max("_d").alias("_d"))
     return dated.join(latest, [*keys, "_d"], "left_semi").drop("_d")
 
 

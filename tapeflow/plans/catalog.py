@@ -24,7 +24,7 @@ from tapeflow.plans import reports as R
 from tapeflow.plans.screens import SPECS
 from tapeflow.schemas import DAILY_KEYS, INTRADAY_FLOW_V1
 from tapeflow.sources import fixtures as FX
-from tapeflow.session import scratch_path
+from tapeflow.session import scratch_path, staged
 from tapeflow.sources.sinks import append_unique, union_evolved
 from tapeflow.streaming import streams as ST
 
@@ -230,7 +230,7 @@ def q_divergence_history(spark, d):
 # --- reports -------------------------------------------------------------------------
 
 def q_screened_candles(spark, d):
-    survivors = _screen("candle_candidates")(spark, d)
+    survivors = staged(_screen("candle_candidates")(spark, d), "survivors")
     return R.screened_candles(survivors, _intraday(spark, d), _daily(spark, d))
 
 
@@ -371,6 +371,22 @@ def q_stream_screen(spark, d):
     return ranked(verdicts.filter("passes").drop("passes", "download"))
 
 
+def q_screened_price_geometry(spark, d):
+    """R8, second half: price candles of the survivors as bar geometry."""
+    survivors = staged(_screen("candle_candidates")(spark, d), "survivors")
+    return R.price_candle_geometry(_daily(spark, d), survivors.select("ticker"))
+
+
+def q_buy_power_gaps(spark, d):
+    """R9 for R1: days without a buy-power candle in each ticker's span."""
+    return R.candle_calendar_gaps(indicator_candles(_intraday(spark, d), "i_buy_pow"))
+
+
+def q_market_gaps(spark, d):
+    """R9 for R6: days without a market candle in each universe's span."""
+    return R.candle_calendar_gaps(R.market_candles(_index(spark, d)), ("universe",))
+
+
 QUERIES: dict[str, Query] = {
     "buy_power": q_buy_power,
     "per_capita": q_per_capita,
@@ -407,6 +423,9 @@ QUERIES: dict[str, Query] = {
     "jalali_from_date": q_jalali_from_date,
     "date_from_jalali": q_date_from_jalali,
     "calendar_gaps": q_calendar_gaps,
+    "buy_power_gaps": q_buy_power_gaps,
+    "market_gaps": q_market_gaps,
+    "screened_price_geometry": q_screened_price_geometry,
     "append_unique_skip": q_append_unique_skip,
     "append_unique_replace": q_append_unique_replace,
     "schema_evolution": q_schema_evolution,

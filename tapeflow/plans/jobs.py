@@ -8,6 +8,7 @@ Storage layout (parquet under one root):
   daily/     partitioned by ``j_year``, ``j_month`` (Jalali month of the session)
   intraday/  partitioned by ``date``
   index/     partitioned by ``date``
+  sessions/  the (ticker, date) pairs of intraday/, from which reports choose days
 Key rules follow ``sinks.write_unique`` (error / skip / replace); a
 replace rewrites only the partitions the batch touches.
 """
@@ -26,7 +27,7 @@ from tapeflow.operators.flows import DAILY_ORDER, daily_rows, index_flows, to_in
 from tapeflow.operators.universe import (
     block_list as default_block_list, has_opened, in_session, large_cap_basket, tradable)
 from tapeflow.operators.windows import (
-    appended_average_volume, latest_per_key, with_average_volume)
+    appended_average_volume, latest_per_key, sessions, with_average_volume)
 from tapeflow.schemas import DAILY_KEYS, INDEX_KEYS, INTRADAY_KEYS
 from tapeflow.session import scratch_path
 from tapeflow.sources.sinks import prepare_unique, read_stored
@@ -118,6 +119,9 @@ def run_ingest(spark: SparkSession, snapshot: DataFrame, root: str, on_conflict:
     index = market_load(snapshot, block_list, basket).withColumn("date", F.to_date("timestamp"))
     commits["index"] = prepare_unique(spark, index, os.path.join(root, "index"),
                                       INDEX_KEYS, on_conflict, ["date"])
+    days = sessions(intraday)
+    commits["sessions"] = prepare_unique(spark, days, os.path.join(root, "sessions"),
+                                         ["ticker", "date"], "skip")
     out = {name: commit() for name, commit in commits.items()}
     qpath = os.path.join(root, "quarantine")
     rejected.write.mode("overwrite").parquet(os.path.join(qpath, f"run={run_id or uuid.uuid4().hex}"))

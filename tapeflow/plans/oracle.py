@@ -280,6 +280,14 @@ def _hist_split():
 
 SINK_BASE = with_(SNAP, f"ssnap AS (SELECT * FROM snap WHERE {F3})", _hist_split())
 
+GEOMETRY = """
+SELECT *, close >= open AS up, open AS body_bottom, close - open AS body_height,
+       CASE WHEN close >= open THEN close ELSE open END AS upper_bottom,
+       CASE WHEN close >= open THEN high - close ELSE high - open END AS upper_height,
+       CASE WHEN close >= open THEN open ELSE close END AS lower_bottom,
+       CASE WHEN close >= open THEN low - open ELSE low - close END AS lower_height
+FROM p"""
+
 ORACLE: dict[str, str] = {
     "buy_power": with_(SNAP) + f"\nSELECT ticker, download, {M1} AS buy_power FROM snap",
     "per_capita": with_(SNAP) + f"\nSELECT ticker, download, {M2} AS buy_per_capita, "
@@ -353,13 +361,7 @@ SEMI JOIN (SELECT universe, max(CAST("timestamp" AS DATE)) AS d FROM idx GROUP B
   ON idx.universe = m.universe AND CAST(idx."timestamp" AS DATE) = m.d""",
     "candle_geometry": with_(LONG, """p AS (SELECT ticker, date, high, low, open, last AS close,
         volume FROM longd QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) <= 59)""")
-        + """
-SELECT *, close >= open AS up, open AS body_bottom, close - open AS body_height,
-       CASE WHEN close >= open THEN close ELSE open END AS upper_bottom,
-       CASE WHEN close >= open THEN high - close ELSE high - open END AS upper_height,
-       CASE WHEN close >= open THEN open ELSE close END AS lower_bottom,
-       CASE WHEN close >= open THEN low - open ELSE low - close END AS lower_height
-FROM p""",
+        + GEOMETRY,
     "jalali_from_date": with_(JALALI) + "\nSELECT o_orderkey, o_orderdate, j_year, j_month, "
                                         "j_day, j_text FROM jtxt",
     "date_from_jalali": with_(JALALI, JALALI_BACK) + "\nSELECT o_orderkey, j_text, g_date, "
@@ -383,15 +385,26 @@ FROM intraday""",
 SELECT * FROM c WHERE open IS NOT NULL""",
 }
 
-# Calendar gaps: days inside each brand's history without a session.
-ORACLE["calendar_gaps"] = with_(LONG, """span AS (SELECT ticker, min(date) AS lo, max(date) AS hi
-    FROM longd GROUP BY ticker)""", """days AS (SELECT ticker, CAST(unnest(generate_series(lo, hi,
-    INTERVAL 1 DAY)) AS DATE) AS date FROM span)""", """gaps AS (SELECT days.* FROM days
-    ANTI JOIN longd USING (ticker, date))""",
-    JALALI.replace("FROM orders", "FROM gaps").replace(
+def gaps_sql(ctes: list[str], src: str, key: str) -> str:
+    """Days inside each key's span without a row of ``src``, with Jalali fields."""
+    jal = JALALI.replace("FROM orders", "FROM gaps").replace(
         "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate",
-        "SELECT ticker AS o_orderkey, date AS o_orderdate")) + """
-SELECT o_orderkey AS ticker, o_orderdate AS date, j_year, j_month, j_day FROM jal"""
+        f"SELECT {key} AS o_orderkey, date AS o_orderdate")
+    return with_(*ctes, f"""span AS (SELECT {key}, min(date) AS lo, max(date) AS hi
+    FROM {src} GROUP BY {key})""", f"""days AS (SELECT {key}, CAST(unnest(generate_series(lo, hi,
+    INTERVAL 1 DAY)) AS DATE) AS date FROM span)""", f"""gaps AS (SELECT days.* FROM days
+    ANTI JOIN {src} USING ({key}, date))""", jal) + f"""
+SELECT o_orderkey AS {key}, o_orderdate AS date, j_year, j_month, j_day FROM jal"""
+
+
+ORACLE["calendar_gaps"] = gaps_sql([LONG], "longd", "ticker")
+ORACLE["buy_power_gaps"] = gaps_sql([f"bc AS ({ORACLE['candles_buy_power']})"], "bc", "ticker")
+ORACLE["market_gaps"] = gaps_sql([f"mc AS ({ORACLE['market_candles']})"], "mc", "universe")
+ORACLE["screened_price_geometry"] = with_(
+    SNAP, DAILY, f"surv AS (SELECT ticker FROM ({ORACLE['candle_candidates']}))",
+    """p AS (SELECT ticker, date, high, low, open, last AS close, volume
+        FROM daily SEMI JOIN surv USING (ticker)
+        QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) <= 59)""") + GEOMETRY
 
 FSNAP = f"fsnap AS (SELECT * FROM snap WHERE {F1} AND {F3} AND NOT coalesce(open = 0, false))"
 ORACLE["daily_load"] = with_(SNAP, FSNAP, daily_cte("dl", "fsnap")) + "\nSELECT * FROM dl"

@@ -18,14 +18,20 @@ CANDLE_DAYS = 60
 PRICE_DAYS = 59
 
 
+def _days(sessions: DataFrame | None, tickers: DataFrame | None) -> DataFrame | None:
+    return None if sessions is None else _watch(sessions, tickers)
+
+
 def _watch(df: DataFrame, tickers: DataFrame | None) -> DataFrame:
     return df if tickers is None else keep_keys(df, tickers, "ticker")
 
 
 def stock_buy_power_candles(intraday: DataFrame, daily: DataFrame,
-                            tickers: DataFrame | None = None) -> DataFrame:
+                            tickers: DataFrame | None = None,
+                            sessions: DataFrame | None = None) -> DataFrame:
     """Latest 60 buy-power candles per ticker + that day's net inflow."""
-    c = indicator_candles(_watch(intraday, tickers), "i_buy_pow", latest=CANDLE_DAYS)
+    c = indicator_candles(_watch(intraday, tickers), "i_buy_pow", latest=CANDLE_DAYS,
+                          index=_days(sessions, tickers))
     return with_daily(c, daily, ["i_entered_money"])
 
 
@@ -37,17 +43,19 @@ def stock_price_candles(daily: DataFrame, tickers: DataFrame | None = None) -> D
 
 
 def stock_per_capita_candles(intraday: DataFrame, daily: DataFrame,
-                             tickers: DataFrame | None = None) -> DataFrame:
+                             tickers: DataFrame | None = None,
+                             sessions: DataFrame | None = None) -> DataFrame:
     """Latest 60 buy and sell per-capita candles (one aggregation, long
     form with an ``indicator`` column) + that day's volume."""
     c = stacked_candles(_watch(intraday, tickers), ["i_buy_per_capita", "i_sell_per_capita"],
-                        latest=CANDLE_DAYS)
+                        latest=CANDLE_DAYS, index=_days(sessions, tickers))
     return with_daily(c, daily, ["volume"])
 
 
-def stock_last_session(intraday: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
+def stock_last_session(intraday: DataFrame, tickers: DataFrame | None = None,
+                       sessions: DataFrame | None = None) -> DataFrame:
     """Every capture of each ticker's latest session."""
-    rows = last_session(_watch(intraday, tickers), ["ticker"])
+    rows = last_session(_watch(intraday, tickers), ["ticker"], index=_days(sessions, tickers))
     return rows.select("ticker", "timestamp", to_minute("timestamp").alias("minute"),
                        "last_percent", "i_buy_pow", "i_buy_per_capita",
                        "i_sell_per_capita", "i_entered_money")
@@ -84,15 +92,20 @@ def market_last_session(index_flow: DataFrame) -> DataFrame:
                        "i_buy_pow", "i_buy_per_capita", "i_sell_per_capita", "i_entered_money")
 
 
-def screened_candles(survivors: DataFrame, intraday: DataFrame, daily: DataFrame) -> DataFrame:
-    """Buy-power candles (latest 60) + volume for screen survivors."""
-    return stock_per_indicator(intraday, daily, survivors.select("ticker"), "i_buy_pow", "volume")
+def screened_candles(survivors: DataFrame, intraday: DataFrame, daily: DataFrame,
+                     sessions: DataFrame | None = None) -> DataFrame:
+    """Buy-power candles (latest 60) + volume for screen survivors.  The
+    survivors are used more than once: pass them staged (``session.staged``)."""
+    tickers = survivors.select("ticker")
+    c = indicator_candles(_watch(intraday, tickers), "i_buy_pow", latest=CANDLE_DAYS,
+                          index=_days(sessions, tickers))
+    return with_daily(c, daily, ["volume"])
 
 
-def stock_per_indicator(intraday: DataFrame, daily: DataFrame, tickers: DataFrame | None,
-                        value: str, daily_col: str) -> DataFrame:
-    c = indicator_candles(_watch(intraday, tickers), value, latest=CANDLE_DAYS)
-    return with_daily(c, daily, [daily_col])
+def candle_calendar_gaps(candles: DataFrame, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
+    """R9 for any candle frame: the days without a candle between a key's
+    first and last one, with Jalali fields."""
+    return calendar_gaps(candles.select(*keys, "date").distinct(), list(keys))
 
 
 def price_candle_geometry(daily: DataFrame, tickers: DataFrame | None = None) -> DataFrame:

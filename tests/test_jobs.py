@@ -1,6 +1,11 @@
 from pyspark.sql import functions as F
 
+from tapeflow.operators.screens import screen
+from tapeflow.operators.windows import latest_per_key
 from tapeflow.plans import jobs as J
+from tapeflow.plans import reports as R
+from tapeflow.plans.explain import plan_text
+from tapeflow.plans.screens import SPECS
 from tapeflow.session import scratch_path
 from tapeflow.sources import fixtures as FX
 from tapeflow.sources.sinks import DuplicateKeyError
@@ -112,3 +117,28 @@ def test_trimmed_tickers_are_one_key(spark):
         F.col("ticker"), F.lit(" "))).otherwise(F.col("ticker")))
     want, got = J.daily_load(snap), J.daily_load(spaced)
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def test_reports_choose_days_from_the_stored_sessions(spark):
+    """Same frames with and without the session table, and with it one scan of
+    the intraday table."""
+    snap = FX.snapshots(spark, SF_SMALL)
+    root, lists = _root(spark, "ingest-sessions"), FX.ticker_lists(spark, SF_SMALL)
+    J.run_ingest(spark, snap, root, block_list=lists[0], basket=lists[1])
+    intraday, daily = spark.read.parquet(f"{root}/intraday"), _daily(spark, root)
+    days = spark.read.parquet(f"{root}/sessions")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")  # whole paths in plans
+    assert days.count() == intraday.select("ticker", "date").distinct().count()
+    for make in (lambda **k: R.stock_buy_power_candles(intraday, daily, **k),
+                 lambda **k: R.stock_per_capita_candles(intraday, daily, **k),
+                 lambda **k: R.stock_last_session(intraday, **k)):
+        with_index, without = make(sessions=days), make()
+        assert with_index.count() == without.count() > 0
+        assert with_index.exceptAll(without).isEmpty()
+        assert plan_text(with_index).count(f"{root}/intraday") == 1
+    spec = SPECS["divergence_off_limit"]
+    current = latest_per_key(snap, ["ticker"], "download", 1)
+    hits = screen(current, spec, intraday=intraday, sessions=days, ordered=False)
+    assert plan_text(hits).count(f"{root}/intraday") == 1
+    assert {r.ticker for r in hits.collect()} == {
+        r.ticker for r in screen(current, spec, intraday=intraday).collect()}
