@@ -10,6 +10,7 @@ from tapeflow.llm import (
     embedding_dedup, licenses, minhash, mixing, packing, quality, resharding, secrets, tokencount,
     topk)
 from tapeflow.llm.common import stored, table
+from tapeflow.llm.oracle import ORACLE  # noqa: F401 - read by the entry point
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +66,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_packing, op3_secrets, op4_embedding_dedup, op5_licenses, op6_resharding,
     op7_topk, op8_token_counts, op9_minhash, op10_mixing)}
-ORACLE: dict[str, str] = {}
+
