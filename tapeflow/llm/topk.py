@@ -72,8 +72,8 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, cands: np.ndarray,
     seeds = np.argsort(-c_rest[0], kind="stable")[:SEEDS]
     seed_scores = q @ c[:, seeds]
     seed_scores[cand_ids[seeds][None, :] == query_ids[:, None]] = -np.inf
-    if len(seeds) > k:
-        least = -np.partition(-seed_scores, k, axis=1)[:, k - 1]
+    if len(seeds) >= k:
+        least = -np.partition(-seed_scores, k - 1, axis=1)[:, k - 1]
     else:
         least = np.full(len(q), -np.inf)
     first = q[:, :cuts[1]] @ c[:cuts[1]]
