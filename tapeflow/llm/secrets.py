@@ -3,7 +3,16 @@
 Three base patterns (``assign``, ``access``, ``hex``) find the well-known
 forms.  The method adds ``markov`` spans: runs of 16 or more key characters
 that a character Markov model of random strings explains better than one of
-ordinary identifiers, by log-likelihood ratio for each character.
+ordinary identifiers, by log-likelihood ratio for each character.  A run that
+does not pass as a whole is searched inside, so words joined to a key by
+``/ + _ -`` (or by nothing) do not average it away:
+
+* each segment between those signs of 16 or more characters is judged alone;
+* the best stretches of 16 or more characters anywhere in the run (largest sum
+  of log ratios above the threshold, one pass) count if half of them or more
+  lie in segments of letters and digits mixed, as a search over all stretches
+  of paths and names of plain words finds chance ones.  A stretch is reported
+  from the start of its first segment to the end of its last.
 
 Both models are first-order transition counts over labelled samples.  Random:
 what the base patterns caught, and strings derived from hashes of the document
@@ -18,8 +27,8 @@ code points.  Patterns run only on texts that contain a match.
 
 Defined cases: a null text is an empty text and has no spans (pass-through
 columns keep the null).  Repeated rows are scanned each.  A null doc_id is
-kept.  Markov spans that touch a base span are dropped; base spans always
-stay.  An empty table trains a model of equal chances and finds nothing.
+kept.  Base spans always stay; they are cut out of a run, and what is left of
+it on either side is a run if still 16 characters long.  An empty table trains a model of equal chances and finds nothing.
 """
 
 from __future__ import annotations
@@ -43,9 +52,12 @@ RUN_LENGTH = 16
 RUN = r"[A-Za-z0-9+/_-]{%d,}={0,2}" % RUN_LENGTH
 ORDINARY = r"^(?:[A-Za-z]+|[0-9]+)(?:[+/_-]+(?:[A-Za-z]+|[0-9]+))*[+/_=-]*$"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
+SEGMENT = r"[A-Za-z0-9]{%d,}={0,2}" % RUN_LENGTH
+PLAIN = r"(?<![A-Za-z0-9])(?:[A-Za-z]+|[0-9]+)(?![A-Za-z0-9])|[+/_=-]+"
 STATES = len(ALPHABET) + 1  # state 0: the start of a run
 SMOOTHING = 0.5
 LEAST_RATIO = 0.3           # nats for each character
+CLOSING_DROP = 8.0          # nats lost after a stretch that end it
 PLACEHOLDER = "[SECRET]"
 
 
@@ -88,8 +100,27 @@ def base_spans(text: Column) -> dict[str, Column]:
             "hex": _spans(_cut(text, hexes, text.rlike(hexes)))}
 
 
-def _near(span: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _outside(run: Column, others: Column) -> Column:
+    """What ``others`` (sorted by start) leave of ``run``, in pieces long enough."""
+    start = F.struct(run["start"].alias("at"),
+                     F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+
+    def with_piece(acc: Column, end: Column) -> Column:
+        piece = F.struct(acc["at"].alias("start"), end.alias("end"), F.substring(
+            run["value"], acc["at"] - run["start"] + 1, end - acc["at"]).alias("value"))
+        return F.when(end - acc["at"] >= RUN_LENGTH,
+                      F.concat(acc["out"], F.array(piece))).otherwise(acc["out"])
+
+    near = F.filter(others, lambda o: (o["start"] < run["end"]) & (run["start"] < o["end"]))
+    return F.aggregate(
+        near, start, lambda acc, o: F.struct(F.greatest(acc["at"], o["end"]).alias("at"),
+                                             with_piece(acc, o["start"]).alias("out")),
+        lambda acc: with_piece(acc, run["end"]))
 
 
 def _worked_out(d: DataFrame, **columns: Column) -> DataFrame:
@@ -108,9 +139,10 @@ def with_runs(docs: DataFrame, keep: list[str], text: bool = True) -> DataFrame:
     d = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__llm_text"))
     d = _worked_out(d, **{f"__llm_{k}": s for k, s in base_spans(t).items()},
                     __llm_runs=_spans(_cut(t, RUN, t.rlike(RUN))))
-    d = _worked_out(d, __llm_base=F.concat("__llm_assign", "__llm_access", "__llm_hex"))
-    d = _worked_out(d, __llm_free=F.filter(
-        "__llm_runs", lambda r: ~_near(r, F.col("__llm_base")))).drop("__llm_runs")
+    d = _worked_out(d, __llm_base=F.array_sort(
+        F.concat("__llm_assign", "__llm_access", "__llm_hex")))
+    d = _worked_out(d, __llm_free=F.flatten(F.transform(
+        "__llm_runs", lambda r: _outside(r, F.col("__llm_base"))))).drop("__llm_runs")
     return stored(d if text else d.drop("__llm_text"), "secret-runs")
 
 
@@ -156,23 +188,124 @@ def train(runs: DataFrame) -> list[float]:
     return out
 
 
+def _stretches(excess: Column) -> Column:
+    """The best stretches of at least ``RUN_LENGTH`` of these numbers whose sum
+    is not negative, as array<struct<start, end>> in order.  One pass: the sum
+    so far against the least one ``RUN_LENGTH`` or more places before.  A
+    stretch is closed when the sum has dropped ``CLOSING_DROP`` below its end's."""
+    spans = "array<struct<start:int,end:int>>"
+    none = F.lit(None).cast("double")
+
+    def state(at, total, recent, low, low_at, best, top, start, end, out) -> Column:
+        return F.struct(
+            at.alias("at"), total.alias("total"), recent.alias("recent"), low.alias("low"),
+            low_at.alias("low_at"), best.alias("best"), top.alias("top"), start.alias("start"),
+            end.alias("end"), out.alias("out"))
+
+    def closed(acc: Column) -> Column:
+        return F.when(acc["best"] >= 0, F.concat(acc["out"], F.array(
+            F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))) \
+            .otherwise(acc["out"])
+
+    def moved(acc: Column, x: Column) -> Column:
+        """One place on, with the least sum that a stretch ending here may start from."""
+        far = F.size(acc["recent"]) == RUN_LENGTH
+        before = F.get(acc["recent"], F.lit(0))
+        new = far & (acc["low"].isNull() | (before < acc["low"]))
+        total = acc["total"] + x
+        return state(
+            acc["at"] + 1, total,
+            F.concat(F.when(far, F.slice(acc["recent"], 2, RUN_LENGTH - 1))
+                     .otherwise(acc["recent"]), F.array(total)),
+            F.when(new, before).otherwise(acc["low"]),
+            F.when(new, acc["at"] + 1 - RUN_LENGTH).otherwise(acc["low_at"]),
+            acc["best"], acc["top"], acc["start"], acc["end"], acc["out"])
+
+    def judged(m: Column) -> Column:
+        sum_here = m["total"] - m["low"]
+        new = m["low"].isNotNull() & (m["best"].isNull() | (sum_here > m["best"]))
+        over = (m["best"] >= 0) & (m["total"] < m["top"] - CLOSING_DROP)
+        return F.when(F.coalesce(over, F.lit(False)), state(
+            m["at"], m["total"], F.array(m["total"]), none, F.lit(0), none, none, F.lit(0),
+            F.lit(0), closed(m))).otherwise(state(
+                m["at"], m["total"], m["recent"], m["low"], m["low_at"],
+                F.when(new, sum_here).otherwise(m["best"]),
+                F.when(new, m["total"]).otherwise(m["top"]),
+                F.when(new, m["low_at"]).otherwise(m["start"]),
+                F.when(new, m["at"]).otherwise(m["end"]), m["out"]))
+
+    start = state(F.lit(0), F.lit(0.0), F.array(F.lit(0.0)), none, F.lit(0), none, none,
+                  F.lit(0), F.lit(0), F.array().cast(spans))
+    return F.aggregate(excess, start, lambda acc, x: _let(moved(acc, x), judged), closed)
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted array<struct<start, end>> with those that overlap as one."""
+    def step(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        return F.when((F.size(acc) > 0) & (s["start"] < F.get(acc, F.size(acc) - 1)["end"]),
+                      F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(
+                          last["start"].alias("start"),
+                          F.greatest(last["end"], s["end"]).alias("end"))))) \
+            .otherwise(F.concat(acc, F.array(s)))
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:int,end:int>>"),
+                       step)
+
+
+def _inside(value: Column, numbers: Column, ratio, least_ratio: float) -> Column:
+    """Random parts of a run that does not pass as a whole (see the module), as
+    array<struct<start, end>>; ``numbers`` are its log ratios by character."""
+    segments = F.transform(
+        F.filter(_spans(_cut(value, SEGMENT, value.rlike(SEGMENT))),
+                 lambda s: ratio(s["value"]) >= least_ratio),
+        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+    def to_segments(s: Column) -> Column:
+        before = F.regexp_extract(F.reverse(F.substring(value, F.lit(1), s["start"])),
+                                  "^[A-Za-z0-9]*", 0)
+        after = F.regexp_extract(F.substring(value, s["end"] + 1, F.length(value)),
+                                 "^[A-Za-z0-9]*=*", 0)
+        return F.struct((s["start"] - F.length(before)).alias("start"),
+                        (s["end"] + F.length(after)).alias("end"),
+                        (s["end"] - s["start"]).alias("n"))
+
+    def is_mixed(s: Column) -> Column:
+        part = F.substring(value, s["start"] + 1, s["end"] - s["start"])
+        return 2 * F.length(F.regexp_replace(part, PLAIN, "")) >= s["n"]
+
+    best = F.transform(
+        F.filter(F.transform(_stretches(F.transform(numbers, lambda x: x - least_ratio)),
+                             to_segments), is_mixed),
+        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return _merged(F.concat(segments, best))
+
+
 def scanned(runs: DataFrame, model: list[float], least_ratio: float = LEAST_RATIO) -> DataFrame:
     """``runs`` (see ``with_runs``) and ``__llm_spans``: all spans by start,
     then kind as listed, as array<struct<start, rank, end>> (rank: place in
     KINDS); ``__llm_n`` has the number of each kind."""
     ratios = F.expr("array(" + ",".join(f"{x!r}D" for x in model) + ")")  # a folded literal
 
-    def ratio(run: Column) -> Column:
-        moves = _moves(run)
-        total = F.aggregate(moves, F.lit(0.0), lambda acc, m: acc + F.get(ratios, m))
-        return total / F.length(run)
+    def numbers(run: Column) -> Column:
+        return F.transform(_moves(run), lambda m: F.get(ratios, m))
+
+    def mean(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x) / F.size(values)
+
+    def random_parts(run: Column) -> Column:
+        def parts(values: Column) -> Column:
+            whole = F.array(F.struct(F.lit(0).alias("start"),
+                                     F.length(run["value"]).alias("end")))
+            return F.when(mean(values) >= least_ratio, whole).otherwise(_inside(
+                run["value"], values, lambda v: mean(numbers(v)), least_ratio))
+        return F.transform(_let(numbers(run["value"]), parts), lambda s: F.struct(
+            (run["start"] + s["start"]).alias("start"), (run["start"] + s["end"]).alias("end")))
 
     def placed(rank: int) -> Column:
         return F.transform(f"__llm_{KINDS[rank]}", lambda s: F.struct(
             s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end")))
 
-    d = _worked_out(runs, __llm_markov=F.filter(
-        "__llm_free", lambda r: ratio(r["value"]) >= least_ratio))
+    d = _worked_out(runs, __llm_markov=F.flatten(F.transform("__llm_free", random_parts)))
     return _worked_out(
         d, __llm_spans=F.array_sort(F.concat(*map(placed, range(len(KINDS))))),
         __llm_n=F.struct(*(F.size(f"__llm_{k}").cast("long").alias(k) for k in KINDS)))

@@ -14,6 +14,7 @@ from tapeflow.llm import (
     licenses, minhash, mixing, packing, quality, resharding, secrets, tokencount)
 from tapeflow.llm.common import ship_code, stored
 
+SF_LARGE = "/root/testdata/sf0.1"  # enough runs for a model as the whole corpus gives it
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # Columns that an operator also makes, or that look like its working columns.
 EXTRA = ("score", "shard", "slot", "rank", "node", "size", "key", "component", "value", "row",
@@ -180,6 +181,33 @@ def test_overlapping_spans_are_replaced_once(spark):
     assert scan.select(secrets.redacted(scan)).first()[0] == "x [SECRET] y"
 
 
+def test_secret_keys_joined_to_words_are_found(spark):
+    ship_code(spark)
+    train_on = secrets.with_runs(spark.read.parquet(f"{SF_LARGE}/documents.parquet"), ["doc_id"],
+                                 text=False)
+    model = secrets.train(train_on)
+    rng = random.Random(8)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    before = ("/services/T00000000/B00000000/", "deploy-key-for-production-",
+              "/documentation/guides/getting-started/", "getTokenForUserSession",
+              "guides/" + hashlib.md5(b"x").hexdigest() + "/")
+    rows = []
+    for i in range(200):
+        one, two = ("".join(rng.choice(signs) for _ in range(32)) for _ in range(2))
+        rows.append((i, before[i % 5], one, two))
+    plain = ["/documentation/guides/getting-started/installation",
+             "deploy-key-for-production-and-some-long-plain-words"]
+    d = spark.createDataFrame(
+        [(i, f"see {p}{a}-of-the-second-words-{b} here") for i, p, a, b in rows]
+        + [(1000 + i, x) for i, x in enumerate(plain)], "doc_id long, text string")
+    scan = secrets.scanned(secrets.with_runs(d, ["doc_id", "text"]), model)
+    clean = {r[0]: r[1] for r in scan.select("doc_id", secrets.redacted(scan)).collect()}
+    missed = sum(a in clean[i] for i, _, a, _ in rows) + sum(b in clean[i] for i, _, _, b in rows)
+    assert missed <= 12  # of 400
+    assert [clean[1000 + i] for i in range(len(plain))] == plain
+    assert sum("-of-the-second-words-" in clean[r[0]] for r in rows) > 150
+
+
 def test_secret_scan_of_an_empty_table(empty):
     runs = secrets.with_runs(empty, ["doc_id"], text=False)
     assert secrets.report(secrets.scanned(runs, secrets.train(runs))).count() == 0
