@@ -10,7 +10,8 @@ that go to each new shard.
 
 Spark applies it: a document's place in its old shard is an exact prefix sum
 over hash-ordered blocks (no task sees a whole shard), and the range it falls
-into is its new shard.  ``rewrite`` then writes only shards whose rows changed.
+into is its new shard.  ``rewrite`` then writes only shards whose rows changed,
+and removes those that no row is left in.
 
 Defined cases: a null text has no bytes (size 16, the fixed overhead).  A null
 source or doc_id hashes like any other value.  Repeated rows are separate rows.
@@ -22,7 +23,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeflow.llm.common import (
@@ -32,6 +33,8 @@ OVERHEAD = 16
 OLD_SHARDS = 32
 NEW_SHARDS = 40
 LARGE_PARTS = 64
+SPREAD = 64  # parts in which rows of an equal key are numbered
+KEY = ("doc_id", "size", "text_crc32")
 
 
 def min_cost_flow(supply: Sequence[int], capacity: Sequence[int],
@@ -112,13 +115,17 @@ def old_layout(n: int = OLD_SHARDS) -> Column:
     return F.pmod(F.xxhash64(F.col("source")), F.lit(n)).cast("int")
 
 
+def _key() -> list[Column]:
+    """A row's values of ``KEY``."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.col("doc_id").cast("long"), (F.octet_length(text) + OVERHEAD).cast("long"),
+            F.crc32(text.cast("binary"))]
+
+
 def shard_keys(docs: DataFrame, old_shard: Column) -> DataFrame:
     """doc_id, size, text_crc32 and old shard of every row; no text moves on."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), old_shard.alias("old_shard"))
+    return docs.select(*(c.alias(name) for name, c in zip(KEY, _key(), strict=True)),
+                       old_shard.alias("old_shard"))
 
 
 def reshard_plan(keys: DataFrame, shards: int = NEW_SHARDS, old_shards: int = OLD_SHARDS
@@ -184,16 +191,102 @@ def reshard_plan(keys: DataFrame, shards: int = NEW_SHARDS, old_shards: int = OL
                       F.col("__llm_rank").alias("slot"))
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, out_dir: str, by: str = "doc_id") -> list[int]:
+def _same(*columns: str) -> Column:
+    """Null-safe: equal ``__llm_…`` and ``__llm_to_…`` columns of two tables."""
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(f"__llm_{c}").eqNullSafe(F.col(f"__llm_to_{c}"))
+    return same
+
+
+def _named(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(f"__llm_to_{c}") for c in columns))
+
+
+def _targets(plan: DataFrame) -> DataFrame:
+    """How many rows of a key go to a shard: those numbered from ``lo`` up to
+    ``hi`` of the key's ``rows``; ``first`` is its first shard."""
+    whole = Window.partitionBy(*KEY)
+    up = whole.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    return stored(
+        plan.groupBy(*KEY, "shard").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("rows", F.sum("n").over(whole)).withColumn("hi", F.sum("n").over(up))
+        .withColumn("first", F.min("shard").over(whole))
+        .withColumn("lo", F.col("hi") - F.col("n")).drop("n"), "shard-targets")
+
+
+def _dealt(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """``rows`` (stored, with a unique ``__llm_row``) whose keys repeat, each with
+    a shard.  They are numbered within ``SPREAD`` parts of a key, so that a key
+    with many rows is no single task."""
+    rows = rows.withColumn("__llm_part", F.pmod("__llm_row", F.lit(SPREAD)).cast("int"))
+    names = [f"__llm_{c}" for c in KEY]
+    up = Window.partitionBy(*names).orderBy("__llm_part").rowsBetween(
+        Window.unboundedPreceding, 0)
+    parts = (rows.groupBy(*names, "__llm_part").agg(F.count(F.lit(1)).alias("n"))
+             .withColumn("to", F.sum("n").over(up)).withColumn("at", F.col("to") - F.col("n")))
+    wanted = _named(targets, *KEY, "lo", "hi", "shard")
+    ranges = _named(
+        parts.join(wanted, _same(*KEY) & (F.col("__llm_to_lo") < F.col("to"))
+                   & (F.col("at") < F.col("__llm_to_hi")))
+        .select(*(F.col(f"__llm_{c}").alias(c) for c in (*KEY, "part")),
+                (F.col("__llm_to_lo") - F.col("at")).alias("lo"),
+                (F.col("__llm_to_hi") - F.col("at")).alias("hi"),
+                F.col("__llm_to_shard").alias("shard")), *KEY, "part", "lo", "hi", "shard")
+    number = F.row_number().over(Window.partitionBy(*names, "__llm_part").orderBy("__llm_row")) - 1
+    return rows.withColumn("__llm_number", number).join(
+        ranges, _same(*KEY, "part") & (F.col("__llm_number") >= F.col("__llm_to_lo"))
+        & (F.col("__llm_number") < F.col("__llm_to_hi")))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def rewrite(docs: DataFrame, plan: DataFrame, out_dir: str) -> list[int]:
     """Write the shards that the plan changes as ``out_dir/shard=N`` and return
-    their numbers; files of all other shards are left as they are.  ``by`` must
-    be unique.  Dynamic overwrite replaces only the written shards, after all
-    tasks have succeeded."""
+    their numbers; files of all other shards are left as they are.  ``docs``
+    are the rows that the plan was made from, read from elsewhere; ``plan`` is
+    stored, as it is read more than once.  Each row is written once, by its
+    null-safe key (doc_id, size and text_crc32).  Rows with equal keys are dealt
+    to the key's shards; they may differ in other columns, so if one of these
+    shards changes all are written.
+
+    Dynamic overwrite replaces the written shards after all tasks have
+    succeeded.  Then the folders of changed shards without rows are removed;
+    if the run ends in between, the same call again completes it."""
+    spark = docs.sparkSession
     moved = plan.filter(F.col("old_shard") != F.col("shard"))
-    touched = sorted(r[0] for r in moved.select(F.explode(F.array("old_shard", "shard")))
-                     .distinct().collect())  # shard numbers only
-    part = plan.filter(F.col("shard").isin(touched)).select(by, "shard")
-    (docs.drop("shard").join(part, by).repartition("shard", F.pmod(F.xxhash64(by), F.lit(16)))
+    touched = {r[0] for r in moved.select(F.explode(F.array("old_shard", "shard")))
+               .distinct().collect()}  # shard numbers only
+    if not touched:
+        return []
+    targets = _targets(plan)
+    # At most shards² pairs of shards and shards numbers.
+    ties = [tuple(r) for r in targets.filter(F.col("first") != F.col("shard"))
+            .select("first", "shard").distinct().collect()]
+    while more := {s for pair in ties if touched & set(pair) for s in pair} - touched:
+        touched |= more
+    filled = {r[0] for r in targets.select("shard").distinct().collect()}
+    targets = targets.filter(F.col("shard").isin(sorted(touched)))
+
+    columns = [c for c in docs.columns if c != "shard"]
+    keyed = docs.select(*columns, *(c.alias(f"__llm_{name}")
+                                    for name, c in zip(KEY, _key(), strict=True)))
+    one = _named(targets.filter(F.col("rows") == 1), *KEY, "shard")
+    many = targets.filter(F.col("rows") > 1)
+    repeated = stored(keyed.join(_named(many, *KEY), _same(*KEY), "left_semi").withColumn(
+        "__llm_row", F.monotonically_increasing_id()), "repeated-rows")
+    spread = F.xxhash64(*(f"__llm_{c}" for c in KEY))
+    out = (keyed.join(one, _same(*KEY)).select(*columns, F.col("__llm_to_shard").alias("shard"),
+                                        spread.alias("__llm_spread"))
+           .unionByName(_dealt(repeated, many).select(
+               *columns, F.col("__llm_to_shard").alias("shard"),
+               F.col("__llm_row").alias("__llm_spread"))))
+    (out.repartition("shard", F.pmod("__llm_spread", F.lit(16))).drop("__llm_spread")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("shard").parquet(out_dir))
-    return touched
+    for shard in touched - filled:
+        _remove(spark, f"{out_dir}/shard={shard}")
+    return sorted(touched)

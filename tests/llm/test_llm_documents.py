@@ -315,6 +315,47 @@ def test_rewrite_leaves_other_shards_alone(spark, tmp_path):
     assert max(sizes.values()) < 1.05 * min(sizes.values())
 
 
+def test_rewrite_of_a_shrink_with_null_ids_and_repeated_rows(spark, tmp_path):
+    from pyspark.sql import functions as F
+    rng = random.Random(2)
+    rows = [(i, words(rng, 20), "abcd"[i % 4]) for i in range(200)]
+    rows += [(None, words(rng, 20), "abcd"[i % 4]) for i in range(20)]
+    rows += [(None, "the same text", "abcd"[i % 4]) for i in range(100)]
+    rows += [(None, None, "d")] * 2 + [rows[3]] * 4 + [(7, "another text of this id", "a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    old = F.instr(F.lit("abcd"), F.col("source")) - 1
+    out = str(tmp_path / "shards")
+    d.withColumn("shard", old).write.partitionBy("shard").parquet(out)
+    plan = stored(resharding.reshard_plan(stored(resharding.shard_keys(d, old), "k"), 3, 4), "p")
+    touched = resharding.rewrite(d, plan, out)
+    assert touched == [0, 1, 2, 3]
+    back = spark.read.parquet(out).collect()
+    assert sorted((tuple(r)[:3] for r in back), key=key) == sorted(rows, key=key)
+    assert {r["shard"] for r in back} == {0, 1, 2}
+    per = {r[0]: r[1] for r in plan.groupBy("shard").count().collect()}
+    assert {s: sum(r["shard"] == s for r in back) for s in per} == per
+
+
+def test_rewrite_keeps_equal_keys_of_an_unchanged_shard(spark, tmp_path):
+    """The same id and text in a shard that changes and in one that does not."""
+    from pyspark.sql import functions as F
+    rows = [(i, f"text {i}", "abc"[i % 3], i % 3, i % 3) for i in range(30)]
+    rows[0] = (0, "text 0", "a", 0, 1)
+    rows.append((5, "text 5", "a", 0, 0))  # as in shard 2, which has no other move
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, o int, s int")
+    out = str(tmp_path / "shards")
+    docs = d.select("doc_id", "text", "source")
+    d.selectExpr("doc_id", "text", "source", "o AS shard").write.partitionBy("shard").parquet(out)
+    keys = resharding.shard_keys(d, F.col("o"))
+    want = {(r[0], r[3]): r[4] for r in rows}
+    pairs = spark.createDataFrame([(a, o, s) for (a, o), s in want.items()],
+                                  "doc_id long, old_shard int, shard int")
+    plan = stored(keys.join(pairs, ["doc_id", "old_shard"]), "p")
+    assert resharding.rewrite(docs, plan, out) == [0, 1, 2]
+    back = spark.read.parquet(out)
+    assert sorted(tuple(r)[:3] for r in back.collect()) == sorted(r[:3] for r in rows)
+
+
 def test_resharding_of_an_empty_table(empty):
     keys = stored(resharding.shard_keys(empty, resharding.old_layout()), "keys")
     assert resharding.reshard_plan(keys).count() == 0
