@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -502,5 +503,17 @@ def test_near_duplicates_in_long_lists(spark, monkeypatch):
     check_near(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def test_sketches_rule_out_fewer_pairs_than_candidates_miss():
+    """Pairs at the threshold that sketches rule out: the exact binomial tail
+    of the least number of common values that they let pass."""
+    n, t = minhash.SKETCH, minhash.PERCENT / 100
+    least = next(k for k in range(n + 1) if minhash._possible(
+        np.arange(n), np.r_[np.arange(k), np.arange(n, 2 * n - k)], 10**6, 10**6,
+        minhash.PERCENT))
+    # Of the union's n smallest values, 0 … n - 1, these k are in both.
+    missed = sum(math.comb(n, k) * t**k * (1 - t)**(n - k) for k in range(least))
+    assert missed < (1 - t)**minhash.RANKS
+
+
 def test_near_duplicates_of_an_empty_table(empty):
     assert minhash.near_duplicates(empty).count() == 0
