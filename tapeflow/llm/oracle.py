@@ -49,4 +49,28 @@ c AS (SELECT d, min(m) AS component_id FROM reach GROUP BY d)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
 FROM w JOIN c ON c.d = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id"""
 
-ORACLE = {"op4_embedding_dedup": OP4, "op7_topk": OP7, "op9_minhash": OP9}
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT item, unnest(CASE WHEN len(w) >= 10
+        THEN list_transform(generate_series(1, len(w) - 9), lambda i: list_slice(w, i, i + 9))
+        WHEN len(w) > 0 THEN [w] ELSE [] END) AS g FROM b),
+spans AS (SELECT DISTINCT len(g) AS n FROM g),
+p AS (SELECT r, n, unnest(generate_series(1, len(w) - n + 1)) AS i, w FROM d, spans
+      WHERE len(w) >= n),
+h AS (SELECT p.r, p.i, p.n, g.item FROM p JOIN g ON g.g = list_slice(p.w, p.i, p.i + p.n - 1)),
+k AS (SELECT r, count(DISTINCT x) AS n_hit
+      FROM (SELECT DISTINCT r, unnest(generate_series(i, i + n - 1)) AS x FROM h) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT r, item FROM h WHERE item IS NOT NULL) GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(k.n_hit, 0) AS n_hit,
+       coalesce(t.n_items, 0) AS n_items, sha256(coalesce(t.items, '')) AS items_sha256,
+       coalesce(k.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN k ON k.r = d.r LEFT JOIN t ON t.r = d.r"""
+
+ORACLE = {"op4_embedding_dedup": OP4, "op7_topk": OP7, "op9_minhash": OP9,
+          "op11_decontamination": OP11}

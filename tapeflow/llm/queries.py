@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeflow.llm import (
-    embedding_dedup, licenses, minhash, mixing, packing, quality, resharding, secrets, tokencount,
+    decontamination, embedding_dedup, licenses, minhash, mixing, packing, quality, resharding, secrets, tokencount,
     topk)
 from tapeflow.llm.common import stored, table
 from tapeflow.llm.oracle import ORACLE  # noqa: F401 - read by the entry point
@@ -63,7 +63,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.scan(table(spark, sf_dir, "documents"),
+                                 table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_packing, op3_secrets, op4_embedding_dedup, op5_licenses, op6_resharding,
-    op7_topk, op8_token_counts, op9_minhash, op10_mixing)}
+    op7_topk, op8_token_counts, op9_minhash, op10_mixing, op11_decontamination)}
 
