@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeflow.llm import (
-    decontamination, embedding_dedup, licenses, minhash, mixing, packing, quality, resharding, secrets, tokencount,
+    alignment, decontamination, embedding_dedup, licenses, minhash, mixing, packing, quality, resharding, secrets, tokencount,
     topk)
 from tapeflow.llm.common import stored, table
 from tapeflow.llm.oracle import ORACLE  # noqa: F401 - read by the entry point
@@ -71,7 +71,11 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_packing, op3_secrets, op4_embedding_dedup, op5_licenses, op6_resharding,
-    op7_topk, op8_token_counts, op9_minhash, op10_mixing, op11_decontamination)}
+    op7_topk, op8_token_counts, op9_minhash, op10_mixing, op11_decontamination, op12_alignment)}
 
