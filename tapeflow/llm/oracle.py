@@ -72,5 +72,39 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(k.n_hit, 0) AS n_
        coalesce(k.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN k ON k.r = d.r LEFT JOIN t ON t.r = d.r"""
 
+# crc32 bit by bit over a table of 256 remainders; letters from U+00C0 to U+00FF
+# stand as one byte each for levenshtein, which counts bytes.
+_WIDE = "".join(chr(c) for c in range(0xC0, 0x100))
+_BYTES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&()*+,-./:;<=>?@[]^_{|}~`"[:64]
+OP13 = f"""
+WITH RECURSIVE bits AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(
+        list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]),
+        lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+    FROM (SELECT CAST(unnest(generate_series(0, 255)) AS BIGINT) AS i))),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run
+      FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 6 GROUP BY ALL),
+b AS (SELECT doc_id, run, n, flatten(list_transform(string_split(
+        coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+        lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)]
+                  ELSE [192 + ord(c) // 64, CAST(128 + ord(c) % 64 AS BIGINT)] END)) AS x FROM u),
+h AS (SELECT run, n, xor(list_reduce(list_concat([4294967295], x),
+        lambda c, y: xor(c // 256, t[xor(c % 256, y) + 1])), 4294967295) AS h FROM b, bits),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER))
+        || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n, translate(word, '{_WIDE}', '{_BYTES}') AS k,
+             length(word) AS l FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+p AS (SELECT x.word, x.n, y.word AS other, y.n AS other_n FROM v x JOIN v y
+      ON y.l BETWEEN x.l - 1 AND x.l + 1 WHERE levenshtein(x.k, y.k) = 1),
+f AS (SELECT word, count(*) AS n_near, max(other_n) AS top FROM p GROUP BY word),
+g AS (SELECT p.word, min(p.other) AS form, min(f.top) AS form_n FROM p JOIN f USING (word)
+      WHERE p.other_n = f.top AND f.top >= 5 * p.n GROUP BY p.word),
+chain AS (SELECT word, word AS root, 0 AS step FROM v
+          UNION ALL SELECT c.word, g.form, c.step + 1 FROM chain c JOIN g ON g.word = c.root)
+SELECT v.word, g.form, c.root, v.n, coalesce(f.n_near, 0) AS n_near, g.form_n
+FROM v LEFT JOIN g ON g.word = v.word LEFT JOIN f ON f.word = v.word
+JOIN (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word) c ON c.word = v.word"""
+
 ORACLE = {"op4_embedding_dedup": OP4, "op7_topk": OP7, "op9_minhash": OP9,
-          "op11_decontamination": OP11}
+          "op11_decontamination": OP11, "op13_spelling": OP13}

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeflow.llm import (
-    alignment, decontamination, embedding_dedup, licenses, minhash, mixing, packing, quality, resharding, secrets, tokencount,
-    topk)
+    alignment, decontamination, embedding_dedup, licenses, minhash, mixing, packing, quality, resharding, secrets, spelling,
+    tokencount, topk)
 from tapeflow.llm.common import stored, table
 from tapeflow.llm.oracle import ORACLE  # noqa: F401 - read by the entry point
 
@@ -75,7 +75,20 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_report(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def with_slips(run):
+        """The contract's slips: one letter of some runs is left out."""
+        h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), run)
+                    .cast("binary"))
+        at = (h % F.length(run)).cast("int")
+        return F.when(h % 199 == 0, F.concat(F.substring(run, F.lit(1), at),
+                                             F.substring(run, at + 2, F.length(run)))).otherwise(run)
+    return spelling.variant_groups(spelling.vocabulary(
+        table(spark, sf_dir, "documents"), spelling=with_slips))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_packing, op3_secrets, op4_embedding_dedup, op5_licenses, op6_resharding,
-    op7_topk, op8_token_counts, op9_minhash, op10_mixing, op11_decontamination, op12_alignment)}
+    op7_topk, op8_token_counts, op9_minhash, op10_mixing, op11_decontamination, op12_alignment,
+    op13_spelling)}
 
