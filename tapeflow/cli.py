@@ -3,6 +3,11 @@
   python -m tapeflow ingest  --captures PATH --root ROOT [--format csv] [--index-name symbol]
                              [--on-conflict error|skip|replace] [--no-daily]
       daily + intraday + market-series load (I1–I3)
+  python -m tapeflow follow  --captures PATH --root ROOT [--format csv] [--index-name symbol]
+                             [--on-conflict skip|replace|error] [--max-files N] [--no-daily]
+      the same load for the captures that have landed since the last run, each file once
+  python -m tapeflow compact --root ROOT [--most N]
+      merge the folders of partitions that many runs have added to
   python -m tapeflow screen  NAME|all --captures PATH --root ROOT --out PATH [--show N]
       one of the seven screens (Q1–Q7), or all in one pass, on the latest capture per ticker
   python -m tapeflow report stock      --root ROOT --out DIR [--tickers A,B]   (R1–R5, R9)
@@ -28,8 +33,9 @@ from tapeflow.operators.windows import latest_per_key
 from tapeflow.plans import jobs, reports
 from tapeflow.plans.screens import CANDLE_CANDIDATES, SPECS
 from tapeflow.session import get_spark, staged
-from tapeflow.sources.sinks import read_stored
-from tapeflow.sources.snapshots import latest_capture, quarantine, read_flow, read_snapshots
+from tapeflow.sources.snapshots import latest_capture, quarantine, read_snapshots
+from tapeflow.sources.versions import compact, vacuum, version
+from tapeflow.streaming.follow import follow, landed_schema
 
 
 def _captures(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -45,16 +51,6 @@ def _current(spark: SparkSession, a) -> DataFrame:
     return latest_per_key(snap if a.all_captures else latest_capture(snap), ["ticker"], "download", 1)
 
 
-def _tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    out = {}
-    for kind in ("daily", "intraday", "index", "sessions"):
-        path = os.path.join(root, kind)
-        if read_stored(spark, path) is not None:
-            out[kind] = spark.read.parquet(path) if kind == "sessions" \
-                else read_flow(spark, path, kind)
-    return out
-
-
 def _write(frames: dict[str, DataFrame], out: str) -> None:
     """Write report frames; dated frames get Jalali labels for the chart axis."""
     for name, df in frames.items():
@@ -70,15 +66,30 @@ def cmd_ingest(spark, a):
         print(f"{name}: {os.path.join(a.root, name)}")
 
 
+def cmd_follow(spark, a):
+    opts = {"header": "true"} if a.format == "csv" else {}
+    schema = landed_schema(spark, a.captures, a.format, **opts)
+    follow(spark, a.captures, a.root, a.checkpoint or f"{a.root}/_follow", schema, a.format,
+           a.index_name, a.on_conflict, daily=not a.no_daily, max_files=a.max_files, **opts)
+    at = version(spark, a.root)
+    print(f"{a.root} is at version {at.number}: {', '.join(sorted(at.tables))}")
+
+
+def cmd_compact(spark, a):
+    for name, (partition_by, keys) in jobs.LAYOUT.items():
+        n = compact(spark, a.root, name, partition_by, keys, a.most)
+        print(f"{name}: {n} partitions rewritten")
+    print(f"{vacuum(spark, a.root)} old folders deleted")
+
+
 def cmd_screen(spark, a):
     current = _current(spark, a)
-    t = _tables(spark, a.root)
+    t = jobs.stored_tables(spark, a.root)
     if a.name == "all":
         result = run_screens(current, SPECS.values(), daily=t.get("daily"),
-                             intraday=t.get("intraday"))
+                             rollup=t.get("rollup"))
     else:
-        result = screen(current, SPECS[a.name], daily=t.get("daily"),
-                        intraday=t.get("intraday"), sessions=t.get("sessions"))
+        result = screen(current, SPECS[a.name], daily=t.get("daily"), rollup=t.get("rollup"))
     result.write.mode("overwrite").parquet(a.out)
     print(f"wrote {a.name} → {a.out}")
     if a.show:
@@ -87,34 +98,34 @@ def cmd_screen(spark, a):
 
 
 def cmd_report(spark, a):
-    t = _tables(spark, a.root)
+    t = jobs.stored_tables(spark, a.root)
     watch = ticker_frame(spark, a.tickers.split(",")) if a.tickers else None
     if a.kind == "stock":
         frames = {
-            "buy_power_candles": reports.stock_buy_power_candles(t["intraday"], t["daily"], watch,
-                                                                 t.get("sessions")),
+            "buy_power_candles": reports.stock_buy_power_candles(None, t["daily"], watch,
+                                                                 rollup=t["rollup"]),
             "price_candles": reports.stock_price_candles(t["daily"], watch),
-            "per_capita_candles": reports.stock_per_capita_candles(t["intraday"], t["daily"], watch,
-                                                                   t.get("sessions")),
+            "per_capita_candles": reports.stock_per_capita_candles(None, t["daily"], watch,
+                                                                   rollup=t["rollup"]),
             "last_session": reports.stock_last_session(t["intraday"], watch, t.get("sessions")),
             "valuation": reports.stock_valuation(t["daily"], watch, display=True),
             "buy_power_gaps": reports.candle_calendar_gaps(reports.stock_buy_power_candles(
-                t["intraday"], t["daily"], watch, t.get("sessions"))),
+                None, t["daily"], watch, rollup=t["rollup"])),
             "calendar_gaps": reports.price_calendar_gaps(
                 reports.stock_price_candles(t["daily"], watch)),
         }
     elif a.kind == "market":
-        frames = {"candles": reports.market_candles(t["index"]),
-                  "calendar_gaps": reports.candle_calendar_gaps(
-                      reports.market_candles(t["index"]), ("universe",)),
+        candles = reports.market_candles(None, t["index_rollup"])
+        frames = {"candles": candles,
+                  "calendar_gaps": reports.candle_calendar_gaps(candles, ("universe",)),
                   "last_session": reports.market_last_session(t["index"])}
     else:
         current = _current(spark, a)
         survivors = staged(screen(current, CANDLE_CANDIDATES, daily=t["daily"], ordered=False),
                            "survivors")
         picked = survivors.select("ticker")
-        frames = {"buy_power_candles": reports.screened_candles(survivors, t["intraday"], t["daily"],
-                                                               t.get("sessions")),
+        frames = {"buy_power_candles": reports.screened_candles(survivors, None, t["daily"],
+                                                               rollup=t["rollup"]),
                   "price_candles": reports.price_candle_geometry(t["daily"], picked)}
     _write(frames, a.out)
 
@@ -136,6 +147,20 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("--no-daily", action="store_true", help="intraday and market series only")
     i.set_defaults(run=cmd_ingest)
 
+    f = sub.add_parser("follow")
+    captures(f)
+    f.add_argument("--root", required=True)
+    f.add_argument("--checkpoint", default=None, help="default: _follow under the root")
+    f.add_argument("--on-conflict", default="skip", choices=["error", "skip", "replace"])
+    f.add_argument("--max-files", type=int, default=None, help="files of one commit, at most")
+    f.add_argument("--no-daily", action="store_true", help="intraday and market series only")
+    f.set_defaults(run=cmd_follow)
+
+    k = sub.add_parser("compact")
+    k.add_argument("--root", required=True)
+    k.add_argument("--most", type=int, default=8, help="folders a partition may live in")
+    k.set_defaults(run=cmd_compact)
+
     s = sub.add_parser("screen")
     s.add_argument("name", choices=sorted(SPECS) + ["all"],
                    help="one screen, or all seven in one pass")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tapeflow.functions import metrics as M
 from tapeflow.operators import universe as U
 from tapeflow.operators.candles import candles_multi
+from tapeflow.operators.rollup import rollup_flow_candles
 from tapeflow.operators.windows import last_session, latest_sessions
 from tapeflow.session import staged
 
@@ -76,15 +77,20 @@ def divergence_predicate() -> Column:
             & (s["open"] - s["close"] > (s["close"] - s["low"]) * 2))
 
 
-def divergence_history(intraday: DataFrame) -> DataFrame:
-    """Every (ticker, day) whose buy/sell per-capita candles diverge."""
-    return flow_candles(intraday).filter(divergence_predicate())
+def divergence_history(intraday: DataFrame | None, rollup: DataFrame | None = None) -> DataFrame:
+    """Every (ticker, day) whose buy/sell per-capita candles diverge (D1);
+    from the stored candle states ``rollup`` if given."""
+    candles = flow_candles(intraday) if rollup is None else rollup_flow_candles(rollup)
+    return candles.filter(divergence_predicate())
 
 
-def latest_divergence(intraday: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+def latest_divergence(intraday: DataFrame | None, sessions: DataFrame | None = None,
+                      rollup: DataFrame | None = None) -> DataFrame:
     """D1 on each ticker's latest session (latest date over *all* its rows;
     a latest day without values fails).  Only the rows of that day are
-    aggregated (J4 first, then the candles)."""
+    aggregated (J4 first, then the candles); with ``rollup`` none are."""
+    if rollup is not None:
+        return rollup_flow_candles(rollup, latest=1).filter(divergence_predicate())
     return flow_candles(last_session(intraday, index=sessions)).filter(divergence_predicate())
 
 
@@ -122,18 +128,18 @@ def ranked(survivors: DataFrame, *within: str) -> DataFrame:
 
 def screen(snapshot: DataFrame, spec: ScreenSpec, daily: DataFrame | None = None,
            intraday: DataFrame | None = None, ordered: bool = True,
-           sessions: DataFrame | None = None) -> DataFrame:
+           sessions: DataFrame | None = None, rollup: DataFrame | None = None) -> DataFrame:
     """Run one screen on the current snapshot (one row per ticker).
 
     A persistence screen needs the ``daily`` table, a divergence screen the
-    ``intraday`` table (and, to read only each ticker's last day of it, the
-    stored ``sessions``).  The first stage is staged: history is narrowed to
+    stored candle states ``rollup`` or the ``intraday`` table (and, to read
+    only each ticker's last day of it, the stored ``sessions``).  The first stage is staged: history is narrowed to
     its survivors and joined with them, and the snapshot is read once.
     """
     if spec.confirm == "persistence" and daily is None:
         raise ValueError(f"screen {spec.name} confirms on the daily table: pass daily=")
-    if spec.confirm == "divergence" and intraday is None:
-        raise ValueError(f"screen {spec.name} confirms on the intraday table: pass intraday=")
+    if spec.confirm == "divergence" and intraday is None and rollup is None:
+        raise ValueError(f"screen {spec.name} confirms on candles: pass intraday= or rollup=")
     first = snapshot_stage(snapshot, spec)
     if spec.confirm is not None:
         first = staged(first, "screen-stage")
@@ -146,15 +152,22 @@ def screen(snapshot: DataFrame, spec: ScreenSpec, daily: DataFrame | None = None
         ok = F.col("hits") > spec.min_hits if spec.strict_hits else F.col("hits") >= spec.min_hits
         out = out.filter(ok)
     elif spec.confirm == "divergence":
-        hist = intraday.join(first.select("ticker"), "ticker", "left_semi")
-        days = None if sessions is None else \
-            sessions.join(first.select("ticker"), "ticker", "left_semi")
-        out = out.join(latest_divergence(hist, days).select("ticker"), "ticker", "left_semi")
+        div = _divergence_of(first.select("ticker"), intraday, sessions, rollup)
+        out = out.join(div.select("ticker"), "ticker", "left_semi")
     return ranked(out) if ordered else out
 
 
+def _divergence_of(tickers: DataFrame, intraday: DataFrame | None, sessions: DataFrame | None,
+                   rollup: DataFrame | None) -> DataFrame:
+    """``latest_divergence`` of some tickers; only their history is read."""
+    def mine(df: DataFrame | None) -> DataFrame | None:
+        return None if df is None else df.join(tickers, "ticker", "left_semi")
+    return latest_divergence(mine(intraday), mine(sessions), mine(rollup))
+
+
 def run_screens(snapshot: DataFrame, specs, daily: DataFrame | None = None,
-                intraday: DataFrame | None = None) -> DataFrame:
+                intraday: DataFrame | None = None, sessions: DataFrame | None = None,
+                rollup: DataFrame | None = None) -> DataFrame:
     """Several screens in one pass over the current snapshot.
 
     Each row is tagged with the screens whose first stage it passes; the
@@ -184,10 +197,10 @@ def run_screens(snapshot: DataFrame, specs, daily: DataFrame | None = None,
                 F.count(F.when(persistence_predicate(True), F.col("date"))).alias(f"_h5_{n}"))
             out = out.join(counts, "ticker", "left")
     if any(s.confirm == "divergence" for s in specs):
-        if intraday is None:
-            raise ValueError("divergence screens need intraday=")
-        hist = intraday.join(stage.select("ticker").distinct(), "ticker", "left_semi")
-        div = latest_divergence(hist).select("ticker", F.lit(True).alias("_div"))
+        if intraday is None and rollup is None:
+            raise ValueError("divergence screens need intraday= or rollup=")
+        div = _divergence_of(stage.select("ticker").distinct(), intraday, sessions, rollup) \
+            .select("ticker", F.lit(True).alias("_div"))
         out = out.join(div, "ticker", "left")
     keep, hits = None, F.lit(None).cast("long")
     for s in specs:

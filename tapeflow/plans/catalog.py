@@ -358,7 +358,7 @@ def q_stream_market_flow(spark, d):
     block, basket = FX.ticker_lists(spark, d)
     return ST.stored_market(spark, _streamed(
         spark, d, "stream_market_flow",
-        lambda out: ST.market_sink(out, block, basket, prepare=FX.hourly_cross_sections)))
+        lambda out: ST.market_sink(spark, out, block, basket, prepare=FX.hourly_cross_sections)))
 
 
 def q_stream_screen(spark, d):

@@ -4,18 +4,21 @@ The reference ran one script per capture, looping over tickers with two
 or three SQL statements each.  Here a job is one plan over all tickers
 (and any number of captures): filter → project → keyed append.
 
-Storage layout (parquet under one root):
-  daily/     partitioned by ``j_year``, ``j_month`` (Jalali month of the session)
-  intraday/  partitioned by ``date``
-  index/     partitioned by ``date``
-  sessions/  the (ticker, date) pairs of intraday/, from which reports choose days
-Key rules follow ``sinks.write_unique`` (error / skip / replace); a
-replace rewrites only the partitions the batch touches.
+Tables under one root, changed together by one commit (``sources.versions``):
+  daily         partitioned by ``j_year``, ``j_month`` (Jalali month of the session)
+  intraday      partitioned by ``date``
+  index         partitioned by ``date``
+  rollup        candle states of intraday by (ticker, day), partitioned by ``date``;
+                its (ticker, date) pairs are the sessions reports choose days from
+  index_rollup  candle states of index by (universe, day), partitioned by ``date``
+  quarantine    rows without a usable key, partitioned by ``run``
+  landed        the files ``follow`` has ingested (``streaming.follow``)
+Key rules are error / skip / replace; a replace rewrites only the partitions
+the batch touches.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,12 +29,18 @@ from tapeflow.functions.metrics import clean_ticker
 from tapeflow.operators.flows import DAILY_ORDER, daily_rows, index_flows, to_intraday_flow
 from tapeflow.operators.universe import (
     block_list as default_block_list, has_opened, in_session, large_cap_basket, tradable)
+from tapeflow.operators.rollup import candle_states, merge_states
 from tapeflow.operators.windows import (
-    appended_average_volume, latest_per_key, sessions, with_average_volume)
-from tapeflow.schemas import DAILY_KEYS, INDEX_KEYS, INTRADAY_KEYS
-from tapeflow.session import scratch_path
-from tapeflow.sources.sinks import prepare_unique, read_stored
+    appended_average_volume, latest_per_key, with_average_volume)
+from tapeflow.schemas import (
+    DAILY_FLOW, DAILY_KEYS, INDEX_FLOW, INDEX_KEYS, INTRADAY_FLOW, INTRADAY_KEYS)
+from tapeflow.session import staged
 from tapeflow.sources.snapshots import quarantine
+from tapeflow.sources.versions import Transaction, read_table, version
+
+# The schema a table is read with (None: that of its files).
+SCHEMAS = {"daily": DAILY_FLOW, "intraday": INTRADAY_FLOW, "index": INDEX_FLOW,
+           "rollup": None, "index_rollup": None, "quarantine": None, "landed": None}
 
 
 def ingest_universe(snapshot: DataFrame) -> DataFrame:
@@ -81,49 +90,80 @@ def with_session_month(daily: DataFrame) -> DataFrame:
 
 
 DAILY_PARTITIONS = ["j_year", "j_month"]
+# Partition and key columns of the tables that grow run by run.
+LAYOUT = {"daily": (DAILY_PARTITIONS, DAILY_KEYS), "intraday": (["date"], INTRADAY_KEYS),
+          "index": (["date"], INDEX_KEYS), "landed": ([], ["digest"])}
+
+
+def stored_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables of the newest version under ``root`` (those it has)."""
+    at = version(spark, root)
+    out = {name: read_table(spark, root, name, schema, at) for name, schema in SCHEMAS.items()}
+    out = {name: df for name, df in out.items() if df is not None}
+    if "rollup" in out:
+        out["sessions"] = out["rollup"].select("ticker", "date")
+    return out
 
 
-def run_ingest(spark: SparkSession, snapshot: DataFrame, root: str, on_conflict: str = "error",
-               block_list: DataFrame | None = None, basket: DataFrame | None = None,
-               daily: bool = True, run_id: str | None = None) -> dict[str, DataFrame]:
-    """Run I1 (when ``daily``), I2 and I3 for a batch of captures and append
-    them to the tables under ``root``.
-
-    All tables are staged and checked before the first one is written, so a
-    conflict leaves every table as it was.  Captures without a usable key go
-    to ``quarantine/run=<run_id>`` (overwritten if the run is repeated).  With
-    ``replace``, stored sessions whose trailing average the batch changes are
-    refreshed too.  Returns the tables as read back."""
+def _with_rollup(tx: Transaction, flow: str, name: str, keys: list[str], whole: bool) -> None:
+    """Bring the candle states of the days that ``tx`` adds to ``flow`` up to
+    date.  ``whole``: it wrote all rows of those days, else new ones only."""
+    rows = tx.written(flow)
+    if rows is None:
+        return
+    states = candle_states(rows, keys)
+    stored = tx.table(name)
+    if stored is not None and not whole:
+        states = staged(states, "new-states")
+        days = states.select("date").distinct()
+        states = merge_states(states.unionByName(
+            stored.join(days, "date", "left_semi").select(*states.columns)), keys)
+    tx.write(name, states, ["date"], keys, replace=True)
+
+
+def ingest_into(tx: Transaction, snapshot: DataFrame, on_conflict: str = "error",
+                block_list: DataFrame | None = None, basket: DataFrame | None = None,
+                daily: bool = True, run_id: str | None = None) -> None:
+    """I1 (when ``daily``), I2 and I3 for a batch of captures as part of the
+    transaction ``tx``, with the candle states (A3) of the days it touches.
+
+    Captures without a usable key go to the quarantine table under ``run_id``.
+    With ``replace``, stored sessions whose trailing average the batch changes
+    are refreshed too."""
+    spark = tx.spark
     block_list = block_list if block_list is not None else default_block_list(spark)
     basket = basket if basket is not None else large_cap_basket(spark)
     # Read and typed once; all tables below start from the staged rows.
-    staged = scratch_path(spark, "staged-captures")
-    snapshot.write.parquet(staged)
-    snapshot, rejected = quarantine(spark.read.schema(snapshot.schema).parquet(staged))
-    commits = {}
+    snapshot, rejected = quarantine(staged(snapshot, "staged-captures"))
     if daily:
-        path = os.path.join(root, "daily")
-        stored = read_stored(spark, path)
+        stored = tx.table("daily", SCHEMAS["daily"])
         history = None if stored is None else stored.select(*DAILY_ORDER)
         rows, refreshed = _daily_load(snapshot, history, stored_wins=on_conflict == "skip")
         if refreshed is not None and on_conflict == "replace":
             old = history.drop("average_volume").join(refreshed, DAILY_KEYS)
             rows = rows.unionByName(old.select(*DAILY_ORDER))
-        if on_conflict == "error":
-            rows = rows.select(*DAILY_ORDER)
-        commits["daily"] = prepare_unique(spark, with_session_month(rows), path, DAILY_KEYS,
-                                          on_conflict, DAILY_PARTITIONS)
+        tx.write_unique("daily", with_session_month(rows), DAILY_KEYS, on_conflict,
+                        DAILY_PARTITIONS, SCHEMAS["daily"])
     intraday = intraday_load(snapshot).withColumn("date", F.to_date("timestamp"))
-    commits["intraday"] = prepare_unique(spark, intraday, os.path.join(root, "intraday"),
-                                         INTRADAY_KEYS, on_conflict, ["date"])
+    tx.write_unique("intraday", intraday, INTRADAY_KEYS, on_conflict, ["date"],
+                    SCHEMAS["intraday"])
     index = market_load(snapshot, block_list, basket).withColumn("date", F.to_date("timestamp"))
-    commits["index"] = prepare_unique(spark, index, os.path.join(root, "index"),
-                                      INDEX_KEYS, on_conflict, ["date"])
-    days = sessions(intraday)
-    commits["sessions"] = prepare_unique(spark, days, os.path.join(root, "sessions"),
-                                         ["ticker", "date"], "skip")
-    out = {name: commit() for name, commit in commits.items()}
-    qpath = os.path.join(root, "quarantine")
-    rejected.write.mode("overwrite").parquet(os.path.join(qpath, f"run={run_id or uuid.uuid4().hex}"))
-    out["quarantine"] = spark.read.schema(rejected.schema).parquet(qpath)
-    return out
+    tx.write_unique("index", index, INDEX_KEYS, on_conflict, ["date"], SCHEMAS["index"])
+    _with_rollup(tx, "intraday", "rollup", ["ticker"], on_conflict == "replace")
+    _with_rollup(tx, "index", "index_rollup", ["universe"], on_conflict == "replace")
+    run_id = run_id or uuid.uuid4().hex
+    tx.clear("quarantine", f"run={run_id}")
+    tx.write("quarantine", rejected.withColumn("run", F.lit(run_id)), ["run"])
+
+
+def run_ingest(spark: SparkSession, snapshot: DataFrame, root: str, on_conflict: str = "error",
+               block_list: DataFrame | None = None, basket: DataFrame | None = None,
+               daily: bool = True, run_id: str | None = None) -> dict[str, DataFrame]:
+    """Append a batch of captures to the tables under ``root`` (``ingest_into``)
+    in one commit: all tables have the batch, or, whatever fails, none.  A run
+    that is repeated under its ``run_id`` replaces its quarantined rows.
+    Returns the tables as read back."""
+    tx = Transaction(spark, root)
+    ingest_into(tx, snapshot, on_conflict, block_list, basket, daily, run_id)
+    tx.commit()
+    return stored_tables(spark, root)

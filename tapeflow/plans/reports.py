@@ -12,6 +12,7 @@ from tapeflow.functions.calendar import to_minute
 from tapeflow.operators.candles import (
     calendar_gaps, candle_geometry, indicator_candles, stacked_candles, with_daily)
 from tapeflow.operators.joins import keep_keys
+from tapeflow.operators.rollup import rollup_candles, rollup_stacked
 from tapeflow.operators.windows import last_session, latest_sessions
 
 CANDLE_DAYS = 60
@@ -22,17 +23,25 @@ def _days(sessions: DataFrame | None, tickers: DataFrame | None) -> DataFrame |
     return None if sessions is None else _watch(sessions, tickers)
 
 
+def _buy_power(intraday: DataFrame | None, tickers: DataFrame | None,
+               sessions: DataFrame | None, rollup: DataFrame | None) -> DataFrame:
+    """Latest 60 buy-power candles, from the stored candle states if given."""
+    if rollup is not None:
+        return rollup_candles(_watch(rollup, tickers), "i_buy_pow", latest=CANDLE_DAYS)
+    return indicator_candles(_watch(intraday, tickers), "i_buy_pow", latest=CANDLE_DAYS,
+                             index=_days(sessions, tickers))
+
+
 def _watch(df: DataFrame, tickers: DataFrame | None) -> DataFrame:
     return df if tickers is None else keep_keys(df, tickers, "ticker")
 
 
-def stock_buy_power_candles(intraday: DataFrame, daily: DataFrame,
+def stock_buy_power_candles(intraday: DataFrame | None, daily: DataFrame,
                             tickers: DataFrame | None = None,
-                            sessions: DataFrame | None = None) -> DataFrame:
+                            sessions: DataFrame | None = None,
+                            rollup: DataFrame | None = None) -> DataFrame:
     """Latest 60 buy-power candles per ticker + that day's net inflow."""
-    c = indicator_candles(_watch(intraday, tickers), "i_buy_pow", latest=CANDLE_DAYS,
-                          index=_days(sessions, tickers))
-    return with_daily(c, daily, ["i_entered_money"])
+    return with_daily(_buy_power(intraday, tickers, sessions, rollup), daily, ["i_entered_money"])
 
 
 def stock_price_candles(daily: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
@@ -42,13 +51,18 @@ def stock_price_candles(daily: DataFrame, tickers: DataFrame | None = None) -> D
                     F.col("last").alias("close"), "volume")
 
 
-def stock_per_capita_candles(intraday: DataFrame, daily: DataFrame,
+def stock_per_capita_candles(intraday: DataFrame | None, daily: DataFrame,
                              tickers: DataFrame | None = None,
-                             sessions: DataFrame | None = None) -> DataFrame:
+                             sessions: DataFrame | None = None,
+                             rollup: DataFrame | None = None) -> DataFrame:
     """Latest 60 buy and sell per-capita candles (one aggregation, long
     form with an ``indicator`` column) + that day's volume."""
-    c = stacked_candles(_watch(intraday, tickers), ["i_buy_per_capita", "i_sell_per_capita"],
-                        latest=CANDLE_DAYS, index=_days(sessions, tickers))
+    values = ["i_buy_per_capita", "i_sell_per_capita"]
+    if rollup is not None:
+        c = rollup_stacked(_watch(rollup, tickers), values, latest=CANDLE_DAYS)
+    else:
+        c = stacked_candles(_watch(intraday, tickers), values, latest=CANDLE_DAYS,
+                            index=_days(sessions, tickers))
     return with_daily(c, daily, ["volume"])
 
 
@@ -79,10 +93,12 @@ def stock_valuation(daily: DataFrame, tickers: DataFrame | None = None,
     return out
 
 
-def market_candles(index_flow: DataFrame) -> DataFrame:
+def market_candles(index_flow: DataFrame | None, rollup: DataFrame | None = None) -> DataFrame:
     """Latest 60 candles of buy power and both per-capitas per universe."""
-    return stacked_candles(index_flow, ["i_buy_pow", "i_buy_per_capita", "i_sell_per_capita"],
-                           keys=["universe"], latest=CANDLE_DAYS)
+    values = ["i_buy_pow", "i_buy_per_capita", "i_sell_per_capita"]
+    if rollup is not None:
+        return rollup_stacked(rollup, values, ["universe"], CANDLE_DAYS)
+    return stacked_candles(index_flow, values, keys=["universe"], latest=CANDLE_DAYS)
 
 
 def market_last_session(index_flow: DataFrame) -> DataFrame:
@@ -92,13 +108,12 @@ def market_last_session(index_flow: DataFrame) -> DataFrame:
                        "i_buy_pow", "i_buy_per_capita", "i_sell_per_capita", "i_entered_money")
 
 
-def screened_candles(survivors: DataFrame, intraday: DataFrame, daily: DataFrame,
-                     sessions: DataFrame | None = None) -> DataFrame:
+def screened_candles(survivors: DataFrame, intraday: DataFrame | None, daily: DataFrame,
+                     sessions: DataFrame | None = None,
+                     rollup: DataFrame | None = None) -> DataFrame:
     """Buy-power candles (latest 60) + volume for screen survivors.  The
     survivors are used more than once: pass them staged (``session.staged``)."""
-    tickers = survivors.select("ticker")
-    c = indicator_candles(_watch(intraday, tickers), "i_buy_pow", latest=CANDLE_DAYS,
-                          index=_days(sessions, tickers))
+    c = _buy_power(intraday, survivors.select("ticker"), sessions, rollup)
     return with_daily(c, daily, ["volume"])
 
 

@@ -56,7 +56,7 @@ def one_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-def _check(new: DataFrame, existing: DataFrame | None, keys: list[str], where: str) -> None:
+def check_keys(new: DataFrame, existing: DataFrame | None, keys: list[str], where: str) -> None:
     """Raise on a repeated key; one pass over the batch's keys and those stored
     keys that meet them."""
     mine = new.select(*keys)
@@ -73,7 +73,7 @@ def append_unique(new: DataFrame, existing: DataFrame, keys: Sequence[str],
         raise ValueError(f"on_conflict must be one of {CONFLICT_MODES}")
     keys = list(keys)
     if on_conflict == "error":
-        _check(new, existing, keys, "")
+        check_keys(new, existing, keys, "")
         return union_evolved(existing, new)
     new = one_per_key(new, keys)
     if on_conflict == "skip":
@@ -81,13 +81,14 @@ def append_unique(new: DataFrame, existing: DataFrame, keys: Sequence[str],
     return union_evolved(existing.join(new.select(*keys), keys, "left_anti"), new)
 
 
-def _laid_out(df: DataFrame, partition_by: list[str], keys: list[str]) -> DataFrame:
+def laid_out(df: DataFrame, partition_by: list[str], keys: list[str]) -> DataFrame:
     """Few files for each partition value, each sorted by key: row group
     statistics then prune key filters.  ``rebalance`` lets AQE split a large
     partition and merge small ones."""
     if partition_by:
         df = df.hint("rebalance", *partition_by)
-    return df.sortWithinPartitions(*partition_by, *(k for k in keys if k not in partition_by))
+    order = [*partition_by, *(k for k in keys if k not in partition_by)]
+    return df.sortWithinPartitions(*order) if order else df
 
 
 def prepare_unique(spark: SparkSession, new: DataFrame, path: str, keys: Sequence[str],
@@ -109,7 +110,7 @@ def prepare_unique(spark: SparkSession, new: DataFrame, path: str, keys: Sequenc
     existing = read_stored(spark, path)
     on = keys + [c for c in partition_by if c not in keys]
     if on_conflict == "error":
-        _check(staged, existing, on, f" at {path}")
+        check_keys(staged, existing, on, f" at {path}")
     else:
         staged = one_per_key(staged, on)
 
@@ -125,7 +126,7 @@ def prepare_unique(spark: SparkSession, new: DataFrame, path: str, keys: Sequenc
             checkpoint_root(spark)
             out = append_unique(staged, scope, on, "replace").checkpoint(eager=True)
             mode = "overwrite"
-        (_laid_out(out, partition_by, keys).write.mode(mode)
+        (laid_out(out, partition_by, keys).write.mode(mode)
          .option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path))
         return spark.read.schema(new.schema).parquet(path) if existing is None \
             else spark.read.parquet(path)

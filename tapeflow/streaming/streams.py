@@ -9,8 +9,9 @@ captures read so far, whatever the split into micro-batches.
 * T2 – daily candles: a batch's candles are merged with the stored candles of
   the same (ticker, day); first, last, highest and lowest are idempotent, so a
   retried micro-batch changes nothing.
-* T3 – market series: sums and counts per (universe, capture), one folder for
-  each micro-batch (overwritten on a retry), added up on reading.
+* T3 – market series: sums and counts per (universe, capture) of rows no other
+  micro-batch had, one folder for each micro-batch (overwritten on a retry),
+  added up on reading.
 * T4 – screens: the latest verdict per ticker, also "no longer passes".
 
 The output table and the checkpoint are the caller's paths: a restarted run
@@ -25,12 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeflow.functions.metrics import clean_ticker
 from tapeflow.operators.flows import finish_index, index_parts, to_intraday_flow
 from tapeflow.operators.screens import screen
 from tapeflow.operators.universe import in_session, tradable
 from tapeflow.operators.windows import latest_per_key
 from tapeflow.schemas import INTRADAY_KEYS
-from tapeflow.sources.sinks import read_stored, write_unique
+from tapeflow.session import staged
+from tapeflow.sources.sinks import one_per_key, read_stored, write_unique
 
 EPOCH_COL = "micro_batch"
 Sink = Callable[[DataFrame, int], None]
@@ -97,6 +100,7 @@ def candle_sink(spark: SparkSession, out: str, value: str) -> Sink:
         new = _partial_candles(to_intraday_flow(batch), value)
         stored = read_stored(spark, out)
         if stored is not None:
+            new = staged(new, "batch-candles")  # used twice; the files are read once
             days = new.select("ticker", "date")
             new = merge_candles(new.unionByName(
                 stored.join(days, ["ticker", "date"], "left_semi").select(*new.columns)))
@@ -125,19 +129,33 @@ def logged_candles(spark: SparkSession, out: str) -> DataFrame:
 
 # --- T3 ----------------------------------------------------------------------------------
 
-def market_sink(out: str, block_list: DataFrame, basket: DataFrame,
+def market_sink(spark: SparkSession, out: str, block_list: DataFrame, basket: DataFrame,
                 prepare: Callable[[DataFrame], DataFrame] | None = None) -> Sink:
-    """Sums and counts per (universe, capture) of the batch (``prepare``
-    shapes its raw rows first)."""
+    """Sums and counts per (universe, capture) of the batch's new rows
+    (``prepare`` shapes them first).  A row is new if no other micro-batch had
+    its (ticker, capture): the keys seen are kept by day beside the sums, so a
+    capture that lands again, whole or in other files, adds nothing."""
     def sink(batch: DataFrame, epoch: int) -> None:
-        snap = prepare(batch) if prepare is not None else batch
+        keyed = batch.withColumn("_ticker", clean_ticker("ticker")) \
+            .withColumn("date", F.to_date("download"))
+        new = one_per_key(keyed, ["_ticker", "download"])
+        seen = read_stored(spark, f"{out}/seen")
+        if seen is not None:  # not what an interrupted run of this epoch left
+            others = seen.filter(F.col(EPOCH_COL) != epoch) \
+                .select(F.col("ticker").alias("_ticker"), "download", "date")
+            new = new.join(others, ["_ticker", "download", "date"], "left_anti")
+        new = staged(new, "new-captures")
+        (new.select(F.col("_ticker").alias("ticker"), "download", "date")
+         .write.mode("overwrite").partitionBy("date").parquet(_epoch_folder(f"{out}/seen", epoch)))
+        snap = new.drop("_ticker", "date")
+        snap = prepare(snap) if prepare is not None else snap
         index_parts(in_session(tradable(snap)), block_list, basket) \
-            .write.mode("overwrite").parquet(_epoch_folder(out, epoch))
+            .write.mode("overwrite").parquet(_epoch_folder(f"{out}/parts", epoch))
     return sink
 
 
 def stored_market(spark: SparkSession, out: str) -> DataFrame:
-    return finish_index(spark.read.parquet(out))
+    return finish_index(spark.read.parquet(f"{out}/parts"))
 
 
 # --- T4 ----------------------------------------------------------------------------------

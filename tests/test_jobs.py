@@ -9,11 +9,16 @@ from tapeflow.plans.screens import SPECS
 from tapeflow.session import scratch_path
 from tapeflow.sources import fixtures as FX
 from tapeflow.sources.sinks import DuplicateKeyError
+from tapeflow.sources.versions import Transaction, read_table, version
 from tests.conftest import SF_SMALL
 
 import pytest
 
 
+def stored(spark, root, name):
+    return read_table(spark, root, name)
+
+
 def test_incremental_ingest_equals_batch(spark):
     snap = FX.snapshots(spark, SF_SMALL)
     days = sorted(r.d for r in snap.select(F.to_date("download").alias("d")).distinct()
@@ -25,10 +30,10 @@ def test_incremental_ingest_equals_batch(spark):
                      block_list=block, basket=basket)
     part = snap.filter(F.to_date("download") <= F.lit(days[-1]))
     batch = J.daily_load(part)
-    stored = spark.read.parquet(f"{root}/daily").select(batch.columns)
-    assert stored.count() == batch.count() > 0
-    assert stored.exceptAll(batch).isEmpty() and batch.exceptAll(stored).isEmpty()
-    intraday = spark.read.parquet(f"{root}/intraday").drop("date")
+    daily = stored(spark, root, "daily").select(batch.columns)
+    assert daily.count() == batch.count() > 0
+    assert daily.exceptAll(batch).isEmpty() and batch.exceptAll(daily).isEmpty()
+    intraday = stored(spark, root, "intraday").drop("date")
     assert intraday.exceptAll(J.intraday_load(part).select(intraday.columns)).isEmpty()
     assert intraday.count() == J.intraday_load(part).count()
 
@@ -36,7 +41,7 @@ def test_incremental_ingest_equals_batch(spark):
     with pytest.raises(DuplicateKeyError):
         J.run_ingest(spark, again, root, block_list=block, basket=basket)
     J.run_ingest(spark, again, root, "skip", block_list=block, basket=basket)
-    assert spark.read.parquet(f"{root}/daily").count() == batch.count()
+    assert stored(spark, root, "daily").count() == batch.count()
 
 
 def test_ingest_replace_rewrites_only_the_batch_keys(spark):
@@ -48,14 +53,14 @@ def test_ingest_replace_rewrites_only_the_batch_keys(spark):
     for d in days:
         J.run_ingest(spark, snap.filter(F.to_date("download") == F.lit(d)), root,
                      block_list=block, basket=basket)
-    # the old table version is materialised: a replace removes its files
-    before = spark.read.parquet(f"{root}/intraday").drop("date").checkpoint(eager=True)
+    # an older version stays readable after a replace
+    before = stored(spark, root, "intraday").drop("date")
     n_before = before.count()
     # re-ingest the middle day with doubled retail buy volume
     changed = snap.filter(F.to_date("download") == F.lit(days[1])) \
         .withColumn("vol_buy_r", F.col("vol_buy_r") * 2)
     J.run_ingest(spark, changed, root, "replace", block_list=block, basket=basket)
-    after = spark.read.parquet(f"{root}/intraday").drop("date")
+    after = stored(spark, root, "intraday").drop("date")
     assert after.count() == n_before
     mid = F.to_date("timestamp") == F.lit(days[1])
     untouched = before.filter(~mid)
@@ -72,7 +77,7 @@ def _root(spark, name):
 
 
 def _daily(spark, root):
-    return spark.read.parquet(f"{root}/daily").drop("j_year", "j_month")
+    return stored(spark, root, "daily").drop("j_year", "j_month")
 
 
 def test_ingest_of_several_days_and_out_of_order_replace_equals_one_pass(spark):
@@ -88,9 +93,9 @@ def test_ingest_of_several_days_and_out_of_order_replace_equals_one_pass(spark):
     J.run_ingest(spark, part.filter(day == F.lit(days[2])), root, "replace",
                  block_list=lists[0], basket=lists[1])   # a late day in the middle
     batch = J.daily_load(part)
-    stored = _daily(spark, root).select(batch.columns)
-    assert stored.count() == batch.count()
-    assert stored.exceptAll(batch).isEmpty() and batch.exceptAll(stored).isEmpty()
+    daily = _daily(spark, root).select(batch.columns)
+    assert daily.count() == batch.count()
+    assert daily.exceptAll(batch).isEmpty() and batch.exceptAll(daily).isEmpty()
 
 
 def test_conflict_in_the_last_table_leaves_all_untouched(spark):
@@ -102,13 +107,16 @@ def test_conflict_in_the_last_table_leaves_all_untouched(spark):
                  basket=lists[1], run_id="one")
     second = snap.filter(day == F.lit(days[1]))
     # only the index table already knows the second day
-    J.market_load(second, *lists).withColumn("date", F.to_date("timestamp")) \
-        .write.mode("append").partitionBy("date").parquet(f"{root}/index")
-    before = {k: spark.read.parquet(f"{root}/{k}").count()
-              for k in ("daily", "intraday", "index", "quarantine")}
+    tx = Transaction(spark, root)
+    tx.write("index", J.market_load(second, *lists).withColumn("date", F.to_date("timestamp")),
+             ["date"])
+    tx.commit()
+    at = version(spark, root)
+    before = {k: stored(spark, root, k).count() for k in ("daily", "intraday", "index")}
     with pytest.raises(DuplicateKeyError):
         J.run_ingest(spark, second, root, block_list=lists[0], basket=lists[1], run_id="two")
-    assert before == {k: spark.read.parquet(f"{root}/{k}").count() for k in before}
+    assert before == {k: stored(spark, root, k).count() for k in before}
+    assert version(spark, root) == at
 
 
 def test_trimmed_tickers_are_one_key(spark):
@@ -125,8 +133,8 @@ def test_reports_choose_days_from_the_stored_sessions(spark):
     snap = FX.snapshots(spark, SF_SMALL)
     root, lists = _root(spark, "ingest-sessions"), FX.ticker_lists(spark, SF_SMALL)
     J.run_ingest(spark, snap, root, block_list=lists[0], basket=lists[1])
-    intraday, daily = spark.read.parquet(f"{root}/intraday"), _daily(spark, root)
-    days = spark.read.parquet(f"{root}/sessions")
+    intraday, daily = stored(spark, root, "intraday"), _daily(spark, root)
+    days = J.stored_tables(spark, root)["sessions"]
     spark.conf.set("spark.sql.maxMetadataStringLength", "1000")  # whole paths in plans
     assert days.count() == intraday.select("ticker", "date").distinct().count()
     for make in (lambda **k: R.stock_buy_power_candles(intraday, daily, **k),
@@ -135,10 +143,10 @@ def test_reports_choose_days_from_the_stored_sessions(spark):
         with_index, without = make(sessions=days), make()
         assert with_index.count() == without.count() > 0
         assert with_index.exceptAll(without).isEmpty()
-        assert plan_text(with_index).count(f"{root}/intraday") == 1
+        assert plan_text(with_index).count(f"{root}/intraday/") == 1
     spec = SPECS["divergence_off_limit"]
     current = latest_per_key(snap, ["ticker"], "download", 1)
     hits = screen(current, spec, intraday=intraday, sessions=days, ordered=False)
-    assert plan_text(hits).count(f"{root}/intraday") == 1
+    assert plan_text(hits).count(f"{root}/intraday/") == 1
     assert {r.ticker for r in hits.collect()} == {
         r.ticker for r in screen(current, spec, intraday=intraday).collect()}

@@ -1,15 +1,21 @@
 """Plan checks: no Python UDFs anywhere, top-n planned as WindowGroupLimit,
-one scan of the intraday source per candle query, no global Window,
+one scan of the intraday source per candle query, no global Window but the one
+that ranks a screen's survivors,
 filters and column pruning pushed into the scan."""
 import pytest
 from pyspark.sql import functions as F
 
 from tapeflow.plans import catalog as CAT
+from tapeflow.plans.screens import SPECS
 from tapeflow.sources import fixtures as FX
 from tests.conftest import SF_SMALL
 from tapeflow.plans.explain import plan_text
 
 STREAMING = {"stream_candles", "stream_dedup"}
+# One task ranks the survivors of a screen: at most one row for each ticker.
+RANKED = {*SPECS, "stream_screen", "screen_latest_capture"}
+# Scalar subqueries: one partial row from each task.
+ONE_TASK = {"schema_evolution": 2, "screen_latest_capture": 2}
 
 
 def plan(df) -> str:
@@ -21,10 +27,21 @@ def test_no_python_and_no_global_window(spark, name):
     p = plan(CAT.QUERIES[name](spark, SF_SMALL))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
-    for line in p.splitlines():
-        if line.strip().lstrip("+-: ").startswith("Window ["):
-            # a Window always has a partition spec: "Window [...], [keys], [order]"
-            assert "], [], [" not in line, line
+    # A Window line is "Window [functions], [partition], [order]"; Spark leaves
+    # an empty partition list out.
+    windows = [x for x in p.splitlines() if x.strip(" +-:").startswith("Window [")]
+    alone = [x for x in windows if x.count("], [") < 2]
+    assert len(alone) <= (name in RANKED), alone
+    assert p.count("Exchange SinglePartition") <= ONE_TASK.get(name, int(name in RANKED)) \
+        * (2 if "Subquery" in p else 1)
+
+
+def test_the_window_check_can_fail(spark):
+    """The same test sees the one window that is allowed."""
+    p = plan(CAT.QUERIES["volatile_limit_up"](spark, SF_SMALL))
+    alone = [x for x in p.splitlines()
+             if x.strip(" +-:").startswith("Window [") and x.count("], [") < 2]
+    assert len(alone) == 1 and p.count("Exchange SinglePartition") == 1
 
 
 def test_top_n_uses_window_group_limit(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from tapeflow.operators.candles import indicator_candles
 from tapeflow.operators.flows import daily_series, to_intraday_flow
-from tapeflow.operators.screens import screen
+from tapeflow.operators.screens import ranked, screen
 from tapeflow.operators.windows import latest_per_key
 from tapeflow.plans import jobs as J
 from tapeflow.plans.catalog import QUERIES
@@ -38,7 +38,7 @@ def test_streams_stop_and_resume_in_any_order(spark, tmp_path):
         "dedup": lambda out: ST.intraday_sink(spark, out),
         "live": lambda out: ST.candle_sink(spark, out, "i_buy_pow"),
         "log": lambda out: ST.candle_log_sink(out, "i_buy_pow"),
-        "market": lambda out: ST.market_sink(out, block, basket, FX.hourly_cross_sections),
+        "market": lambda out: ST.market_sink(spark, out, block, basket, FX.hourly_cross_sections),
         "screen": lambda out: ST.screen_sink(spark, out, spec, daily=daily),
     }
     for part in (snap.filter(early), snap.filter(~early)):
@@ -57,14 +57,18 @@ def test_streams_stop_and_resume_in_any_order(spark, tmp_path):
     assert verdicts.count() == snap.select("ticker").distinct().count()
     current = latest_per_key(snap, ["ticker"], "download", 1)
     want = screen(current, spec, daily=daily)
-    assert _same(verdicts.filter("passes").select(want.columns), want)
-    # repeated captures change neither the table nor the candles
+    assert _same(ranked(verdicts.filter("passes")), want)
+    # repeated captures, dealt to files in another way, change no table
     again.write.mode("append").parquet(folder)
-    for name in ("dedup", "live"):
+    for name in sinks:
         stream = ST.read_capture_stream(spark, folder, snap.schema, 1)
         ST.run_stream(stream, sinks[name](f"{tmp_path}/{name}"), f"{tmp_path}/{name}-checkpoint")
     assert _same(ST.stored_intraday(spark, f"{tmp_path}/dedup"), flow)
     assert _same(ST.stored_candles(spark, f"{tmp_path}/live"), candles)
+    assert _same(ST.logged_candles(spark, f"{tmp_path}/log"), candles)
+    assert _same(ST.stored_market(spark, f"{tmp_path}/market"),
+                 J.market_load(FX.hourly_cross_sections(snap), block, basket))
+    assert _same(ranked(ST.stored_verdicts(spark, f"{tmp_path}/screen").filter("passes")), want)
 
 
 def test_a_failing_stream_raises(spark, tmp_path):
