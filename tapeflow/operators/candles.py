@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeflow.functions.calendar import with_jalali_fields
@@ -126,12 +126,21 @@ def with_jalali(df: DataFrame, date_col: str = "date") -> DataFrame:
     return with_jalali_fields(df, date_col)
 
 
+def calendar_gap_runs(candles: DataFrame, keys: Sequence[str] = ("ticker",),
+                      date_col: str = "date") -> DataFrame:
+    """C4 as intervals: the runs (``gap_from``, ``gap_to``) of days between one
+    candle of a key and its next.  One window over each key's session dates,
+    which the calendar bounds."""
+    w = Window.partitionBy(*keys).orderBy(date_col)
+    after = candles.select(*keys, date_col).withColumn("_next", F.lead(date_col).over(w))
+    return after.filter(F.datediff("_next", date_col) > 1).select(
+        *keys, F.date_add(date_col, 1).alias("gap_from"), F.date_sub("_next", 1).alias("gap_to"))
+
+
 def calendar_gaps(candles: DataFrame, keys: Sequence[str] = ("ticker",),
                   date_col: str = "date") -> DataFrame:
     """C4: days between each key's first and last candle that have none,
-    with their Jalali fields.  The day range per key is bounded by the
-    calendar span, not by the data volume."""
-    span = candles.groupBy(*keys).agg(F.min(date_col).alias("_lo"), F.max(date_col).alias("_hi"))
-    days = span.select(*keys, F.explode(F.sequence("_lo", "_hi")).alias(date_col))
-    present = candles.select(*keys, date_col)
-    return with_jalali(days.join(present, [*keys, date_col], "left_anti"), date_col)
+    with their Jalali fields; only the gaps are expanded to days."""
+    runs = calendar_gap_runs(candles, keys, date_col)
+    days = runs.select(*keys, F.explode(F.sequence("gap_from", "gap_to")).alias(date_col))
+    return with_jalali(days, date_col)

@@ -13,20 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeflow.functions import metrics as M
-from tapeflow.functions.calendar import jalali_text, with_jalali_parsed
+from tapeflow.functions.calendar import jalali_text, with_jalali_fields, with_jalali_parsed
 from tapeflow.operators import universe as U
-from tapeflow.operators.candles import indicator_candles
+from tapeflow.operators.candles import calendar_gap_runs, indicator_candles
 from tapeflow.operators.flows import daily_series, index_flow, index_flows, to_intraday_flow
 from tapeflow.operators.screens import divergence_history, persistence, ranked, run_screens, screen
-from tapeflow.operators.windows import latest_sessions, sessions, with_average_volume
+from tapeflow.operators.windows import (
+    latest_per_key, latest_sessions, sessions, with_average_volume)
 from tapeflow.plans import jobs as J
 from tapeflow.plans import reports as R
 from tapeflow.plans.screens import SPECS
-from tapeflow.schemas import DAILY_KEYS, INTRADAY_FLOW_V1
+from tapeflow.schemas import DAILY_KEYS, INDEX_KEYS, INTRADAY_FLOW_V1, INTRADAY_KEYS
 from tapeflow.sources import fixtures as FX
 from tapeflow.session import scratch_path, staged
 from tapeflow.sources.sinks import append_unique, union_evolved
+from tapeflow.sources.snapshots import (
+    latest_capture, quarantine, read_snapshots, write_snapshot)
+from tapeflow.sources.versions import Transaction
 from tapeflow.streaming import streams as ST
+from tapeflow.streaming.follow import follow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -361,6 +366,19 @@ def q_stream_market_flow(spark, d):
         lambda out: ST.market_sink(spark, out, block, basket, prepare=FX.hourly_cross_sections)))
 
 
+def q_stream_market_flow_repeated(spark, d):
+    """T3 with every capture landed twice, the second time dealt to other files."""
+    block, basket = FX.ticker_lists(spark, d)
+    events = FX.table(spark, d, "events")
+    landed, out = scratch_path(spark, "landed-twice"), scratch_path(spark, "market-twice")
+    for key in ("event_id", "user_id"):
+        events.repartition(2, F.xxhash64(key)).write.mode("append").parquet(landed)
+    stream = FX.snapshot_from_events(ST.read_capture_stream(spark, landed, events.schema, 2))
+    ST.run_stream(stream, ST.market_sink(spark, out, block, basket, FX.hourly_cross_sections),
+                  f"{out}-checkpoint")
+    return ST.stored_market(spark, out)
+
+
 def q_stream_screen(spark, d):
     """Q3 on a capture stream, confirmed against the static daily table; the
     tickers that pass by their latest capture, ranked."""
@@ -387,6 +405,195 @@ def q_market_gaps(spark, d):
     return R.candle_calendar_gaps(R.market_candles(_index(spark, d)), ("universe",))
 
 
+# --- stored tables: commits, followed files, candle states --------------------------------
+
+def _early_and_late(spark, d):
+    """Captures before the middle session, and from it on."""
+    snap = _snap(spark, d)
+    day = F.to_date("download")
+    cut = _cutover(snap.select(day.alias("d")), "d")
+    return snap.filter(day < cut), snap.filter(day >= cut)
+
+
+def q_ingest_atomic(spark, d):
+    """I1–I3 in two commits, between them a run that writes and never commits:
+    the daily table of the newest version."""
+    early, late = _early_and_late(spark, d)
+    root, lists = scratch_path(spark, "ingest"), FX.ticker_lists(spark, d)
+    J.run_ingest(spark, early, root, "error", *lists)
+    lost = Transaction(spark, root)
+    lost.write("daily", J.with_session_month(J.daily_load(late)), J.DAILY_PARTITIONS, DAILY_KEYS)
+    return J.run_ingest(spark, late, root, "error", *lists)["daily"].drop(*J.DAILY_PARTITIONS)
+
+
+def q_follow_ingest(spark, d):
+    """Captures as landed files, followed twice; the second time one capture
+    file has landed again under another name."""
+    folder, root = scratch_path(spark, "landed"), scratch_path(spark, "followed")
+    lists = FX.ticker_lists(spark, d)
+    for k, part in enumerate(_early_and_late(spark, d)):
+        part.coalesce(1).write.parquet(f"{folder}/{k}")
+    args = (spark, f"{folder}/*", root, f"{root}/_follow", _snap(spark, d).schema)
+    follow(*args, block_list=lists[0], basket=lists[1], daily=False)
+    spark.read.parquet(f"{folder}/0").coalesce(1).write.parquet(f"{folder}/again")
+    follow(*args, block_list=lists[0], basket=lists[1], daily=False)
+    return J.stored_tables(spark, root)["intraday"].drop("date")
+
+
+def _stored_flow(spark, d):
+    """Root of stored intraday and index tables with their candle states, from
+    two commits that both have rows of every day; built once per session, so a
+    report's time is that of reading stored tables."""
+    key = ("stored_flow", spark, d)
+    if key not in _INPUTS:
+        root = scratch_path(spark, "stored-flow")
+        for half in (0, 1):
+            tx = Transaction(spark, root)
+            for name, rows, states, keys in (
+                    ("intraday", _intraday(spark, d), "rollup", ["ticker"]),
+                    ("index", _index(spark, d), "index_rollup", ["universe"])):
+                mine = rows.filter(F.pmod(F.xxhash64("timestamp"), F.lit(2)) == half) \
+                    .withColumn("date", F.to_date("timestamp"))
+                tx.write(name, mine, ["date"], [*keys, "timestamp"])
+                J.refresh_states(tx, name, states, keys, whole=False)
+            tx.commit()
+        _INPUTS[key] = root
+    return J.stored_tables(spark, _INPUTS[key])
+
+
+def _rollup_screen(name: str) -> Query:
+    def q(spark, d):
+        return screen(_current(spark, d), SPECS[name], rollup=_stored_flow(spark, d)["rollup"])
+    return q
+
+
+def q_rollup_divergence_history(spark, d):
+    return divergence_history(None, _stored_flow(spark, d)["rollup"])
+
+
+def q_rollup_buy_power_candles(spark, d):
+    return R.stock_buy_power_candles(None, _daily(spark, d), rollup=_stored_flow(spark, d)["rollup"])
+
+
+def q_rollup_per_capita_candles(spark, d):
+    return R.stock_per_capita_candles(None, _daily(spark, d),
+                                      rollup=_stored_flow(spark, d)["rollup"])
+
+
+def q_rollup_market_candles(spark, d):
+    return R.market_candles(None, _stored_flow(spark, d)["index_rollup"])
+
+
+def q_rollup_screened_candles(spark, d):
+    survivors = staged(_screen("candle_candidates")(spark, d), "survivors")
+    return R.screened_candles(survivors, None, _daily(spark, d),
+                              rollup=_stored_flow(spark, d)["rollup"])
+
+
+def q_rollup_sessions(spark, d):
+    return _stored_flow(spark, d)["sessions"]
+
+
+# --- landed text, keyed appends, current capture ------------------------------------------
+
+_RAW_NAMES = {"ticker": "Symbol", "close_percent": "Close (%)", "final_percent": "Final (%)"}
+
+
+def _raw_text(spark, d):
+    """Every capture as text: Jalali capture time, times without leading
+    zeros, symbols padded with no-break spaces; some rows cannot be read."""
+    j = with_jalali_fields(_snap(spark, d).withColumn("_day", F.to_date("download")), "_day")
+    when = F.concat(jalali_text(F.struct("j_year", "j_month", "j_day")), F.lit(" "),
+                    F.date_format("download", "HH:mm:ss.SSSSSS"))
+    text = {c: F.col(c).cast("string") for c in _snap(spark, d).columns}
+    text["ticker"] = F.concat(F.lit("\u00a0"), F.col("ticker"), F.lit("\u00a0 \u00a0"))
+    text["download"] = F.when(F.col("volume") % 97 == 0, F.lit("1400-12-30 10:00:00")) \
+        .otherwise(when)
+    text["open"] = F.when(F.col("volume") % 89 == 1, F.lit("n/a")).otherwise(text["open"])
+    text["time"] = F.regexp_replace("time", r"\b0(\d)", "$1")
+    return j.select(*(c.alias(_RAW_NAMES.get(n, n.replace("_", " ").title()))
+                      for n, c in text.items()))
+
+
+def q_raw_text_load(spark, d):
+    """Text files read, typed, and split into usable and
+    quarantined rows."""
+    raw, path = _raw_text(spark, d), scratch_path(spark, "raw-text")
+    raw.write.option("header", True).csv(path)
+    ok, bad = quarantine(read_snapshots(spark, path, "csv", "Symbol", raw.schema, header=True))
+    cols = ["ticker", "market", "time", "download", "open", "close", "close_percent", "volume", "eps"]
+    return ok.select(*cols, F.lit(True).alias("usable"), F.lit("").alias("bad_text")).unionByName(
+        bad.select(*cols, F.lit(False).alias("usable"),
+                   F.array_join("bad_values", ";").alias("bad_text")))
+
+
+def q_jalali_minute(spark, d):
+    """C2 on text: Jalali capture text to the minute."""
+    j = with_jalali_fields(_snap(spark, d).withColumn("_day", F.to_date("download")), "_day")
+    text = F.concat(jalali_text(F.struct("j_year", "j_month", "j_day")), F.lit(" "),
+                    F.date_format("download", "HH:mm:ss"))
+    return with_jalali_parsed(j.select("ticker", "download", text.alias("text")), "text", "minute",
+                              kind="minute").select("ticker", "download", "minute")
+
+
+def q_append_unique_error(spark, d):
+    """S7 in ``error`` mode: later sessions after the earlier ones."""
+    daily = _daily(spark, d)
+    cut = _cutover(daily, "date")
+    return append_unique(daily.filter(F.col("date") >= cut), daily.filter(F.col("date") < cut),
+                         DAILY_KEYS, "error")
+
+
+def q_append_unique_intraday(spark, d):
+    """Stored rows (another volume tells them apart) stay."""
+    rows = _intraday(spark, d)
+    stored = rows.filter(F.col("volume") % 2 == 0).withColumn("volume", -F.col("volume"))
+    return append_unique(rows, stored, INTRADAY_KEYS, "skip")
+
+
+def q_append_unique_index(spark, d):
+    """The batch's rows win over stored ones, others stay."""
+    rows = _index(spark, d)
+    batch = rows.filter(F.hour("timestamp") < 12)
+    stored = rows.filter(F.hour("timestamp") >= 10).withColumn("i_entered_money", F.lit(-1))
+    return append_unique(batch, stored, INDEX_KEYS, "replace")
+
+
+def q_daily_load_incremental(spark, d):
+    """I1 with W2 in its appended form: later captures on a stored history."""
+    early, late = _early_and_late(spark, d)
+    return J.daily_load(late, staged(J.daily_load(early), "history"))
+
+
+def q_screen_latest_capture(spark, d):
+    """Daily captures landed by date; Q2 on the newest one."""
+    day = F.date_trunc("day", "download").cast("timestamp_ntz")
+    last = latest_per_key(_snap(spark, d).withColumn("_day", day), ["ticker", "_day"], "download", 1)
+    path = scratch_path(spark, "daily-captures")
+    write_snapshot(last.withColumn("download", F.col("_day")).drop("_day"), path)
+    current = latest_capture(quarantine(read_snapshots(spark, path))[0])
+    return screen(current, SPECS["smart_money_short"])
+
+
+def q_watchlist_per_capita_candles(spark, d):
+    """R3 for a watchlist."""
+    _, basket = FX.ticker_lists(spark, d)
+    return R.stock_per_capita_candles(_intraday(spark, d), _daily(spark, d), basket)
+
+
+def q_valuation_display(spark, d):
+    """R5 with display rounding (M14), and market cap."""
+    long = _long_daily(spark, d)
+    cap = latest_sessions(long, 1).select("ticker", M.market_cap(
+        F.col("volume").cast("double") * F.col("close") * 1000).alias("market_cap"))
+    return R.stock_valuation(long, display=True).join(cap, "ticker")
+
+
+def q_calendar_gap_runs(spark, d):
+    """C4 as intervals."""
+    return calendar_gap_runs(_long_daily(spark, d))
+
+
 QUERIES: dict[str, Query] = {
     "buy_power": q_buy_power,
     "per_capita": q_per_capita,
@@ -439,4 +646,25 @@ QUERIES: dict[str, Query] = {
     "stream_screen": q_stream_screen,
     "stream_candles_live": q_stream_candles_live,
     "all_screens": q_all_screens,
+    "ingest_atomic": q_ingest_atomic,
+    "follow_ingest": q_follow_ingest,
+    "rollup_divergence_history": q_rollup_divergence_history,
+    "rollup_divergence_at_limit": _rollup_screen("divergence_at_limit"),
+    "rollup_divergence_off_limit": _rollup_screen("divergence_off_limit"),
+    "rollup_buy_power_candles": q_rollup_buy_power_candles,
+    "rollup_per_capita_candles": q_rollup_per_capita_candles,
+    "rollup_market_candles": q_rollup_market_candles,
+    "rollup_screened_candles": q_rollup_screened_candles,
+    "rollup_sessions": q_rollup_sessions,
+    "raw_text_load": q_raw_text_load,
+    "jalali_minute": q_jalali_minute,
+    "append_unique_error": q_append_unique_error,
+    "append_unique_intraday": q_append_unique_intraday,
+    "append_unique_index": q_append_unique_index,
+    "daily_load_incremental": q_daily_load_incremental,
+    "screen_latest_capture": q_screen_latest_capture,
+    "watchlist_per_capita_candles": q_watchlist_per_capita_candles,
+    "valuation_display": q_valuation_display,
+    "calendar_gap_runs": q_calendar_gap_runs,
+    "stream_market_flow_repeated": q_stream_market_flow_repeated,
 }

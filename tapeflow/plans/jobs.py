@@ -105,7 +105,7 @@ def stored_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return out
 
 
-def _with_rollup(tx: Transaction, flow: str, name: str, keys: list[str], whole: bool) -> None:
+def refresh_states(tx: Transaction, flow: str, name: str, keys: list[str], whole: bool) -> None:
     """Bring the candle states of the days that ``tx`` adds to ``flow`` up to
     date.  ``whole``: it wrote all rows of those days, else new ones only."""
     rows = tx.written(flow)
@@ -149,8 +149,8 @@ def ingest_into(tx: Transaction, snapshot: DataFrame, on_conflict: str = "error"
                     SCHEMAS["intraday"])
     index = market_load(snapshot, block_list, basket).withColumn("date", F.to_date("timestamp"))
     tx.write_unique("index", index, INDEX_KEYS, on_conflict, ["date"], SCHEMAS["index"])
-    _with_rollup(tx, "intraday", "rollup", ["ticker"], on_conflict == "replace")
-    _with_rollup(tx, "index", "index_rollup", ["universe"], on_conflict == "replace")
+    refresh_states(tx, "intraday", "rollup", ["ticker"], on_conflict == "replace")
+    refresh_states(tx, "index", "index_rollup", ["universe"], on_conflict == "replace")
     run_id = run_id or uuid.uuid4().hex
     tx.clear("quarantine", f"run={run_id}")
     tx.write("quarantine", rejected.withColumn("run", F.lit(run_id)), ["run"])

@@ -427,3 +427,61 @@ FROM ({ORACLE[name]})"""
     for name in ("volatile_limit_up", "smart_money_short", "smart_money_off_limit",
                  "smart_money_at_limit", "divergence_at_limit", "divergence_off_limit",
                  "candle_candidates"))
+
+# Stored tables equal what one pass over all captures gives.
+ORACLE["ingest_atomic"] = ORACLE["daily_load"]
+ORACLE["follow_ingest"] = ORACLE["intraday_load"]
+ORACLE["stream_market_flow_repeated"] = ORACLE["market_load"]
+ORACLE["rollup_sessions"] = ORACLE["sessions"]
+for _name in ("divergence_history", "divergence_at_limit", "divergence_off_limit",
+              "market_candles", "screened_candles"):
+    ORACLE[f"rollup_{_name}"] = ORACLE[_name]
+for _name in ("buy_power_candles", "per_capita_candles"):
+    ORACLE[f"rollup_{_name}"] = ORACLE[f"stock_{_name}"]
+
+
+def cut_sql(src: str, day: str) -> str:
+    """The middle session date of ``src``."""
+    return f"""cut AS (SELECT min({day}) + CAST(floor(datediff('day', min({day}), max({day})) / 2)
+              AS INTEGER) AS m FROM {src})"""
+
+
+ORACLE["raw_text_load"] = with_(SNAP) + """
+SELECT ticker, market, time, CASE WHEN volume % 97 <> 0 THEN download END AS download,
+       CASE WHEN volume % 89 <> 1 THEN open END AS open, close, close_percent, volume, eps,
+       volume % 97 <> 0 AND volume % 89 <> 1 AS usable,
+       concat_ws(';', CASE WHEN volume % 97 = 0 THEN 'download=1400-12-30 10:00:00' END,
+                 CASE WHEN volume % 89 = 1 THEN 'open=n/a' END) AS bad_text
+FROM snap"""
+ORACLE["jalali_minute"] = with_(SNAP) + """
+SELECT ticker, download, date_trunc('minute', download) AS minute FROM snap"""
+ORACLE["append_unique_error"] = ORACLE["daily_flow"]
+ORACLE["append_unique_intraday"] = with_(SNAP, INTRADAY) + """
+SELECT * REPLACE (CASE WHEN volume % 2 = 0 THEN -volume ELSE volume END AS volume) FROM intraday"""
+ORACLE["append_unique_index"] = with_(SNAP, HOURLY, INDEX) + """
+SELECT * REPLACE (CASE WHEN hour("timestamp") >= 12 THEN -1 ELSE i_entered_money END
+                  AS i_entered_money) FROM idx"""
+ORACLE["daily_load_incremental"] = with_(
+    SNAP, FSNAP, daily_cte("dl", "fsnap"), cut_sql("snap", "CAST(download AS DATE)")) + """
+SELECT * FROM dl WHERE date >= (SELECT m FROM cut)"""
+ORACLE["screen_latest_capture"] = with_(SNAP, """dsnap AS (SELECT * FROM snap QUALIFY row_number()
+    OVER (PARTITION BY ticker, CAST(download AS DATE) ORDER BY download DESC) = 1)""",
+    """cur AS (SELECT * FROM dsnap WHERE CAST(download AS DATE) =
+    (SELECT max(CAST(download AS DATE)) FROM dsnap))""",
+    stage(F1, "1.5", "15", "5", None, "open", False)) + f"\nSELECT *, {RANK} FROM stage"
+ORACLE["watchlist_per_capita_candles"] = f"""
+SELECT * FROM ({ORACLE['stock_per_capita_candles']}) WHERE ticker IN
+(SELECT 'S' || CAST(user_id AS VARCHAR) FROM events WHERE user_id % 5 = 1)"""
+ORACLE["valuation_display"] = f"""
+SELECT v.*, round_even(pe, 2) AS pe_display, round_even(trade_value, 2) AS trade_value_display,
+       round_even(avg_trade_value, 2) AS avg_trade_value_display, market_cap
+FROM ({ORACLE['stock_valuation']}) v JOIN ({with_(LONG)}
+SELECT ticker, CAST(round_even(CAST(volume AS DOUBLE) * close * 1000 / 10000000000, 0) AS BIGINT)
+       AS market_cap
+FROM longd QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1) c
+USING (ticker)"""
+ORACLE["calendar_gap_runs"] = with_(LONG) + """
+SELECT ticker, CAST(date + INTERVAL 1 DAY AS DATE) AS gap_from,
+       CAST(next - INTERVAL 1 DAY AS DATE) AS gap_to
+FROM (SELECT ticker, date, lead(date) OVER (PARTITION BY ticker ORDER BY date) AS next FROM longd)
+WHERE datediff('day', date, next) > 1"""
