@@ -6,11 +6,12 @@ of an input table.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import shutil
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,6 +55,25 @@ def literal_table(spark: SparkSession, rows: Sequence[dict], schema: str) -> Dat
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(list(rows))), spec)))
 
 
+def json_table(spark: SparkSession, rows: Iterable[dict], schema: str, name: str,
+               rows_per_file: int = 64) -> DataFrame:
+    """Driver-made rows of bounded number, written as JSON lines to the shared
+    scratch folder (through Hadoop's file system, so any store will do)."""
+    folder = scratch_path(spark, f"llm-{name}")
+    rows, part = iter(rows), 0
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.mkdirs(path(folder))
+    while lines := [json.dumps(r) for r in itertools.islice(rows, rows_per_file)]:
+        out = fs.create(path(f"{folder}/part-{part:05d}.json"), True)
+        try:
+            out.write(bytearray("\n".join(lines).encode("utf-8")))
+        finally:
+            out.close()
+        part += 1
+    return spark.read.schema(schema).json(folder)
+
+
 def hash_order(*cols: str | Column) -> Column:
     """A uniform 63-bit position for a row, the same in every run."""
     return F.xxhash64(*cols).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))

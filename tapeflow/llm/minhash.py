@@ -38,6 +38,8 @@ no rows.  Other columns are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -63,6 +65,7 @@ _HASHES = WordHashes()  # per Python worker
 
 
 def _sketches(batches):
+    """Columns after the text are carried along."""
     for batch in batches:
         size, key, sketch = [], [], []
         for text in batch["text"].to_pylist():
@@ -72,7 +75,8 @@ def _sketches(batches):
             sketch.append(s[:SKETCH].tobytes())
         yield pa.RecordBatch.from_arrays(
             [batch["doc_id"], pa.array(size, pa.int64()), pa.array(key, pa.binary()),
-             pa.array(sketch, pa.binary())], names=["doc_id", "size", "key", "sketch"])
+             pa.array(sketch, pa.binary()), *batch.columns[2:]],
+            names=["doc_id", "size", "key", "sketch", *batch.schema.names[2:]])
 
 
 def _postings(batches):
@@ -324,12 +328,17 @@ def _long_pairs(long: DataFrame, rows: DataFrame, texts: DataFrame, percent: int
     return found.filter(F.col("b").isNotNull()).select("a", "b").unionByName(forest).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row (see the module)."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, carry: Sequence[str] = ()
+                    ) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row (see the module),
+    and its columns ``carry`` (strings, not of these names)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.col("text").cast("string").alias("text"))
-    rows = stored(texts.mapInArrow(_sketches, "doc_id long, size long, key binary, sketch binary"),
-                  "sketches")
+    rows = stored(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                    F.col("text").cast("string").alias("text"), *carry).mapInArrow(
+            _sketches, ", ".join(["doc_id long, size long, key binary, sketch binary",
+                                  *(f"{c} string" for c in carry)])), "sketches")
     named = rows.filter(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
     classes = stored(named.groupBy("key").agg(
         F.min("doc_id").alias("node"), F.first("size").alias("size"),
@@ -358,8 +367,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = connected_components(links.unionByName(star_links), "a", "b")
     of_class = classes.select("key", "node").join(found, "node", "left").select(
         "key", F.coalesce("component", "node").alias("component"))
-    out = rows.select("doc_id", "size", "key").join(of_class, "key", "left")
+    out = rows.select("doc_id", "size", "key", *carry).join(of_class, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("size").alias("n_shingles"),
                       component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *carry)

@@ -362,30 +362,74 @@ def test_resharding_of_an_empty_table(empty):
     assert resharding.reshard_plan(keys).count() == 0
 
 
-def test_pfair_deviation_stays_below_one_block():
-    blocks = {"a": 500, "b": 90, "c": 400, "d": 1}
-    weights = {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}
-    phases, periods = mixing.schedule(blocks, weights, 64)
-    slots: dict[int, str] = {}
-    quota: dict[int, dict] = {}
-    at = {(p["ps"], p["pp"], p["j"]): p["t"] for p in periods}
-    start = {}
-    for p in phases:
-        quota.setdefault(p["p"], {})[p["s"]] = p["quota"]
-        start[p["p"]] = p["slot0"]
-        for b in range(p["lo"], p["hi"]):
-            k, j = divmod(b - p["lo"], p["quota"])
-            slot = p["slot0"] + at[p["s"], p["p"], j] + 64 * k
-            assert slot not in slots
-            slots[slot] = p["s"]
-    assert sorted(slots) == list(range(sum(blocks.values())))
-    ends = [start[p] for p in sorted(start)][1:] + [len(slots)]
-    for p, end in zip(sorted(start), ends, strict=True):
-        given = dict.fromkeys(quota[p], 0)
-        for t in range(start[p], end):
-            given[slots[t]] += 1
-            for s, q in quota[p].items():
-                assert abs(given[s] - (t + 1 - start[p]) * q / 64) < 1
+@pytest.mark.parametrize("sources, total", [(3, 400_000), (7, 70_000), (20, 300_000), (1000, 60_000)])
+def test_pfair_deviation_stays_below_one_block_of_the_target(sources, total):
+    """Against the weights as given, in exact arithmetic, at every slot."""
+    from fractions import Fraction
+    rng = random.Random(sources)
+    weights = {f"s{i}": rng.random() ** 3 + 1e-4 for i in range(sources)}
+    blocks = {s: max(1, int(total * w / sum(weights.values()) * rng.uniform(0.7, 1.3)))
+              for s, w in weights.items()}
+    left, seen = dict(blocks), 0
+    for phase, slots in mixing.earliest_deadlines(blocks, weights):
+        exact = {s: Fraction(weights[s]) for s in left}
+        whole = sum(exact.values())
+        common = math.lcm(*(w.denominator for w in [*exact.values(), whole]))
+        part = {s: int(w * common) for s, w in exact.items()}
+        over = int(whole * common)
+        given = dict.fromkeys(left, 0)
+        for t, s in enumerate(slots, 1):
+            # A source's lag is largest just before and after its own slots.
+            assert abs(given[s] * over - (t - 1) * part[s]) < over
+            given[s] += 1
+            assert abs(given[s] * over - t * part[s]) < over
+        assert all(abs(given[s] * over - len(slots) * part[s]) < over for s in left)
+        seen += len(slots)
+        left = {s: n - given[s] for s, n in left.items() if n > given[s]}
+        if phase > 3:
+            break
+    assert seen == sum(blocks.values()) or left
+
+
+def _pfair_slots(blocks, weights):
+    """Brute force: among released blocks the one due first, slot by slot."""
+    from fractions import Fraction
+    out, left, slot = {}, {s: n for s, n in blocks.items() if n}, 0
+    done = dict.fromkeys(left, 0)
+    while left:
+        share = {s: Fraction(weights[s]) / sum(Fraction(weights[x]) for x in left) for s in left}
+        given, t = dict.fromkeys(left, 0), 0
+        while all(given[s] < left[s] for s in left):
+            ok = [s for s in left if math.floor(given[s] / share[s]) <= t]
+            s = min(ok, key=lambda s: (math.ceil((given[s] + 1) / share[s]), s))
+            out[s, done[s]] = slot
+            given[s], done[s], t, slot = given[s] + 1, done[s] + 1, t + 1, slot + 1
+        left = {s: n - given[s] for s, n in left.items() if n > given[s]}
+    return out
+
+
+@pytest.mark.parametrize("most", [mixing.MAX_SLOTS, 60])
+def test_mixture_equals_a_brute_force_schedule(spark, docs, local, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MAX_SLOTS", most)
+    monkeypatch.setattr(mixing, "RUN", 3)
+    weights = {"s0": 3, None: 0.7, "s1": 1 / 3, "s2": 0.1}
+    rows = mixing.mixed(docs, weights, block_bytes=256).collect()
+    total = sum(r["size"] for r in rows)
+    block = max(256, -(-total // most))
+    sizes: dict = {}
+    for r in rows:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+    name = {s: "-" if s is None else f"={s}" for s in sizes}
+    want = _pfair_slots({name[s]: -(-n // block) for s, n in sizes.items()},
+                        {name[s]: weights[s] for s in sizes})
+    assert len(rows) == len(local)
+    for r in rows:
+        assert r["slot"] == want[name[r["source"]], r["block"]]
+    for s in sizes:  # blocks are prefix sums of the source's rows in their order
+        at = 0
+        for r in sorted((r for r in rows if r["source"] == s), key=lambda r: r["place"]):
+            assert r["block"] == at // block
+            at += r["size"]
 
 
 def test_mixture_keeps_every_row(docs, local):

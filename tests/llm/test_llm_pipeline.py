@@ -59,3 +59,41 @@ def test_near_dedup_keeps_one_of_repeated_rows_and_all_without_id(spark):
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0)
                  for r in P.near_dedup(spark, docs, SF_SMALL).collect())
     assert got == [(False, 1), (False, 3), (True, 0), (True, 0)]
+
+
+def test_near_dedup_keeps_the_texts_of_a_repeated_id(spark):
+    """(5, X) copies document 3; (5, Y) shares its id with a text of its own."""
+    x = "one two three four five six seven eight nine ten"
+    y = "a text that no other document has and that must not be lost"
+    rows = [(3, x, "en", "s", 1), (5, x, "en", "s", 1), (5, y, "de", "t", 2), (5, y, "de", "t", 2),
+            (5, None, "de", "t", 0), (5, "", "de", "t", 0)]
+    docs = stored(spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, n_chars long"), "same-ids")
+    got = {(r["doc_id"], r["text"]) for r in P.near_dedup(spark, docs, SF_SMALL).collect()}
+    assert got == {(3, x), (5, y), (5, None), (5, "")}
+    assert P.near_dedup(spark, docs, SF_SMALL).count() == 4
+
+
+def test_stages_take_other_columns_nulls_and_long_texts(spark):
+    """Extra and clashing columns come through, null and very long texts stay,
+    and a secret beside a null goes."""
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08"
+    prose = spark.read.parquet(f"{SF_SMALL}/documents.parquet").orderBy("doc_id")
+    base = [tuple(r) for r in prose.limit(30).collect()]
+    rows = [(*r, 1, "x", 2) for r in base]
+    rows += [(900, None, None, None, None, None, None, None),
+             (901, f"the key is {key} here", "en", None, 5, 1, "y", 2),
+             (902, " ".join(r[1] for r in base) * 3, "en", "web", 7, 1, "z", 2)]
+    docs = stored(spark.createDataFrame(
+        rows, prose.schema.simpleString()[7:-1] + ", rank int, key string, slot int"), "odd")
+    for name, stage in P.STAGES[1:-1]:
+        out = stored(stage(spark, docs, SF_SMALL), "odd-" + name.replace(" ", "-"))
+        assert out.columns == docs.columns
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert {900, 901, 902} <= set(got), name
+        assert got[900]["text"] is None and got[902]["key"] == "z"
+        if name == "secret scans":
+            assert key not in got[901]["text"] and "[SECRET]" in got[901]["text"]
+    packed = P.STAGES[-1][1](spark, docs, SF_SMALL)
+    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == \
+        {r[0] for r in rows}
