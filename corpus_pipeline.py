@@ -27,13 +27,20 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest
-    id.  Of rows that repeat that id one stays; rows without an id stay."""
+    id.  A row is judged by its id and text, so different texts that share an
+    id each have their own verdict, and only rows equal in both fall together;
+    rows without an id stay."""
     ship_code(spark)
-    found = minhash.near_duplicates(docs).filter(F.col("kept") & F.col("doc_id").isNotNull())
-    keep = found.select(F.col("doc_id").alias("__llm_keep")).distinct()
-    one = docs.join(keep, F.col("doc_id") == F.col("__llm_keep"), "left_semi") \
-        .dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    text = F.sha2(F.col("text").cast("string").cast("binary"), 256)
+    keyed = docs.withColumn("__llm_text", text)
+    keep = (minhash.near_duplicates(keyed, carry=["__llm_text"])
+            .filter(F.col("kept") & F.col("doc_id").isNotNull())
+            .select(F.col("doc_id").alias("__llm_id"), F.col("__llm_text").alias("__llm_same"))
+            .distinct())
+    one = keyed.join(keep, (F.col("doc_id") == F.col("__llm_id"))
+                     & F.col("__llm_text").eqNullSafe(F.col("__llm_same")), "left_semi") \
+        .dropDuplicates(["doc_id", "__llm_text"])
+    return one.unionByName(keyed.filter(F.col("doc_id").isNull())).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +58,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, in the order of the mixture: the files follow the
     schedule's slots, and so do the rows in each file."""
-    mixture, slots = mixing.mixed_rows(docs)
-    each = max(1, FILE_BYTES // mixing.BLOCK_BYTES)  # slots of one file
+    mixture, slots, block_bytes = mixing.mixed_rows(docs)
+    each = max(1, FILE_BYTES // block_bytes)  # slots of one file
     files = max(1, -(-slots // each))
     file = F.floor(F.col("__llm_slot") / each).cast("int")
     return (mixture.repartitionById(files, file)
