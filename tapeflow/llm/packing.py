@@ -38,6 +38,8 @@ OPEN_BINS = 256
 LOOK_AHEAD = 2048
 TOKENIZER = "word_bpe_49k.json"
 BINS_PER_REPACK_TASK = 50_000
+CACHE_BYTES = 80 * 1024 * 1024  # of remembered chunks, in a Python worker
+ENTRY_BYTES = 200               # what an entry takes beside its characters and ids
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, "
           "sequence_id long, offset long, closed boolean")
 NAMES = [c.split()[0] for c in PIECES.split(", ")]
@@ -120,16 +122,17 @@ class ChunkIds(dict):
 
     This tokenizer drops white space and its pattern never crosses it, so a
     text's ids are its chunks' ids in a row.  Chunks repeat far more often
-    than texts; at most ``limit`` are remembered.  New chunks of Latin letters
+    than texts; about ``limit`` bytes of them are remembered beside those of
+    the texts in hand.  New chunks of Latin letters
     are cut by the tokenizer's own pattern and go to its BPE model many at a
     time, to be told apart by the mark that ends each part's last token.
     Anything else goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = CACHE_BYTES):
         from tokenizers import Tokenizer, pre_tokenizers
         super().__init__()
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit, self.held = Tokenizer.from_file(path), limit, 0
         self.parts = Tokenizer(self.tokenizer.model)
         self.parts.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -150,11 +153,12 @@ class ChunkIds(dict):
         cut = [self.chunks(t) for t in texts]
         seen = set().union(*cut)
         new = [c for c in seen if c not in self]
-        if len(self) + len(new) > self.limit:
+        if self.held > self.limit:
             self.clear()
-            new = list(seen)
+            self.held, new = 0, list(seen)
         for i in range(0, len(new), 20_000):
             self._learn(new[i:i + 20_000])
+        self.held += sum(ENTRY_BYTES + len(c) + len(self[c]) for c in new)
         return [b"".join(map(self.__getitem__, c)) for c in cut]
 
     def _learn(self, chunks: list[bytes]) -> None:

@@ -11,7 +11,7 @@ import numpy as np
 import xxhash
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 
 class WordHashes(dict):
