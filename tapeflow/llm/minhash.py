@@ -273,13 +273,19 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def _star_pairs(long: DataFrame, percent: int) -> DataFrame:
     """Each member of a long list with the first member of its size band and
-    of the band below (sizes of a similar pair are at most a band apart)."""
+    of the band below (sizes of a similar pair are at most a band apart).  A
+    list's members meet their leader in parts of about ``BLOCK``, by a hash of
+    the node, with the leader in every part."""
     step = float(np.log(100 / percent))
+    parts = F.ceil(F.col("members") / BLOCK).cast("int")
     member = long.withColumn("band", F.floor(F.log("size") / step))
     leader = member.groupBy("value", "band").agg(
-        F.min_by(F.struct("node", "size"), "node").alias("first"))
-    near = member.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
-    return (near.join(leader, ["value", "band"])
+        F.min_by(F.struct("node", "size"), "node").alias("first"), F.max(parts).alias("parts"))
+    leader = leader.select("value", "band", "first", F.explode(
+        F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    near = member.withColumn("band", F.explode(F.array("band", F.col("band") - 1))) \
+        .withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    return (near.join(leader, ["value", "band", "part"])
             .filter((F.col("node") != F.col("first.node"))
                     & _sizes_fit(F.col("size"), F.col("first.size"), percent))
             .select(F.least("node", "first.node").alias("a"),
