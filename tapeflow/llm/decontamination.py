@@ -160,12 +160,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     # One item list for each set of windows, not for each document.
     classes = done.filter(F.col("class").isNotNull()).groupBy("class").agg(
         F.any_value("wids").alias("wids"))
-    listed = (classes.select("class", F.explode("wids").alias("wid"))
-              .join(owners.filter(F.col("item").isNotNull()), "wid")
-              .select("class", "item").distinct()
-              .groupBy("class").agg(F.array_sort(F.collect_list("item")).alias("items")))
+    listed = stored(classes.select("class", F.explode("wids").alias("wid"))
+                    .join(owners.filter(F.col("item").isNotNull()), "wid")
+                    .select("class", "item").distinct()
+                    .groupBy("class").agg(F.array_sort(F.collect_list("item")).alias("items")),
+                    "class-items")
     none = F.array().cast("array<string>")
-    return (done.join(listed, "class", "left")
+    # Rows without a class stay out of the join, and both its sides are plain
+    # reads, so that a class of many rows can be split.
+    in_class = done.filter(F.col("class").isNotNull()).join(listed, "class", "left")
+    clean = done.filter(F.col("class").isNull()).withColumn("items", none)
+    return (in_class.unionByName(clean)
             .select("doc_id", "n_words", "n_hit",
                     F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
                     F.coalesce("items", none).alias("items")))
