@@ -23,10 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeflow.llm.common import stored
 from tapeflow.llm.packing import tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
-BAND = 1024
+BAND = 64
 _ENCODINGS: dict = {}  # per Python worker
 
 
@@ -56,10 +57,11 @@ def _lengths(tokenizer: str):
 
 
 def length_histogram(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """length, docs: how many documents encode to each length."""
+    """length, docs: how many documents encode to each length; stored, so that
+    texts are encoded once."""
     counted = docs.select(F.col("text").cast("string").alias("text")) \
         .mapInPandas(_lengths(tokenizer), "length long, docs long")
-    return counted.groupBy("length").agg(F.sum("docs").alias("docs"))
+    return stored(counted.groupBy("length").agg(F.sum("docs").alias("docs")), "lengths")
 
 
 def suffix_sums(histogram: DataFrame, band: int = BAND) -> DataFrame:
