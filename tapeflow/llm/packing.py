@@ -38,7 +38,7 @@ OPEN_BINS = 256
 LOOK_AHEAD = 2048
 TOKENIZER = "word_bpe_49k.json"
 BINS_PER_REPACK_TASK = 50_000
-CACHE_BYTES = 80 * 1024 * 1024  # of remembered chunks, in a Python worker
+CACHE_BYTES = 128 * 1024 * 1024  # of remembered chunks, in a Python worker
 ENTRY_BYTES = 200               # what an entry takes beside its characters and ids
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, "
           "sequence_id long, offset long, closed boolean")
@@ -123,7 +123,8 @@ class ChunkIds(dict):
     This tokenizer drops white space and its pattern never crosses it, so a
     text's ids are its chunks' ids in a row.  Chunks repeat far more often
     than texts; about ``limit`` bytes of them are remembered beside those of
-    the texts in hand.  New chunks of Latin letters
+    the texts in hand, in two halves: a full one grows old, and what is used
+    again moves to the young one.  New chunks of Latin letters
     are cut by the tokenizer's own pattern and go to its BPE model many at a
     time, to be told apart by the mark that ends each part's last token.
     Anything else goes through the whole tokenizer.
@@ -133,6 +134,7 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer, pre_tokenizers
         super().__init__()
         self.tokenizer, self.limit, self.held = Tokenizer.from_file(path), limit, 0
+        self.old: dict[bytes, bytes] = {}
         self.parts = Tokenizer(self.tokenizer.model)
         self.parts.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -152,10 +154,15 @@ class ChunkIds(dict):
     def ids(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.chunks(t) for t in texts]
         seen = set().union(*cut)
-        new = [c for c in seen if c not in self]
-        if self.held > self.limit:
+        if self.held > self.limit // 2:
+            self.old, self.held = dict(self), 0
             self.clear()
-            self.held, new = 0, list(seen)
+        new = [c for c in seen if c not in self]
+        again = [c for c in new if c in self.old]
+        if again:
+            self.update((c, self.old[c]) for c in again)
+            self.held += sum(ENTRY_BYTES + len(c) + len(self[c]) for c in again)
+            new = [c for c in new if c not in self]
         for i in range(0, len(new), 20_000):
             self._learn(new[i:i + 20_000])
         self.held += sum(ENTRY_BYTES + len(c) + len(self[c]) for c in new)
