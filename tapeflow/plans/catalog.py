@@ -565,6 +565,34 @@ def q_daily_load_incremental(spark, d):
     return J.daily_load(late, staged(J.daily_load(early), "history"))
 
 
+def _stored_daily(spark, d, batches):
+    """The daily table after one commit for each (captures, conflict rule)."""
+    root = scratch_path(spark, "stored-daily")
+    for captures, on_conflict in batches:
+        tx = Transaction(spark, root)
+        J.daily_into(tx, captures, on_conflict)
+        tx.commit()
+    return J.stored_tables(spark, root)
+
+
+def q_daily_load_blocks(spark, d):
+    """I1 with W2 by prefix sums over month blocks: later captures on a stored
+    history."""
+    early, late = _early_and_late(spark, d)
+    daily = _stored_daily(spark, d, [(early, "error"), (late, "error")])["daily"]
+    cut = _cutover(_snap(spark, d).select(F.to_date("download").alias("d")), "d")
+    return daily.filter(F.col("date") >= cut).drop(*J.DAILY_PARTITIONS)
+
+
+def q_daily_load_late(spark, d):
+    """I1 in ``replace`` mode: every third day of the calendar comes after all
+    others, and the averages of stored sessions behind it are refreshed."""
+    snap = _snap(spark, d)
+    late = F.pmod(F.unix_date(F.to_date("download")), F.lit(3)) == 1
+    return _stored_daily(spark, d, [(snap.filter(~late), "error"), (snap.filter(late), "replace")]
+                         )["daily"].drop(*J.DAILY_PARTITIONS)
+
+
 def q_screen_latest_capture(spark, d):
     """Daily captures landed by date; Q2 on the newest one."""
     day = F.date_trunc("day", "download").cast("timestamp_ntz")
@@ -662,6 +690,8 @@ QUERIES: dict[str, Query] = {
     "append_unique_intraday": q_append_unique_intraday,
     "append_unique_index": q_append_unique_index,
     "daily_load_incremental": q_daily_load_incremental,
+    "daily_load_blocks": q_daily_load_blocks,
+    "daily_load_late": q_daily_load_late,
     "screen_latest_capture": q_screen_latest_capture,
     "watchlist_per_capita_candles": q_watchlist_per_capita_candles,
     "valuation_display": q_valuation_display,

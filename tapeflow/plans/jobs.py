@@ -6,6 +6,8 @@ or three SQL statements each.  Here a job is one plan over all tickers
 
 Tables under one root, changed together by one commit (``sources.versions``):
   daily         partitioned by ``j_year``, ``j_month`` (Jalali month of the session)
+  daily_blocks  totals of each ticker's month in daily, partitioned likewise; a batch
+                gets its trailing averages from them and from few stored rows
   intraday      partitioned by ``date``
   index         partitioned by ``date``
   rollup        candle states of intraday by (ticker, day), partitioned by ``date``;
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tapeflow.functions.calendar import with_jalali_fields
 from tapeflow.functions.metrics import clean_ticker
+from tapeflow.operators.blocks import appended_by_blocks, block_totals, months_of
 from tapeflow.operators.flows import DAILY_ORDER, daily_rows, index_flows, to_intraday_flow
 from tapeflow.operators.universe import (
     block_list as default_block_list, has_opened, in_session, large_cap_basket, tradable)
@@ -39,7 +42,7 @@ from tapeflow.sources.snapshots import quarantine
 from tapeflow.sources.versions import Transaction, read_table, version
 
 # The schema a table is read with (None: that of its files).
-SCHEMAS = {"daily": DAILY_FLOW, "intraday": INTRADAY_FLOW, "index": INDEX_FLOW,
+SCHEMAS = {"daily": DAILY_FLOW, "daily_blocks": None, "intraday": INTRADAY_FLOW, "index": INDEX_FLOW,
            "rollup": None, "index_rollup": None, "quarantine": None, "landed": None}
 
 
@@ -53,23 +56,18 @@ def daily_load(snapshot: DataFrame, history: DataFrame | None = None, n: int = 4
     (ticker, day) → M7 and W2.  With ``history`` (the stored daily table) the
     trailing averages also see the stored sessions; batch rows stand for
     stored ones of the same key."""
-    return _daily_load(snapshot, history, n)[0]
+    rows = session_rows(snapshot)
+    if history is None:
+        return with_average_volume(rows, n).select(*DAILY_ORDER)
+    others = history.join(rows.select(*DAILY_KEYS), DAILY_KEYS, "left_anti")
+    return appended_average_volume(rows, others, n)[0].select(*DAILY_ORDER)
 
 
-def _daily_load(snapshot: DataFrame, history: DataFrame | None, n: int = 42,
-                stored_wins: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """The batch's daily rows, and stored keys whose average the batch changes."""
+def session_rows(snapshot: DataFrame) -> DataFrame:
+    """I1 rows without W2: the last filtered capture of each (ticker, day)."""
     snap = has_opened(ingest_universe(snapshot)).withColumn("ticker", clean_ticker("ticker")) \
         .withColumn("_d", F.to_date("download"))
-    rows = daily_rows(latest_per_key(snap, ["ticker", "_d"], "download", 1).drop("_d"))
-    if history is None:
-        return with_average_volume(rows, n).select(*DAILY_ORDER), None
-    keys = history.select(*DAILY_KEYS)
-    if stored_wins:
-        rows = rows.join(keys, DAILY_KEYS, "left_anti")
-    others = history.join(rows.select(*DAILY_KEYS), DAILY_KEYS, "left_anti")
-    out, refreshed = appended_average_volume(rows, others, n)
-    return out.select(*DAILY_ORDER), refreshed
+    return daily_rows(latest_per_key(snap, ["ticker", "_d"], "download", 1).drop("_d"))
 
 
 def intraday_load(snapshot: DataFrame) -> DataFrame:
@@ -121,6 +119,44 @@ def refresh_states(tx: Transaction, flow: str, name: str, keys: list[str], whole
     tx.write(name, states, ["date"], keys, replace=True)
 
 
+def stored_months(tx: Transaction, months: list[tuple[int, int]]) -> DataFrame:
+    """Rows of the stored daily table of these months; no other folder is read."""
+    rows = tx.table("daily", SCHEMAS["daily"], [f"j_year={y}/j_month={m}" for y, m in months])
+    if rows is None:
+        rows = tx.table("daily", SCHEMAS["daily"]).limit(0)
+    return rows
+
+
+def daily_into(tx: Transaction, snapshot: DataFrame, on_conflict: str, n: int = 42) -> None:
+    """I1 for a batch: its daily rows with averages over stored sessions too,
+    and the block totals of its months."""
+    rows = with_session_month(session_rows(snapshot))
+    if tx.table("daily", SCHEMAS["daily"]) is None:
+        rows = staged(with_average_volume(rows, n), "daily-rows")
+        totals = block_totals(rows)
+    else:
+        rows = staged(rows, "daily-rows")
+        stored = tx.table("daily_blocks")
+        if stored is None:  # a table from before there were block totals
+            stored = block_totals(tx.table("daily", SCHEMAS["daily"]))
+        if on_conflict == "skip":
+            rows = staged(rows.join(stored_months(tx, months_of(rows)).select(*DAILY_KEYS),
+                                    DAILY_KEYS, "left_anti"), "new-daily-rows")
+        rows, refreshed, totals = appended_by_blocks(
+            rows, lambda months: stored_months(tx, months), stored, n, on_conflict == "replace")
+        if refreshed is not None:
+            refreshed = staged(refreshed.withColumnRenamed("average_volume", "_fresh"),
+                               "refreshed-averages")
+            months = months_of(with_session_month(refreshed))
+            old = stored_months(tx, months).join(refreshed, DAILY_KEYS) \
+                .withColumn("average_volume", F.col("_fresh"))
+            rows = rows.select(*DAILY_ORDER, *DAILY_PARTITIONS).unionByName(
+                old.select(*DAILY_ORDER, *DAILY_PARTITIONS))
+    tx.write_unique("daily", rows.select(*DAILY_ORDER, *DAILY_PARTITIONS), DAILY_KEYS,
+                    on_conflict, DAILY_PARTITIONS, SCHEMAS["daily"])
+    tx.write("daily_blocks", totals, DAILY_PARTITIONS, ["ticker"], replace=True)
+
+
 def ingest_into(tx: Transaction, snapshot: DataFrame, on_conflict: str = "error",
                 block_list: DataFrame | None = None, basket: DataFrame | None = None,
                 daily: bool = True, run_id: str | None = None) -> None:
@@ -136,14 +172,7 @@ def ingest_into(tx: Transaction, snapshot: DataFrame, on_conflict: str = "error"
     # Read and typed once; all tables below start from the staged rows.
     snapshot, rejected = quarantine(staged(snapshot, "staged-captures"))
     if daily:
-        stored = tx.table("daily", SCHEMAS["daily"])
-        history = None if stored is None else stored.select(*DAILY_ORDER)
-        rows, refreshed = _daily_load(snapshot, history, stored_wins=on_conflict == "skip")
-        if refreshed is not None and on_conflict == "replace":
-            old = history.drop("average_volume").join(refreshed, DAILY_KEYS)
-            rows = rows.unionByName(old.select(*DAILY_ORDER))
-        tx.write_unique("daily", with_session_month(rows), DAILY_KEYS, on_conflict,
-                        DAILY_PARTITIONS, SCHEMAS["daily"])
+        daily_into(tx, snapshot, on_conflict)
     intraday = intraday_load(snapshot).withColumn("date", F.to_date("timestamp"))
     tx.write_unique("intraday", intraday, INTRADAY_KEYS, on_conflict, ["date"],
                     SCHEMAS["intraday"])

@@ -464,6 +464,8 @@ SELECT * REPLACE (CASE WHEN hour("timestamp") >= 12 THEN -1 ELSE i_entered_money
 ORACLE["daily_load_incremental"] = with_(
     SNAP, FSNAP, daily_cte("dl", "fsnap"), cut_sql("snap", "CAST(download AS DATE)")) + """
 SELECT * FROM dl WHERE date >= (SELECT m FROM cut)"""
+ORACLE["daily_load_blocks"] = ORACLE["daily_load_incremental"]
+ORACLE["daily_load_late"] = ORACLE["daily_load"]
 ORACLE["screen_latest_capture"] = with_(SNAP, """dsnap AS (SELECT * FROM snap QUALIFY row_number()
     OVER (PARTITION BY ticker, CAST(download AS DATE) ORDER BY download DESC) = 1)""",
     """cur AS (SELECT * FROM dsnap WHERE CAST(download AS DATE) =

@@ -28,12 +28,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tapeflow.session import staged
 from tapeflow.sources.sinks import CONFLICT_MODES, append_unique, check_keys, laid_out, one_per_key
 
 VERSIONS = "_versions"
 BATCH = "batch"
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
 class ConcurrentCommitError(RuntimeError):
@@ -140,6 +142,18 @@ def _partition(folder: str) -> str:
     return folder.partition("/")[2]
 
 
+def _folder_names(df: DataFrame, partition_by: Sequence[str]) -> list[str] | None:
+    """Names of the partition folders that ``df`` has rows of (as many as it
+    will write); None if a value's text may be escaped in a folder's name."""
+    plain = ("date", "tinyint", "smallint", "int", "bigint")
+    types = dict(df.dtypes)
+    if not partition_by or any(types[c] not in plain for c in partition_by):
+        return None
+    rows = df.select(*(F.col(c).cast("string") for c in partition_by)).distinct().collect()
+    return ["/".join(f"{c}={NO_VALUE if v is None else v}" for c, v in zip(partition_by, r))
+            for r in rows]
+
+
 class Transaction:
     """Writes to any tables under ``root`` that become visible together."""
 
@@ -150,9 +164,16 @@ class Transaction:
         self.tables = {k: list(v) for k, v in self.base.tables.items()}
         self.new: dict[str, list[str]] = {}
 
-    def table(self, name: str, schema=None) -> DataFrame | None:
-        """The table as it was when the transaction began."""
-        return read_table(self.spark, self.root, name, schema, self.base)
+    def table(self, name: str, schema=None, partitions: Sequence[str] | None = None
+              ) -> DataFrame | None:
+        """The table as it was when the transaction began; with ``partitions``
+        (``column=value/…``) only the folders of those."""
+        at = self.base
+        if partitions is not None:
+            wanted = set(partitions)
+            at = Version(at.number, {name: [f for f in at.tables.get(name, [])
+                                            if _partition(f) in wanted]})
+        return read_table(self.spark, self.root, name, schema, at)
 
     def written(self, name: str, schema=None) -> DataFrame | None:
         """What this transaction has written to the table."""
@@ -184,14 +205,13 @@ class Transaction:
                      partition_by: Sequence[str] = (), schema=None) -> None:
         """Keyed append (S7–S9): ``error``, ``skip`` or ``replace`` as in
         ``sinks``, against the table as it was when the transaction began.
-        Stored keys meet the staged batch in a join on the partition columns
-        too, so other folders are pruned."""
+        Only folders of partitions that the staged batch has rows of are read."""
         if on_conflict not in CONFLICT_MODES:
             raise ValueError(f"on_conflict must be one of {CONFLICT_MODES}")
         partition_by = list(partition_by)
         on = [*keys, *(c for c in partition_by if c not in keys)]
         batch = staged(new, "staged-batch")
-        existing = self.table(name, schema)
+        existing = self.table(name, schema, _folder_names(batch, partition_by))
         if on_conflict == "error":
             check_keys(batch, existing, on, f" in {name}")
         else:
