@@ -16,10 +16,15 @@ does not pass as a whole is searched inside, so words joined to a key by
 
 Both models are first-order transition counts over labelled samples.  Random:
 what the base patterns caught, and strings derived from hashes of the document
-ids in the usual alphabets (hexadecimal in either case, base 64).  Ordinary:
-all other runs of the corpus whose parts are only letters or only digits.  The
-counts are a Spark aggregation over the whole corpus; the model is a table of
-``len(ALPHABET) + 1`` squared log ratios and reaches the scan as a literal.
+ids in the usual alphabets (hexadecimal in either case, base 64, its letters in
+upper case).  Ordinary: all other runs of the corpus whose parts are only
+letters or only digits, and a bounded labelled sample of the names that code is
+full of (``ordinary_names``: camel case, snake case, constants, paths, numbers
+in names).  The sample's transitions from a character weigh at least as much as
+the corpus' from it, so neither a small corpus nor one without code leaves the
+model without them.  The counts are a Spark aggregation over the whole corpus;
+the model is a table of ``len(ALPHABET) + 1`` squared log ratios and reaches the
+scan as a literal.
 
 A regex match has no position in Spark SQL, so texts are cut into (gap, match)
 pairs from the left, ``\\G(.*?)(pattern)``; summed lengths are the positions in
@@ -28,7 +33,7 @@ code points.  Patterns run only on texts that contain a match.
 Defined cases: a null text is an empty text and has no spans (pass-through
 columns keep the null).  Repeated rows are scanned each.  A null doc_id is
 kept.  Base spans always stay; they are cut out of a run, and what is left of
-it on either side is a run if still 16 characters long.  An empty table trains a model of equal chances and finds nothing.
+it on either side is a run if still 16 characters long.  An empty table finds nothing.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeflow.llm.common import stored
+from tapeflow.llm.common import literal_table, stored
 
 # Fixed values of the base scan.
 ASSIGN = (r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?"
@@ -56,9 +61,41 @@ SEGMENT = r"[A-Za-z0-9]{%d,}={0,2}" % RUN_LENGTH
 PLAIN = r"(?<![A-Za-z0-9])(?:[A-Za-z]+|[0-9]+)(?![A-Za-z0-9])|[+/_=-]+"
 STATES = len(ALPHABET) + 1  # state 0: the start of a run
 SMOOTHING = 0.5
+UNIFORM = 0.05              # share of chance in the model of ordinary names
 LEAST_RATIO = 0.3           # nats for each character
 CLOSING_DROP = 8.0          # nats lost after a stretch that end it
 PLACEHOLDER = "[SECRET]"
+# Words that the labelled sample of ordinary names is made of.
+NAME_WORDS = """
+abstract access account action adapter address admin agent alert alias amount analysis api app
+archive array asset async auth average backend backup balance batch billing binary block body bool
+boundary browser bucket buffer build builder byte cache callback category certificate channel char
+check class cleanup client cluster code collection column command comment commit common component
+config connection console container content context controller cookie copy counter country create
+current custom customer daemon data database date debug decoder default delete deploy description
+detail device dictionary directory display document domain download driver dynamic edge editor
+element email encoder encryption engine entity entry environment error event exception executor
+exchange export external factory failure feature fetch field file filter first folder format frame
+function gateway generator global graph group guide handler hash header health helper history host
+http identifier image implementation import index info initialize input instance integer interface
+internal invoice item iterator java json keyboard kubernetes label language latest layout length
+level library license limit line list listener load local location lock logger login manager map
+member memory merge message metadata method metric middleware migration model module monitor name
+network node notification number object offset operation option order output package page parent
+parser partition path payment performance platform plugin pointer policy pool position prefix
+previous process product profile project property protocol provider proxy public query queue random
+range reader record redirect reference region register release remote render report repository
+request resolver resource response result retry role root route runtime sample schedule schema
+screen script search section segment select sequence serializer server service session setting
+signature size snapshot socket source spec sql stack standard start state static status storage
+stream string struct style subject success summary support switch symbol sync system table target
+task template test text thread time timestamp total track transaction transform transport tree
+trigger type unique update upload url user utility validate value variable vector vendor version
+video view virtual visible wait warning web widget width window worker workflow wrapper write xml
+yaml zone
+""".split()
+NAME_NUMBERS = ("0", "1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "12", "16", "24", "32",
+                "64", "100", "128", "256", "512", "1024", "2020", "2024")
 
 
 def _cut(text: Column, pattern: str, when: Column, value_group: int | None = None) -> Column:
@@ -162,29 +199,54 @@ def _moves(run: Column) -> Column:
                       lambda a, b: a * STATES + b)
 
 
+def ordinary_names(words: list[str] = NAME_WORDS) -> list[str]:
+    """The labelled sample: for each of seven pairs of every word with others
+    eight names, some with a number inside or behind, and two long numbers, as
+    in orders, accounts and times."""
+    out = []
+    for i, one in enumerate(words):
+        for step in (1, 2, 5, 17, 41, 89, 151):
+            two, three = words[(i + step) % len(words)], words[(i + 3 * step) % len(words)]
+            parts = [one, two, three]
+            n = NAME_NUMBERS[(i + step) % len(NAME_NUMBERS)]
+            big = [w.upper() if len(w) <= 4 and (i + step) % 2 else w.capitalize() for w in parts]
+            out += [one + "".join(big[1:]), "".join(big), "_".join(parts), "-".join(parts),
+                    "_".join(parts).upper(), "/" + "/".join(parts) + "-" + n,
+                    one + n + "".join(big[1:]), "".join(big) + n]
+            digits = str((i + 1) * (step + 2) * 7_919_191_919_191_927 % 10**16).zfill(16)
+            out += [digits, f"{one}-{digits[:8]}-{digits[8:]}"]
+    return out
+
+
 def train(runs: DataFrame) -> list[float]:
     """Log ratio random : ordinary of every transition, from the runs of the
-    whole corpus (``with_runs``, keeping doc_id)."""
-    values = F.transform("__llm_base", lambda s: F.struct(F.lit(1).alias("random"),
+    whole corpus (``with_runs``, keeping doc_id) and the labelled names."""
+    values = F.transform("__llm_base", lambda s: F.struct(F.lit(1).alias("kind"),
                                                          s["value"].alias("run")))
     plain = F.transform(F.filter("__llm_free", lambda r: r["value"].rlike(ORDINARY)),
-                        lambda r: F.struct(F.lit(0).alias("random"), r["value"].alias("run")))
+                        lambda r: F.struct(F.lit(0).alias("kind"), r["value"].alias("run")))
     digest = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), 256)
-    made = F.array(*(F.struct(F.lit(1).alias("random"), x.alias("run")) for x in (
-        digest, F.upper(digest), F.regexp_replace(F.base64(F.unhex(digest)), r"[\r\n]", ""))))
-    moves = (runs.select(F.explode(F.concat(values, plain, made)).alias("s"))
-             .select("s.random", F.explode(_moves(F.col("s.run"))).alias("move"))
-             .groupBy("random", "move").agg(F.count(F.lit(1)).alias("n")))
-    count = [[0] * (STATES * STATES) for _ in range(2)]
-    for r in moves.collect():  # at most 2 × STATES² rows
+    base64 = F.regexp_replace(F.base64(F.unhex(digest)), r"[\r\n]", "")
+    made = F.array(*(F.struct(F.lit(1).alias("kind"), x.alias("run")) for x in (
+        digest, F.upper(digest), base64, F.upper(base64))))
+    names = literal_table(runs.sparkSession, [{"kind": 2, "run": n} for n in ordinary_names()],
+                          "kind int, run string")
+    moves = (runs.select(F.inline(F.concat(values, plain, made))).unionByName(names)
+             .select("kind", F.explode(_moves(F.col("run"))).alias("move"))
+             .groupBy("kind", "move").agg(F.count(F.lit(1)).alias("n")))
+    count = [[0] * (STATES * STATES) for _ in range(3)]
+    for r in moves.collect():  # at most 3 × STATES² rows
         count[r[0]][r[1]] = r[2]
     out = []
     for a in range(STATES):
-        rows = [c[a * STATES:(a + 1) * STATES] for c in count]
-        totals = [sum(r) + SMOOTHING * STATES for r in rows]
-        out += [round(math.log((rows[1][b] + SMOOTHING) / totals[1])
-                      - math.log((rows[0][b] + SMOOTHING) / totals[0]), 6)
-                for b in range(STATES)]
+        seen, random, named = (c[a * STATES:(a + 1) * STATES] for c in count)
+        weight = max(1.0, sum(seen) / max(1, sum(named)))
+        plain_row = [x + weight * y for x, y in zip(seen, named)]
+        out += [round(math.log((y + SMOOTHING) / (sum(random) + SMOOTHING * STATES))
+                      - math.log((1 - UNIFORM) * (x + SMOOTHING)
+                                 / (sum(plain_row) + SMOOTHING * STATES)
+                                 + UNIFORM / STATES), 6)
+                for x, y in zip(plain_row, random)]
     return out
 
 

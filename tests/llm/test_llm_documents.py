@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tapeflow.llm import (
     licenses, minhash, mixing, packing, quality, resharding, secrets, tokencount)
@@ -20,7 +21,8 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # Columns that an operator also makes, or that look like its working columns.
 EXTRA = ("score", "shard", "slot", "rank", "node", "size", "key", "component", "value", "row",
          "label", "block", "phase", "kept")
-UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+UPPER_CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+UPPER = str.maketrans(UPPER_CASE, UPPER_CASE.lower())
 
 
 def words(rng, n):
@@ -209,6 +211,45 @@ def test_secret_keys_joined_to_words_are_found(spark):
     assert sum("-of-the-second-words-" in clean[r[0]] for r in rows) > 150
 
 
+# Words that are not in the labelled sample.
+OTHER_WORDS = """servlet cursor certify balloon purchase throttle histogram quorum journal kernel
+    layered bearer dispatch mailbox normalize observer payload quantity rotate scheduler telemetry
+    upstream vacuum weather extract yearly zipper fallback gradient hydrate""".split()
+CODE_NAMES = ["HttpServletRequestWrapperFactory2", "sha256WithRSAEncryptionIdentifier",
+              "getElementsByClassName2", "AbstractSingletonProxyFactoryBean",
+              "utf8mb4UnicodeCollation", "base64UrlEncodedString"]
+
+
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01", SF_LARGE])
+def test_random_keys_are_told_from_ordinary_names(spark, sf_dir):
+    ship_code(spark)
+    assert not set(OTHER_WORDS) & set(secrets.NAME_WORDS)
+    rng = random.Random(4)
+    upper, lower, digits = UPPER_CASE, UPPER_CASE.lower(), "0123456789"
+
+    def name():
+        w, n = [rng.choice(OTHER_WORDS) for _ in range(3)], str(rng.choice([1, 2, 8, 64, 256, 2021]))
+        c = [x.capitalize() for x in w]
+        return rng.choice([w[0] + c[1] + c[2], "".join(c), "_".join(w), "-".join(w) + "-v" + n,
+                           "_".join(w).upper(), "/usr/lib/" + "/".join(w) + n,
+                           w[0] + n + c[1] + c[2], "".join(c) + n])
+
+    texts = {"name": [name() for _ in range(600)] + CODE_NAMES}
+    for kind, signs, size in (("mixed32", upper + lower + digits, 32),
+                              ("mixed24", upper + lower + digits, 24),
+                              ("upper24", upper + digits, 24), ("lower24", lower + digits, 24)):
+        texts[kind] = ["".join(rng.choice(signs) for _ in range(size)) for _ in range(200)]
+    d = spark.createDataFrame([(kind, f"see {x} here") for kind, xs in texts.items() for x in xs],
+                              "doc_id string, text string")
+    corpus = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = secrets.train(secrets.with_runs(corpus, ["doc_id"], text=False))
+    said = secrets.report(secrets.scanned(secrets.with_runs(d, ["doc_id"], text=False), model))
+    share = {r[0]: r[1] for r in said.groupBy("doc_id").agg(
+        F.avg((F.col("n_markov") > 0).cast("int"))).collect()}
+    assert share.pop("name") < 0.05
+    assert len(share) == 4 and min(share.values()) >= 0.95
+
+
 def test_secret_scan_of_an_empty_table(empty):
     runs = secrets.with_runs(empty, ["doc_id"], text=False)
     assert secrets.report(secrets.scanned(runs, secrets.train(runs))).count() == 0
