@@ -293,6 +293,43 @@ def test_neighbouring_diagonals_are_one_span(spark):
     assert got[2]["labels"] == "" and got[2]["score"] == 0
 
 
+def test_a_changed_or_missing_word_keeps_a_notice(spark):
+    """One inner word, other than the mark, changed or left out of any notice."""
+    rows, want = [], {}
+    for text, label, mark in licenses.NOTICES:
+        w = text.split()
+        for i in range(1, len(w) - 1):
+            if w[i] in mark.split():
+                continue
+            for new in (["other"], []):
+                want[len(rows)] = label
+                rows.append((len(rows), "so " + " ".join(w[:i] + new + w[i + 1:]) + " it says"))
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = [(rows[k][1], label) for k, label in want.items() if label not in got[k]]
+    assert not lost, [(b, a[-60:]) for a, b in lost[:5]]
+
+
+def test_license_lines_of_usual_families_and_plain_text(spark):
+    texts = {
+        "// SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause",
+        "Licensed under Apache License Version 2.0": "apache-2.0",
+        "licensed under CC BY-SA 4.0": "cc-by-sa-4.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a "
+        "copy of the MPL was not distributed with this file, You can obtain one at "
+        "http://mozilla.org/MPL/2.0/.": "mpl-2.0",
+        "licensed under the terms that the version of the work is released under the sun 4 0": "",
+        "this work was released under the old name; the software is in the public domain": "",
+    }
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(d).collect()}
+    for k, (text, label) in enumerate(texts.items()):
+        assert label in got[k], (text, got[k])
+    assert got[0] == ["bsd-3-clause"] and "cc-by-nc-4.0" not in got[2]
+    own = licenses.scan(d, [("the version of the work is released", "own", "")]).collect()
+    assert {r["doc_id"] for r in own if "own" in r["labels"].split(",")} == {4}
+
+
 def test_license_scan_of_an_empty_table(empty):
     assert licenses.scan(empty).count() == 0
 
