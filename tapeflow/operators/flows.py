@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeflow.functions import metrics as M
+from tapeflow.functions.exact import exact_sum, exact_sum_parts, part_names
 from tapeflow.operators.joins import drop_keys, keep_keys
 from tapeflow.operators.windows import latest_per_key, with_average_volume
 
@@ -72,39 +75,25 @@ def to_intraday_flow(snapshot: DataFrame) -> DataFrame:
 
 
 # Sums and counts that the market series are made of; adding them up over any
-# split of a capture's rows gives the whole capture.
-INDEX_PARTS = ("_buy", "_buy_n", "_sell", "_sell_n", "_money")
+# split of a capture's rows gives the whole capture, to the last digit.
+INDEX_PARTS = (*part_names("_buy"), "_buy_n", *part_names("_sell"), "_sell_n",
+               *part_names("_money"))
 
 
 def _index_parts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(
-        F.sum(M.buy_per_capita()).alias("_buy"), F.count(M.buy_per_capita()).alias("_buy_n"),
-        F.sum(M.sell_per_capita()).alias("_sell"), F.count(M.sell_per_capita()).alias("_sell_n"),
-        F.sum(M.entered_money()).alias("_money"))
+        *exact_sum_parts(M.buy_per_capita(), "_buy"), F.count(M.buy_per_capita()).alias("_buy_n"),
+        *exact_sum_parts(M.sell_per_capita(), "_sell"),
+        F.count(M.sell_per_capita()).alias("_sell_n"),
+        *exact_sum_parts(M.entered_money(), "_money"))
 
 
-def finish_index(parts: DataFrame, keys: tuple[str, ...] = ("universe", "download")) -> DataFrame:
-    """A1 rows from partial sums: ratio of averages (not average of ratios),
+def _index_rows(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A1 rows from whole sums: ratio of averages (not average of ratios),
     rounded after."""
-    g = parts.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in INDEX_PARTS))
-    buy = F.col("_buy") / F.nullif(F.col("_buy_n"), F.lit(0))
-    sell = F.col("_sell") / F.nullif(F.col("_sell_n"), F.lit(0))
-    return g.select(
-        *[F.col(k) for k in keys if k != "download"],
-        F.col("download").alias("timestamp"),
-        M.to_float(buy / F.nullif(sell, F.lit(0))).alias("i_buy_pow"),
-        M.to_int(buy).alias("i_buy_per_capita"),
-        M.to_int(sell).alias("i_sell_per_capita"),
-        M.to_int("_money").alias("i_entered_money"),
-    )
-
-
-def _index_aggregate(df: DataFrame, keys: list[str]) -> DataFrame:
-    """A1 body: ratio of averages (not average of ratios), rounded after."""
-    buy = F.avg(M.buy_per_capita())
-    sell = F.avg(M.sell_per_capita())
-    g = df.groupBy(*keys).agg(buy.alias("_b"), sell.alias("_s"),
-                              F.sum(M.entered_money()).alias("_m"))
+    buy = exact_sum("_buy") / F.nullif(F.col("_buy_n"), F.lit(0))
+    sell = exact_sum("_sell") / F.nullif(F.col("_sell_n"), F.lit(0))
+    g = sums.select(*keys, buy.alias("_b"), sell.alias("_s"), exact_sum("_money").alias("_m"))
     return g.select(
         *[F.col(k) for k in keys if k != "download"],
         F.col("download").alias("timestamp"),
@@ -115,6 +104,15 @@ def _index_aggregate(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def finish_index(parts: DataFrame, keys: Sequence[str] = ("universe", "download")) -> DataFrame:
+    """A1 rows from partial sums."""
+    return _index_rows(parts.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in INDEX_PARTS)), keys)
+
+
+def _index_aggregate(df: DataFrame, keys: list[str]) -> DataFrame:
+    return _index_rows(_index_parts(df, keys), keys)
+
+
 def index_flow(snapshot: DataFrame, universe: str = "market",
                exclude: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
     """A1/A2: one market-wide row per capture for one universe.
