@@ -106,7 +106,7 @@ def stage_predicate(spec: ScreenSpec) -> Column:
     return F.coalesce(pred, F.lit(False))
 
 
-def _flow_columns() -> list[Column]:
+def flow_columns() -> list[Column]:
     return [M.clean_ticker("ticker").alias("ticker"), M.buy_power().alias("buy_power"),
             M.buy_per_capita().alias("buy_per_capita"),
             M.sell_per_capita().alias("sell_per_capita")]
@@ -114,7 +114,7 @@ def _flow_columns() -> list[Column]:
 
 def snapshot_stage(snapshot: DataFrame, spec: ScreenSpec) -> DataFrame:
     """First stage: the rows that pass, with their flow metrics."""
-    return snapshot.filter(stage_predicate(spec)).select(*_flow_columns())
+    return snapshot.filter(stage_predicate(spec)).select(*flow_columns())
 
 
 def ranked(survivors: DataFrame, *within: str) -> DataFrame:
@@ -182,7 +182,7 @@ def run_screens(snapshot: DataFrame, specs, daily: DataFrame | None = None,
         raise ValueError("run_screens needs at least one ScreenSpec")
     tags = F.filter(F.array(*[F.when(stage_predicate(s), F.lit(s.name)) for s in specs]),
                     lambda x: x.isNotNull())
-    stage = snapshot.select(*_flow_columns(), F.explode(tags).alias("screen"))
+    stage = snapshot.select(*flow_columns(), F.explode(tags).alias("screen"))
     stage = staged(stage, "screens-stage")
     out = stage
     persist = [s for s in specs if s.confirm == "persistence"]
