@@ -29,9 +29,10 @@ from tapeflow.session import scratch_path, staged
 from tapeflow.sources.sinks import append_unique, union_evolved
 from tapeflow.sources.snapshots import (
     latest_capture, quarantine, read_snapshots, write_snapshot)
-from tapeflow.sources.versions import Transaction
+from tapeflow.sources.versions import Transaction, read_table
 from tapeflow.streaming import streams as ST
 from tapeflow.streaming.follow import follow
+from tapeflow.streaming.live import live_screen_sink, live_screens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -389,6 +390,22 @@ def q_stream_screen(spark, d):
     return ranked(verdicts.filter("passes").drop("passes", "download"))
 
 
+def _live_screens(spark, d, name, specs):
+    return live_screens(spark, _streamed(
+        spark, d, name, lambda out: live_screen_sink(spark, out, specs)))
+
+
+def q_stream_all_screens(spark, d):
+    """Q1–Q7 kept up to date: the captures are what is judged and the evidence."""
+    return _live_screens(spark, d, "stream_all_screens", SPECS.values())
+
+
+def q_stream_screen_divergence(spark, d):
+    """Q6 on a capture stream, D1 on the candles of the same stream."""
+    return _live_screens(spark, d, "stream_screen_divergence",
+                         [SPECS["divergence_off_limit"]]).drop("screen", "hits")
+
+
 def q_screened_price_geometry(spark, d):
     """R8, second half: price candles of the survivors as bar geometry."""
     survivors = staged(_screen("candle_candidates")(spark, d), "survivors")
@@ -551,6 +568,20 @@ def q_append_unique_intraday(spark, d):
     return append_unique(rows, stored, INTRADAY_KEYS, "skip")
 
 
+def q_append_by_key_filters(spark, d):
+    """S8 on a stored table of three commits, which key filters are asked
+    about: rows that are stored (with another volume) stay, others come in."""
+    rows = _intraday(spark, d).withColumn("date", F.to_date("timestamp"))
+    stored = rows.filter(F.col("volume") % 2 == 0).withColumn("volume", -F.col("volume"))
+    even_day = F.pmod(F.unix_date("date"), F.lit(2)) == 0
+    root = scratch_path(spark, "key-filters")
+    for part in (stored.filter(even_day), stored.filter(~even_day), rows):
+        tx = Transaction(spark, root)
+        tx.write_unique("intraday", part, INTRADAY_KEYS, "skip", ["date"])
+        tx.commit()
+    return read_table(spark, root, "intraday").drop("date")
+
+
 def q_append_unique_index(spark, d):
     """The batch's rows win over stored ones, others stay."""
     rows = _index(spark, d)
@@ -689,6 +720,7 @@ QUERIES: dict[str, Query] = {
     "append_unique_error": q_append_unique_error,
     "append_unique_intraday": q_append_unique_intraday,
     "append_unique_index": q_append_unique_index,
+    "append_by_key_filters": q_append_by_key_filters,
     "daily_load_incremental": q_daily_load_incremental,
     "daily_load_blocks": q_daily_load_blocks,
     "daily_load_late": q_daily_load_late,
@@ -697,4 +729,6 @@ QUERIES: dict[str, Query] = {
     "valuation_display": q_valuation_display,
     "calendar_gap_runs": q_calendar_gap_runs,
     "stream_market_flow_repeated": q_stream_market_flow_repeated,
+    "stream_all_screens": q_stream_all_screens,
+    "stream_screen_divergence": q_stream_screen_divergence,
 }

@@ -428,6 +428,9 @@ FROM ({ORACLE[name]})"""
                  "smart_money_at_limit", "divergence_at_limit", "divergence_off_limit",
                  "candle_candidates"))
 
+ORACLE["stream_all_screens"] = ORACLE["all_screens"]
+ORACLE["stream_screen_divergence"] = ORACLE["divergence_off_limit"]
+
 # Stored tables equal what one pass over all captures gives.
 ORACLE["ingest_atomic"] = ORACLE["daily_load"]
 ORACLE["follow_ingest"] = ORACLE["intraday_load"]
@@ -458,6 +461,7 @@ SELECT ticker, download, date_trunc('minute', download) AS minute FROM snap"""
 ORACLE["append_unique_error"] = ORACLE["daily_flow"]
 ORACLE["append_unique_intraday"] = with_(SNAP, INTRADAY) + """
 SELECT * REPLACE (CASE WHEN volume % 2 = 0 THEN -volume ELSE volume END AS volume) FROM intraday"""
+ORACLE["append_by_key_filters"] = ORACLE["append_unique_intraday"]
 ORACLE["append_unique_index"] = with_(SNAP, HOURLY, INDEX) + """
 SELECT * REPLACE (CASE WHEN hour("timestamp") >= 12 THEN -1 ELSE i_entered_money END
                   AS i_entered_money) FROM idx"""

@@ -13,6 +13,11 @@ lists the new folders instead of the old ones.  ``compact`` merges the folders
 of partitions that many small runs have added to, and ``vacuum`` deletes what
 no kept version lists.
 
+A table that grows by key has its key filters beside it (``<table>_keys``, see
+``keyindex``), folder by folder under the same names.  A keyed append asks them
+first and reads the rows of no folder that cannot hold one of its keys; a
+folder without filters is read.
+
 The driver holds the list of live folders (partitions times a bounded number of
 folders, as any file listing), never rows.  Files are listed, written and
 renamed through Hadoop's file system API, so a root may be any store Spark
@@ -31,11 +36,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeflow.session import staged
+from tapeflow.sources.keyindex import FOLDER, key_filters, may_be_stored
 from tapeflow.sources.sinks import CONFLICT_MODES, append_unique, check_keys, laid_out, one_per_key
 
 VERSIONS = "_versions"
 BATCH = "batch"
+KEYS = "_keys"  # after a table's name: its key filters
 NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+# Partition columns whose values are written in a folder's name as they are.
+PLAIN_TYPES = ("date", "tinyint", "smallint", "int", "bigint")
 
 
 class ConcurrentCommitError(RuntimeError):
@@ -145,13 +154,19 @@ def _partition(folder: str) -> str:
 def _folder_names(df: DataFrame, partition_by: Sequence[str]) -> list[str] | None:
     """Names of the partition folders that ``df`` has rows of (as many as it
     will write); None if a value's text may be escaped in a folder's name."""
-    plain = ("date", "tinyint", "smallint", "int", "bigint")
-    types = dict(df.dtypes)
-    if not partition_by or any(types[c] not in plain for c in partition_by):
+    if not partition_by or not _plain(df, partition_by):
         return None
     rows = df.select(*(F.col(c).cast("string") for c in partition_by)).distinct().collect()
-    return ["/".join(f"{c}={NO_VALUE if v is None else v}" for c, v in zip(partition_by, r))
-            for r in rows]
+    return [_folder_name(partition_by, r) for r in rows]
+
+
+def _plain(df: DataFrame, partition_by: Sequence[str]) -> bool:
+    types = dict(df.dtypes)
+    return all(types[c] in PLAIN_TYPES for c in partition_by)
+
+
+def _folder_name(partition_by: Sequence[str], values: Sequence[str | None]) -> str:
+    return "/".join(f"{c}={NO_VALUE if v is None else v}" for c, v in zip(partition_by, values))
 
 
 class Transaction:
@@ -168,12 +183,8 @@ class Transaction:
               ) -> DataFrame | None:
         """The table as it was when the transaction began; with ``partitions``
         (``column=value/…``) only the folders of those."""
-        at = self.base
-        if partitions is not None:
-            wanted = set(partitions)
-            at = Version(at.number, {name: [f for f in at.tables.get(name, [])
-                                            if _partition(f) in wanted]})
-        return read_table(self.spark, self.root, name, schema, at)
+        folders = self._live(name, partitions)
+        return _read(self.spark, self.root, name, folders, schema) if folders else None
 
     def written(self, name: str, schema=None) -> DataFrame | None:
         """What this transaction has written to the table."""
@@ -190,9 +201,12 @@ class Transaction:
         the partitions it has rows of."""
         if name in self.new:
             raise ValueError(f"{name} is written already in this transaction")
-        partition_by = list(partition_by)
+        self._put(name, df, list(partition_by), list(keys), replace)
+
+    def _put(self, name: str, df: DataFrame, partition_by: list[str], keys: list[str],
+             replace: bool) -> None:
         path = f"{self.root}/{name}/{self.batch}"
-        laid_out(df, partition_by, list(keys)).write.partitionBy(*partition_by).parquet(path)
+        laid_out(df, partition_by, keys).write.partitionBy(*partition_by).parquet(path)
         new = _leaves(self.spark, self.root, name, self.batch, len(partition_by))
         old = self.tables.get(name, [])
         if replace:
@@ -205,13 +219,17 @@ class Transaction:
                      partition_by: Sequence[str] = (), schema=None) -> None:
         """Keyed append (S7–S9): ``error``, ``skip`` or ``replace`` as in
         ``sinks``, against the table as it was when the transaction began.
-        Only folders of partitions that the staged batch has rows of are read."""
+        Only folders of partitions that the staged batch has rows of are read,
+        and, but for a replace, only those that may hold one of its keys."""
         if on_conflict not in CONFLICT_MODES:
             raise ValueError(f"on_conflict must be one of {CONFLICT_MODES}")
         partition_by = list(partition_by)
         on = [*keys, *(c for c in partition_by if c not in keys)]
         batch = staged(new, "staged-batch")
-        existing = self.table(name, schema, _folder_names(batch, partition_by))
+        folders = self._live(name, _folder_names(batch, partition_by))
+        if on_conflict != "replace":  # which rewrites all rows of its partitions
+            folders = self._may_hold(name, folders, batch, list(keys), partition_by)
+        existing = _read(self.spark, self.root, name, folders, schema) if folders else None
         if on_conflict == "error":
             check_keys(batch, existing, on, f" in {name}")
         else:
@@ -224,6 +242,36 @@ class Transaction:
                                          "left_semi")
             batch = append_unique(batch, existing, on, "replace")
         self.write(name, batch, partition_by, keys, replace=on_conflict == "replace")
+        self.index(name, keys, partition_by, on_conflict == "replace", schema)
+
+    def _live(self, name: str, partitions: Sequence[str] | None) -> list[str]:
+        """Live folders of the table, or of these partitions of it."""
+        folders = self.base.tables.get(name, [])
+        if partitions is None:
+            return folders
+        wanted = set(partitions)
+        return [f for f in folders if _partition(f) in wanted]
+
+    def _may_hold(self, name: str, folders: list[str], batch: DataFrame, keys: list[str],
+                  partition_by: list[str]) -> list[str]:
+        """Those of ``folders`` that may hold a key of ``batch``."""
+        indexed = set(self.base.tables.get(f"{name}{KEYS}", []))
+        asked = [f for f in folders if f in indexed]
+        if not asked or not _plain(batch, partition_by):
+            return folders
+        hits = may_be_stored(batch, _read(self.spark, self.root, f"{name}{KEYS}", asked), keys,
+                             partition_by)
+        found = {"/".join(filter(None, [r[0], _folder_name(partition_by, r[1:])])) for r in
+                 hits.select(FOLDER, *(F.col(c).cast("string") for c in partition_by)).collect()}
+        return [f for f in folders if f not in indexed or f in found]
+
+    def index(self, name: str, keys: Sequence[str], partition_by: Sequence[str] = (),
+              replace: bool = False, schema=None) -> None:
+        """Store the key filters of what this transaction has written."""
+        rows = self.written(name, schema)
+        if rows is not None and _plain(rows, partition_by):
+            self._put(f"{name}{KEYS}", key_filters(rows, keys, partition_by, self.batch),
+                      list(partition_by), ["block"], replace)
 
     def commit(self) -> Version:
         """Make all writes visible at once."""
@@ -245,6 +293,8 @@ def compact(spark: SparkSession, root: str, name: str, partition_by: Sequence[st
     if not many:
         return 0
     tx.write(name, _read(spark, root, name, many), partition_by, keys, replace=True)
+    if f"{name}{KEYS}" in tx.base.tables:
+        tx.index(name, keys, partition_by, replace=True)
     tx.commit()
     return len({_partition(f) for f in many})
 
