@@ -611,8 +611,8 @@ def q_daily_load_blocks(spark, d):
     history."""
     early, late = _early_and_late(spark, d)
     daily = _stored_daily(spark, d, [(early, "error"), (late, "error")])["daily"]
-    cut = _cutover(_snap(spark, d).select(F.to_date("download").alias("d")), "d")
-    return daily.filter(F.col("date") >= cut).drop(*J.DAILY_PARTITIONS)
+    first = late.agg(F.min(F.to_date("download"))).first()[0]  # one date
+    return daily.filter(F.col("date") >= F.lit(first)).drop(*J.DAILY_PARTITIONS)
 
 
 def q_daily_load_late(spark, d):
