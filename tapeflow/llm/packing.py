@@ -22,11 +22,12 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,8 @@ OPEN_BINS = 256
 LOOK_AHEAD = 2048
 TOKENIZER = "word_bpe_49k.json"
 BINS_PER_REPACK_TASK = 50_000
-CACHE_BYTES = 128 * 1024 * 1024  # of remembered chunks, in a Python worker
-ENTRY_BYTES = 200               # what an entry takes beside its characters and ids
+CACHE_BYTES = 64 * 1024 * 1024  # of remembered chunks and parts, in a Python worker
+PART_CHARS = 8 * 1024 * 1024    # of texts encoded at a time
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, "
           "sequence_id long, offset long, closed boolean")
 NAMES = [c.split()[0] for c in PIECES.split(", ")]
@@ -111,82 +112,139 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = "".join(chr(c) for c in range(0xA1, 0x180) if unicodedata.category(chr(c))[0] == "L")
 _NUMBERS = "".join(chr(c) for c in range(0xA1, 0x180) if unicodedata.category(chr(c))[0] == "N")
 _BEYOND = re.compile("[^\x00-\u017f]")
-_SIMPLE = re.compile("[!-~\u00a1-\u017f]+")
+_SIMPLE = "^[!-~\u00a1-\u017f]+$"
 _PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9{_NUMBERS}]"
                    f"|[^a-z{_LETTERS}0-9{_NUMBERS}\n]+")
 _SPACED = {b: c for b, c in _byte_letters().items() if b not in b" \n"}
 
 
-class ChunkIds(dict):
-    """White-space-free chunk (UTF-8) → its ids as little-endian uint32 bytes.
+class Remembered:
+    """Strings and their ids (little-endian uint32 bytes) as two Arrow columns of
+    at most about ``limit`` bytes, without a Python object for each.  When they
+    are full, half of that stays: what was used last."""
+
+    def __init__(self, limit: int):
+        self.limit, self.rounds = limit, 0
+        self.keys, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.used = np.zeros(0, np.int64)
+
+    def of(self, keys: pa.Array, learn: Callable[[pa.Array], pa.Array]) -> pa.Array:
+        """The ids of distinct ``keys``; ``learn`` gives those of new ones."""
+        self.rounds += 1
+        at = pc.index_in(keys, value_set=self.keys)
+        missing = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy()
+        self.used[at[~missing]] = self.rounds
+        new = keys.filter(pa.array(missing))
+        at = np.where(missing, len(self.keys) + np.cumsum(missing) - 1, at)
+        if len(new):
+            self.ids = pa.concat_arrays([self.ids, learn(new)])
+            self.keys = pa.concat_arrays([self.keys, new])
+            self.used = np.append(self.used, np.full(len(new), self.rounds))
+        found = self.ids.take(pa.array(at))
+        if self.held > self.limit:
+            self._forget()
+        return found
+
+    @property
+    def held(self) -> int:
+        return self.keys.nbytes + self.ids.nbytes + self.used.nbytes
+
+    def _forget(self) -> None:
+        size = 24 + pc.binary_length(self.keys).to_numpy() + pc.binary_length(self.ids).to_numpy()
+        order = np.lexsort((size, -self.used))  # of those used last, short ones first
+        stay = np.sort(order[:np.searchsorted(np.cumsum(size[order]), self.limit // 2)])
+        self.keys, self.ids = self.keys.take(pa.array(stay)), self.ids.take(pa.array(stay))
+        self.used = self.used[stay]
+
+
+def _joined(lists: pa.ListArray, ids_of: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """For each list of strings their ids in a row; ``ids_of`` is asked for
+    distinct strings."""
+    coded = lists.flatten().dictionary_encode()
+    ids = ids_of(coded.dictionary).take(coded.indices)
+    _, offsets, data = ids.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(ids) + 1)[lists.offsets.to_numpy()]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists),
+                                            [None, pa.py_buffer(ends), data])
+
+
+class ChunkIds:
+    """Texts → their ids as little-endian uint32 bytes.
 
     This tokenizer drops white space and its pattern never crosses it, so a
-    text's ids are its chunks' ids in a row.  Chunks repeat far more often
-    than texts; about ``limit`` bytes of them are remembered beside those of
-    the texts in hand, in two halves: a full one grows old, and what is used
-    again moves to the young one.  New chunks of Latin letters
-    are cut by the tokenizer's own pattern and go to its BPE model many at a
-    time, to be told apart by the mark that ends each part's last token.
-    Anything else goes through the whole tokenizer.
+    text's ids are those of its white-space-free chunks in a row.  Chunks
+    repeat far more often than texts, and the parts that the tokenizer's
+    pattern cuts them into more often still: each is looked up once for some
+    megabytes of text, and remembered.  Chunks of Latin letters are cut by that
+    pattern here and new parts go to the BPE model many at a time, to be told
+    apart by the mark that ends each part's last token.  Anything else goes
+    through the whole tokenizer.
     """
 
     def __init__(self, path: str, limit: int = CACHE_BYTES):
         from tokenizers import Tokenizer, pre_tokenizers
-        super().__init__()
-        self.tokenizer, self.limit, self.held = Tokenizer.from_file(path), limit, 0
-        self.old: dict[bytes, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known, self.known_parts = Remembered(limit // 2), Remembered(limit // 2)
         self.parts = Tokenizer(self.tokenizer.model)
         self.parts.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    @staticmethod
-    def chunks(text: str | None) -> list[bytes]:
-        if not text:
-            return []
-        # Lower case first makes more chunks equal; a text that may hold a
-        # special token (in exactly its case) or decomposed letters stays.
-        if "<|" not in text and not _BEYOND.search(text):
-            text = text.lower()
-        return text.encode("utf-8").split()
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.chunks(t) for t in texts]
-        seen = set().union(*cut)
-        if self.held > self.limit // 2:
-            self.old, self.held = dict(self), 0
-            self.clear()
-        new = [c for c in seen if c not in self]
-        again = [c for c in new if c in self.old]
-        if again:
-            self.update((c, self.old[c]) for c in again)
-            self.held += sum(ENTRY_BYTES + len(c) + len(self[c]) for c in again)
-            new = [c for c in new if c not in self]
-        for i in range(0, len(new), 20_000):
-            self._learn(new[i:i + 20_000])
-        self.held += sum(ENTRY_BYTES + len(c) + len(self[c]) for c in new)
-        return [b"".join(map(self.__getitem__, c)) for c in cut]
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        texts = [c.decode("utf-8") for c in chunks]
-        simple = [bool(_SIMPLE.fullmatch(t)) and "<|" not in t for t in texts]
-        odd = [t for t, s in zip(texts, simple, strict=True) if not s]
-        for t, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False),
-                        strict=True):
-            self[t.encode("utf-8")] = np.array(e.ids, "<u4").tobytes()
-        plain = [t for t, s in zip(texts, simple, strict=True) if s]
-        if not plain:
-            return
-        lines = _PART.sub(r"\g<0> ", "\n".join(plain).lower())
-        counts = [line.count(" ") for line in lines.split("\n")]
-        letters = lines.encode("utf-8").decode("latin-1").translate(_SPACED)
-        ids = np.array(self.parts.encode(letters, add_special_tokens=False).ids, "<u4")
-        last = np.flatnonzero(self.ends[ids])[np.cumsum(counts) - 1] + 1
-        raw, at = ids.tobytes(), 0
-        for t, to in zip(plain, (4 * last).tolist(), strict=True):
-            self[t.encode("utf-8")] = raw[at:to]
-            at = to
+    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Of each text; some megabytes of texts are in hand at a time."""
+        part, size = [], 0
+        for text in texts:
+            # Lower case first makes more chunks equal; a text that may hold a
+            # special token (in exactly its case) or decomposed letters stays.
+            if text and "<|" not in text and not _BEYOND.search(text):
+                text = text.lower()
+            part.append(text or "")
+            size += len(part[-1])
+            if size > PART_CHARS:
+                yield from self._encoded(part)
+                part, size = [], 0
+        if part:
+            yield from self._encoded(part)
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        chunks = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        return _joined(chunks, lambda c: self.known.of(c, self._learn)).to_pylist()
+
+    def _learn(self, chunks: pa.Array) -> pa.Array:
+        simple = pc.and_not(pc.match_substring_regex(chunks, _SIMPLE),
+                            pc.match_substring(chunks, "<|"))
+        odd = chunks.filter(pc.invert(simple)).to_pylist()
+        ids = pa.array([np.array(e.ids, "<u4").tobytes() for e in
+                        self.tokenizer.encode_batch(odd, add_special_tokens=False)],
+                       pa.large_binary())
+        plain = chunks.filter(simple).to_pylist()
+        if plain:
+            lines = _PART.sub(r"\g<0> ", "\n".join(plain).lower()).split("\n")
+            parts = pc.ascii_split_whitespace(pa.array(lines, pa.large_string()))
+            ids = pa.concat_arrays([
+                _joined(parts, lambda p: self.known_parts.of(p, self._learn_parts)), ids])
+        place = np.empty(len(chunks), np.int64)
+        mask = simple.to_numpy(zero_copy_only=False)
+        place[mask], place[~mask] = np.arange(len(plain)), len(plain) + np.arange(len(odd))
+        return ids.take(pa.array(place))
+
+    def _learn_parts(self, parts: pa.Array) -> pa.Array:
+        parts, out = parts.to_pylist(), []
+        for i in range(0, len(parts), 20_000):
+            some = parts[i:i + 20_000]
+            letters = " ".join(some).encode("utf-8").decode("latin-1").translate(_SPACED)
+            ids = np.array(self.parts.encode(letters, add_special_tokens=False).ids, "<u4")
+            # The empty part behind a chunk's last one has no ids.
+            filled = np.array([p != "" for p in some])
+            last = np.zeros(len(some) + 1, np.int64)
+            last[1:][filled] = np.flatnonzero(self.ends[ids]) + 1
+            last = np.maximum.accumulate(last)
+            out.append(pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), len(some),
+                [None, pa.py_buffer(4 * last), pa.py_buffer(ids.tobytes())]))
+        return pa.concat_arrays(out)
 
 
 def chunk_ids(name: str) -> ChunkIds:

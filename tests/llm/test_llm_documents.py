@@ -105,6 +105,27 @@ def test_packing_is_an_exact_round_trip(docs, local):
     assert len(bins) <= -(-total // 256) + 6
 
 
+def test_remembered_chunks_stay_in_their_limit_and_parts_are_learnt_once():
+    from tokenizers import Tokenizer
+    path = packing.tokenizer_path(packing.TOKENIZER)
+    tok, rng = Tokenizer.from_file(path), random.Random(9)
+    cache, asked = packing.ChunkIds(path, limit=40_000), []
+
+    class Counted:
+        def encode(self, letters, **kw):
+            asked.extend(letters.split())
+            return model.encode(letters, **kw)
+    model, cache.parts = cache.parts, Counted()
+    list(cache.ids(["cab. cab, (cab) cab!", "cab? cab.", None]))
+    assert asked.count("cab") == 1
+    for _ in range(20):
+        texts = [None, "", words(rng, 400), "Cab, é1 <|x|> 漢字 " + words(rng, 40).upper()]
+        want = [np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+                for t in texts]
+        assert list(cache.ids(texts)) == want
+        assert cache.known.held <= 20_000 and cache.known_parts.held <= 20_000
+
+
 def test_packing_of_an_empty_table(empty):
     assert packing.pack(empty).count() == 0
 
