@@ -51,9 +51,13 @@ def union_evolved(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def one_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per key, chosen by a hash of the whole row."""
+    """One row per key, chosen by a hash of the whole row.  Rows are dealt by key
+    before they are sorted: keys seldom repeat, so a partial limit would sort a
+    whole input split (a landed file's row group, however many rows it has) and
+    drop next to nothing; behind the shuffle AQE sizes the tasks."""
     w = Window.partitionBy(*keys).orderBy(F.xxhash64(*(F.col(c) for c in df.columns)))
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    return (df.repartition(*keys).withColumn("_rn", F.row_number().over(w))
+            .filter(F.col("_rn") == 1).drop("_rn"))
 
 
 def check_keys(new: DataFrame, existing: DataFrame | None, keys: list[str], where: str) -> None:

@@ -5,7 +5,7 @@ import pytest
 
 from tapeflow.session import scratch_path
 from tapeflow.sources.sinks import (
-    DuplicateKeyError, append_unique, read_stored, union_evolved, write_unique)
+    DuplicateKeyError, append_unique, one_per_key, read_stored, union_evolved, write_unique)
 from tests.conftest import rows
 
 
@@ -29,6 +29,20 @@ def test_conflict_modes(spark):
     assert append_unique(fresh, old, ["ticker", "date"], "error").count() == 3
 
 
+def test_one_row_per_key_sorts_nothing_before_the_shuffle(spark):
+    path = scratch_path(spark, "one-per-key")
+    rows_ = [("A", D1, 1), ("A", D1, 2), ("A", None, 3), ("A", None, 4), (None, D2, 5), ("B", D2, 6)]
+    tbl(spark, rows_ + rows_).write.parquet(path)
+    one = one_per_key(spark.read.parquet(path), ["ticker", "date"])
+    got = rows(one)
+    assert {(r["ticker"], r["date"]) for r in got} == {r[:2] for r in rows_} and len(got) == 4
+    assert all(tuple(r.values()) in rows_ for r in got)
+    plan = spark.read.parquet(path).transform(one_per_key, ["ticker", "date"]) \
+        ._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.rindex("Exchange hashpartitioning"):]
+    assert plan.count("Exchange") == 1 and "Sort" not in below and "Limit" not in below
+
+
 def test_union_evolved(spark):
     old = spark.createDataFrame([("A", 1)], "ticker string, v int")
     new = spark.createDataFrame([("B", 2, 3.5)], "ticker string, v int, extra double")
