@@ -61,7 +61,7 @@ BLOCK = 1024
 DENSE = 4               # possible pairs per member from which full sets are compared
 COLUMNS = 4096          # width of a 0/1 matrix
 CACHED_SETS = 64        # full sets that a verifying task remembers
-_HASHES = WordHashes()  # per Python worker
+_HASHES = WordHashes()  # per Python worker; emptied when a task ends, an idle worker holds none
 
 
 def _sketches(batches):
@@ -77,6 +77,7 @@ def _sketches(batches):
             [batch["doc_id"], pa.array(size, pa.int64()), pa.array(key, pa.binary()),
              pa.array(sketch, pa.binary()), *batch.columns[2:]],
             names=["doc_id", "size", "key", "sketch", *batch.schema.names[2:]])
+    _HASHES.clear()
 
 
 def _postings(batches):
@@ -142,6 +143,7 @@ def _verified(percent: int):
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        _HASHES.clear()
     return run
 
 
@@ -220,6 +222,7 @@ def _packed_sets(batches):
                 for t in batch["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.binary())],
                                          names=["node", "full"])
+    _HASHES.clear()
 
 
 def _unpacked(full: bytes) -> np.ndarray:

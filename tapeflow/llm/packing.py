@@ -39,8 +39,8 @@ OPEN_BINS = 256
 LOOK_AHEAD = 2048
 TOKENIZER = "word_bpe_49k.json"
 BINS_PER_REPACK_TASK = 50_000
-CACHE_BYTES = 64 * 1024 * 1024  # of remembered chunks and parts, in a Python worker
-PART_CHARS = 8 * 1024 * 1024    # of texts encoded at a time
+CACHE_BYTES = 32 * 1024 * 1024  # of remembered chunks and parts, in a Python worker
+PART_CHARS = 4 * 1024 * 1024    # of texts encoded at a time
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, "
           "sequence_id long, offset long, closed boolean")
 NAMES = [c.split()[0] for c in PIECES.split(", ")]
@@ -293,6 +293,7 @@ def _pack_partition(tokenizer: str, capacity: int, open_bins: int, look_ahead: i
                     yield rows(done, True)
         if held:
             yield rows(list(held), False)
+        pa.default_memory_pool().release_unused()
     return run
 
 

@@ -126,6 +126,13 @@ def test_remembered_chunks_stay_in_their_limit_and_parts_are_learnt_once():
         assert cache.known.held <= 20_000 and cache.known_parts.held <= 20_000
 
 
+def test_a_finished_sketch_task_leaves_no_words_in_its_worker():
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["one two three", None]})
+    assert [b["size"].to_pylist() for b in minhash._sketches([batch])] == [[1, 0]]
+    assert not minhash._HASHES
+
+
 def test_packing_of_an_empty_table(empty):
     assert packing.pack(empty).count() == 0
 
